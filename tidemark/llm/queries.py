@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.lines import OP1_SQL, op1_line_dedup
+from tidemark.llm.simhash import op3_simhash
 from tidemark.llm.tokens import op5_token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {"op5_token_ids": op5_token_ids}
+    return {
+        "op1_line_dedup": op1_line_dedup,
+        "op3_simhash": op3_simhash,
+        "op5_token_ids": op5_token_ids,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {}
+    return {"op1_line_dedup": OP1_SQL}
