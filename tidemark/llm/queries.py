@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.chat import OP6_SQL, op6_chat
 from tidemark.llm.lines import OP1_SQL, op1_line_dedup
+from tidemark.llm.quality import OP10_SQL, op10_quality
 from tidemark.llm.simhash import op3_simhash
 from tidemark.llm.tokens import op5_token_ids
 
@@ -17,9 +19,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op3_simhash": op3_simhash,
         "op5_token_ids": op5_token_ids,
+        "op6_chat": op6_chat,
+        "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op6_chat": OP6_SQL, "op10_quality": OP10_SQL}
