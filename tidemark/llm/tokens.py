@@ -216,7 +216,7 @@ class ChunkEncoder:
     place, so chunks encode to the same ids as the whole text.
     """
 
-    _odd = re.compile(r"\s \s?|^ | $| \s")
+    _rare = re.compile(r"[^\S \n]")
     _cut = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
@@ -228,13 +228,16 @@ class ChunkEncoder:
         self.old: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
-        words = self._cut.split(text) if self._odd.search(text) else text.split(" ")
-        return [words[0], *[" " + w for w in words[1:]]] if text else []
+        if not text:
+            return []
+        odd = "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or self._rare.search(text)
+        words = self._cut.split(text) if odd else text.split(" ")
+        return [words[0], *[" " + w for w in words[1:]]]
 
     def learn(self, chunks: set[str]) -> None:
         """Make every chunk known in the young generation."""
-        fresh = []
-        for chunk in chunks - self.young.keys():
+        fresh, young = [], self.young
+        for chunk in [c for c in chunks if c not in young]:
             ids = self.old.get(chunk)
             if ids is None:
                 fresh.append(chunk)
@@ -245,8 +248,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.chunks(t) for t in texts]
-        for chunks in split:
-            self.learn(set(chunks))
+        self.learn({c for chunks in split for c in chunks})
         out = [b"".join([self.young[c] for c in chunks]) for chunks in split]
         if len(self.young) > MEMO:
             self.old, self.young = self.young, {}
