@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.chat import OP6_SQL, op6_chat
 from tidemark.llm.lines import OP1_SQL, op1_line_dedup
+from tidemark.llm.pieces import op2_sentencepiece
 from tidemark.llm.quality import OP10_SQL, op10_quality
 from tidemark.llm.simhash import op3_simhash
 from tidemark.llm.tokens import op5_token_ids
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_simhash": op3_simhash,
         "op5_token_ids": op5_token_ids,
         "op6_chat": op6_chat,
