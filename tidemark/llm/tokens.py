@@ -20,6 +20,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,17 @@ END_ID = 2
 _loaded: dict = {}
 
 
+def _widths(values: np.ndarray) -> np.ndarray:
+    """Bits of each value; 64 if over 60."""
+    if not values.size or values.max() < len(_WIDTHS):
+        return _WIDTHS[values.astype(np.int64)]
+    halves = np.where(values >> np.uint64(32) > 0, np.frexp((values >> np.uint64(32)).astype(np.float64))[1] + 32, np.frexp(values.astype(np.float64))[1])
+    return np.where(halves > 60, 64, halves).astype(np.uint8)
+
+
+_WIDTHS = np.frexp(np.arange(1 << 18, dtype=np.float64))[1].astype(np.uint8)
+
+
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, words of each block, and exceptions of ids (uint64), block by block."""
     n_blocks = -(-len(ids) // block)
@@ -55,11 +67,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
     filled = np.zeros(n_blocks * block, dtype=np.uint64)
     filled[: len(ids)] = ids
     grid[:, :block] = filled.reshape(n_blocks, block)
-    exact = np.where(grid >= np.uint64(1 << 60), 64, np.frexp(grid.astype(np.float64))[1])
-    small = grid < np.uint64(1 << 53)
-    for bits in (54, 55, 56, 57, 58, 59, 60) if not small.all() else ():
-        exact = np.where(~small & (grid < np.uint64(1 << 60)) & (grid >> np.uint64(bits - 1) == 1), bits, exact)
-    widths = exact.astype(np.uint8)
+    widths = _widths(grid)
     choice = np.where(widths[:, :block] > 60, 0, 15).astype(np.uint8)
     widest = widths.copy()
     by_count = {int(c): s for s, c in enumerate(COUNTS) if s and c > 1}
@@ -242,9 +250,9 @@ class ChunkEncoder:
             if ids is None:
                 fresh.append(chunk)
             else:
-                self.young[chunk] = ids
+                young[chunk] = ids
         for chunk, encoded in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.young[chunk] = np.array(encoded.ids, dtype="<u4").tobytes()
+            young[chunk] = array("I", encoded.ids).tobytes()  # little-endian, as on any machine that Spark runs on
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.chunks(t) for t in texts]
