@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.chat import OP6_SQL, op6_chat
+from tidemark.llm.leaks import OP4_SQL, op4_decontaminate
 from tidemark.llm.lines import OP1_SQL, op1_line_dedup
 from tidemark.llm.pieces import op2_sentencepiece
 from tidemark.llm.quality import OP10_SQL, op10_quality
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_simhash": op3_simhash,
+        "op4_decontaminate": op4_decontaminate,
         "op5_token_ids": op5_token_ids,
         "op6_chat": op6_chat,
         "op10_quality": op10_quality,
@@ -28,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {"op1_line_dedup": OP1_SQL, "op6_chat": OP6_SQL, "op10_quality": OP10_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_decontaminate": OP4_SQL, "op6_chat": OP6_SQL, "op10_quality": OP10_SQL}
