@@ -10,6 +10,7 @@ from tidemark.llm.chat import OP6_SQL, op6_chat
 from tidemark.llm.leaks import OP4_SQL, op4_decontaminate
 from tidemark.llm.lines import OP1_SQL, op1_line_dedup
 from tidemark.llm.pieces import op2_sentencepiece
+from tidemark.llm.private import op9_private
 from tidemark.llm.quality import OP10_SQL, op10_quality
 from tidemark.llm.simhash import op3_simhash
 from tidemark.llm.tokens import op5_token_ids
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontaminate": op4_decontaminate,
         "op5_token_ids": op5_token_ids,
         "op6_chat": op6_chat,
+        "op9_private": op9_private,
         "op10_quality": op10_quality,
     }
 
