@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.chat import OP6_SQL, op6_chat
+from tidemark.llm.languages import op8_language
 from tidemark.llm.leaks import OP4_SQL, op4_decontaminate
 from tidemark.llm.lines import OP1_SQL, op1_line_dedup
 from tidemark.llm.pieces import op2_sentencepiece
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontaminate": op4_decontaminate,
         "op5_token_ids": op5_token_ids,
         "op6_chat": op6_chat,
+        "op8_language": op8_language,
         "op9_private": op9_private,
         "op10_quality": op10_quality,
     }
