@@ -13,6 +13,7 @@ from tidemark.llm.lines import OP1_SQL, op1_line_dedup
 from tidemark.llm.pieces import op2_sentencepiece
 from tidemark.llm.private import op9_private
 from tidemark.llm.quality import OP10_SQL, op10_quality
+from tidemark.llm.repeats import op7_repeats
 from tidemark.llm.simhash import op3_simhash
 from tidemark.llm.tokens import op5_token_ids
 
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontaminate": op4_decontaminate,
         "op5_token_ids": op5_token_ids,
         "op6_chat": op6_chat,
+        "op7_repeats": op7_repeats,
         "op8_language": op8_language,
         "op9_private": op9_private,
         "op10_quality": op10_quality,
