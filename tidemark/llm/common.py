@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import ensure_checkpoint_dir, ship
@@ -76,3 +76,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def _digest(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 30)))).first()
     return tuple(row)
+
+
+def row_id(columns: tuple[str, str] = ("doc_id", "text")) -> Column:
+    """What tells rows apart: the id and a hash of the text. Structs compare null ids as equal."""
+    return F.struct(F.col(columns[0]).cast("long").alias("doc_id"), F.xxhash64(columns[1]).alias("key"))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that are in kept(doc_id, key), with all their columns."""
+    wanted = kept.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "key").alias("__row")).distinct()
+    return docs.withColumn("__row", row_id()).join(wanted, "__row", "left_semi").drop("__row")
