@@ -132,7 +132,7 @@ c AS (SELECT x.source_key, x.window_idx, x.delay_ms, x.need, (SELECT count(*) FR
 core AS (SELECT source_key, window_idx, delay_ms FROM c WHERE near >= need),
 gaps AS (SELECT source_key, delay_ms, CASE WHEN delay_ms - lag(delay_ms) OVER w <= 20 THEN 0 ELSE 1 END AS g FROM (SELECT DISTINCT source_key, delay_ms FROM core) WINDOW w AS (PARTITION BY source_key ORDER BY delay_ms)),
 isl AS (SELECT source_key, delay_ms, sum(g) OVER (PARTITION BY source_key ORDER BY delay_ms) AS island FROM gaps),
-num AS (SELECT source_key, island, row_number() OVER (PARTITION BY source_key ORDER BY min(window_idx)) - 1 AS id FROM core JOIN isl USING (source_key, delay_ms) GROUP BY ALL),
+num AS (SELECT source_key, island, row_number() OVER (PARTITION BY source_key ORDER BY min(window_idx)) - 1 AS id FROM core JOIN isl USING (source_key, delay_ms) GROUP BY source_key, island),
 cl AS (SELECT source_key, window_idx, delay_ms, id FROM core JOIN isl USING (source_key, delay_ms) JOIN num USING (source_key, island)),
 lab AS (SELECT a.*, coalesce(cl.id, (SELECT min(b.id) FROM cl b WHERE b.source_key = a.source_key AND abs(b.delay_ms - a.delay_ms) <= 20), -1)::INT AS label
   FROM a LEFT JOIN cl ON a.source_key = cl.source_key AND a.window_idx = cl.window_idx),
@@ -204,11 +204,11 @@ def q_ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 _STABLE = """, s AS (SELECT {k}, count(*) AS n, max(raw_delay_ms) - min(raw_delay_ms) AS variance_ms, coalesce(stddev_samp(raw_delay_ms), 0) AS std_ms, avg(raw_delay_ms) AS mean_ms FROM {t} GROUP BY ALL),
 o AS (SELECT {k}, count(*) AS outliers, list_sort(list(window_idx))[1:10] AS fo FROM {t} JOIN s USING ({k}) WHERE abs(raw_delay_ms - mean_ms) > 1 GROUP BY ALL)
-SELECT {k}, n, round(variance_ms, 4) + 0.0 AS variance_ms, round(std_ms, 4) + 0.0 AS std_ms, round(mean_ms, 4) + 0.0 AS mean_ms, coalesce(outliers, 0) AS outliers, array_to_string(fo, ',') AS first_outliers FROM s LEFT JOIN o USING ({k})"""
+SELECT {k}, n, round(variance_ms, 8) + 0.0 AS variance_ms, round(std_ms, 8) + 0.0 AS std_ms, round(mean_ms, 8) + 0.0 AS mean_ms, coalesce(outliers, 0) AS outliers, array_to_string(fo, ',') AS first_outliers FROM s LEFT JOIN o USING ({k})"""
 
 
 def _written(found: DataFrame) -> DataFrame:
-    rounded = {c: F.round(c, 4) + F.lit(0.0) for c in ("variance_ms", "std_ms", "mean_ms")}
+    rounded = {c: F.round(c, 8) + F.lit(0.0) for c in ("variance_ms", "std_ms", "mean_ms")}
     return found.withColumns(rounded | {"first_outliers": F.array_join(F.col("first_outliers").cast("array<string>"), ",")})
 
 

@@ -158,7 +158,7 @@ seeds AS (SELECT DISTINCT source_key, delay_ms AS seed FROM base WHERE pos < ear
 clus AS (SELECT b.source_key, seed, sum((pos < early_count)::INT) / least(max(early_count), max(n)) * 100 AS presence, min(pos) AS first, avg(raw_delay_ms) AS raw_ms, count(*) AS n_used
   FROM base b JOIN seeds s ON b.source_key = s.source_key AND abs(delay_ms - seed) <= 1 GROUP BY ALL),
 early AS (SELECT source_key, seed, raw_ms, n_used FROM (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY first, seed) AS k FROM clus WHERE presence >= 10) WHERE k = 1),
-emode AS (SELECT source_key, delay_ms AS mode_ms FROM (SELECT source_key, delay_ms, row_number() OVER (PARTITION BY source_key ORDER BY count(*) DESC, min(window_idx), delay_ms) AS k FROM base WHERE pos < early_count GROUP BY ALL) WHERE k = 1),
+emode AS (SELECT source_key, delay_ms AS mode_ms FROM (SELECT source_key, delay_ms, row_number() OVER (PARTITION BY source_key ORDER BY count(*) DESC, min(window_idx), delay_ms) AS k FROM base WHERE pos < early_count GROUP BY source_key, delay_ms) WHERE k = 1),
 eshare AS (SELECT b.source_key, mode_ms, sum((abs(delay_ms - mode_ms) <= 1)::INT) / count(*) AS share FROM base b JOIN emode m ON b.source_key = m.source_key WHERE pos < early_count GROUP BY ALL),
 stable AS (SELECT b.source_key, mode_ms, share, avg(raw_delay_ms) AS raw_ms, count(*) AS n_used FROM base b JOIN eshare e ON b.source_key = e.source_key AND share >= 0.6 AND abs(delay_ms - mode_ms) <= 1 GROUP BY ALL)"""
 
@@ -198,9 +198,9 @@ def q_clustered(spark: SparkSession, sf: str) -> DataFrame:
     return mode_delay(with_evidence(windows(spark, sf)), 1).select("source_key", "mode_ms", "n_used", r6(F.col("raw_ms")).alias("raw_ms"))
 
 
-@query("delay_average", oracle("windows", body=_USABLE + " SELECT source_key, round(avg(raw_delay_ms), 6) + 0.0 AS raw_ms, round(avg(raw_delay_ms))::INT AS delay_ms FROM usable GROUP BY 1"))
+@query("delay_average", oracle("windows", body=_USABLE + " SELECT source_key, round(avg(raw_delay_ms), 9) + 0.0 AS raw_ms, round(avg(raw_delay_ms))::INT AS delay_ms FROM usable GROUP BY 1"))
 def q_average(spark: SparkSession, sf: str) -> DataFrame:
-    return average_delay(with_evidence(windows(spark, sf))).select("source_key", r6(F.col("raw_ms")).alias("raw_ms"), half_away(F.col("raw_ms")).alias("delay_ms"))
+    return average_delay(with_evidence(windows(spark, sf))).select("source_key", (F.round("raw_ms", 9) + F.lit(0.0)).alias("raw_ms"), half_away(F.col("raw_ms")).alias("delay_ms"))
 
 
 @query("delay_early_cluster", oracle("windows", body=_USABLE + _EARLY + " SELECT source_key, seed, round(raw_ms, 6) + 0.0 AS raw_ms, n_used FROM early"))
@@ -208,9 +208,9 @@ def q_early(spark: SparkSession, sf: str) -> DataFrame:
     return early_cluster_delay(with_evidence(windows(spark, sf)).drop("total", "n_accepted")).withColumn("raw_ms", r6(F.col("raw_ms")))
 
 
-@query("delay_first_stable", oracle("windows", body=_USABLE + _EARLY + " SELECT source_key, mode_ms, round(share, 6) + 0.0 AS share, round(raw_ms, 6) + 0.0 AS raw_ms, n_used FROM stable"))
+@query("delay_first_stable", oracle("windows", body=_USABLE + _EARLY.replace("share >= 0.6", "share >= 0.4") + " SELECT source_key, mode_ms, round(share, 6) + 0.0 AS share, round(raw_ms, 6) + 0.0 AS raw_ms, n_used FROM stable"))
 def q_stable(spark: SparkSession, sf: str) -> DataFrame:
-    found = first_stable_delay(with_evidence(windows(spark, sf)).drop("total", "n_accepted"))
+    found = first_stable_delay(with_evidence(windows(spark, sf)).drop("total", "n_accepted"), agreement=0.4)  # few of these sources agree more
     return found.withColumn("share", r6(F.col("share"))).withColumn("raw_ms", r6(F.col("raw_ms")))
 
 
@@ -221,10 +221,10 @@ m AS (SELECT source_key, 'mode' AS mode, avg(raw_delay_ms) AS raw_ms FROM usable
   UNION ALL SELECT source_key, 'clustered', raw_ms FROM clustered UNION ALL SELECT source_key, 'average', avg(raw_delay_ms) FROM usable GROUP BY 1
   UNION ALL SELECT c.source_key, 'early', coalesce(e.raw_ms, c.raw_ms) FROM clustered c LEFT JOIN early e USING (source_key)
   UNION ALL SELECT c.source_key, 'stable', coalesce(e.raw_ms, c.raw_ms) FROM clustered c LEFT JOIN stable e USING (source_key))
-SELECT source_key, mode, round(raw_ms, 6) + 0.0 AS raw_ms, round(raw_ms)::INT AS delay_ms FROM m"""),
+SELECT source_key, mode, round(raw_ms, 9) + 0.0 AS raw_ms, round(raw_ms)::INT AS delay_ms FROM m"""),
 )
 def q_selection(spark: SparkSession, sf: str) -> DataFrame:
-    return select_delay(windows(spark, sf)).withColumn("raw_ms", r6(F.col("raw_ms")))
+    return select_delay(windows(spark, sf)).withColumn("raw_ms", F.round("raw_ms", 9) + F.lit(0.0))
 
 
 def source_delays(spark: SparkSession, sf: str) -> DataFrame:

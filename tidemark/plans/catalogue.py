@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import clusters, delays  # noqa: F401  they register their queries
+from tidemark.operators import chapters, clusters, delays, events, frames, signals, timeline  # noqa: F401  they register their queries
 from tidemark.plans.registry import REGISTRY
 
 

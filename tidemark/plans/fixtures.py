@@ -77,7 +77,7 @@ def pcm(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     order = Window.partitionBy("event_type").orderBy("ts", "event_id")
     top = e.agg(F.max("value").alias("top"))
-    return e.crossJoin(F.broadcast(top)).select(F.col("event_type").alias("signal"), (F.row_number().over(order) - 1).alias("sample_idx"), (F.col("value") / F.col("top")).alias("value"))
+    return e.crossJoin(F.broadcast(top)).select(F.col("event_type").alias("signal"), (F.row_number().over(order) - 1).cast("long").alias("sample_idx"), (F.col("value") / F.col("top")).alias("value"))
 
 
 def jobs(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,7 +112,7 @@ CTES = {
          list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN (CASE WHEN i = 1 THEN -9223372036854775808::HUGEINT ELSE 1::HUGEINT << (64 - i)::HUGEINT END) ELSE 0::HUGEINT END))::BIGINT AS hash64
   FROM embeddings)""",
     "pcm": """pcm AS (
-  SELECT event_type AS signal, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1)::INT AS sample_idx,
+  SELECT event_type AS signal, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1)::BIGINT AS sample_idx,
          value / (SELECT max(value) FROM events) AS value FROM events)""",
     "jobs": """jobs AS (
   SELECT o_orderkey AS job_id, o_custkey AS owner,
