@@ -76,8 +76,8 @@ class TextModel:
             own = trigram_counts(text)
             counts[language] = counts.get(language, 0.0) + own
         languages = tuple(sorted(counts))
-        table = np.array([counts[x] for x in languages]).reshape(len(languages), BUCKETS) + 0.5
-        return cls(languages, np.log(table / table.sum(axis=1, keepdims=True)))
+        found = np.array([counts[x] for x in languages]).reshape(len(languages), BUCKETS) + 0.5
+        return cls(languages, np.log(found / found.sum(axis=1, keepdims=True)))
 
     def score(self, text: str) -> np.ndarray:
         """Log-likelihood of a text in each language, above that of the best."""
@@ -86,9 +86,12 @@ class TextModel:
 
 
 def fit_text_model(docs: DataFrame, rows: int = MODEL_ROWS) -> TextModel:
-    """The text model from at most rows labelled rows (doc_id, text, lang), those with the least hash of their id."""
-    labelled = docs.where("lang is not null and text is not null").select("lang", "text").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(rows)
-    return TextModel.fit((r.lang, r.text) for r in labelled.toLocalIterator())
+    """The text model from the rows labelled rows (doc_id, text, lang) with the least hash of their id; of rows that share the last of them, twice as many in all at most."""
+    labelled = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").alias("place"))
+    last = labelled.select("place").orderBy("place").limit(rows).agg(F.max("place")).first()[0]  # so that only hashes are sorted, not texts
+    if last is None:
+        return TextModel.fit(iter(()))
+    return TextModel.fit((r.lang, r.text) for r in labelled.where(F.col("place") <= last).limit(2 * rows).toLocalIterator())
 
 
 def host_of(url: Column) -> Column:

@@ -38,11 +38,11 @@ COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtyp
 BITS = np.array([60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.int64)
 BLOCK = 4096
 #: Blocks that are coded or decoded at once.
-STRIDE = 64
+STRIDE = 192
 TRAILER = struct.Struct("<8sQQQQQ")
 MAGIC = b"TIDES8B1"
 #: Distinct chunks whose ids a task keeps, in each of two generations.
-MEMO = 200_000
+MEMO = 350_000
 END_ID = 2
 
 _loaded: dict = {}
@@ -75,8 +75,8 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
         widest[:, : block + reach - n + 1] = np.maximum(widest[:, : block + reach - n + 1], widths[:, n - 1 :])
         if n in by_count:
             fits = widest[:, :block] <= BITS[by_count[n]]
-            if n > 8 and not fits.any():
-                break
+            if n > 8 and not fits[:, : block - n].any():
+                break  # longer runs don't fit either, but where a block ends
             choice[fits] = by_count[n]
     left = np.full(n_blocks, block, dtype=np.int64)
     if n_blocks:
@@ -84,7 +84,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
     at = np.zeros(n_blocks, dtype=np.int64)
     rows, starts, selectors = [], [], []
     live = np.arange(n_blocks)
-    while len(live):
+    while len(live):  # a word of every block at a time
         chosen = choice[live, at[live]]
         rows.append(live)
         starts.append(at[live])
@@ -93,9 +93,12 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
         live = live[at[live] < left[live]]
     if not rows:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    row, start, selector = (np.concatenate(x) for x in (rows, starts, selectors))
-    order = np.lexsort((start, row))
-    row, start, selector = row[order], start[order], selector[order]
+    step = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    row = np.concatenate(rows)
+    per_block = np.bincount(row, minlength=n_blocks)
+    order = np.empty(len(row), dtype=np.int64)
+    order[(np.cumsum(per_block) - per_block)[row] + step] = np.arange(len(row))
+    row, start, selector = row[order], np.concatenate(starts)[order], np.concatenate(selectors)[order]
     words = selector.astype(np.uint64)
     exceptions = np.zeros(0, np.uint64)
     for s in range(16):
@@ -107,7 +110,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
             exceptions, values = values[:, 0], np.arange(len(own), dtype=np.uint64)[:, None]
         shifts = (4 + np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
         words[own] |= np.bitwise_or.reduce(values << shifts, axis=1)
-    return words, np.bincount(row, minlength=n_blocks), exceptions
+    return words, per_block, exceptions
 
 
 def decode_blocks(words: np.ndarray, per_block: np.ndarray, n_ids: int, exceptions: np.ndarray, block: int = BLOCK) -> np.ndarray:
@@ -232,32 +235,57 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
-        if not text:
-            return []
+        """The chunks of a text that isn't empty; all but the first without their leading space."""
         odd = "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or self._rare.search(text)
-        words = self._cut.split(text) if odd else text.split(" ")
-        return [words[0], *[" " + w for w in words[1:]]]
+        return self._cut.split(text) if odd else text.split(" ")
+
+    def ids_of(self, strings: list[str]) -> list[bytes]:
+        """Ids of each string. Those that no blank begins (but for one space) or ends and that have no line end are encoded as the lines of one text, in which an end of line is a token of its own."""
+
+        def alone(s: str) -> bool:
+            body = s[1:] if s[:1] == " " else s
+            return "\n" not in s and body[:1].strip() != "" and not body[-1].isspace()
+
+        fits = [alone(s) for s in strings]
+        lines = [i for i, fit in enumerate(fits) if fit]
+        out: list[bytes] = [b""] * len(strings)
+        if lines:
+            ids = np.array(self._batch(["\n".join([strings[i] for i in lines])])[0], dtype="<u4")
+            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids)).tolist()
+            data, at = ids.tobytes(), 0
+            for i, end in zip(lines, ends, strict=True):
+                out[i] = data[4 * at : 4 * end]
+                at = end + 1
+        rest = [i for i, fit in enumerate(fits) if not fit]
+        for i, ids in zip(rest, self._batch([strings[i] for i in rest])):
+            out[i] = array("I", ids).tobytes()  # little-endian, as on any machine that Spark runs on
+        return out
+
+    def _batch(self, strings: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
     def learn(self, chunks: set[str]) -> None:
-        """Make every chunk known in the young generation."""
-        fresh, young = [], self.young
+        """Make every chunk known, with its leading space, in the young generation."""
+        fresh, young, old = [], self.young, self.old
         for chunk in [c for c in chunks if c not in young]:
-            ids = self.old.get(chunk)
+            ids = old.get(chunk)
             if ids is None:
                 fresh.append(chunk)
             else:
                 young[chunk] = ids
-        for chunk, encoded in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            young[chunk] = array("I", encoded.ids).tobytes()  # little-endian, as on any machine that Spark runs on
+        young.update(zip(fresh, self.ids_of([" " + c for c in fresh])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.chunks(t) for t in texts]
-        self.learn({c for chunks in split for c in chunks})
-        out = [b"".join([self.young[c] for c in chunks]) for chunks in split]
+        split = [self.chunks(t) if t else [] for t in texts]
+        heads = self.ids_of([c[0] for c in split if c])[::-1]
+        self.learn(set().union(*[c[1:] for c in split]))
+        ids = self.young.__getitem__
+        out = [heads.pop() + b"".join(map(ids, c[1:])) if c else b"" for c in split]
         if len(self.young) > MEMO:
             self.old, self.young = self.young, {}
         return out
