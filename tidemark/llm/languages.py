@@ -41,14 +41,15 @@ def visible_text(markup: str) -> str:
     low, out, at = markup.lower(), [], 0
     while match := _HIDDEN.search(low, at):
         out.append(markup[at : match.start()])
-        end = "-->" if match.group(1) is None else f"</{match.group(1)}"
-        at = low.find(end, match.end())
+        comment = match.group(1) is None
+        at = low.find("-->" if comment else f"</{match.group(1)}", match.end())
+        at = at if comment or at < 0 else low.find(">", at)
         if at < 0:
             at = len(low)
             break
-        at += len(end)
+        at += 3 if comment else 1
     out.append(markup[at:])
-    return html.unescape(_TAG.sub(" ", "".join(out)))
+    return html.unescape(_TAG.sub(" ", " ".join(out)))
 
 
 def trigram_counts(text: str) -> np.ndarray:
