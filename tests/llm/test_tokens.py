@@ -67,8 +67,8 @@ def test_odd_texts(spark):
     assert through_files(spark, spark.createDataFrame(rows, "doc_id long, text string")) == expected(rows)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab1 .'\n\té日 st\r\x1f"), min_size=1, max_size=40))
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab1 .,'\n\té日 st\r\x1f"), min_size=1, max_size=40))
 def test_chunks_encode_as_the_whole_text(text):
     if not _held:
         library = Tokenizer.from_file(TOKENIZER)

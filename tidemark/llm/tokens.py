@@ -115,29 +115,24 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
 
 def decode_blocks(words: np.ndarray, per_block: np.ndarray, n_ids: int, exceptions: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """The ids (uint64) of whole blocks; exceptions is the file's table."""
-    out = np.zeros(n_ids, dtype=np.uint64)
     if not n_ids:
-        return out
+        return np.zeros(0, dtype=np.uint64)
     selector = (words & np.uint64(15)).astype(np.int64)
     counts = COUNTS[selector]
     ends = np.cumsum(counts)
+    row = block + int(COUNTS.max())  # a block's last word may hold more values than are left
+    out = np.zeros(len(per_block) * row, dtype=np.uint64)
     of = np.repeat(np.arange(len(per_block)), per_block)
     first = np.concatenate([[0], np.cumsum(per_block)[:-1]])
-    base = (ends - counts)[first]
-    start = ends - counts - base[of] + of * block
-    limit = np.minimum((of + 1) * block, n_ids)
+    start = ends - counts - (ends - counts)[first][of] + of * row
     for s in range(16):
         own = np.flatnonzero(selector == s)
         if not len(own) or s == 1:
             continue
         shifts = (4 + np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
         values = (words[own, None] >> shifts) & np.uint64((1 << int(BITS[s])) - 1)
-        if s == 0:
-            values = exceptions[values.astype(np.int64)]
-        place = start[own, None] + np.arange(COUNTS[s])
-        inside = place < limit[own, None]
-        out[place[inside]] = values[inside]
-    return out
+        out[start[own, None] + np.arange(COUNTS[s])] = exceptions[values.astype(np.int64)] if s == 0 else values
+    return out.reshape(-1, row)[:, :block].ravel()[:n_ids]
 
 
 class FileWriter:
@@ -223,10 +218,14 @@ class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, each distinct chunk encoded once while it is remembered.
 
     A chunk runs up to a single space between two characters that aren't white
-    space. The vocabulary's splitting pattern never carries a match over such a
-    place, so chunks encode to the same ids as the whole text.
+    space, or up to one or two line ends between such. The vocabulary's splitting
+    pattern never carries a match over such a place, so chunks encode to the same
+    ids as the whole text. Nor does it join a letter to a full stop or comma, so a
+    word with one shares its ids with the word alone.
     """
 
+    _marks = ".,"
+
     _rare = re.compile(r"[^\S \n]")
     _cut = re.compile(r"(?<=\S) (?=\S)")
 
@@ -236,13 +235,15 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end_ids, *mark_ids = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(["\n", *self._marks], add_special_tokens=False)]
+        self.mark_ids = dict(zip(self._marks, mark_ids))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
-        """The chunks of a text that isn't empty; all but the first without their leading space."""
-        odd = "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or self._rare.search(text)
-        return self._cut.split(text) if odd else text.split(" ")
+        """The chunks of a text that isn't empty; all but the first without their leading space, or with a line end instead."""
+        odd = "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text[0] == " " or text[-1] in " \n" or self._rare.search(text)
+        return self._cut.split(text) if odd else text.replace("\n", " \n").split(" ")
 
     def ids_of(self, strings: list[str]) -> list[bytes]:
         """Ids of each string. Those that no blank begins (but for one space) or ends and that have no line end are encoded as the lines of one text, in which an end of line is a token of its own."""
@@ -251,7 +252,7 @@ class ChunkEncoder:
             body = s[1:] if s[:1] == " " else s
             return "\n" not in s and body[:1].strip() != "" and not body[-1].isspace()
 
-        fits = [alone(s) for s in strings]
+        fits = [s.isprintable() and s > " " and " " not in s[1:] or alone(s) for s in strings]  # the first part is the common case
         lines = [i for i, fit in enumerate(fits) if fit]
         out: list[bytes] = [b""] * len(strings)
         if lines:
@@ -271,21 +272,35 @@ class ChunkEncoder:
 
     def learn(self, chunks: set[str]) -> None:
         """Make every chunk known, with its leading space, in the young generation."""
-        fresh, young, old = [], self.young, self.old
+        young, old, marks = self.young, self.old, self.mark_ids
+        fresh, marked = set(), []
         for chunk in [c for c in chunks if c not in young]:
             ids = old.get(chunk)
-            if ids is None:
-                fresh.append(chunk)
-            else:
+            if ids is not None:
                 young[chunk] = ids
-        young.update(zip(fresh, self.ids_of([" " + c for c in fresh])))
+            elif chunk[-1] in marks and "A" <= chunk[-2:-1] < "\u0250" and chunk[-2].isalpha():
+                marked.append(chunk)
+            else:
+                fresh.add(chunk)
+        for word in [c[:-1] for c in marked]:
+            if word not in young and word not in fresh:
+                ids = old.get(word)
+                if ids is None:
+                    fresh.add(word)
+                else:
+                    young[word] = ids
+        new = list(fresh)
+        for chunk, ids in zip(new, self.ids_of([c[1:] if c[0] == "\n" else " " + c for c in new])):
+            young[chunk] = self.line_end_ids + ids if chunk[0] == "\n" else ids
+        for chunk in marked:
+            young[chunk] = young[chunk[:-1]] + marks[chunk[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.chunks(t) if t else [] for t in texts]
-        heads = self.ids_of([c[0] for c in split if c])[::-1]
-        self.learn(set().union(*[c[1:] for c in split]))
+        heads = self.ids_of([c.pop(0) if c else "" for c in split])
+        self.learn(set().union(*split))
         ids = self.young.__getitem__
-        out = [heads.pop() + b"".join(map(ids, c[1:])) if c else b"" for c in split]
+        out = [head + b"".join(map(ids, c)) for head, c in zip(heads, split)]
         if len(self.young) > MEMO:
             self.old, self.young = self.young, {}
         return out
