@@ -25,6 +25,8 @@ DEPTH = LEAST + RUNS + 1
 #: Stands for a null doc_id: all such rows are one document.
 NO_ID = -(1 << 63)
 RIGHT, LEFT = 0, 1
+#: A run that is one in so many of the repeated ones, or commoner, is dealt to SALTS tasks; so there are at most HOT_SHARE of them.
+HOT_SHARE, SALTS = 1000, 64
 
 
 def minimisers(codes: np.ndarray) -> np.ndarray:
@@ -78,8 +80,12 @@ def anchors(rows: DataFrame) -> DataFrame:
 def repeated_suffixes(rows: DataFrame) -> DataFrame:
     """(side, suffix, doc, key, place, room) of the minimisers whose run is found in two documents at least; room is the words of the text on that side."""
     found = anchors(rows)
-    shared = found.groupBy("code").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("code")
-    places = found.join(shared, "code", "left_semi").groupBy("doc", "key").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    shared = checkpointed(found.groupBy("code").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("code", "n"))
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("code").isin([r.code for r in shared.where(F.col("n") * HOT_SHARE >= total).select("code").collect()])
+    salted = found.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("doc", "place"), F.lit(SALTS)).cast("int")).otherwise(0))
+    shared = shared.select("code", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    places = salted.join(shared, ["code", "salt"], "left_semi").groupBy("doc", "key").agg(F.sort_array(F.collect_set("place")).alias("places"))
     schema = "side byte, suffix binary, doc long, key long, place int, room int"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
