@@ -52,11 +52,14 @@ def fingerprint(hashes: np.ndarray, bits: int = 64) -> bytes:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64, sized: bool = False) -> DataFrame:
-    """(doc_id, key, fingerprint) of each row; key is a hash of the text, for telling rows that share an id apart. sized: four bytes with the number of shingles follow the bits."""
+    """(doc_id, key, fingerprint) of each row; key is a hash of the text, for telling rows that share an id apart. sized: the bits are of the distinct shingles, and four bytes with their number and eight with a hash of their set follow, so that texts share a fingerprint only if they share all shingles."""
 
     def one(text: str) -> bytes:
         hashes = shingle_hashes(text, shingle)
-        return fingerprint(hashes, bits) + (len(hashes).to_bytes(4, "big") if sized else b"")
+        if not sized:
+            return fingerprint(hashes, bits)
+        hashes = np.unique(hashes)
+        return fingerprint(hashes, bits) + len(hashes).to_bytes(4, "big") + xxhash.xxh64_digest(hashes.tobytes(), SEED)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,15 +79,15 @@ class Ring:
     found if the budgets are 0 and 1 there; with wider budgets links are found by
     the segments that agree, and how many is a matter of measurement.
 
-    With ratio, fingerprints also end in their texts' sizes, and link only if the
-    smaller size is at least ratio times the larger. Keys then name a size class, in
+    With ratio, fingerprints also end in their texts' sizes and shingle sets' hashes, and
+    link only if the smaller size is at least ratio times the larger. Keys then name a size class, in
     which sizes differ by that ratio at most; each entry is in its own class and, as
     one that isn't compared with its like, in the next.
     """
 
     def __init__(self, bits: int, threshold: int, width: int, flips: bool, ratio: float | None = None):
         self.bits, self.threshold, self.width, self.flips, self.ratio = bits, threshold, width, flips, ratio
-        self.bytes = bits // 8 + (4 if ratio else 0)
+        self.bytes = bits // 8 + (12 if ratio else 0)
         self.segments = bits // width
         self.budgets = [n * threshold // self.segments for n in range(1, self.segments + 1)]
         self.complete = self.budgets[0] == 0 and (not flips or self.budgets[1] <= 1)
@@ -117,19 +120,19 @@ class Ring:
         return key, role, row
 
     def sizes(self, prints: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(prints[:, self.bits // 8 :]).view(">u4").ravel().astype(np.int64)
+        return np.ascontiguousarray(prints[:, self.bits // 8 : self.bits // 8 + 4]).view(">u4").ravel().astype(np.int64)
 
     def first(self, keys: np.ndarray) -> np.ndarray:
         """The segment that a key's chain starts at."""
         return (keys & (1 << 40) - 1) >> (2 * self.width if self.flips else self.width)
 
     def linked(self, cut: np.ndarray, prints: np.ndarray, sizes: np.ndarray | None, start: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which pairs of rows keep within the budgets of their chain and then within the threshold."""
+        """Which pairs of rows keep within the budgets of their chain, if those lose no link, and then within the threshold."""
         alive = np.arange(len(a))
         if sizes is not None:
             alive = alive[np.minimum(sizes[a], sizes[b]) >= self.ratio * np.maximum(sizes[a], sizes[b])]
         total = np.zeros(len(a), dtype=np.int64)
-        for n, budget in enumerate(self.budgets[:3]):
+        for n, budget in enumerate(self.budgets[:3] if self.complete else []):
             at = (start[alive] + n) % self.segments
             total[alive] += np.bitwise_count(cut[a[alive], at] ^ cut[b[alive], at])
             alive = alive[total[alive] <= budget]
@@ -160,8 +163,8 @@ class _Forest:
             np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
 
 
-def links(prints: DataFrame, ring: Ring) -> DataFrame:
-    """(a, b): links that join the same fingerprints as all links would, at most one for each fingerprint and run of buckets.
+def links(prints: DataFrame, ring: Ring, parts: bool = False) -> DataFrame:
+    """(a, b): links that join the same fingerprints as all links would, at most one for each fingerprint and run of buckets. parts: every link, once, between fingerprints of prints(fingerprint, part) whose part differs.
 
     prints(fingerprint) are distinct. Each goes into the index under its keys; rows
     of a key meet in one task, sorted, where only distinct fingerprints that agree
@@ -175,26 +178,31 @@ def links(prints: DataFrame, ring: Ring) -> DataFrame:
             for at in range(0, batch.num_rows, 2000):
                 column = batch.column("fingerprint").slice(at, 2000)
                 keys, roles, rows = ring.keys(_matrix(column, width))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(roles, pa.int8()), column.take(pa.array(rows))], names=["key", "role", "fingerprint"])
+                part = batch.column("part").slice(at, 2000)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(roles, pa.int8()), column.take(pa.array(rows)), part.take(pa.array(rows))], names=["key", "role", "fingerprint", "part"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, roles, data = np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros((0, width), np.uint8)
+        keys, roles, data, own = np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros((0, width), np.uint8), np.zeros(0, np.int64)
         for batch in batches:
             keys = np.concatenate([keys, batch.column("key").to_numpy()])
             roles = np.concatenate([roles, batch.column("role").to_numpy()])
             data = np.concatenate([data, _matrix(batch.column("fingerprint"), width)])
+            own = np.concatenate([own, batch.column("part").to_numpy()])
             if len(keys) < 50_000 or keys[0] == keys[-1]:
                 continue
             whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-            yield found(keys[:whole], roles[:whole], data[:whole])
-            keys, roles, data = keys[whole:], roles[whole:], data[whole:]
-        yield found(keys, roles, data)
+            yield from found(keys[:whole], roles[:whole], data[:whole], own[:whole])
+            keys, roles, data, own = keys[whole:], roles[whole:], data[whole:], own[whole:]
+        yield from found(keys, roles, data, own)
 
-    def found(keys: np.ndarray, roles: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([bytes(x) for x in ends], pa.binary()) for ends in (a, b)], names=["a", "b"])
+
+    def found(keys: np.ndarray, roles: np.ndarray, data: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
         again = np.zeros(len(keys), dtype=bool)
         again[1:] = keys[1:] == keys[:-1]
         again[:-1] |= again[1:]
-        keys, roles, data = keys[again], roles[again], data[again]
+        keys, roles, data, own = keys[again], roles[again], data[again], own[again]
         distinct, local = np.unique(data.view(f"V{width}").ravel(), return_inverse=True) if len(data) else (data, np.zeros(0, np.int64))
         forest, cut, words = _Forest(len(distinct)), ring.cut(data), np.ascontiguousarray(data[:, : ring.bits // 8]).view(np.uint64)
         sizes = ring.sizes(data) if ring.ratio else None
@@ -205,7 +213,14 @@ def links(prints: DataFrame, ring: Ring) -> DataFrame:
             left = left[keys[left] == keys[left + step]]
             for at in range(0, len(left), FOLD):
                 a = left[at : at + FOLD]
+                if parts:
+                    a = a[own[a] != own[a + step]]
                 hit = ring.linked(cut, words, sizes, start[a], a, a + step)
+                if parts:  # a link is met under each segment that agrees, and written under the first
+                    a = a[hit]
+                    a = a[(cut[a] == cut[a + step]).argmax(axis=1) == start[a]]
+                    yield pairs(*(distinct[local[x]] for x in (a, a + step)))
+                    continue
                 held.append((local[a[hit]], local[a[hit] + step]))
                 size += len(hit)
             if size >= FOLD or not len(left):
@@ -216,32 +231,75 @@ def links(prints: DataFrame, ring: Ring) -> DataFrame:
         while (forest.root[forest.root] != forest.root).any():
             forest.root = forest.root[forest.root]
         child = np.flatnonzero(forest.root != np.arange(len(distinct)))
-        ends = [pa.array([bytes(x) for x in distinct[i]], pa.binary()) for i in (child, forest.root[child])]
-        return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+        yield pairs(distinct[child], distinct[forest.root[child]])
 
-    entries = arrow_map(prints.select("fingerprint"), index, "key long, role byte, fingerprint binary")
+    own = F.col("part") if parts else F.lit(0)
+    entries = arrow_map(prints.select("fingerprint", own.cast("long").alias("part")), index, "key long, role byte, fingerprint binary, part long")
     return arrow_map(entries.repartition("key").sortWithinPartitions("key", "role"), compare, "a binary, b binary")
 
 
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(fingerprint, codes): the distinct shingles of each row of texts(fingerprint, text)."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, own in text_slices(batch):
+                codes = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in own]
+                yield pa.RecordBatch.from_arrays([part.column("fingerprint"), pa.array(codes, pa.list_(pa.int64()))], names=["fingerprint", "codes"])
+
+    return arrow_map(texts.select("fingerprint", "text"), compute, "fingerprint binary, codes array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, ratio: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least ratio."""
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("fingerprint").alias(end), F.col("codes").alias(f"codes_{end}")), end)
+    both = F.size(F.array_intersect("codes_a", "codes_b"))
+    return pairs.where(both >= F.lit(ratio) * (F.size("codes_a") + F.size("codes_b") - both)).select("a", "b")
+
+
+def verified_links(docs: DataFrame, prints: DataFrame, ring: Ring, shingle: int) -> DataFrame:
+    """(a, b): links between distinct shingle sets whose Jaccard similarity is at least the ring's ratio, which join all that the ring's links of that similarity join.
+
+    First one link of each fingerprint is held against the shingles. That settles
+    the groups that those join whole, such as many copies of one text. In groups
+    that fall apart, every link of the ring between two parts is held against them.
+    """
+    nodes = prints.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "key")).alias("__row"))
+    forest = checkpointed(links(nodes, ring))
+    groups = checkpointed(connected_components(forest).select(F.col("node").alias("fingerprint"), F.col("component").alias("group")))
+    rows = checkpointed(nodes.join(groups.select("fingerprint"), "fingerprint"))
+    texts = docs.select(row_id().alias("__row"), F.col("text").cast("string").alias("text")).join(rows, "__row").dropDuplicates(["fingerprint"])
+    sets = checkpointed(shingle_sets(texts, shingle))
+    one = forest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).groupBy("a").agg(F.min("b").alias("b"))
+    first = checkpointed(_alike(one, sets, ring.ratio))
+    parts = connected_components(first).select(F.col("node").alias("fingerprint"), F.col("component").alias("part"))
+    placed = checkpointed(groups.join(parts, "fingerprint", "left").select("fingerprint", "group", F.xxhash64(F.coalesce("part", "fingerprint")).alias("part")))
+    apart = placed.groupBy("group").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("group")
+    more = checkpointed(links(placed.join(apart, "group", "left_semi"), ring, True))
+    return first.unionByName(_alike(more, sets, ring.ratio))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, ring: Ring | None = None) -> DataFrame:
     """(doc_id, key, fingerprint, root, component_id) of each row of docs(doc_id, text); component_id is the smallest doc_id of its component, root one of the component's fingerprints.
 
     Null or empty text: fingerprint zero, linked like any other. Null doc_ids take
     part but never name a component unless all of it is null. Repeated rows are in
-    one component. An empty table gives an empty table. Other columns are ignored.
+    one component. With a ring that has a ratio, a link also needs that Jaccard
+    similarity of the distinct shingles. An empty table gives an empty table. Other columns are ignored.
     """
     ring = ring or Ring(64, 3, 16, True)
     prints = checkpointed(fingerprints(docs, shingle, ring.bits, bool(ring.ratio)))
     least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(least, ring))
+    roots = connected_components(verified_links(docs, prints, ring, shingle) if ring.ratio else links(least, ring))
     rooted = checkpointed(least.join(roots, least["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("root")))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(named, "root").select("fingerprint", "root", "component_id")
     return prints.join(classes, "fingerprint").select("doc_id", "key", "fingerprint", "root", "component_id")
 
 
-#: Near duplicates on five-word shingles: 256 bits of which at most 51 differ, so that at least 0.8 agree, and numbers of shingles of a ratio of at least 0.8, as a Jaccard similarity of 0.8 needs. At that similarity 39 bits differ on average. The 25 segments of 10 bits find nearly all such links, as the tests measure, not provably all.
-WIDE = Ring(256, 51, 10, False, 0.8)
+#: Candidates on five-word shingles: 256 bits of which at most 64 differ, and numbers of distinct shingles of a ratio of at least 0.8, as the Jaccard similarity of 0.8 needs that links are then held against. At that similarity 39 bits differ on average with a deviation of 6, so about one link in 100,000 has more than 64. The 25 segments of 10 bits find nearly all, as the tests measure, not provably all.
+WIDE = Ring(256, 64, 10, False, 0.8)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, ring: Ring = WIDE) -> DataFrame:
