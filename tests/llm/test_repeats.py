@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
-from tidemark.llm.repeats import LEAST, MIN_WORDS, repeated_regions
+import numpy as np
+import pytest
+
+from tidemark.llm.repeats import DEPTH, LEAST, MIN_WORDS, all_pieces, repeated_regions
 
 
 def regions(spark, rows):
@@ -80,3 +83,11 @@ def test_nulls_repeated_rows_empty_table_and_clashing_columns(spark):
     more = docs.unionByName(spark.createDataFrame([(3, text, 5), (3, text, 5)], docs.schema))
     assert sorted(map(repr, map(tuple, repeated_regions(more).collect()))) == sorted(map(repr, [(None, 0, 60), (3, 0, 60)]))
     assert repeated_regions(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("docs, tasks", [((1, 1, 1, 2), 2), ((2, 1, 1, 1), 2), ((1, 1, 1, 1, 1, 2), 3), ((1, 1, 2, 2), 2), ((2, 1, 1, 1, 1, 3), 6)])
+def test_every_row_of_a_run_meets_the_other_document_beyond_a_task(spark, docs, tasks):
+    suffix = bytearray(np.arange(1, DEPTH + 1).astype(">u4").tobytes())
+    rows = [(0, suffix, d, d, 100 * i, 40) for i, d in enumerate(docs)]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, tasks), "side byte, suffix binary, doc long, key long, place int, room int")
+    assert {tuple(r) for r in all_pieces(frame).collect()} == {(d, d, 100 * i, 100 * i + 40) for i, d in enumerate(docs)}

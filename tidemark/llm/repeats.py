@@ -117,29 +117,43 @@ def _piece(side: np.ndarray, place: np.ndarray, length: np.ndarray) -> tuple[np.
 _COLUMNS = ("side", "doc", "key", "place", "room")
 
 
+FIRST, LAST, IN_FIRST, IN_LAST, AFTER_FIRST, BEFORE_LAST = range(6)
+
+
 def matched_pieces(sorted_rows: DataFrame) -> DataFrame:
-    """Pieces (doc, key, start, end) of texts that a neighbour in suffix order from another document shares, and each task's first and last row (suffix not null)."""
+    """Pieces (doc, key, start, end) of texts that a neighbour in suffix order from another document shares, and what may have one in another task (suffix not null, start says which): a task's first and last row, the rows of its first and of its last run of a document, and the rows beyond those runs."""
     schema = "part int, side byte, suffix binary, doc long, key long, place int, room int, start int, end int"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, codes, done, edge = TaskContext.get().partitionId(), None, None, 0, None
+        part, held, codes, done, begun = TaskContext.get().partitionId(), None, None, 0, False
         for batch in batches:
             fresh = {c: batch.column(c).to_numpy() for c in _COLUMNS}
             data = np.frombuffer(b"".join(batch.column("suffix").to_pylist()), dtype=">u4").reshape(-1, DEPTH)
             held = fresh if held is None else {c: np.concatenate([held[c], fresh[c]]) for c in _COLUMNS}
             codes = data if codes is None else np.concatenate([codes, data])
-            if edge is None and len(codes):
-                yield row(part, held, codes, 0, 0)
-                edge = True
             last = run_starts(held)[-1] if len(codes) else 0
             if len(codes) < 20_000 or last <= done:
                 continue
+            if not begun:
+                yield from first_run(part, held, codes)
+                begun = True
             yield matches(part, held, codes, done, last)
             keep = max(0, last - 1)  # the row before the last run, for comparing with it
             held, codes, done = {c: v[keep:] for c, v in held.items()}, codes[keep:], last - keep
         if codes is not None and len(codes):
+            if not begun:
+                yield from first_run(part, held, codes)
             yield matches(part, held, codes, done, len(codes))
-            yield row(part, held, codes, len(codes) - 1, 1)
+            last = int(run_starts(held)[-1])
+            yield rows(part, held, codes, range(len(codes) - 1, len(codes)), LAST)
+            yield rows(part, held, codes, range(last, len(codes)), IN_LAST)
+            yield rows(part, held, codes, range(max(0, last - 1), last), BEFORE_LAST)
+
+    def first_run(part: int, held: dict, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        end = int(np.append(run_starts(held), len(codes))[1])
+        yield rows(part, held, codes, range(1), FIRST)
+        yield rows(part, held, codes, range(end), IN_FIRST)
+        yield rows(part, held, codes, range(end, min(end + 1, len(codes))), AFTER_FIRST)
 
     def run_starts(held: dict) -> np.ndarray:
         """Where the document or side changes."""
@@ -163,28 +177,59 @@ def matched_pieces(sorted_rows: DataFrame) -> DataFrame:
         n, none = len(hit), [None] * len(hit)
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, part), pa.int32()), pa.array(held["side"][own[hit]], pa.int8()), pa.array(none, pa.binary()), pa.array(held["doc"][own[hit]], pa.int64()), pa.array(held["key"][own[hit]], pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=names)
 
-    def row(part: int, held: dict, codes: np.ndarray, i: int, order: int) -> pa.RecordBatch:
-        values = [part, int(held["side"][i]), codes[i].tobytes(), *[int(held[c][i]) for c in _COLUMNS[1:]], order, None]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=names)
+    def rows(part: int, held: dict, codes: np.ndarray, own: range, which: int) -> pa.RecordBatch:
+        n, i = len(own), slice(own.start, own.stop)
+        values = [np.full(n, part), held["side"][i], [x.tobytes() for x in codes[i]], *[held[c][i] for c in _COLUMNS[1:]], np.full(n, which), [None] * n]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], names=names)
 
     names = ["part", "side", "suffix", "doc", "key", "place", "room", "start", "end"]
     kinds = [pa.int32(), pa.int8(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
     return arrow_map(sorted_rows, compare, schema)
 
 
-def _across_tasks(edges: list) -> list[tuple]:
-    """Pieces of the rows on either side of each place where sorted order passes from one task to the next."""
-    pieces = []
-    ordered = sorted(edges, key=lambda e: (e.part, e.start))  # start is 0 for a task's first row and 1 for its last
-    for a, b in zip(ordered, ordered[1:]):
-        if a.part != b.part and a.side == b.side and a.doc != b.doc:
-            length = int(common_words(*[np.frombuffer(bytes(x.suffix), dtype=">u4")[None] for x in (a, b)])[0])
-            for x in (a, b):
-                own = min(length, x.room)
-                if own >= LEAST:
-                    start = x.place if x.side == RIGHT else x.place + RUN - own
-                    pieces.append((x.doc, x.key, start, start + own))
-    return pieces
+def _neighbours(edges: list) -> dict[tuple[int, int], bytes]:
+    """The suffix of the nearest row of another document in another task, by part and run (IN_FIRST or IN_LAST), where there is one on the same side."""
+    ends = {(e.part, e.start): e for e in edges}
+    parts, found = sorted({e.part for e in edges}), {}
+    for run, edge, near, beyond, order in ((IN_FIRST, FIRST, LAST, BEFORE_LAST, parts), (IN_LAST, LAST, FIRST, AFTER_FIRST, parts[::-1])):
+        nearest: list = []  # of the tasks so far: the last row, and the last one of another document
+        for part in order:
+            own, other = ends[part, edge], None
+            for e in nearest:
+                if (e.side, e.doc) != (own.side, own.doc):
+                    other = e
+                    break
+            if other is not None and other.side == own.side:
+                found[part, run] = bytes(other.suffix)
+            mine = [e for e in (ends[part, near], ends.get((part, beyond))) if e]
+            if len(mine) == 1:  # one run: what lies beyond it is in the tasks before
+                mine += [e for e in nearest if (e.side, e.doc) != (mine[0].side, mine[0].doc)][:1]
+            nearest = mine
+    return found
+
+
+def all_pieces(sorted_rows: DataFrame) -> DataFrame:
+    """Pieces (doc, key, start, end) of texts that the nearest rows of other documents share, in the same task or beyond its edges."""
+    matched = checkpointed(matched_pieces(sorted_rows))
+    edges = matched.where("suffix is not null")
+    near = _neighbours(edges.where(~F.col("start").isin(IN_FIRST, IN_LAST)).collect())
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for e in batch.to_pylist():
+                other = near.get((e["part"], e["start"]))
+                if other is None:
+                    continue
+                length = min(e["room"], int(common_words(*[np.frombuffer(x, dtype=">u4")[None] for x in (e["suffix"], other)])[0]))
+                if length >= LEAST:
+                    start = e["place"] if e["side"] == RIGHT else e["place"] + RUN - length
+                    out.append((e["doc"], e["key"], start, start + length))
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc", "key", "start", "end"])
+
+    beyond = arrow_map(edges.where(F.col("start").isin(IN_FIRST, IN_LAST)), compare, "doc long, key long, start int, end int")
+    return matched.where("suffix is null").select("doc", "key", "start", "end").unionByName(beyond)
 
 
 def repeated_regions(docs: DataFrame) -> DataFrame:
@@ -202,14 +247,11 @@ def repeated_regions(docs: DataFrame) -> DataFrame:
     all rows without one, are one document. An empty table gives an empty table;
     other columns are ignored. A passage's copies are rows that sort next to each
     other, however many there are, and sorted order is dealt out evenly; the driver
-    gets two rows for each task.
+    gets at most four rows for each task.
     """
-    spark, rows = docs.sparkSession, _rows(docs)
+    rows = _rows(docs)
     found = repeated_suffixes(rows).repartitionByRange("side", "suffix", "doc", "place").sortWithinPartitions("side", "suffix", "doc", "place")
-    matched = checkpointed(matched_pieces(found))
-    extra = _across_tasks(matched.where("suffix is not null").collect())
-    pieces = matched.where("suffix is null").select("doc", "key", "start", "end")
-    pieces = pieces.unionByName(spark.createDataFrame(extra, "doc long, key long, start int, end int"))
+    pieces = all_pieces(found)
     ordered = Window.partitionBy("doc", "key").orderBy("start", "end")
     reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     islands = pieces.withColumn("apart", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("island", F.sum("apart").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
