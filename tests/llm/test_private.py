@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import random
 import re
 
@@ -11,6 +13,7 @@ from hypothesis import strategies as st
 
 from tidemark.llm import private
 from tidemark.llm.tagger import KINDS, Tagger, allowed
+from tidemark.session import table
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -75,6 +78,79 @@ def test_gradients_are_the_slopes_of_the_loss():
             assert abs((up - down) / (2 * e) - g[at]) < 1e-4
 
 
+class Tokens:
+    """A stand-in for the tagger that marks each run of characters that aren't blank as an email, as far as a window shows it."""
+
+    def __init__(self, shift=0):
+        self.shift = shift
+
+    def decode(self, x):
+        blank = np.isin(x, [private.PAD, *private.classes(" \n")])
+        tags = np.where(blank, 0, 2).astype(np.int8)
+        tags[:, 0] = np.where(blank[:, 0], 0, 1)
+        tags[:, 1:][~blank[:, 1:] & blank[:, :-1]] = 1
+        return tags
+
+
+def test_spans_of_any_length_are_joined_at_every_offset():
+    for size in (20, 45, 48, 50, 60, 72, 90, 96, 97, 130, 200, 300):
+        email = "a" * (size - 8) + "@b.c.org"
+        for lead in range(0, 100, 3):
+            text = "x " * (lead // 2) + "x" * (lead % 2) + " " + email + " tail " * 40
+            at = text.index(email)
+            found = private.tagged_spans(Tokens(), [text])[0]
+            assert found == [(at, private.EMAIL, at + size)], (size, lead)
+
+
+def test_many_spans_of_one_text_never_overlap():
+    text = " ".join(f"name{i}@host{i}.org" for i in range(2000))
+    found = private.tagged_spans(Tokens(), [text])[0]
+    assert found == [(m.start(), private.EMAIL, m.end()) for m in re.finditer(r"\S+", text)]
+
+    class Disagreeing(Tokens):
+        """Every second window sees its spans begin one character later."""
+
+        def decode(self, x):
+            tags = super().decode(x)
+            for row in tags[1::2]:
+                for a in np.flatnonzero(row[:-1] == 1):
+                    if row[a + 1] == 2:
+                        row[a], row[a + 1] = 0, 1
+            return tags
+
+    found = private.tagged_spans(Disagreeing(), [text])[0]
+    assert len(found) > 1900 and all(a[2] <= b[0] for a, b in zip(found, found[1:]))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(1, 6), st.integers(1, 9)), max_size=9))
+def test_the_heaviest_set_is_the_heaviest_of_all(drawn):
+    weights = {(a, 0, a + n): w for a, n, w in drawn}
+    best = max(sum(weights[s] for s in some) for k in range(len(weights) + 1) for some in itertools.combinations(weights, k) if all(a[2] <= b[0] or b[2] <= a[0] for a, b in itertools.combinations(some, 2)))
+    kept = private.heaviest_apart(weights)
+    assert sum(weights[s] for s in kept) == best and all(a[2] <= b[0] for a, b in zip(kept, kept[1:]))
+
+
+def test_training_anew_gives_the_weights_beside_the_module():
+    fresh, x = private.train(), private.labelled_windows(300, seed=5)[0]
+    assert (fresh.decode(x) == private.trained_tagger().decode(x)).mean() >= 0.99
+
+
+def test_query_against_brute_force(spark, tiny):
+    tagger = private.trained_tagger()
+    expected = {}
+    for r in table(spark, tiny, "documents").collect():
+        base = brute(r.text or "")
+        added = [s for s in private.tagged_spans(tagger, [r.text or ""])[0] if all(s[2] <= b[0] or b[2] <= s[0] for b in base)]
+        written = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        counts = [sum(k == i for _, k, _ in base) for i in range(4)]
+        expected[r.doc_id] = (*counts, hashlib.sha256(written(base).encode()).hexdigest(), written([*base, *added]))
+    got = private.op9_private(spark, tiny)
+    assert got.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == expected
+    assert sum(sum(v[:4]) for v in expected.values()) > 0
+
+
 def test_held_out_spans():
     x, y = private.labelled_windows(400, seed=77)
     got = private.trained_tagger().decode(x)

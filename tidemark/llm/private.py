@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,9 @@ WINDOW, STRIDE = 96, 48
 #: Windows that are decoded at once.
 DECODED = 1024
 #: Labelled windows that the tagger is trained on, and passes over them.
-TRAINED, EPOCHS = 1500, 10
+TRAINED, EPOCHS = 3000, 12
+#: The weights that training gave.
+WEIGHTS = files("tidemark.llm") / "tagger.npz"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -103,53 +107,86 @@ def window_starts(n: int) -> range:
 
 
 def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[Span]]:
-    """Spans (start, kind, end) that the tagger finds in each whole text.
+    """Spans (start, kind, end) that the tagger finds in each whole text, reconciled over all its windows.
 
-    Windows overlap by half. A span that touches a window's edge inside the text is
-    left to the neighbour that has it whole. Of spans that overlap, the one that
-    lies deepest in its window wins, then the leftmost. A span must pass holds(),
-    so it has a digit or an @: a window without either can't give any and isn't
-    decoded.
+    Windows overlap by half. A span must pass holds(), so it has a digit or an @:
+    windows with either are decoded, then those beyond an edge that a span touches,
+    until none is left. So a span of any length is met whole, in pieces.
     """
-    where, windows = [], []
-    out: list[list[tuple[int, Span]]] = [[] for _ in texts]
-
-    def flush() -> None:
-        if not windows:
-            return
-        tags = tagger.decode(np.stack(windows))
-        for (i, start), row in zip(where, tags):
-            for a, kind, b in spans_of_tags(row):
-                text = texts[i]
-                edge = (a == 0 and start > 0) or (b == WINDOW and start + b < len(text))
-                if not edge and holds(kind, text[start + a : start + b]):
-                    out[i].append((-min(a if start else WINDOW, WINDOW - b if start + WINDOW < len(text) else WINDOW), (start + a, kind, start + b)))
-        where.clear()
-        windows.clear()
-
+    codes, pieces, asked = [], [], []
     for i, text in enumerate(texts):
-        if not _TELLING.search(text):
-            continue
-        codes = classes(text)
+        pieces.append({})
+        last = len(window_starts(len(text))) - 1
         telling = {k for m in _TELLING.finditer(text) for k in ((m.start() // STRIDE - 1), m.start() // STRIDE)}
-        starts = window_starts(len(text))
-        for k in sorted({min(max(k, 0), len(starts) - 1) for k in telling}):
-            window = np.full(WINDOW, PAD, dtype=np.uint8)
-            part = codes[starts[k] : starts[k] + WINDOW]
-            window[: len(part)] = part
-            where.append((i, starts[k]))
-            windows.append(window)
-            if len(windows) == DECODED:
-                flush()
-    flush()
-    final = []
-    for spans in out:
-        kept: list[Span] = []
-        for _, (a, kind, b) in sorted(spans):
-            if all(b <= x or y <= a for x, _, y in kept[-64:]) and (a, kind, b) not in kept:
-                kept.append((a, kind, b))
-        final.append(sorted(kept))
-    return final
+        codes.append(classes(text) if telling else None)
+        asked += [(i, k) for k in sorted({min(max(k, 0), last) for k in telling})]
+    while asked:
+        beyond = set()
+        for at in range(0, len(asked), DECODED):
+            some = asked[at : at + DECODED]
+            windows = np.full((len(some), WINDOW), PAD, dtype=np.uint8)
+            for window, (i, k) in zip(windows, some):
+                part = codes[i][k * STRIDE : k * STRIDE + WINDOW]
+                window[: len(part)] = part
+            for (i, k), tags in zip(some, tagger.decode(windows)):
+                spans = [(k * STRIDE + a, kind, min(k * STRIDE + b, len(texts[i]))) for a, kind, b in spans_of_tags(tags) if k * STRIDE + a < len(texts[i])]
+                pieces[i][k] = spans
+                if spans and spans[0][0] == k * STRIDE and k:
+                    beyond.add((i, k - 1))
+                if spans and spans[-1][2] == k * STRIDE + WINDOW < len(texts[i]):
+                    beyond.add((i, k + 1))
+        asked = sorted((i, k) for i, k in beyond if k not in pieces[i])
+    return [reconciled(text, own) if own else [] for text, own in zip(texts, pieces)]
+
+
+def reconciled(text: str, pieces: dict[int, list[Span]]) -> list[Span]:
+    """One set of spans from what each window says (its number: its spans).
+
+    A span that touches a window's edge inside the text is a piece: it is joined to
+    the piece of the same kind that the next window starts with, however many
+    windows follow, and the later window says where it ends. A piece that its
+    neighbour, which sees the place from its middle, doesn't go on with is no span.
+    Each window that has a span whole, or joined, gives it the depth in the window
+    as a weight, and of all sets of spans that don't overlap the one of most weight
+    is the result, the leftmost of equals.
+    """
+    weights: dict[Span, int] = {}
+    running: list[Span] = []
+    for k in sorted(pieces):
+        left, right = k * STRIDE, k * STRIDE + WINDOW
+        running = running if k - 1 in pieces else []
+        on: list[Span] = []
+        for a, kind, b in pieces[k]:
+            depth = min(a - left if k else WINDOW, right - b if right < len(text) else WINDOW)
+            if k and a == left:
+                before = [r for r in running if r[1] == kind and r[0] < a < r[2]]
+                if not before:
+                    continue
+                a, depth = before[0][0], WINDOW
+            if b == right < len(text):
+                on.append((a, kind, b))
+            elif holds(kind, text[a:b]):
+                weights[a, kind, b] = weights.get((a, kind, b), 0) + 1 + depth
+        running = on
+    return heaviest_apart(weights)
+
+
+def heaviest_apart(weights: dict[Span, int]) -> list[Span]:
+    """Of the sets of spans that don't overlap the one with the greatest sum of weights, in order."""
+    spans = sorted(weights, key=lambda s: (s[2], s[0], s[1]))
+    ends = [s[2] for s in spans]
+    total, before = [0], []
+    for i, span in enumerate(spans):
+        before.append(bisect_right(ends, span[0], 0, i))
+        total.append(max(total[i], total[before[i]] + weights[span]))
+    kept, i = [], len(spans)
+    while i:
+        if total[i] == total[i - 1]:
+            i -= 1
+        else:
+            kept.append(spans[i - 1])
+            i = before[i - 1]
+    return kept[::-1]
 
 
 def spans_of_tags(tags: np.ndarray) -> list[Span]:
@@ -216,20 +253,29 @@ def labelled_windows(n: int, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
     return x, y
 
 
+def train() -> Tagger:
+    """The tagger, trained on TRAINED invented windows; about half a minute."""
+    tagger = Tagger.fresh().single()
+    tagger.fit(*labelled_windows(TRAINED), EPOCHS)
+    return tagger
+
+
 @cache
 def trained_tagger() -> Tagger:
-    """The tagger, trained once a process on TRAINED invented windows; the same weights each time."""
-    tagger = Tagger.fresh()
-    tagger.fit(*labelled_windows(TRAINED), EPOCHS)
-    return tagger.single()
+    """What train() gave when this module was last run as a script, which writes the weights beside it; a test trains anew and compares."""
+    with WEIGHTS.open("rb") as file:
+        weights = dict(np.load(file))
+    return Tagger(weights, weights["re"].shape[1])
 
 
 def find_private(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """(doc_id, base, added): spans of each row's whole text as arrays of (start, kind, end), by start and then kind.
 
     base has the contract's patterns. added has the tagger's spans that overlap no
-    base span. Null or empty text: no spans. Repeated rows each get theirs; an
-    empty table gives an empty table; other columns are ignored.
+    base span. Null or empty text: no spans. A very long text is read whole, its
+    windows some at a time. Of overlapping added spans the heaviest set stays, the
+    leftmost of ties. Repeated rows and null ids each get theirs; an empty table
+    gives an empty table; other columns, whatever their names, are ignored.
     """
     tagger = tagger or trained_tagger()
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
@@ -286,3 +332,7 @@ def op9_private(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return found.select("doc_id", *map(count, KINDS), F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.concat("base", "added")).alias("spans"))
+
+
+if __name__ == "__main__":
+    np.savez(str(WEIGHTS), **train().weights)

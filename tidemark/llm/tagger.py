@@ -53,7 +53,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 @dataclass
 class Tagger:
-    """Parameters by name: for each direction input (classes, 4 hidden), recurrent (hidden, 4 hidden); emit, bias, moves."""
+    """Parameters by name: input (2 directions, classes, 4 hidden), recurrent (2, hidden, 4 hidden), emit, bias, moves."""
 
     weights: dict[str, np.ndarray]
     hidden: int
@@ -61,84 +61,86 @@ class Tagger:
     @classmethod
     def fresh(cls, hidden: int = 16, seed: int = 9) -> Tagger:
         rng = np.random.default_rng(seed)
-        weights = {}
-        for side in "fb":
-            weights[f"in_{side}"] = rng.normal(0, 0.3, (CLASSES, 4 * hidden))
-            weights[f"in_{side}"][:, hidden : 2 * hidden] += 1.0  # forget gates start open
-            weights[f"re_{side}"] = rng.normal(0, hidden**-0.5, (hidden, 4 * hidden))
+        weights = {"in": rng.normal(0, 0.3, (2, CLASSES, 4 * hidden)), "re": rng.normal(0, hidden**-0.5, (2, hidden, 4 * hidden))}
+        weights["in"][:, :, hidden : 2 * hidden] += 1.0  # forget gates start open
         weights["emit"] = rng.normal(0, hidden**-0.5, (2 * hidden, TAGS))
         weights["bias"] = np.zeros(TAGS)
         weights["moves"] = np.zeros((TAGS + 1, TAGS))
         return cls(weights, hidden)
 
-    def _run(self, side: str, x: np.ndarray) -> list[tuple]:
-        """States of one direction over x (time, batch); each step: gates, cell, its tanh, output."""
-        table, recurrent, n = self.weights[f"in_{side}"], self.weights[f"re_{side}"], self.hidden
-        h = c = np.zeros((x.shape[1], n), dtype=table.dtype)
+    def _run(self, x: np.ndarray) -> list[tuple]:
+        """States of both directions over x (time, batch): step t is the forward one at t and the backward one at t from the end; each has gates, cell, its tanh, output."""
+        table, recurrent, n = self.weights["in"], self.weights["re"], self.hidden
+        both, side = np.stack([x, x[::-1]]), np.arange(2)[:, None]
+        h = c = np.zeros((2, x.shape[1], n), dtype=table.dtype)
         steps = []
-        for t in range(len(x)) if side == "f" else range(len(x) - 1, -1, -1):
-            z = table[x[t]] + h @ recurrent
-            gates = _sigmoid(z[:, : 3 * n])  # input, forget, output
-            new = np.tanh(z[:, 3 * n :])
+        for t in range(len(x)):
+            z = table[side, both[:, t]] + h @ recurrent
+            gates = _sigmoid(z[..., : 3 * n])  # input, forget, output
+            new = np.tanh(z[..., 3 * n :])
             before = c
-            c = gates[:, n : 2 * n] * c + gates[:, :n] * new
+            c = gates[..., n : 2 * n] * c + gates[..., :n] * new
             squeezed = np.tanh(c)
-            previous, h = h, gates[:, 2 * n :] * squeezed
-            steps.append((t, gates, new, before, squeezed, previous, h))
+            previous, h = h, gates[..., 2 * n :] * squeezed
+            steps.append((gates, new, before, squeezed, previous, h))
         return steps
 
-    def _back(self, side: str, x: np.ndarray, steps: list[tuple], dh_out: np.ndarray, grads: dict) -> None:
-        recurrent, n = self.weights[f"re_{side}"], self.hidden
-        dh = dc = np.zeros((x.shape[1], n))
-        hot = np.eye(CLASSES)[x]
-        for t, gates, new, before, squeezed, previous, _ in reversed(steps):
+    def _back(self, x: np.ndarray, steps: list[tuple], dh_out: np.ndarray, grads: dict) -> None:
+        """Add the gradients of both directions; dh_out (time, 2, batch, hidden) in the order of the steps."""
+        recurrent, n = self.weights["re"], self.hidden
+        turned = recurrent.transpose(0, 2, 1)
+        dh = dc = np.zeros((2, x.shape[1], n), dtype=recurrent.dtype)
+        slopes = []
+        for t in range(len(steps) - 1, -1, -1):
+            gates, new, before, squeezed, _, _ = steps[t]
             dh = dh + dh_out[t]
-            i, f, o = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
+            i, f, o = gates[..., :n], gates[..., n : 2 * n], gates[..., 2 * n :]
             dc = dc + dh * o * (1 - squeezed**2)
-            dz = np.concatenate([dc * new * i * (1 - i), dc * before * f * (1 - f), dh * squeezed * o * (1 - o), dc * i * (1 - new**2)], axis=1)
-            grads[f"in_{side}"] += hot[t].T @ dz
-            grads[f"re_{side}"] += previous.T @ dz
-            dh, dc = dz @ recurrent.T, dc * f
-
-    def emissions(self, x: np.ndarray) -> tuple[np.ndarray, list, list, np.ndarray]:
-        forward, backward = self._run("f", x), self._run("b", x)
-        states = np.concatenate([np.stack([s[-1] for s in forward]), np.stack([s[-1] for s in reversed(backward)])], axis=2)
-        return states @ self.weights["emit"] + self.weights["bias"], forward, backward, states
+            dz = np.concatenate([dc * new * i * (1 - i), dc * before * f * (1 - f), dh * squeezed * o * (1 - o), dc * i * (1 - new**2)], axis=2)
+            slopes.append(dz)
+            dh, dc = dz @ turned, dc * f
+        dz = np.stack(slopes[::-1]).transpose(1, 0, 2, 3).reshape(2, -1, 4 * n)
+        hot = np.eye(CLASSES, dtype=recurrent.dtype)[np.stack([x, x[::-1]]).reshape(2, -1)]
+        previous = np.stack([s[4] for s in steps]).transpose(1, 0, 2, 3).reshape(2, -1, n)
+        grads["in"] += hot.transpose(0, 2, 1) @ dz
+        grads["re"] += previous.transpose(0, 2, 1) @ dz
+
+    def emissions(self, x: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
+        """Scores (time, batch, tags), with the steps and states behind them."""
+        steps = self._run(x)
+        out = np.stack([s[-1] for s in steps])
+        states = np.concatenate([out[:, 0], out[::-1, 1]], axis=2)
+        return states @ self.weights["emit"] + self.weights["bias"], steps, states
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the batch and its gradients; x and y are (time, batch)."""
-        scores, forward, backward, states = self.emissions(x)
-        moves = np.where(allowed(), self.weights["moves"], -1e4)
+        scores, lstm, states = self.emissions(x)
+        moves = np.where(allowed(), self.weights["moves"], -1e4).astype(scores.dtype)
         steps, batch, _ = scores.shape
-        alpha = np.empty_like(scores)
-        alpha[0] = scores[0] + moves[-1]
+        # forward and backward sums have one form: the backward ones take the scores from the end and the moves turned round
+        both, turn = np.stack([scores, scores[::-1]], axis=1), np.stack([moves[:-1], moves[:-1].T])[:, None]
+        sums = np.empty_like(both)
+        sums[0] = both[0]
+        sums[0, 0] += moves[-1]
         for t in range(1, steps):
-            alpha[t] = scores[t] + _logsum(alpha[t - 1][:, :, None] + moves[None, :-1], 1)
-        beta = np.zeros_like(scores)
-        for t in range(steps - 2, -1, -1):
-            beta[t] = _logsum(moves[None, :-1] + (scores[t + 1] + beta[t + 1])[:, None, :], 2)
+            sums[t] = both[t] + _logsum(sums[t - 1][..., None] + turn, 2)
+        alpha, ahead = sums[:, 0], sums[::-1, 1]
         total = _logsum(alpha[-1], 1)
-        marginal = np.exp(alpha + beta - total[None, :, None])
+        marginal = np.exp(alpha + ahead - scores - total[None, :, None])
         grads = {k: np.zeros_like(v) for k, v in self.weights.items()}
         rows = np.arange(batch)
-        gold = np.zeros(batch)
-        before = np.full(batch, TAGS)
-        for t in range(steps):
-            gold += scores[t, rows, y[t]] + moves[before, y[t]]
-            if t:
-                pair = alpha[t - 1][:, :, None] + moves[None, :-1] + (scores[t] + beta[t])[:, None, :] - total[:, None, None]
-                grads["moves"][:-1] += np.exp(pair).sum(axis=0)
-            else:
-                grads["moves"][-1] += marginal[0].sum(axis=0)
-            before = y[t]
-        np.add.at(grads["moves"], (np.concatenate([np.full((1, batch), TAGS), y[:-1]]), y), -1.0)
+        before = np.concatenate([np.full((1, batch), TAGS), y[:-1]])
+        gold = np.take_along_axis(scores, y[..., None], axis=2)[..., 0].sum(axis=0) + moves[before, y].sum(axis=0)
+        pair = np.exp(alpha[:-1, :, :, None] + moves[:-1] + ahead[1:, :, None, :] - total[None, :, None, None])
+        grads["moves"][:-1] = pair.sum(axis=(0, 1))
+        grads["moves"][-1] = marginal[0].sum(axis=0)
+        np.add.at(grads["moves"], (before, y), -1.0)
         d = marginal
         d[np.arange(steps)[:, None], rows[None], y] -= 1.0
-        grads["emit"] = np.einsum("tbh,tbk->hk", states, d)
+        grads["emit"] = np.tensordot(states, d, axes=((0, 1), (0, 1)))
         grads["bias"] = d.sum(axis=(0, 1))
         dh = d @ self.weights["emit"].T
-        self._back("f", x, forward, dh[:, :, : self.hidden], grads)
-        self._back("b", x, backward, dh[:, :, self.hidden :], grads)
+        self._back(x, lstm, np.stack([dh[:, :, : self.hidden], dh[::-1, :, self.hidden :]], axis=1), grads)
         return float((total - gold).mean()), {k: v / batch for k, v in grads.items()}
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 32, rate: float = 0.02, seed: int = 9) -> list[float]:
@@ -151,7 +153,7 @@ class Tagger:
             order, total = rng.permutation(len(x)), 0.0
             for at in range(0, len(x), batch):
                 own = order[at : at + batch]
-                loss, grads = self.gradients(x[own].T, y[own].T)
+                loss, grads = self.gradients(x[own].T, y[own].T.astype(np.int64))
                 step += 1
                 total += loss * len(own)
                 size = sum(float((g**2).sum()) for g in grads.values()) ** 0.5
