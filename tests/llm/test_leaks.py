@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from tidemark.llm.leaks import contained_items, decontaminate
+from tidemark.llm.leaks import Item, ItemIndex, contained_items, decontaminate
 
 
 def text_of(rng, n, pool=3000):
@@ -59,3 +59,34 @@ def test_nulls_repeats_empty_tables_and_clashing_columns(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
     assert contained_items(docs, bench.limit(0)).count() == 0 and contained_items(docs.limit(0), bench).count() == 0
     assert decontaminate(docs, bench.limit(0)).count() == 5 and decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_no_small_item_is_missed():
+    rng = random.Random(9)
+    for n_words in (*range(1, 13),):
+        items = [Item.of(i, " ".join(f"i{i}x{k}" for k in range(n_words))) for i in range(40)]
+        index, texts, planted = ItemIndex(items), [], []
+        for t in range(2000):
+            words = text_of(rng, rng.choice([0, 3, 40, 200]))
+            i, at = rng.randrange(40), rng.randrange(len(words) + 1)
+            own = [f"i{i}x{k}" for k in range(n_words)]
+            texts.append(" ".join(words[:at] + own + words[at:]))
+            planted.append(i)
+        found = index.search(texts)
+        assert all([j for j, _ in own] == [i] for own, i in zip(found, planted)), n_words
+
+
+def test_a_small_item_that_lacks_a_shingle_is_found_where_enough_are_left():
+    item = Item.of(1, " ".join(f"w{k}" for k in range(12)))  # eight shingles, of which seven are enough
+    index = ItemIndex([item])
+    for words, hit in ((range(11), 7), (range(1, 12), 7), (range(10), None), (range(2, 12), None)):
+        assert index.search([" ".join(f"w{k}" for k in words)]) == [[(0, hit)] if hit else []]
+
+
+def test_a_very_long_text(spark):
+    words = [f"v{i}" for i in range(200_000)]
+    item = [f"q{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words[:123_456] + item + words[123_456:])), (2, " ".join(words))], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    assert [tuple(r) for r in contained_items(docs, bench).collect()] == [(1, 5, 36, 36)]
+    assert [r.doc_id for r in decontaminate(docs, bench).collect()] == [2]

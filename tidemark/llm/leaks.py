@@ -16,12 +16,14 @@ from tidemark.session import table
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-#: Minima of each signature. One minimum is a band: windows are at most four times as large as an item, so 48 of them miss a contained item once in 20,000 times at most.
+#: Minima of each signature. One minimum is a band: windows are at most four times as large as an item, so a window that has four fifths of an item shares none of 48 minima with it once in 20,000 times at most.
 MINIMA = 48
-SMALLEST_CLASS = 8
+#: Items of up to so many shingles are found by the shingles themselves, none missed.
+SMALL = 8
 #: Characters of items that a task holds at once; more items are searched in further blocks.
 BLOCK_CHARS = 4_000_000
 _FILTER_BITS = 16
+_LOW = np.uint64((1 << _FILTER_BITS) - 1)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -69,32 +71,53 @@ class Item:
         return cls(item_id, size, {c: b" ".join(words[i : i + size]) for i, c in enumerate(codes)})
 
 
-class ItemIndex:
-    """Items by size class, each class with the minima of its items' signatures.
+def _sorted_band(values: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values in order, their items, and a table of the values' low bits that sorts most others out."""
+    order = np.argsort(values)
+    seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
+    seen[(values & _LOW).astype(np.int64)] = True
+    return values[order], members[order], seen
+
+
+def _met(values: np.ndarray, band: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Place of each value that the band has, with its items."""
+    known, members, seen = band
+    near = np.flatnonzero(seen[(values & _LOW).astype(np.int64)])
+    left, right = np.searchsorted(known, values[near], "left"), np.searchsorted(known, values[near], "right")
+    for n, a, b in zip(near[left < right], left[left < right], right[left < right]):
+        yield n, members[a:b]
 
-    A class holds the items of more than limit / 2 and at most limit shingles (the
-    smallest class: any number up to its limit). A text is searched in windows of
-    2 * limit shingles that start every limit, so an item's passage lies whole in
-    some window, and their similarity is far above what the signatures miss.
+
+class ItemIndex:
+    """Small items by their shingles, and larger ones by size class, each class with the minima of its items' signatures.
+
+    A class holds the items of more than limit / 2 and at most limit shingles. A text
+    is searched in windows of 2 * limit shingles that start every limit, so an item's
+    passage lies whole in some window, and their similarity is far above what the
+    signatures miss. An item of n <= SMALL shingles may lack n - ceil(containment * n)
+    of them, so a text that contains it has one of any so many and one more: those,
+    the least by code, are looked up.
     """
 
     def __init__(self, items: list[Item], containment: float = CONTAINMENT, minima: int = MINIMA):
         self.items, self.containment, self.factors = items, containment, _factors(minima)
         self.classes: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.small: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         by_class: dict[tuple[int, int], list[int]] = {}
+        looked_up: dict[int, list[tuple[int, int]]] = {}
         for i, item in enumerate(items):
-            limit = max(SMALLEST_CLASS, 1 << (len(item.shingles) - 1).bit_length())
-            by_class.setdefault((item.size, limit), []).append(i)
+            n = len(item.shingles)
+            if n <= SMALL:
+                lacking = sum(k < containment * n for k in range(1, n + 1))  # sizes of a share that isn't enough
+                looked_up.setdefault(item.size, []).extend((c, i) for c in sorted(item.shingles)[: n - lacking])
+            else:
+                by_class.setdefault((item.size, 1 << (n - 1).bit_length()), []).append(i)
+        for size, entries in looked_up.items():
+            codes, members = np.array([c for c, _ in entries], dtype=np.uint64), np.array([i for _, i in entries])
+            self.small[size] = _sorted_band(codes, members)
         for key, members in by_class.items():
             codes = [np.array(list(items[i].shingles), dtype=np.uint64) for i in members]
-            bands = []
-            for factor in self.factors:
-                least = np.array([(c * factor).min() for c in codes], dtype=np.uint64)
-                order = np.argsort(least)
-                seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
-                seen[(least & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
-                bands.append((least[order], np.array(members)[order], seen))
-            self.classes[key] = bands
+            self.classes[key] = [_sorted_band(np.array([(c * factor).min() for c in codes], dtype=np.uint64), np.array(members)) for factor in self.factors]
 
     def search(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """For each text, the (item, shared shingles) of every item that it contains."""
@@ -103,7 +126,7 @@ class ItemIndex:
         bounds = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
         candidates: list[set[int]] = [set() for _ in texts]
         codes_of: dict[int, list[np.ndarray]] = {}
-        for size in {s for s, _ in self.classes}:
+        for size in {s for s, _ in self.classes} | set(self.small):
             codes_of[size] = [shingle_codes(hashes[a:b], size) for a, b in zip(bounds[:-1], bounds[1:])]
             lengths = np.array([len(c) for c in codes_of[size]])
             if not lengths.sum():
@@ -120,7 +143,11 @@ class ItemIndex:
         return found
 
     def _collect(self, size: int, codes: np.ndarray, lengths: np.ndarray, candidates: list[set[int]]) -> None:
-        """Add the items that share a minimum with a window of a text."""
+        """Add the small items of which a text has a shingle that is looked up, and the larger ones that share a minimum with a window of it."""
+        if size in self.small:
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            for n, members in _met(codes, self.small[size]):
+                candidates[owner[n]].update(members.tolist())
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         plans = {}
         for limit in (x for s, x in self.classes if s == size):
@@ -129,17 +156,13 @@ class ItemIndex:
             rank = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             follows = np.append(owner[1:] == owner[:-1], False)
             plans[limit] = (starts[owner] + rank * limit, owner, follows)
-        mask = np.uint64((1 << _FILTER_BITS) - 1)
-        for k, factor in enumerate(self.factors):
+        for k, factor in enumerate(self.factors if plans else []):
             values = codes * factor
             for limit, (at, owner, follows) in plans.items():
-                least, members, seen = self.classes[size, limit][k]
                 low = np.minimum.reduceat(values, at)
                 low[:-1] = np.where(follows[:-1], np.minimum(low[:-1], low[1:]), low[:-1])
-                near = np.flatnonzero(seen[(low & mask).astype(np.int64)])
-                left, right = np.searchsorted(least, low[near], "left"), np.searchsorted(least, low[near], "right")
-                for n, a, b in zip(near[left < right], left[left < right], right[left < right]):
-                    candidates[owner[n]].update(members[a:b].tolist())
+                for n, members in _met(low, self.classes[size, limit][k]):
+                    candidates[owner[n]].update(members.tolist())
 
     @staticmethod
     def _shared(item: Item, words: list[bytes], codes: np.ndarray) -> int:
@@ -166,8 +189,9 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, containment: float =
     Shingles are five words; an item with fewer words is one shingle of all its
     words, and an item without words or with null text is never found. Null or
     empty documents contain nothing. Repeated documents are found each, repeated
-    items once. Empty tables give an empty table; other columns are ignored. The
-    documents are read once for each block of items.
+    items once. A very long text is searched whole, in windows. Items that share
+    text are each found. Empty tables give an empty table; other columns are
+    ignored. The documents are read once for each block of items.
     """
     schema = "doc_id long, item_id long, n_shared long, n_shingles long"
     spark = docs.sparkSession
