@@ -24,16 +24,26 @@ TEMPER = 0.1
 #: Documents' worth of a host's domain in the host's prior, of all hosts in a domain's, and of even counts in the tables of evidence.
 HOST_STRENGTH, DOMAIN_STRENGTH, EVEN = 10.0, 20.0, 1.0
 
-_DECLARED = re.compile(r"<(?:html|body)\b[^<>]{0,2000}?\b(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,8})", re.IGNORECASE)
-_META = re.compile(r"<meta\b[^<>]{0,2000}?content-language[^<>]{0,2000}?content\s*=\s*[\"']?([A-Za-z]{2,8})", re.IGNORECASE)
+_ELEMENT = re.compile(r"<(html|body|meta)\b", re.IGNORECASE)
+_TAG_END = re.compile(r"[<>]")
+_LANG = re.compile(r"\b(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,8})", re.IGNORECASE)
+_CONTENT = re.compile(r"\bcontent\s*=\s*[\"']?([A-Za-z]{2,8})", re.IGNORECASE)
 _TAG = re.compile(r"<[^<>]*>")
 _HIDDEN = re.compile(r"<(script|style)\b|<!--", re.IGNORECASE)
 
 
 def declared_language(markup: str) -> str | None:
-    """The primary subtag, lower-cased, that a page's html or body element or its meta element declares."""
-    match = _DECLARED.search(markup) or _META.search(markup)
-    return match.group(1).lower() if match else None
+    """The primary subtag, lower-cased, that a page's first html or body element with one declares, else its first content-language meta element. A tag runs up to the next angle bracket, however far that is; each is read once."""
+    meta = None
+    for element in _ELEMENT.finditer(markup):
+        end = _TAG_END.search(markup, element.end())
+        tag = markup[element.end() : end.start() if end else len(markup)]
+        if element.group(1).lower() != "meta":
+            if match := _LANG.search(tag):
+                return match.group(1).lower()
+        elif meta is None and "content-language" in tag.lower() and (match := _CONTENT.search(tag.lower().replace("content-language", "", 1))):
+            meta = match.group(1).lower()
+    return meta
 
 
 def visible_text(markup: str) -> str:
@@ -130,8 +140,9 @@ def identify(records: DataFrame, model: TextModel) -> DataFrame:
     overall ones. Weights of a record multiply; evidence that it lacks says nothing.
 
     Null or empty text: the priors decide. Null hosts share one prior. Ties go to
-    the first language by name. Repeated records each get a row; an empty table
-    gives an empty table, and so does a model without languages.
+    the first language by name. A very long text or tag is read whole. Repeated
+    records, and those without ids, each get a row; an empty table gives an empty
+    table, and so does a model without languages. Other columns are ignored.
     """
     names = ("doc_id", "page_id", "host", "domain", "suffix")
 
@@ -160,7 +171,7 @@ def identify(records: DataFrame, model: TextModel) -> DataFrame:
     overall = weighted.agg(*[F.coalesce(F.sum(f"r{i}"), F.lit(0.0)).alias(f"t{i}") for i in n])
     joined = weighted
     for key, prefix in (("host", "h"), ("domain", "d"), ("declared", "m"), ("suffix", "x")):
-        joined = joined.join(sums(key, prefix), F.col(key).eqNullSafe(F.col(f"__{key}")), "left")
+        joined = joined.join(checkpointed(sums(key, prefix)), F.col(key).eqNullSafe(F.col(f"__{key}")), "left")  # a plain table, so that Spark may split a hot key's side
     joined = joined.crossJoin(F.broadcast(overall))  # one row
 
     total = sum((F.col(f"t{i}") for i in n), F.lit(0.0))
