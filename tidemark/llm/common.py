@@ -58,9 +58,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     known = _digest(current)
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # written first, so that the join's sides are plain shuffles and adaptive execution may split a hub
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = checkpointed(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = _digest(current)
@@ -83,7 +84,16 @@ def row_id(columns: tuple[str, str] = ("doc_id", "text")) -> Column:
     return F.struct(F.col(columns[0]).cast("long").alias("doc_id"), F.xxhash64(columns[1]).alias("key"))
 
 
+def fresh(name: str, frame: DataFrame) -> str:
+    """name, with underscores in front until no column of frame is called so in any case."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs(doc_id, text, ...) that are in kept(doc_id, key), with all their columns."""
-    wanted = kept.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "key").alias("__row")).distinct()
-    return docs.withColumn("__row", row_id()).join(wanted, "__row", "left_semi").drop("__row")
+    """The rows of docs(doc_id, text, ...) that are in kept(doc_id, key), with all their columns, whatever their names. Null ids match each other; repeated rows all stay."""
+    row = fresh("row", docs)
+    wanted = kept.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "key").alias(row)).distinct()
+    return docs.withColumn(row, row_id()).join(wanted, row, "left_semi").drop(row)
