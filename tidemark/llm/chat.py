@@ -46,13 +46,15 @@ def format_examples(conversations: DataFrame) -> DataFrame:
     the reply's escaped text. A conversation that doesn't end with an assistant turn
     has one more example of all its turns, with an empty mask, so that no turn is
     lost. Turns are in order of turn, ties by role and text, repeated rows each.
-    Null text or role: empty. Rows with a null conv_id form one conversation. Roles
-    other than assistant are context. An empty table gives an empty table; other
-    columns are ignored. An example holds its whole context, so a conversation's
+    Null text or role: empty. A row with a null conv_id is a conversation of its own,
+    with others like it. Roles other than assistant are context. An empty table gives an empty table; other
+    columns are ignored, and very long texts stay whole. An example holds its whole context, so a conversation's
     output grows with the square of its turns, as the method has it.
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    turns = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    conv_id = F.col("conv_id").cast("long")
+    own = F.when(conv_id.isNull(), F.xxhash64(turn)).alias("own")  # so that rows without an id don't make one group
+    turns = conversations.groupBy(conv_id.alias("conv_id"), own).agg(F.sort_array(F.collect_list(turn)).alias("turns")).drop("own")
 
     def write(t: Column) -> Column:
         head = F.concat(F.lit(OPEN), F.replace(escape(t["role"]), F.lit(COLON), F.lit(ESCAPED_COLON)), F.lit(AFTER_ROLE))
@@ -87,9 +89,9 @@ def parse_turns(text: Column) -> Column:
 
 
 def digest_examples(examples: DataFrame) -> DataFrame:
-    """What the examples of each conversation say, read from their text and mask alone."""
+    """What the examples of each conversation say, read from their text and mask alone; examples without a conv_id are told apart by their text."""
     reply = unescape(F.substring(F.col("text"), F.col("loss_start").cast("int") + 1, (F.col("loss_end") - F.col("loss_start")).cast("int")))
-    grouped = examples.withColumn("reply", reply).groupBy("conv_id").agg(
+    grouped = examples.withColumn("reply", reply).groupBy("conv_id", F.when(F.col("conv_id").isNull(), F.xxhash64("text")).alias("own")).agg(
         F.max_by("text", "example").alias("text"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "reply"))), lambda x: x["reply"]), "").alias("loss"),
         F.sum(F.length("text")).cast("long").alias("formatted_chars"),

@@ -89,8 +89,11 @@ def verdicts(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -
     document don't count in the variance). kept: not base_failed, on a host whose
     shrunk rate isn't surely above the limit.
 
-    Null text: no words, so base_failed. Rows with a null host form one host.
-    Repeated rows count each. An empty table gives an empty table.
+    Null or empty text: no words, so base_failed. Rows with a null host form one
+    host; a null doc_id is a row like any other. A very long text is measured whole.
+    Repeated rows count each, and hosts that tie get the same verdict. An empty
+    table gives an empty table. Columns other than doc_id, text and the host's are
+    ignored, whatever their names.
     """
     seen = checkpointed(features(docs, host))
     words = F.col("n_words")
@@ -108,6 +111,7 @@ def verdicts(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -
     rated = rated.withColumn("host_rate", (F.col("host_failed") + F.col("mean") * F.col("strength")) / total)
     lower = F.col("host_rate") - F.lit(limits.deviations) * F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (total + 1))
     rated = rated.select(F.col("host").alias("__host"), "host_docs", "host_rate", (lower > limits.max_host_rate).alias("host_rejected"))
+    rated = checkpointed(rated)  # a plain table, so that Spark may split a hot host's side of the join
     joined = judged.join(rated, F.col("host").eqNullSafe(F.col("__host")))
     return joined.select(*judged.columns, "host_docs", "host_rate", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"))
 
