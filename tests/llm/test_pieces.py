@@ -81,6 +81,61 @@ def test_least_path_of_a_unigram_model_is_the_least_of_all():
         assert math.isclose(-sum(scores[own.text(s)] for s in path), least(own.normalise(text)))
 
 
+def test_weights_of_a_byte_pair_path_are_summed(transducer):
+    path = transducer.shortest_path(transducer.normalise("unbelievable"))
+    assert "".join(map(transducer.text, path)) == "▁unbelievable"
+    assert all(transducer.follow(a, b) for a, b in zip([-1, *path], path))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.data())
+def test_pairs_follow_as_merging_their_characters_says(data):
+    transducer, _ = _both()
+    plain = [i for i, p in enumerate(transducer.texts) if p in transducer.score_of]
+    left, right = (data.draw(st.sampled_from(plain)) for _ in range(2))
+    apart = [transducer.text(left), transducer.text(right)]
+    if transducer.merged(list(apart[0])) == apart[:1]:
+        assert transducer.follow(left, right) == (transducer.merged(list("".join(apart))) == apart)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "ba", "aa", "bb", "aba", "bab", "aab", "abab", "bba", "aaaa"]), unique=True), st.text(alphabet="ab", min_size=1, max_size=14), st.randoms())
+def test_any_small_byte_pair_model_encodes_as_its_merges_do(longer, text, rng):
+    rng.shuffle(longer)
+    texts = [*longer, "a", "b", "▁"]
+    own = pieces.Transducer([("<unk>", 0.0, pieces.UNKNOWN), *[(p, -float(i), pieces.NORMAL) for i, p in enumerate(texts)]], pieces.BYTE_PAIR)
+    assert [own.text(s) for s in own.shortest_path(text)] == own.merged(list(text))
+
+
+def test_a_character_map_is_compiled(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    spec = pb.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()).normalizer_spec
+    model = pb.ModelProto()
+    for piece, score, kind in [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(f"<0x{b:02X}>", 0.0, 6) for b in range(256)], ("▁", -2.0, 1), ("a", -3.0, 1), ("▁a", -3.5, 1), ("fi", -3.2, 1), ("f", -4.0, 1), ("i", -4.1, 1), ("1", -4.2, 1)]:
+        model.pieces.add(piece=piece, score=score, type=kind)
+    model.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    model.trainer_spec.byte_fallback = True
+    model.normalizer_spec.CopyFrom(spec)
+    path = tmp_path / "small.model"
+    path.write_bytes(model.SerializeToString())
+    library, own = sentencepiece.SentencePieceProcessor(model_file=str(path)), pieces.Transducer.load(str(path))
+    for text in ("ﬁ a", "  a　　ａ ", "①ｆｉ", "e\u0301 é", "\t a\r\n a", "㌔", "ｶﾞ", "", " ", "日本"):
+        assert ids_of(own, text) == library.encode(text), text
+
+
+def test_ids_that_no_piece_has(spark, transducer):
+    assert transducer.decode([len(transducer.texts), -1, -5, 10**9]) == "\ufffd" * 4
+    rows = spark.createDataFrame([(1, [10**8, -1, None])], "doc_id long, ids array<int>")
+    assert pieces.decode(rows, MODEL).first().text == "\ufffd" * 3
+
+
+def test_a_very_long_text_and_word(spark, library):
+    texts = ["word " * 200_000, "x" * 30_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: list(r.ids) for r in pieces.encode(docs, MODEL).collect()} == dict(enumerate(library.encode(texts)))
+
+
 def test_nulls_empty_table_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, None, "x"), (None, "", "y"), (2, "one", None), (2, "one", None)], "doc_id long, text string, ids string")
     got = pieces.encode(docs, MODEL)

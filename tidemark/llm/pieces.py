@@ -1,25 +1,29 @@
 """Operator 2: SentencePiece encoding and decoding with a weighted finite-state transducer.
 
-Compiled from a model file: the normaliser (blanks become U+2581, one is put in
-front), the pieces as arcs weighted by their negated scores, and byte fallback for
-characters that no piece has. An input is composed with it position by position,
-and the path of least weight in the tropical semiring (min, +) is its encoding.
+Compiled from a model file: the normaliser's rules (its character map's, and blanks
+as U+2581 with one in front), the pieces as a trie whose final states carry a
+piece's weight, its negated score, and byte fallback as an arc from the first state
+for each character that no piece has, weighted as the sum of its bytes' pieces. A
+normalised input is composed with it from left to right, and the path of least
+weight in the tropical semiring (min, +) is its encoding.
 
 For a byte-pair model the transducer's states also remember the last piece: two
 pieces may only follow each other if merging their own characters gives just the
-two back; other arcs weigh infinity. That holds for every neighbouring pair of the
-model's encoding of a text, and for one path only, so each position keeps one
-finite state and the least path is what the merges would make.
+two back; other transitions weigh infinity. That holds for every neighbouring pair
+of the model's encoding of a text, and for one path only, so each position keeps one
+state of finite weight and the least path is what the merges would make.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,40 +57,119 @@ class Memo(dict):
         self[key] = value
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """The rules of a model's compiled character map: a double array of the sources' bytes, whose leaves give where each target starts among the texts behind it."""
+    if not blob:
+        return {}
+    (size,) = struct.unpack_from("<I", blob)
+    units, targets = np.frombuffer(blob, dtype="<u4", count=size // 4, offset=4).astype(np.int64), blob[4 + size :]
+    labels = np.arange(1, 256)
+
+    def child(at: int) -> int:
+        unit = int(units[at])
+        return at ^ (unit >> 10) << ((unit & 1 << 9) >> 6)
+
+    rules, open_ = {}, [(child(0), b"")]
+    while open_:
+        base, source = open_.pop()
+        near = base ^ labels
+        near = np.where(near < len(units), near, 0)
+        for label in labels[(units[near] & 0x800000FF) == labels].tolist():
+            at, text = base ^ label, source + bytes([label])
+            below = child(at)
+            if units[at] >> 8 & 1:
+                start = int(units[below] & 0x7FFFFFFF)
+                rules[text.decode()] = targets[start : targets.index(b"\0", start)].decode()
+            open_.append((below, text))
+    return rules
+
+
+class Normaliser:
+    """Rewrites a text from left to right by the longest rule at each place, then treats its blanks as the model does."""
+
+    def __init__(self, rules: dict[str, str] | None = None, prefix: bool = True, collapse: bool = False):
+        self.rules, self.prefix, self.collapse = rules or {}, prefix, collapse
+        self.longest: dict[str, int] = {}
+        for source in self.rules:
+            self.longest[source[0]] = max(self.longest.get(source[0], 0), len(source))
+
+    def rewritten(self, text: str) -> str:
+        longest, rules = self.longest, self.rules
+        if longest.keys().isdisjoint(text):
+            return text
+        out, at = [], 0
+        while at < len(text):
+            for size in range(longest.get(text[at], 0), 0, -1):
+                if (target := rules.get(text[at : at + size])) is not None:
+                    out.append(target)
+                    at += size
+                    break
+            else:
+                out.append(text[at])
+                at += 1
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        text = self.rewritten(text)
+        if self.collapse:
+            text = re.sub(" +", " ", text).strip(" ")
+        if not text:
+            return ""
+        return (BLANK if self.prefix else "") + text.replace(" ", BLANK)
+
+
 class Transducer:
-    """Pieces (text, score, kind) and the normaliser's settings, ready to compose with inputs."""
+    """Pieces (text, score, kind) and a normaliser, ready to compose with inputs.
+
+    A symbol is a piece's number, or for a character without a piece the number of
+    pieces and its code point.
+    """
 
-    def __init__(self, pieces: list[tuple[str, float, int]], kind: int = BYTE_PAIR, prefix: bool = True, collapse: bool = False):
+    def __init__(self, pieces: list[tuple[str, float, int]], kind: int = BYTE_PAIR, normalise: Normaliser | None = None):
         if kind not in (UNIGRAM, BYTE_PAIR):
             raise ValueError(f"model kind {kind} is not supported")
-        self.kind, self.prefix, self.collapse = kind, prefix, collapse
+        self.kind, self.normalise = kind, normalise or Normaliser()
         self.texts = [p for p, _, _ in pieces]
         self.weights = [-w for _, w, _ in pieces]
-        self.arcs = {p: -w for p, w, k in pieces if k in (NORMAL, USER_DEFINED)}
+        self.score_of = {p: -w for p, w, k in pieces if k in (NORMAL, USER_DEFINED)}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
         self.unknown = next((i for i, (_, _, k) in enumerate(pieces) if k == UNKNOWN), 0)
-        self.penalty = 10.0 + max(self.arcs.values(), default=0.0)
-        # states of the piece transducer by what they have read: the piece that ends there, or -1
-        self.forward = {p[:i]: -1 for p in self.arcs for i in range(1, len(p))}
-        self.forward |= {p: i for i, (p, _, k) in enumerate(pieces) if k in (NORMAL, USER_DEFINED)}
+        self.penalty = 10.0 + max(self.score_of.values(), default=0.0)
+        # the trie: arcs of each state by character, and the piece that ends in it, or -1
+        self.arcs: list[dict[str, int]] = [{}]
+        self.ends: list[int] = [-1]
+        for i, (p, _, k) in enumerate(pieces):
+            if k in (NORMAL, USER_DEFINED):
+                state = 0
+                for c in p:
+                    if c not in self.arcs[state]:
+                        self.arcs[state][c] = len(self.arcs)
+                        self.arcs.append({})
+                        self.ends.append(-1)
+                    state = self.arcs[state][c]
+                self.ends[state] = i
         # an input is cut where no piece can lie across: before a run of blanks, and around line ends; the parts' paths join to the whole one
-        split = not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.arcs)
+        split = not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.score_of)
         self.cut = re.compile(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+" if split else "(?s).+")
         self.output = [self._decoded(p, k) for p, _, k in pieces]
         self.words, self.pairs = Memo(MEMO), Memo(MEMO)
+        self.edges: dict[int, tuple[list, list] | None] = {}
 
     @classmethod
     def load(cls, path: str) -> Transducer:
-        """The transducer of a model file; only identity normalisers can be compiled."""
+        """The transducer of a model file, its normaliser's character map included."""
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as file:
             model.ParseFromString(file.read())
         rules = model.normalizer_spec
-        if rules.precompiled_charsmap or not rules.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
-            raise ValueError("this model's normaliser is not supported")
-        return cls([(p.piece, p.score, p.type) for p in model.pieces], model.trainer_spec.model_type, rules.add_dummy_prefix, rules.remove_extra_whitespaces)
+        if not rules.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("this model's treatment of white space is not supported")
+        if rules.precompiled_charsmap and any(p.type == USER_DEFINED for p in model.pieces):
+            raise ValueError("a character map beside user-defined pieces, which it must leave alone, is not supported")
+        normalise = Normaliser(character_map(rules.precompiled_charsmap), rules.add_dummy_prefix, rules.remove_extra_whitespaces)
+        return cls([(p.piece, p.score, p.type) for p in model.pieces], model.trainer_spec.model_type, normalise)
 
     @staticmethod
     def _decoded(piece: str, kind: int) -> bytes:
@@ -96,98 +179,106 @@ class Transducer:
             return UNKNOWN_TEXT.encode() if kind == UNKNOWN else b""
         return piece.replace(BLANK, " ").encode()
 
-    def normalise(self, text: str) -> str:
-        if self.collapse:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        return (BLANK if self.prefix else "") + text.replace(" ", BLANK)
+    def text(self, symbol: int) -> str:
+        """The characters of a symbol."""
+        return self.texts[symbol] if symbol < len(self.texts) else chr(symbol - len(self.texts))
+
+    def fallback(self, char: str) -> tuple[float, list[int]]:
+        """Weight and ids of the arc of a character without a piece: its bytes', or the unknown piece's."""
+        ids = [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
+        return (self.penalty if self.kind == UNIGRAM or not self.bytes else sum(self.weights[i] for i in ids)), ids
 
     def merged(self, symbols: list[str]) -> list[str]:
         """What merging neighbours makes of symbols: the best scored pair first, the leftmost of equals."""
-        arcs = self.arcs
-        while len(symbols) > 1:
-            best, at = INFINITY, -1
-            for i in range(len(symbols) - 1):
-                arc = arcs.get(symbols[i] + symbols[i + 1])
-                if arc is not None and arc < best:
-                    best, at = arc, i
-            if at < 0:
-                break
+        while (at := self._next_merge(symbols)) >= 0:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
+    def _next_merge(self, symbols: list[str]) -> int:
+        score_of, best, found = self.score_of, INFINITY, -1
+        for i in range(len(symbols) - 1):
+            weight = score_of.get(symbols[i] + symbols[i + 1])
+            if weight is not None and weight < best:
+                best, found = weight, i
+        return found
+
+    def _edges(self, symbol: int) -> tuple[list, list] | None:
+        """The parts (text, from, until) that stand at a symbol's left and right edge while its characters merge, by the largest weight merged so far; None if they don't merge to it."""
+        if symbol not in self.edges:
+            parts, now = list(self.text(symbol)), 0.0
+            left, right = [[parts[0], now, INFINITY]], [[parts[-1], now, INFINITY]]
+            since = [now] * len(parts)
+            while (at := self._next_merge(parts)) >= 0:
+                made = parts[at] + parts[at + 1]
+                now = max(self.score_of[made], since[at], since[at + 1])
+                for edge, here in ((left, at == 0), (right, at == len(parts) - 2)):
+                    if here:
+                        edge[-1][2] = now
+                        edge.append([made, now, INFINITY])
+                parts[at : at + 2], since[at : at + 2] = [made], [now]
+            self.edges[symbol] = (left, right) if len(parts) == 1 else None
+        return self.edges[symbol]
+
     def follow(self, left: int, right: int) -> bool:
-        """Whether the arc of symbol right has a finite weight after symbol left, or at the start (left -1)."""
+        """Whether symbol right has a finite weight after symbol left, or at the start (left -1): no merge crosses their border while the parts beside it stand."""
         key = left << 22 | right
         known = self.pairs.get(key)
         if known is None and (known := self.pairs.old.get(key)) is None:
-            apart = ([self.text(left)] if left >= 0 else []) + [self.text(right)]
-            known = self.merged(list("".join(apart))) == apart
+            known = self._apart(left, right)
             self.pairs.keep(key, known)
         return known
 
-    def text(self, symbol: int) -> str:
-        """The characters of a piece, or of a character without a piece (numbered after the pieces)."""
-        return self.texts[symbol] if symbol < len(self.texts) else chr(symbol - len(self.texts))
-
-    def ahead(self, word: str, at: int) -> list[tuple[int, int]]:
-        """Arcs (symbol, end) that leave a position of a part of an input, longest last."""
-        found, forward = [], self.forward
-        for end in range(at + 1, len(word) + 1):
-            symbol = forward.get(word[at:end])
-            if symbol is None:
-                break
-            if symbol >= 0:
-                found.append((symbol, end))
-        if not found or found[0][1] > at + 1:
-            found.insert(0, (len(self.texts) + ord(word[at]), at + 1))
-        return found
+    def _apart(self, left: int, right: int) -> bool:
+        own = self._edges(right)
+        if left < 0 or own is None:
+            return own is not None
+        for a, a_from, a_until in self._edges(left)[1]:
+            for b, b_from, b_until in own[0]:
+                weight = self.score_of.get(a + b)
+                if weight is not None:
+                    at, until = max(weight, a_from, b_from), min(a_until, b_until)
+                    if at < until:
+                        return False
+                    if at == until:  # which of equals comes first depends on more than the parts at the edges
+                        both = [self.text(left), self.text(right)]
+                        return self.merged(list("".join(both))) == both
+        return True
 
     def shortest_path(self, word: str) -> list[int]:
-        """Symbols along the least path of a part of an input."""
-        return self._finite_path(word) if self.kind == BYTE_PAIR else self._least_path(word)
-
-    def _finite_path(self, word: str) -> list[int]:
-        """The one path without an infinite weight, by depth, longest arcs first.
-
-        Each position has one finite path from the start, so a position from which
-        the end wasn't reached needs no second visit.
-        """
-        n, dead = len(word), bytearray(len(word) + 1)
-        path: list[int] = []
-        back: list[tuple[int, list[tuple[int, int]]]] = []
-        at, last, arcs = 0, -1, self.ahead(word, 0)
-        follow = self.follow
-        while at < n:
-            if arcs:
-                symbol, end = arcs.pop()
-                if not dead[end] and follow(last, symbol):
-                    back.append((at, arcs))
-                    path.append(symbol)
-                    at, last = end, symbol
-                    if at < n:
-                        arcs = self.ahead(word, at)
-            else:
-                dead[at] = 1
-                at, arcs = back.pop()
-                path.pop()
-                last = path[-1] if path else -1
-        return path
-
-    def _least_path(self, word: str) -> list[int]:
-        """The least path where no weight depends on the piece before."""
+        """Symbols along the path of least weight of a part of an input, found by min and + over its positions from left to right."""
         n = len(word)
-        weight, came = [0.0] + [INFINITY] * n, [(0, 0)] * (n + 1)
+        weight, came, last = [0.0] + [INFINITY] * n, [0] * (n + 1), [-1] * (n + 1)
+        arcs, ends, weights, pairs, old = self.arcs, self.ends, self.weights, self.pairs, self.pairs.old
+        paired = self.kind == BYTE_PAIR
         for at in range(n):
-            for symbol, end in self.ahead(word, at):
-                total = weight[at] + (self.weights[symbol] if symbol < len(self.texts) else self.penalty)
-                if total < weight[end]:
-                    weight[end], came[end] = total, (symbol, at)
+            here, before = weight[at], last[at]
+            state, end, alone = 0, at, True
+            while end < n:
+                state = arcs[state].get(word[end])
+                if state is None:
+                    break
+                end += 1
+                symbol = ends[state]
+                if symbol >= 0:
+                    if end == at + 1:
+                        alone = False
+                    total = here + weights[symbol]
+                    if total < weight[end]:
+                        if paired:
+                            known = pairs.get(before << 22 | symbol)
+                            if known is None:
+                                known = self.follow(before, symbol)
+                            if not known:
+                                continue
+                        weight[end], came[end], last[end] = total, at, symbol
+            if alone:
+                total = here + self.fallback(word[at])[0]
+                if total < weight[at + 1]:
+                    weight[at + 1], came[at + 1], last[at + 1] = total, at, len(self.texts) + ord(word[at])
         path = []
         while n:
-            symbol, n = came[n]
-            path.append(symbol)
+            path.append(last[n])
+            n = came[n]
         return path[::-1]
 
     def encode_word(self, word: str) -> bytes:
@@ -195,10 +286,8 @@ class Transducer:
         for symbol in self.shortest_path(word):
             if symbol < len(self.texts):
                 ids.append(symbol)
-            elif self.bytes:
-                ids += [self.bytes[b] for b in self.text(symbol).encode()]
             else:
-                ids.append(self.unknown)
+                ids += self.fallback(self.text(symbol))[1]
         return array("i", ids).tobytes()  # little-endian, as on any machine that Spark runs on
 
     def encode(self, text: str) -> bytes:
@@ -217,10 +306,10 @@ class Transducer:
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids: the inverse transducer, without the blank that was put in front; bytes that aren't UTF-8 become U+FFFD."""
-        output = self.output
-        text = b"".join([output[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text[:1] == " " else text
+        """The text of ids: the inverse transducer, without the blank that was put in front; bytes that aren't UTF-8 become U+FFFD, and so does an id that no piece has."""
+        output, n = self.output, len(self.output)
+        text = b"".join([output[i] if 0 <= i < n else b"\xff" for i in ids]).decode("utf-8", "replace")
+        return text[1:] if self.normalise.prefix and text[:1] == " " else text
 
 
 _loaded: dict[str, Transducer] = {}
@@ -240,8 +329,11 @@ def _passed(frame: DataFrame, drop: str, name: str, kind: T.DataType) -> T.Struc
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """docs with ids array<int> added: the encoding of the whole text.
 
-    Null or empty text: no ids. A column named ids is replaced; all others pass.
-    Repeated rows each get theirs; an empty table gives an empty table.
+    Null or empty text: no ids. A very long text is encoded whole, word by word; a
+    word of any length is one part. Ties between paths can't be, or go to the
+    shortest first piece. A column named ids is replaced; all others pass, whatever
+    their names. Repeated rows and null ids each get theirs; an empty table gives an
+    empty table.
     """
     schema = _passed(docs, "", "ids", T.ArrayType(T.IntegerType()))
 
@@ -258,7 +350,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """encoded(ids) with text string added, from the ids alone; null ids: empty. A column named text is replaced."""
+    """encoded(ids) with text string added, from the ids alone; null ids: empty; an id that no piece has, or a null one, is U+FFFD. A column named text is replaced."""
     schema = _passed(encoded, "", "text", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +359,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
             ids = batch.column("ids")
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [transducer.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []) for x in ids.slice(at, 500)]
+                texts = [transducer.decode(pc.fill_null(x.values, -1).to_numpy(zero_copy_only=False).tolist() if x.is_valid else []) for x in ids.slice(at, 500)]
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in schema.fields[:-1]], pa.array(texts, pa.string())], names=schema.names)
 
     return arrow_map(encoded, run, schema)
