@@ -32,8 +32,8 @@ def test_equal_small_ids_share_words():
     assert len(tokens.encode_blocks(np.full(600, (1 << 15) - 1, np.uint64))[0]) == 150
 
 
-def expected(rows):
-    library = Tokenizer.from_file(TOKENIZER)
+def expected(rows, tokenizer=TOKENIZER):
+    library = Tokenizer.from_file(tokenizer)
     library.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in rows:
@@ -45,8 +45,8 @@ def expected(rows):
 
 def through_files(spark, docs, **more):
     folder = shared_path(spark, "tokens")
-    files = tokens.write_token_files(docs, folder, TOKENIZER, **more)
-    return sorted((tuple(r) for r in tokens.read_token_files(spark, folder, files).collect()), key=lambda r: r[1])
+    tokens.write_token_files(docs, folder, more.pop("tokenizer", TOKENIZER), **more)
+    return sorted((tuple(r) for r in tokens.read_token_files(spark, folder).collect()), key=lambda r: r[1])
 
 
 def test_documents_come_back_as_the_library_encodes_them(spark, tiny):
@@ -59,7 +59,7 @@ def test_small_files_and_blocks_give_the_same(spark, tiny):
     assert through_files(spark, docs, max_ids=3000, block=128) == expected(sorted(tuple(r) for r in docs.collect()))
 
 
-ODD = ["", " ", "  two  blanks ", "a\n\n b", "\n", " \n", "x \n y", "tab\tand\r\nline", "don't I'LL we've", "<|endoftext|>", "a <|endoftext|> b", "日本 語", " nb  sp", "1 22 333 4444", "é è́", "\U0001f600 \U0001f600", "a" * 5000, "...  !!! ,", "  em  ", "\x1c x \x1d", "\u0085 next", "' s 't 'll"]
+ODD = ["", " ", "  two  blanks ", "a\n\n b", "\n", " \n", "x \n y", "tab\tand\r\nline", "don't I'LL we've", "<|endoftext|>", "a <|endoftext|> b", "日本 語", " nb  sp", "1 22 333 4444", "é è́", "\U0001f600 \U0001f600", "a" * 5000, "...  !!! ,", "  em  ", "\x1c x \x1d", "\u0085 next", "' s 't 'll", "a word!!! a word?! a word$$$ word,, \n word.\nword. x's. x'. x.'s é... É) ß%% æ.b naïve*", "$$$ !a a!a a!!'t"]
 
 
 def test_odd_texts(spark):
@@ -81,8 +81,20 @@ def test_chunks_encode_as_the_whole_text(text):
 _held: list = []
 
 
+def test_any_other_tokenizer_encodes_whole_texts(spark):
+    other = public_tokenizers.path("word_bpe_49k.json")
+    assert tokens.splits_at_blanks(TOKENIZER) and not tokens.splits_at_blanks(other)
+    rows = [(i, t) for i, t in enumerate(ODD)]
+    assert through_files(spark, spark.createDataFrame(rows, "doc_id long, text string"), tokenizer=other) == expected(rows, other)
+
+
+def test_a_very_long_text_spans_blocks(spark):
+    rows = [(1, "short"), (2, "some words, and more. " * 20_000), (3, "after")]
+    assert through_files(spark, spark.createDataFrame(rows, "doc_id long, text string"), max_ids=1000) == expected(rows)
+
+
 def test_nulls_repeats_and_empty_table(spark):
-    docs = spark.createDataFrame([(2, "b", 1), (None, "a", 2), (2, "b", 3), (1, None, 4)], "doc_id long, text string, start int")
+    docs = spark.createDataFrame([(2, "b", 1, "f"), (None, "a", 2, "f"), (2, "b", 3, "f"), (1, None, 4, "f")], "doc_id long, text string, start int, file string")
     assert through_files(spark, docs) == expected([(None, "a"), (1, None), (2, "b"), (2, "b")])
     assert through_files(spark, docs.limit(0)) == []
 

@@ -16,6 +16,7 @@ No value crosses a block, so any range of blocks decodes alone, in whole arrays.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map, text_slices
@@ -214,17 +215,30 @@ def read_documents(content: bytes | memoryview) -> Iterator[tuple[int | None, in
         start += length
 
 
+def splits_at_blanks(path: str) -> bool:
+    """Whether a tokenizer file's texts may be encoded in chunks: byte-level pairs behind the usual splitting pattern, and nothing before it or matched across it."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    before, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    return (
+        spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+        and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        and all(token.get("special") for token in spec.get("added_tokens") or [])
+    )
+
+
 class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, each distinct chunk encoded once while it is remembered.
 
     A chunk runs up to a single space between two characters that aren't white
-    space, or up to one or two line ends between such. The vocabulary's splitting
-    pattern never carries a match over such a place, so chunks encode to the same
-    ids as the whole text. Nor does it join a letter to a full stop or comma, so a
-    word with one shares its ids with the word alone.
+    space, or up to one or two line ends between such. The usual splitting pattern
+    never carries a match over such a place, so chunks encode to the same ids as the
+    whole text. Nor does it join a letter to a mark behind it other than an
+    apostrophe, so a word shares its ids with the same word before marks. Whole
+    texts are encoded with any tokenizer that splits otherwise.
     """
 
-    _marks = ".,"
+    _marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     _rare = re.compile(r"[^\S \n]")
     _cut = re.compile(r"(?<=\S) (?=\S)")
@@ -234,9 +248,11 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line_end_ids, *mark_ids = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(["\n", *self._marks], add_special_tokens=False)]
-        self.mark_ids = dict(zip(self._marks, mark_ids))
+        self.chunked = splits_at_blanks(path)
+        if self.chunked:
+            (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+            self.line_end_ids = array("I", [self.line_end]).tobytes()
+        self.tails: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -272,17 +288,20 @@ class ChunkEncoder:
 
     def learn(self, chunks: set[str]) -> None:
         """Make every chunk known, with its leading space, in the young generation."""
-        young, old, marks = self.young, self.old, self.mark_ids
+        young, old, marks = self.young, self.old, self._marks
         fresh, marked = set(), []
         for chunk in [c for c in chunks if c not in young]:
             ids = old.get(chunk)
             if ids is not None:
                 young[chunk] = ids
-            elif chunk[-1] in marks and "A" <= chunk[-2:-1] < "\u0250" and chunk[-2].isalpha():
-                marked.append(chunk)
-            else:
-                fresh.add(chunk)
-        for word in [c[:-1] for c in marked]:
+                continue
+            if not chunk[-1].isalpha():
+                word = chunk.rstrip(marks)
+                if len(word) < len(chunk) and "A" <= word[-1:] < "\u0250" and word[-1].isalpha():
+                    marked.append((chunk, word, chunk[len(word) :]))
+                    continue
+            fresh.add(chunk)
+        for word in {w for _, w, _ in marked}:
             if word not in young and word not in fresh:
                 ids = old.get(word)
                 if ids is None:
@@ -292,10 +311,17 @@ class ChunkEncoder:
         new = list(fresh)
         for chunk, ids in zip(new, self.ids_of([c[1:] if c[0] == "\n" else " " + c for c in new])):
             young[chunk] = self.line_end_ids + ids if chunk[0] == "\n" else ids
-        for chunk in marked:
-            young[chunk] = young[chunk[:-1]] + marks[chunk[-1]]
+        tails = list({t for _, _, t in marked} - self.tails.keys())
+        if len(self.tails) + len(tails) > MEMO:
+            self.tails = {}
+            tails = list({t for _, _, t in marked})
+        self.tails.update(zip(tails, self.ids_of(tails)))
+        for chunk, word, tail in marked:
+            young[chunk] = young[word] + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.chunked:
+            return [array("I", ids).tobytes() for ids in self._batch(texts)]
         split = [self.chunks(t) if t else [] for t in texts]
         heads = self.ids_of([c.pop(0) if c else "" for c in split])
         self.learn(set().union(*split))
@@ -313,14 +339,18 @@ def _encoder(path: str) -> ChunkEncoder:
     return _loaded[path]
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, max_ids: int = 16_000_000, block: int = BLOCK) -> list[tuple[str, int, int]]:
-    """Write the ids of docs(doc_id, text) in ascending doc_id order; returns (file, documents, ids) of each file, in order.
+MANIFEST = "manifest.parquet"
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, max_ids: int = 16_000_000, block: int = BLOCK) -> None:
+    """Write the ids of docs(doc_id, text) in ascending doc_id order, and beside the files their manifest (part, file, n_docs, n_ids) as a table.
 
     Null text: empty, so only end_id. Null doc_ids come first; repeated ids are in
-    order of their text's hash, equal rows each count. An empty table writes no
-    file. Other columns are ignored. A file is renamed into place once whole, and a
-    task that runs again writes the same bytes, so a lost executor leaves no
-    half-written file. The driver gets one small row for each file.
+    order of their text's hash, equal rows each count. A very long text is encoded
+    whole, and its ids may span blocks. An empty table writes no file. Other columns
+    are ignored, whatever their names. A file is renamed into place once whole, and
+    a task that runs again writes the same bytes, so a lost executor leaves no
+    half-written file. Nothing passes the driver.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,13 +359,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
         def finish() -> None:
             made = writer.close()
-            found.append((name, made["n_docs"], made["n_ids"]))
+            found.append((partition, name, made["n_docs"], made["n_ids"]))
 
         for batch in batches:
             for part, texts in text_slices(batch):
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts)):
                     if writer is None:
-                        name = f"part-{partition:06d}-{len(found):04d}.s8b"
+                        name = f"part-{partition:06d}-{len(found):06d}.s8b"
                         writer = FileWriter(f"{folder}/{name}", block)
                     writer.add(doc_id, ids + end)
                     if writer.n_ids >= max_ids:
@@ -343,40 +373,45 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                         writer = None
         if writer is not None:
             finish()
-        yield pa.RecordBatch.from_pydict({"file": pa.array([f[0] for f in found], pa.string()), "n_docs": pa.array([f[1] for f in found], pa.int64()), "n_ids": pa.array([f[2] for f in found], pa.int64())})
+        columns = list(zip(*found)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "file", "n_docs", "n_ids"])
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = ordered.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return sorted(tuple(r) for r in arrow_map(ordered, write, "file string, n_docs long, n_ids long").collect())
+    arrow_map(ordered, write, "part int, file string, n_docs long, n_ids long").write.parquet(f"{folder}/{MANIFEST}")
+
+
+def file_starts(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, base): the ids of all files before each. Files are summed up by writing task first, so that what is summed in one order is a row for each task."""
+    files = spark.read.schema("part int, file string, n_docs long, n_ids long").parquet(f"{folder}/{MANIFEST}")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", before.alias("before"))
+    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return files.withColumn("inside", inside).join(parts, "part").select("file", (F.col("before") + F.col("inside")).alias("base"))
 
 
-def read_token_files(spark: SparkSession, folder: str, files: list[tuple[str, int, int]]) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document of the files, start counted over all files in order."""
-    base, total = {}, 0
-    for name, _, n_ids in files:
-        base[name] = total
-        total += n_ids
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not files:
-        return spark.createDataFrame([], schema)
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document of a folder's files, start counted over all files in order. A folder without files gives an empty table."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 name, rows = path.rpartition("/")[2], []
                 for doc_id, start, ids in read_documents(memoryview(content.as_buffer())):
-                    rows.append((doc_id, base[name] + start, len(ids), zlib.crc32(ids.astype("<u4", copy=False).tobytes())))
+                    rows.append((name, doc_id, start, len(ids), zlib.crc32(ids.astype("<u4", copy=False).tobytes())))
                     if len(rows) == 20_000:
                         yield _rows(rows)
                         rows = []
                 yield _rows(rows)
 
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [(), (), (), ()]
-        return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip(("doc_id", "start", "n_tokens", "ids_crc32"), columns)})
+        columns = list(zip(*rows)) or [()] * 5
+        kinds = (pa.string(), *[pa.int64()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names=["file", "doc_id", "place", "n_tokens", "ids_crc32"])
 
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(folder).select("path", "content")
-    return arrow_map(content, read, schema)
+    rows = arrow_map(content, read, "file string, doc_id long, place long, n_tokens long, ids_crc32 long")
+    return rows.join(file_starts(spark, folder), "file").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,5 +419,5 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = shared_path(spark, "op5-token-ids")
-    files = write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
-    return read_token_files(spark, folder, files)
+    write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_token_files(spark, folder)
