@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map, checkpointed, text_slices
 from tidemark.llm.leaks import shingle_codes, word_hashes, words_of
-from tidemark.session import table
+from tidemark.session import delete_path, shared_path, table
 
 #: Words of the shortest passage that is always found whole.
 MIN_WORDS = 50
@@ -77,9 +77,8 @@ def anchors(rows: DataFrame) -> DataFrame:
     return arrow_map(rows, select, "doc long, key long, place int, code long")
 
 
-def repeated_suffixes(rows: DataFrame) -> DataFrame:
-    """(side, suffix, doc, key, place, room) of the minimisers whose run is found in two documents at least; room is the words of the text on that side."""
-    found = anchors(rows)
+def repeated_suffixes(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(side, suffix, doc, key, place, room) of the minimisers in found whose run is found in two documents at least; room is the words of the text on that side."""
     shared = checkpointed(found.groupBy("code").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("code", "n"))
     total = shared.agg(F.sum("n")).first()[0] or 0
     hot = F.col("code").isin([r.code for r in shared.where(F.col("n") * HOT_SHARE >= total).select("code").collect()])
@@ -242,16 +241,21 @@ def repeated_regions(docs: DataFrame) -> DataFrame:
     lies in a region whole, and every word of a region lies in a run of at least
     LEAST words that another document has too. Pieces that touch are one region.
 
-    Words are compared with A-Z lower-cased, by hash. Null or empty texts, and those
-    of fewer than MIN_WORDS words, have no region. Repeated rows of one doc_id, and
+    Words are compared with A-Z lower-cased, by hash. Matches go on to the right by
+    the suffixes from a minimiser on and to the left by those backwards from it, and
+    beyond DEPTH words by the next minimiser's. Null or empty texts, and those of
+    fewer than MIN_WORDS words, have no region; very long texts are read whole.
+    Regions of equal length or ones that overlap are all given. Repeated rows of one doc_id, and
     all rows without one, are one document. An empty table gives an empty table;
     other columns are ignored. A passage's copies are rows that sort next to each
     other, however many there are, and sorted order is dealt out evenly; the driver
     gets at most four rows for each task.
     """
-    rows = _rows(docs)
-    found = repeated_suffixes(rows).repartitionByRange("side", "suffix", "doc", "place").sortWithinPartitions("side", "suffix", "doc", "place")
-    pieces = all_pieces(found)
+    rows, folder = _rows(docs), shared_path(docs.sparkSession, "anchors")
+    anchors(rows).write.parquet(folder)  # read twice: for the runs that repeat, and for where they are
+    found = repeated_suffixes(rows, docs.sparkSession.read.schema("doc long, key long, place int, code long").parquet(folder)).repartitionByRange("side", "suffix", "doc", "place").sortWithinPartitions("side", "suffix", "doc", "place")
+    pieces = all_pieces(found)  # written, so that the anchors may go
+    delete_path(docs.sparkSession, folder)
     ordered = Window.partitionBy("doc", "key").orderBy("start", "end")
     reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     islands = pieces.withColumn("apart", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("island", F.sum("apart").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
