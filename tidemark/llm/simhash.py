@@ -11,12 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, checkpointed, connected_components, row_id, text_slices
+from tidemark.llm.common import arrow_map, checkpointed, connected_components, fresh, row_id, text_slices
 from tidemark.session import table
 
 SEED = 42
 #: Links that are found before a task folds them into its forest.
 FOLD = 500_000
+#: Entries of a key that one task compares with each other; a larger key is cut into blocks.
+BLOCK_ROWS = 20_000
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -163,13 +165,14 @@ class _Forest:
             np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
 
 
-def links(prints: DataFrame, ring: Ring, parts: bool = False) -> DataFrame:
+def links(prints: DataFrame, ring: Ring, parts: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b): links that join the same fingerprints as all links would, at most one for each fingerprint and run of buckets. parts: every link, once, between fingerprints of prints(fingerprint, part) whose part differs.
 
     prints(fingerprint) are distinct. Each goes into the index under its keys; rows
     of a key meet in one task, sorted, where only distinct fingerprints that agree
     in a key's bits are compared and a spanning forest of their links is kept. So
-    copies never meet here, and no list of pairs leaves a bucket.
+    copies never meet here, and no list of pairs leaves a bucket. A key of more than
+    block_rows entries is compared by pairs of blocks, each in a task of its own.
     """
     width = ring.bytes
 
@@ -182,46 +185,61 @@ def links(prints: DataFrame, ring: Ring, parts: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(roles, pa.int8()), column.take(pa.array(rows)), part.take(pa.array(rows))], names=["key", "role", "fingerprint", "part"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, roles, data, own = np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros((0, width), np.uint8), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for batch in batches:
-            keys = np.concatenate([keys, batch.column("key").to_numpy()])
-            roles = np.concatenate([roles, batch.column("role").to_numpy()])
-            data = np.concatenate([data, _matrix(batch.column("fingerprint"), width)])
-            own = np.concatenate([own, batch.column("part").to_numpy()])
-            if len(keys) < 50_000 or keys[0] == keys[-1]:
+            if not batch.num_rows:
                 continue
-            whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-            yield from found(keys[:whole], roles[:whole], data[:whole], own[:whole])
-            keys, roles, data, own = keys[whole:], roles[whole:], data[whole:], own[whole:]
-        yield from found(keys, roles, data, own)
+            places = np.stack([batch.column(n).to_numpy() for n in ("key", "left", "right")], axis=1)
+            fresh = (places, batch.column("role").to_numpy(), batch.column("block").to_numpy(), _matrix(batch.column("fingerprint"), width), batch.column("part").to_numpy())
+            held.append(fresh)
+            size += len(places)
+            first = held[0][0][0]
+            if size < 50_000 or (first == places[-1]).all():
+                continue
+            whole = len(places) - int((places != places[-1]).any(axis=1)[::-1].argmax())  # the last key may go on in the next batch
+            if (places == places[-1]).all():
+                yield from found(*_joined(held[:-1]))
+                held = [fresh]
+            else:
+                yield from found(*_joined([*held[:-1], tuple(x[:whole] for x in fresh)]))
+                held = [tuple(x[whole:] for x in fresh)]
+            size = len(held[0][0])
+        if held:
+            yield from found(*_joined(held))
 
     def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([bytes(x) for x in ends], pa.binary()) for ends in (a, b)], names=["a", "b"])
 
-    def found(keys: np.ndarray, roles: np.ndarray, data: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
-        again = np.zeros(len(keys), dtype=bool)
-        again[1:] = keys[1:] == keys[:-1]
+    def found(places: np.ndarray, roles: np.ndarray, blocks: np.ndarray, data: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        again = np.zeros(len(places), dtype=bool)
+        again[1:] = (places[1:] == places[:-1]).all(axis=1)
         again[:-1] |= again[1:]
-        keys, roles, data, own = keys[again], roles[again], data[again], own[again]
+        places, roles, blocks, data, own = (x[again] for x in (places, roles, blocks, data, own))
+        bucket = np.cumsum(np.append(True, (places[1:] != places[:-1]).any(axis=1))) if len(places) else np.zeros(0, np.int64)
+        crossing = places[:, 1] != places[:, 2]  # two blocks of one key: only pairs between them
         distinct, local = np.unique(data.view(f"V{width}").ravel(), return_inverse=True) if len(data) else (data, np.zeros(0, np.int64))
         forest, cut, words = _Forest(len(distinct)), ring.cut(data), np.ascontiguousarray(data[:, : ring.bits // 8]).view(np.uint64)
         sizes = ring.sizes(data) if ring.ratio else None
         left, step, held, size = np.flatnonzero(roles == 0), 1, [], 0
-        start = ring.first(keys)
+        start = ring.first(places[:, 0])
         while len(left):
-            left = left[left + step < len(keys)]
-            left = left[keys[left] == keys[left + step]]
+            left = left[left + step < len(bucket)]
+            left = left[bucket[left] == bucket[left + step]]
             for at in range(0, len(left), FOLD):
                 a = left[at : at + FOLD]
+                b = a + step
+                wanted = ~crossing[a] | (blocks[a] != blocks[b])
                 if parts:
-                    a = a[own[a] != own[a + step]]
-                hit = ring.linked(cut, words, sizes, start[a], a, a + step)
+                    wanted &= own[a] != own[b]
+                a, b = a[wanted], b[wanted]
+                hit = ring.linked(cut, words, sizes, start[a], a, b)
                 if parts:  # a link is met under each segment that agrees, and written under the first
-                    a = a[hit]
-                    a = a[(cut[a] == cut[a + step]).argmax(axis=1) == start[a]]
-                    yield pairs(*(distinct[local[x]] for x in (a, a + step)))
+                    a, b = a[hit], b[hit]
+                    a, b = (x[(cut[a] == cut[b]).argmax(axis=1) == start[a]] for x in (a, b))
+                    yield pairs(*(distinct[local[x]] for x in (a, b)))
                     continue
-                held.append((local[a[hit]], local[a[hit] + step]))
+                held.append((local[a[hit]], local[b[hit]]))
                 size += len(hit)
             if size >= FOLD or not len(left):
                 forest.join(np.concatenate([x for x, _ in held] or [left]), np.concatenate([x for _, x in held] or [left]))
@@ -235,7 +253,28 @@ def links(prints: DataFrame, ring: Ring, parts: bool = False) -> DataFrame:
 
     own = F.col("part") if parts else F.lit(0)
     entries = arrow_map(prints.select("fingerprint", own.cast("long").alias("part")), index, "key long, role byte, fingerprint binary, part long")
-    return arrow_map(entries.repartition("key").sortWithinPartitions("key", "role"), compare, "a binary, b binary")
+    dealt = _blocks(entries, block_rows)
+    return arrow_map(dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "role"), compare, "a binary, b binary")
+
+
+def _joined(held: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*held)]
+
+
+def _blocks(entries: DataFrame, block_rows: int) -> DataFrame:
+    """entries with the blocks (left, right) of their key that are to be compared, and their own block.
+
+    A key of up to block_rows entries is one block, 0 with 0. A larger one is cut by
+    its fingerprints' hash into blocks of about so many, and each pair of blocks is
+    compared on its own, in any task: what a task holds doesn't grow with a key.
+    """
+    large = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows)
+    large = checkpointed(large.select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")))
+    if large.isEmpty():
+        return entries.select("*", F.lit(0).alias("block"), F.lit(0).alias("left"), F.lit(0).alias("right"))
+    cut = entries.join(large, "key", "left").withColumn("block", F.pmod(F.xxhash64("fingerprint"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other")
+    return cut.select("key", "role", "fingerprint", "part", "block", other).select("key", "role", "fingerprint", "part", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -285,8 +324,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, ring: Ring | None = None)
 
     Null or empty text: fingerprint zero, linked like any other. Null doc_ids take
     part but never name a component unless all of it is null. Repeated rows are in
-    one component. With a ring that has a ratio, a link also needs that Jaccard
-    similarity of the distinct shingles. An empty table gives an empty table. Other columns are ignored.
+    one component. Very long texts are read whole. With a ring that has a ratio, a
+    link also needs that Jaccard similarity of the distinct shingles. An empty table
+    gives an empty table. Other columns are ignored, whatever their names.
     """
     ring = ring or Ring(64, 3, 16, True)
     prints = checkpointed(fingerprints(docs, shingle, ring.bits, bool(ring.ratio)))
@@ -294,7 +334,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, ring: Ring | None = None)
     roots = connected_components(verified_links(docs, prints, ring, shingle) if ring.ratio else links(least, ring))
     rooted = checkpointed(least.join(roots, least["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("root")))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("fingerprint", "root", "component_id")
+    classes = checkpointed(rooted.join(named, "root").select("fingerprint", "root", "component_id"))  # a plain table, so that Spark may split the copies of one fingerprint
     return prints.join(classes, "fingerprint").select("doc_id", "key", "fingerprint", "root", "component_id")
 
 
@@ -306,11 +346,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, ring: Ring = WIDE) -
     """docs with one row of each group of near duplicates, that with the smallest doc_id (a null one first), all columns as they are.
 
     Rows with the same doc_id and text are one row; cases as in near_duplicates.
+    Other columns pass, whatever their names.
     """
-    found = near_duplicates(docs, shingle, ring)
-    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("row")).select("row.doc_id", "row.key")
-    wanted = first.select(F.struct("doc_id", "key").alias("__row"))
-    return docs.withColumn("__row", row_id()).join(wanted, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    found, row = near_duplicates(docs, shingle, ring), fresh("row", docs)
+    first = checkpointed(found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias(row)).select(row))
+    return docs.withColumn(row, row_id()).join(first, row, "left_semi").dropDuplicates([row]).drop(row)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
