@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
+from tidemark.llm import pipeline
 from tidemark.llm.chat import OP6_SQL, op6_chat
 from tidemark.llm.languages import op8_language
 from tidemark.llm.leaks import OP4_SQL, op4_decontaminate
@@ -33,7 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_private": op9_private,
         "op10_quality": op10_quality,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
