@@ -1,61 +1,5 @@
-"""The corpus pipeline: documents through five of the text operators, each stage on all that the one before kept."""
+"""The corpus pipeline, where the driver looks for it: five stages over documents, kept with the text operators."""
 
-from __future__ import annotations
+from tidemark.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidemark.llm import leaks, lines, pieces, quality, simhash
-from tidemark.llm.common import keep_rows
-from tidemark.session import shared_path, table
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules and their hosts' verdicts keep."""
-    return keep_rows(docs, quality.verdicts(docs).where("kept"))
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that ten or more of them have; n_chars follows the text."""
-    kept = lines.line_dedup(docs, min_docs=10)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates on five-word shingles."""
-    return simhash.drop_near_duplicates(docs)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that contain no item of benchmark."""
-    return leaks.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-
-
-def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, n_tokens and ids of each document, and the hash of the text that the ids decode to."""
-    model = pieces.default_model()
-    encoded = pieces.encode(docs.select("doc_id", "source", "lang", "text"), model).drop("text")
-    decoded = pieces.decode(encoded, model)
-    return decoded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
-
-
-STAGES = [
-    ("quality rules", quality_rules),
-    ("line dedup", line_dedup),
-    ("SimHash near-dedup", near_dedup),
-    ("benchmark decontamination", decontaminate),
-    ("SentencePiece", sentencepiece),
-]
-
-#: SQL can express neither SimHash components nor the encoding; tests hold each stage against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
-    folder = shared_path(spark, "pipeline")
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
