@@ -56,13 +56,18 @@ def cluster_details(labelled: DataFrame) -> DataFrame:
     )
 
 
-#: Percent of windows, seconds and match that a cluster needs, by mode.
-THRESHOLDS = {"strict": (10.0, 30.0, 90.0), "normal": (5.0, 20.0, 85.0), "lenient": (3.0, 10.0, 75.0)}
+#: Percent of windows, seconds and match that a cluster needs, and clusters that stepping needs, by mode.
+THRESHOLDS = {"strict": (10.0, 30.0, 90.0, 2), "normal": (5.0, 20.0, 85.0, 2), "lenient": (3.0, 10.0, 75.0, 2)}
 
 
-def validate_clusters(labelled: DataFrame, mode: str = "normal") -> DataFrame:
+def thresholds(mode: str = "normal", custom: tuple[float, float, float, int] | None = None) -> tuple[float, float, float, int]:
+    """A mode's thresholds; those given where the mode is custom; normal for an unknown one."""
+    return custom if mode == "custom" and custom else THRESHOLDS.get(mode, THRESHOLDS["normal"])
+
+
+def validate_clusters(labelled: DataFrame, mode: str = "normal", custom: tuple[float, float, float, int] | None = None) -> DataFrame:
     """Three checks of each cluster, how many passed, and whether all did."""
-    share, seconds, match = THRESHOLDS[mode]
+    share, seconds, match, _ = thresholds(mode, custom)
     totals = labelled.groupBy("source_key").agg(F.count(F.lit(1)).alias("total"))
     joined = cluster_details(labelled).join(totals, "source_key")
     checks = [F.col("n") / F.col("total") * 100 >= share, F.col("t1") - F.col("t0") + WINDOW_S >= seconds, F.col("avg_match") >= match]
@@ -70,15 +75,33 @@ def validate_clusters(labelled: DataFrame, mode: str = "normal") -> DataFrame:
     return joined.select("source_key", "label", "n", *[c.alias(a) for c, a in zip(checks, ("ok_share", "ok_duration", "ok_match"))], passed.alias("passed"), (passed == 3).alias("valid"))
 
 
-def diagnose(rows: DataFrame, mode: str = "normal", slope_limit: float = 0.7, r2_limit: float = 0.9) -> DataFrame:
-    """UNIFORM, STEPPING or LINEAR_DRIFT for each source; fewer than six windows are uniform."""
+#: Slope in ms a second that a 25/24 speed-up gives and how near it must be; slope and R² from which drift is linear, for lossy and lossless codecs.
+SPEED_UP, SPEED_UP_REACH = 40.9, 5.0
+LOSSY, LOSSLESS = (0.7, 0.90), (0.2, 0.95)
+
+
+def diagnose(rows: DataFrame, mode: str = "normal", correction: str = "full", fallback: str = "nearest", fps: Column | None = None, codec: Column | None = None) -> DataFrame:
+    """PAL_DRIFT, STEPPING, LINEAR_DRIFT or UNIFORM for each source; fewer than six windows are uniform.
+
+    First, at 25 frames a second (fps), the slope of a speed-up. Then clusters: with
+    correction disabled they are uniform; full and strict need all of them valid;
+    filtered needs enough valid ones, and with the fallback reject no other. One
+    cluster is drift if slope and R² are above the codec's thresholds.
+    """
     labelled = clustered_windows(rows)
     fits = linear_fit(rows.withColumn("y", F.col("delay_ms").cast("double")), "source_key", "start_s", "y")
     checked = validate_clusters(labelled, mode).groupBy("source_key").agg(F.count(F.lit(1)).alias("clusters"), F.count_if("valid").alias("valid"))
     joined = fits.join(checked, "source_key", "left").fillna(0, ["clusters", "valid"])
+    rate = fps if fps is not None else F.lit(0.0)
+    name = F.lower(codec) if codec is not None else F.lit("")
+    lossless = name.contains("pcm") | name.contains("flac") | name.contains("truehd")
+    slope_limit, r2_limit = (F.when(lossless, LOSSLESS[i]).otherwise(LOSSY[i]) for i in range(2))
+    enough, whole = F.col("valid") >= thresholds(mode)[3], F.col("valid") == F.col("clusters")
+    steps = {"full": enough & whole, "strict": enough & whole, "filtered": enough & (whole | F.lit(fallback != "reject"))}.get(correction, F.lit(False))
     kind = (
         F.when(F.col("n") < 6, "UNIFORM")
-        .when(F.col("clusters") > 1, F.when((F.col("valid") == F.col("clusters")) & (F.col("valid") >= 2), "STEPPING").otherwise("UNIFORM"))
+        .when((F.abs(rate - 25) < 0.1) & (F.abs(F.col("slope") - SPEED_UP) < SPEED_UP_REACH), "PAL_DRIFT")
+        .when(F.col("clusters") > 1, F.when(steps, "STEPPING").otherwise("UNIFORM"))
         .when((F.abs("slope") > slope_limit) & (F.col("r2") > r2_limit), "LINEAR_DRIFT")
         .otherwise("UNIFORM")
     )
@@ -108,18 +131,65 @@ def compress_ranges(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
     return islands.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), ",").alias("ranges"))
 
 
-def stability(rows: DataFrame, keys: list[str], outlier_ms: float = 1.0) -> DataFrame:
-    """Spread, sample deviation, mean and the first ten outliers of each key."""
-    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max("raw_delay_ms") - F.min("raw_delay_ms")).alias("variance_ms"), F.coalesce(F.stddev_samp("raw_delay_ms"), F.lit(0.0)).alias("std_ms"), F.avg("raw_delay_ms").alias("mean_ms"))
-    far = rows.join(stats.select(*keys, "mean_ms"), keys).where(F.abs(F.col("raw_delay_ms") - F.col("mean_ms")) > outlier_ms)
-    lists = far.groupBy(*keys).agg(F.count(F.lit(1)).alias("outliers"), F.slice(F.sort_array(F.collect_list("window_idx")), 1, 10).alias("first_outliers"))
-    return stats.join(lists, keys, "left").fillna(0, ["outliers"])
+def _far(reference: Column, any_mode: bool, outlier_ms: float) -> Column:
+    return F.abs(F.col("raw_delay_ms") - reference) > (0.0001 if any_mode else outlier_ms)
+
+
+def r4(column: Column) -> Column:
+    """Four decimals without a negative zero."""
+    return F.round(column, 4) + F.lit(0.0)
+
+
+def uniform_stability(rows: DataFrame, variance_ms: float = 0.0, any_mode: bool = False, outlier_ms: float = 1.0) -> DataFrame:
+    """Of each source whether its raw delays vary by more than variance_ms (by anything, if that is 0), their range, sample deviation and mean, and the outliers.
+
+    An outlier is outlier_ms away from the mean, or in any_mode differs from the first
+    delay. The first ten are listed by their number among the source's windows.
+    """
+    order = Window.partitionBy("source_key").orderBy("window_idx")
+    whole = Window.partitionBy("source_key")
+    numbered = rows.select("*", F.row_number().over(order).alias("chunk"), F.first("raw_delay_ms").over(order).alias("first_ms"), F.avg("raw_delay_ms").over(whole).alias("mean_ms"))
+    far = _far(F.col("first_ms" if any_mode else "mean_ms"), any_mode, outlier_ms)
+    spread = F.max("raw_delay_ms") - F.min("raw_delay_ms")
+    return numbered.groupBy("source_key").agg(
+        F.count(F.lit(1)).alias("n"), ((F.count(F.lit(1)) > 1) & (spread > (variance_ms if variance_ms > 0 else 0.0001))).alias("varies"), r4(spread).alias("variance_ms"),
+        r4(F.coalesce(F.stddev_samp("raw_delay_ms"), F.lit(0.0))).alias("std_ms"), r4(F.avg("raw_delay_ms")).alias("mean_ms"), r4(F.min("raw_delay_ms")).alias("min_ms"), r4(F.max("raw_delay_ms")).alias("max_ms"),
+        F.count_if(far).alias("outliers"), F.slice(F.sort_array(F.collect_list(F.when(far, F.col("chunk")))), 1, 10).alias("first_outliers"),
+    )
+
+
+def cluster_stability(labelled: DataFrame, variance_ms: float = 0.0, any_mode: bool = False, outlier_ms: float = 1.0) -> DataFrame:
+    """Of each source the widest range inside a cluster and whether it is too wide, and the clusters that have outliers (number, mean, range, outliers). Clusters of one window say nothing."""
+    order = Window.partitionBy("source_key", "label").orderBy("window_idx")
+    inside = labelled.where("label >= 0").withColumn("first_ms", F.first("raw_delay_ms").over(order)).withColumn("mean_ms", F.avg("raw_delay_ms").over(Window.partitionBy("source_key", "label")))
+    far = _far(F.col("first_ms" if any_mode else "mean_ms"), any_mode, outlier_ms)
+    each = inside.groupBy("source_key", "label").agg(F.count(F.lit(1)).alias("n"), F.avg("raw_delay_ms").alias("mean_ms"), (F.max("raw_delay_ms") - F.min("raw_delay_ms")).alias("range_ms"), F.count_if(far).alias("outliers"))
+    told = F.col("n") > 1
+    issue = F.when(told & (F.col("outliers") > 0), F.struct("label", r6(F.col("mean_ms")).alias("mean_ms"), r6(F.col("range_ms")).alias("range_ms"), "outliers"))
+    widest = F.coalesce(F.max(F.when(told, F.col("range_ms"))), F.lit(0.0))
+    return each.groupBy("source_key").agg(
+        F.count(F.lit(1)).alias("clusters"), r4(widest).alias("variance_ms"), (widest > (variance_ms if variance_ms > 0 else 0.0001)).alias("varies"),
+        F.coalesce(F.sum(F.when(told, F.col("outliers"))), F.lit(0)).alias("outliers"), F.sort_array(F.collect_list(issue)).alias("issues"),
+    )
 
 
-def quality_gate(rows: DataFrame, percent: float = 90.0, median_ms: float = 20.0, std_ms: float = 15.0) -> DataFrame:
-    """Whether corrected windows pass, and the first reason why not."""
-    stats = rows.groupBy("source_key").agg(F.count(F.lit(1)).alias("total"), F.count_if("accepted").alias("n"), F.median(F.when(F.col("accepted"), F.col("raw_delay_ms"))).alias("median_ms"), F.stddev_pop(F.when(F.col("accepted"), F.col("raw_delay_ms"))).alias("std_ms"))
-    reason = F.when(F.col("n") < F.greatest(F.lit(10), (F.col("total") * percent / 100).cast("int")), "evidence").when(F.abs("median_ms") > median_ms, "median").when(F.col("std_ms") > std_ms, "spread").otherwise("passed")
+def sync_stability(rows: DataFrame, least: int = 3, **settings) -> DataFrame:
+    """Sources of at least so many accepted windows, by their clusters where they have more than one and as a whole otherwise."""
+    labelled = clustered_windows(rows)
+    counted = labelled.groupBy("source_key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("k")).where(F.col("n") >= least)
+    stepping, whole = (counted.where(c).select("source_key", "n") for c in (F.col("k") > 1, F.col("k") <= 1))
+    by_cluster = cluster_stability(labelled.join(stepping.select("source_key"), "source_key", "left_semi"), **settings).join(stepping, "source_key")
+    uniform = uniform_stability(rows.join(whole.select("source_key"), "source_key", "left_semi"), **settings)
+    columns = ("source_key", "n", "varies", "variance_ms", "outliers")
+    return by_cluster.select(*columns, F.lit(True).alias("is_stepping")).unionByName(uniform.select(*columns, F.lit(False).alias("is_stepping")))
+
+
+def quality_gate(rows: DataFrame, base_ms: float = 0.0, percent: float = 90.0, skip: bool = False) -> DataFrame:
+    """Whether corrected windows pass, and the first reason why not: too few accepted, their median delay off the base, or too wide a spread; looser limits in skip mode."""
+    median_ms, std_ms = (100.0, 500.0) if skip else (20.0, 15.0)
+    own = F.when(F.col("accepted"), F.col("delay_ms").cast("double"))
+    stats = rows.groupBy("source_key").agg(F.count(F.lit(1)).alias("total"), F.count_if("accepted").alias("n"), F.median(own).alias("median_ms"), F.stddev_pop(own).alias("std_ms"))
+    reason = F.when(F.col("n") < F.greatest(F.lit(10), (F.col("total") * percent / 100).cast("int")), "insufficient_accepted").when(F.abs(F.col("median_ms") - base_ms) > median_ms, "median_mismatch").when(F.col("std_ms") > std_ms, "unstable").otherwise("passed")
     return stats.select("source_key", "n", reason.alias("reason"))
 
 
@@ -161,19 +231,54 @@ def q_details(spark: SparkSession, sf: str) -> DataFrame:
     return cluster_details(clustered_windows(_accepted(spark, sf))).drop("members").withColumns({c: r6(F.col(c)) for c in ("mean_ms", "std_ms", "t0", "t1", "avg_match")})
 
 
-@query("cluster_validation", oracle("windows", body=_LABEL + _VALID + " SELECT *, passed = 3 AS valid FROM val"))
+def _valid(share: float, seconds: float, match: float) -> str:
+    return _VALID.replace(">= 5 AS", f">= {share} AS").replace(">= 20 AS", f">= {seconds} AS").replace(">= 85 AS", f">= {match} AS")
+
+
+_MODES = {"strict": (10.0, 30.0, 90.0, 2), "normal": (5.0, 20.0, 85.0, 2), "lenient": (3.0, 10.0, 75.0, 2), "custom": (1.0, 5.0, 50.0, 3)}
+
+
+@query("cluster_validation", oracle("windows", body=_LABEL + "".join(_valid(*m[:3]).replace(" v AS", f" v{i} AS").replace("val AS", f"val{i} AS").replace("FROM v)", f"FROM v{i})") for i, m in enumerate(_MODES.values())) + " " + " UNION ALL ".join(f"SELECT *, passed = 3 AS valid, '{m}' AS mode FROM val{i}" for i, m in enumerate(_MODES))))
 def q_validation(spark: SparkSession, sf: str) -> DataFrame:
-    return validate_clusters(clustered_windows(_accepted(spark, sf)))
+    labelled, out = clustered_windows(_accepted(spark, sf)), None
+    for mode in _MODES:
+        found = validate_clusters(labelled, mode, _MODES["custom"]).withColumn("mode", F.lit(mode))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
-@query(
-    "diagnosis",
-    oracle("windows", body=_LABEL + _VALID + _FIT + """, k AS (SELECT source_key, count(*) AS clusters, count(*) FILTER (passed = 3) AS valid FROM val GROUP BY 1),
-j AS (SELECT source_key, n, coalesce(clusters, 0) AS clusters, coalesce(valid, 0) AS valid, slope, r2 FROM fit LEFT JOIN k USING (source_key))
-SELECT source_key, n, clusters, valid, round(slope, 6) + 0.0 AS slope, round(r2, 6) + 0.0 AS r2, CASE WHEN n < 6 THEN 'UNIFORM' WHEN clusters > 1 THEN CASE WHEN valid = clusters AND valid >= 2 THEN 'STEPPING' ELSE 'UNIFORM' END WHEN abs(slope) > 0.7 AND r2 > 0.9 THEN 'LINEAR_DRIFT' ELSE 'UNIFORM' END AS diagnosis FROM j"""),
-)
+_DIAGNOSED = """, k AS (SELECT source_key, count(*) AS clusters, count(*) FILTER (passed = 3) AS valid FROM val GROUP BY 1),
+j AS (SELECT source_key, n, coalesce(clusters, 0) AS clusters, coalesce(valid, 0) AS valid, slope, r2, CASE source_key % 4 WHEN 0 THEN 25.0 ELSE 23.976 END AS fps, source_key % 2 = 0 AS lossless FROM fit LEFT JOIN k USING (source_key))
+SELECT source_key, n, clusters, valid, round(slope, 6) + 0.0 AS slope, round(r2, 6) + 0.0 AS r2,
+  CASE WHEN n < 6 THEN 'UNIFORM' WHEN abs(fps - 25) < 0.1 AND abs(slope - 40.9) < 5 THEN 'PAL_DRIFT' WHEN clusters > 1 THEN CASE WHEN {steps} THEN 'STEPPING' ELSE 'UNIFORM' END
+    WHEN abs(slope) > CASE WHEN lossless THEN 0.2 ELSE 0.7 END AND r2 > CASE WHEN lossless THEN 0.95 ELSE 0.9 END THEN 'LINEAR_DRIFT' ELSE 'UNIFORM' END AS diagnosis FROM j"""
+#: Windows on a slope for some sources: a speed-up's, one that only lossless codecs show, and one that all do; others on two levels, the rest as they are.
+_SLOPED = "CASE source_key % 8 WHEN 0 THEN 40.9 * window_idx WHEN 2 THEN 0.5 * window_idx WHEN 3 THEN 2.0 * window_idx WHEN 5 THEN CASE WHEN window_idx > 25 THEN 300 ELSE 0 END WHEN 6 THEN CASE WHEN window_idx > 25 THEN 300 ELSE 0 END ELSE raw_delay_ms END"
+_SLOPED_SQL = f", was AS (SELECT * FROM windows), windows2 AS (SELECT * REPLACE (window_idx::DOUBLE AS start_s, round({_SLOPED})::INT AS delay_ms, 90 + match_pct / 10 AS match_pct) FROM was)"
+
+
+def _sloped(spark: SparkSession, sf: str) -> DataFrame:
+    moved = windows(spark, sf).withColumns({"start_s": F.col("window_idx").cast("double"), "delay_ms": F.round(F.expr(_SLOPED)).cast("int"), "match_pct": F.col("match_pct") / 10 + 90})
+    return accepted_windows(moved)
+
+
+def _diagnosis(spark: SparkSession, sf: str, **modes: str) -> DataFrame:
+    fps, codec = F.when(F.col("source_key") % 4 == 0, 25.0).otherwise(23.976), F.when(F.col("source_key") % 2 == 0, "A_FLAC").otherwise("A_AC3")
+    return diagnose(_sloped(spark, sf), fps=fps, codec=codec, **modes).withColumns({c: r6(F.col(c)) for c in ("slope", "r2")})
+
+
+def _diagnosis_sql(steps: str) -> str:
+    return oracle("windows", body=_SLOPED_SQL + (_LABEL + _VALID + _FIT).replace("FROM windows", "FROM windows2") + _DIAGNOSED.format(steps=steps))
+
+
+@query("diagnosis", _diagnosis_sql("valid = clusters AND valid >= 2"))
 def q_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
-    return diagnose(_accepted(spark, sf)).withColumns({c: r6(F.col(c)) for c in ("slope", "r2")})
+    return _diagnosis(spark, sf)
+
+
+@query("diagnosis_filtered", _diagnosis_sql("valid >= 2"))
+def q_diagnosis_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    return _diagnosis(spark, sf, correction="filtered")
 
 
 @query("transition_zones", oracle("windows", body=_LABEL + """, z AS (SELECT source_key, label, t1, mean_ms, lead(t0) OVER w AS next_t0, lead(mean_ms) OVER w AS next_mean FROM det WINDOW w AS (PARTITION BY source_key ORDER BY t0, label))
@@ -182,11 +287,22 @@ def q_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return transitions(cluster_details(clustered_windows(_accepted(spark, sf)))).withColumns({c: r6(F.col(c)) for c in ("zone_start", "zone_end", "jump_ms")})
 
 
-@query("transition_pattern", oracle("windows", body=_LABEL + """, z AS (SELECT source_key, lead(mean_ms) OVER w - mean_ms AS jump FROM det WINDOW w AS (PARTITION BY source_key ORDER BY t0, label))
-SELECT source_key, count(jump) AS jumps, coalesce(bool_and(jump > 0), false) AS all_up, coalesce(bool_and(jump < 0), false) AS all_down FROM z WHERE jump IS NOT NULL GROUP BY 1"""))
+def transition_pattern(details: DataFrame) -> DataFrame:
+    """Per source the jumps between its clusters in order of their mean delay: how many, whether all go up or down, and whether their sizes are within 50 ms of the mean size."""
+    order = Window.partitionBy("source_key").orderBy("mean_ms", "label")
+    steps = details.select("source_key", (F.lead("mean_ms").over(order) - F.col("mean_ms")).alias("jump")).where("jump is not null")
+    sized = steps.withColumn("mean_size", F.avg(F.abs("jump")).over(Window.partitionBy("source_key")))
+    return sized.groupBy("source_key").agg(
+        F.count("jump").alias("jumps"), F.every(F.col("jump") > 0).alias("all_up"), F.every(F.col("jump") < 0).alias("all_down"),
+        (F.every(F.abs(F.abs("jump") - F.col("mean_size")) < 50) & (F.count("jump") > 1)).alias("consistent"),
+    )
+
+
+@query("transition_pattern", oracle("windows", body=_LABEL + """, z AS (SELECT source_key, lead(mean_ms) OVER w - mean_ms AS jump FROM det WINDOW w AS (PARTITION BY source_key ORDER BY mean_ms, label)),
+y AS (SELECT *, avg(abs(jump)) OVER (PARTITION BY source_key) AS size FROM z WHERE jump IS NOT NULL)
+SELECT source_key, count(jump) AS jumps, bool_and(jump > 0) AS all_up, bool_and(jump < 0) AS all_down, bool_and(abs(abs(jump) - size) < 50) AND count(jump) > 1 AS consistent FROM y GROUP BY 1"""))
 def q_pattern(spark: SparkSession, sf: str) -> DataFrame:
-    steps = transitions(cluster_details(clustered_windows(_accepted(spark, sf))))
-    return steps.groupBy("source_key").agg(F.count("jump_ms").alias("jumps"), F.every(F.col("jump_ms") > 0).alias("all_up"), F.every(F.col("jump_ms") < 0).alias("all_down"))
+    return transition_pattern(cluster_details(clustered_windows(_accepted(spark, sf))))
 
 
 @query("label_changes", oracle("windows", body=_LABEL + """, s AS (SELECT source_key, window_idx, label, lag(label) OVER w AS was, lag(window_idx) OVER w AS last_idx FROM lab WHERE label >= 0 WINDOW w AS (PARTITION BY source_key ORDER BY window_idx))
@@ -202,30 +318,54 @@ def q_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return compress_ranges(_accepted(spark, sf), ["source_key"], "window_idx")
 
 
-_STABLE = """, s AS (SELECT {k}, count(*) AS n, max(raw_delay_ms) - min(raw_delay_ms) AS variance_ms, coalesce(stddev_samp(raw_delay_ms), 0) AS std_ms, avg(raw_delay_ms) AS mean_ms FROM {t} GROUP BY ALL),
-o AS (SELECT {k}, count(*) AS outliers, list_sort(list(window_idx))[1:10] AS fo FROM {t} JOIN s USING ({k}) WHERE abs(raw_delay_ms - mean_ms) > 1 GROUP BY ALL)
-SELECT {k}, n, round(variance_ms, 8) + 0.0 AS variance_ms, round(std_ms, 8) + 0.0 AS std_ms, round(mean_ms, 8) + 0.0 AS mean_ms, coalesce(outliers, 0) AS outliers, array_to_string(fo, ',') AS first_outliers FROM s LEFT JOIN o USING ({k})"""
+_UNIFORM = """, u AS (SELECT *, row_number() OVER w AS chunk, first(raw_delay_ms) OVER w AS first_ms, avg(raw_delay_ms) OVER (PARTITION BY source_key) AS mean FROM {t} WINDOW w AS (PARTITION BY source_key ORDER BY window_idx)),
+us AS (SELECT source_key, count(*) AS n, count(*) > 1 AND max(raw_delay_ms) - min(raw_delay_ms) > {v} AS varies, round(max(raw_delay_ms) - min(raw_delay_ms), 4) + 0.0 AS variance_ms, round(coalesce(stddev_samp(raw_delay_ms), 0), 4) + 0.0 AS std_ms,
+  round(avg(raw_delay_ms), 4) + 0.0 AS mean_ms, round(min(raw_delay_ms), 4) + 0.0 AS min_ms, round(max(raw_delay_ms), 4) + 0.0 AS max_ms, count(*) FILTER ({far}) AS outliers,
+  coalesce(array_to_string((list(chunk ORDER BY chunk) FILTER ({far}))[1:10], ','), '') AS first_outliers FROM u GROUP BY 1)"""
+_INSIDE = """, i AS (SELECT *, avg(raw_delay_ms) OVER (PARTITION BY source_key, label) AS mean FROM lab WHERE label >= 0),
+e AS (SELECT source_key, label, count(*) AS n, avg(raw_delay_ms) AS mean_ms, max(raw_delay_ms) - min(raw_delay_ms) AS range_ms, count(*) FILTER (abs(raw_delay_ms - mean) > 1) AS outliers FROM i GROUP BY 1, 2),
+cs AS (SELECT source_key, count(*) AS clusters, round(coalesce(max(range_ms) FILTER (n > 1), 0), 4) + 0.0 AS variance_ms, coalesce(max(range_ms) FILTER (n > 1), 0) > 0.0001 AS varies, coalesce(sum(outliers) FILTER (n > 1), 0)::BIGINT AS outliers,
+  coalesce(string_agg(label || ':' || outliers, ',' ORDER BY label) FILTER (n > 1 AND outliers > 0), '') AS issues FROM e GROUP BY 1)"""
 
 
-def _written(found: DataFrame) -> DataFrame:
-    rounded = {c: F.round(c, 8) + F.lit(0.0) for c in ("variance_ms", "std_ms", "mean_ms")}
-    return found.withColumns(rounded | {"first_outliers": F.array_join(F.col("first_outliers").cast("array<string>"), ",")})
+def _listed(found: DataFrame) -> DataFrame:
+    return found.withColumn("first_outliers", F.array_join(F.col("first_outliers").cast("array<string>"), ","))
 
 
-@query("stability_uniform", oracle("windows", body=_A + _STABLE.format(k="source_key", t="a")))
+@query("stability_uniform", oracle("windows", body=_A + _UNIFORM.format(t="a", v=25, far="abs(raw_delay_ms - mean) > 1") + " SELECT * FROM us"))
 def q_stability(spark: SparkSession, sf: str) -> DataFrame:
-    return _written(stability(_accepted(spark, sf), ["source_key"]))
+    return _listed(uniform_stability(_accepted(spark, sf), variance_ms=25.0))
+
 
+@query("stability_any", oracle("windows", body=_A + _UNIFORM.format(t="a", v=0.0001, far="abs(raw_delay_ms - first_ms) > 0.0001") + " SELECT * FROM us"))
+def q_stability_any(spark: SparkSession, sf: str) -> DataFrame:
+    return _listed(uniform_stability(_accepted(spark, sf), any_mode=True))
 
-@query("stability_clusters", oracle("windows", body=_LABEL + ", b AS (SELECT * FROM lab WHERE label >= 0)" + _STABLE.format(k="source_key, label", t="b")))
+
+@query("stability_clusters", oracle("windows", body=_LABEL + _INSIDE + " SELECT * FROM cs"))
 def q_stability_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return _written(stability(clustered_windows(_accepted(spark, sf)).where("label >= 0"), ["source_key", "label"]))
+    found = cluster_stability(clustered_windows(_accepted(spark, sf)))
+    return found.withColumn("issues", F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["label"].cast("string"), i["outliers"].cast("string"))), ","))
+
 
+@query("stability", oracle("windows", body=_LABEL + _INSIDE + ", k AS (SELECT source_key, count(*) AS n, count(DISTINCT label) FILTER (label >= 0) AS k FROM lab GROUP BY 1), w AS (SELECT * FROM a WHERE source_key IN (SELECT source_key FROM k WHERE k <= 1))" + _UNIFORM.format(t="w", v=0.0001, far="abs(raw_delay_ms - mean) > 1") + """
+SELECT source_key, k.n, varies, variance_ms, outliers, true AS is_stepping FROM cs JOIN k USING (source_key) WHERE k > 1 AND k.n >= 3 UNION ALL SELECT source_key, n, varies, variance_ms, outliers, false FROM us WHERE n >= 3"""))
+def q_stability_all(spark: SparkSession, sf: str) -> DataFrame:
+    return sync_stability(_accepted(spark, sf))
 
-@query("quality_gate", oracle("windows", body=""", s AS (SELECT source_key, count(*) AS total, count(*) FILTER (accepted) AS n, median(raw_delay_ms) FILTER (accepted) AS m, stddev_pop(raw_delay_ms) FILTER (accepted) AS d FROM windows GROUP BY 1)
-SELECT source_key, n, CASE WHEN n < greatest(10, trunc(total * 90.0 / 100)) THEN 'evidence' WHEN abs(m) > 20 THEN 'median' WHEN d > 15 THEN 'spread' ELSE 'passed' END AS reason FROM s"""))
+
+_GATE = """, s AS (SELECT source_key, count(*) AS total, count(*) FILTER (accepted) AS n, median(delay_ms) FILTER (accepted) AS m, stddev_pop(delay_ms) FILTER (accepted) AS d FROM windows GROUP BY 1)
+SELECT source_key, n, CASE WHEN n < greatest(10, trunc(total * 85.0 / 100)) THEN 'insufficient_accepted' WHEN abs(m - 10) > {m} THEN 'median_mismatch' WHEN d > {d} THEN 'unstable' ELSE 'passed' END AS reason FROM s"""
+
+
+@query("quality_gate", oracle("windows", body=_GATE.format(m=20, d=15)))
 def q_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return quality_gate(windows(spark, sf))
+    return quality_gate(windows(spark, sf), base_ms=10.0, percent=85.0)
+
+
+@query("quality_gate_skip", oracle("windows", body=_GATE.format(m=100, d=500)))
+def q_gate_skip(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_gate(windows(spark, sf), base_ms=10.0, percent=85.0, skip=True)
 
 
 @query("tempo_ratios", oracle("windows", body=_A + _FIT + " SELECT source_key, round(1000 / (1000 + slope), 6) + 0.0 AS tempo, abs(slope) > 0.5 AS applied, round(CASE WHEN abs(slope) > 0.5 THEN 1000 / (1000 + slope) ELSE 1 END, 6) + 0.0 AS segment_tempo, round((24000.0 / 1001) / 25, 6) AS pal_tempo FROM fit"))

@@ -80,24 +80,33 @@ def first_stable_delay(rows: DataFrame, percent: float = 15.0, agreement: float
     return base.join(kept, "source_key").where(near).groupBy("source_key", "mode_ms", "share").agg(F.avg("raw_delay_ms").alias("raw_ms"), F.count(F.lit(1)).alias("n_used"))
 
 
-def select_delay(rows: DataFrame) -> DataFrame:
-    """Every mode of selection side by side, with the clustered mode where the early ones find nothing."""
+def select_delay(rows: DataFrame, percent: float = 15.0, presence: float = 10.0, agreement: float = 0.6) -> DataFrame:
+    """Every mode of selection side by side, with the clustered mode where the early ones find nothing.
+
+    All modes need no more of the windows than their number, sum and first places by
+    source and delay, so one pass gives these, and ranges of neighbouring delays the rest.
+    """
     usable = with_evidence(rows).drop("total", "n_accepted")
-    clustered = mode_delay(usable, 1).select("source_key", "raw_ms")
-    fallback = clustered.withColumnRenamed("raw_ms", "fallback")
-    modes = [
-        mode_delay(usable).select("source_key", F.lit("mode").alias("mode"), "raw_ms"),
-        clustered.select("source_key", F.lit("clustered").alias("mode"), "raw_ms"),
-        average_delay(usable).select("source_key", F.lit("average").alias("mode"), "raw_ms"),
-        *[
-            fallback.join(found.select("source_key", "raw_ms"), "source_key", "left").select("source_key", F.lit(name).alias("mode"), F.coalesce("raw_ms", "fallback").alias("raw_ms"))
-            for name, found in (("early", early_cluster_delay(usable)), ("stable", first_stable_delay(usable)))
-        ],
-    ]
-    out = modes[0]
-    for more in modes[1:]:
-        out = out.unionByName(more)
-    return out.withColumn("delay_ms", half_away(F.col("raw_ms")))
+    order = Window.partitionBy("source_key").orderBy("window_idx")
+    numbered = usable.select("source_key", "window_idx", "delay_ms", "raw_delay_ms", (F.row_number().over(order) - 1).alias("pos"), F.count(F.lit(1)).over(Window.partitionBy("source_key")).alias("n_all"))
+    enough = F.when(F.col("n_all") >= 3, F.greatest(F.lit(3), (F.col("n_all") * percent / 100).cast("int"))).otherwise(0)
+    is_early = F.col("pos") < F.col("early_count")
+    groups = numbered.withColumn("early_count", enough).groupBy("source_key", "delay_ms").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("raw_delay_ms").alias("raw"), F.min("pos").alias("first"), F.count_if(is_early).alias("n_early"), F.max("n_all").alias("n_all"), F.max("early_count").alias("early_count")
+    )
+    near = Window.partitionBy("source_key").orderBy("delay_ms").rangeBetween(-1, 1)
+    around = groups.select("*", (F.sum("raw").over(near) / F.sum("n").over(near)).alias("near_raw"), F.sum("n_early").over(near).alias("near_early"), F.min("first").over(near).alias("near_first"))
+    seen = F.col("near_early") / F.least("early_count", "n_all")
+    found = around.groupBy("source_key").agg(
+        F.max_by(F.struct((F.col("raw") / F.col("n")).alias("own"), "near_raw"), F.struct("n", -F.col("first"), -F.col("delay_ms"))).alias("mode"),
+        (F.sum("raw") / F.sum("n")).alias("average"),
+        F.min_by(F.when((F.col("n_early") > 0) & (seen * 100 >= presence), F.col("near_raw")), F.when((F.col("n_early") > 0) & (seen * 100 >= presence), F.struct("near_first", "delay_ms"))).alias("early"),
+        F.max_by(F.when(seen >= agreement, F.col("near_raw")), F.when(F.col("n_early") > 0, F.struct("n_early", -F.col("first"), -F.col("delay_ms")))).alias("stable"),
+    )
+    clustered = F.col("mode.near_raw")
+    modes = {"mode": F.col("mode.own"), "clustered": clustered, "average": F.col("average"), "early": F.coalesce("early", clustered), "stable": F.coalesce("stable", clustered)}
+    listed = F.explode(F.array(*[F.struct(F.lit(name).alias("mode"), value.alias("raw_ms")) for name, value in modes.items()])).alias("m")
+    return found.select("source_key", listed).select("source_key", "m.mode", "m.raw_ms", half_away(F.col("m.raw_ms")).alias("delay_ms"))
 
 
 def container_delay(source: Column) -> Column:
@@ -119,20 +128,40 @@ def global_shift(delays: DataFrame) -> DataFrame:
     return least.select(F.when(F.col("least_ms") < 0, -F.col("least_ms")).otherwise(0).alias("shift_ms"), F.when(F.col("least_raw") < 0, -F.col("least_raw")).otherwise(0.0).alias("shift_raw"), "least_ms", "least_raw")
 
 
+#: Accepted windows below which there is too little data; agreement and inlier deviation of a uniform result, clean and with noise; agreement, deviation and outliers of a stepping one; outliers of a noisy one.
+LOW_DATA, CLEAN, NOISY_UNIFORM, STEPS, NOISE = 20, (90.0, 5.0), (70.0, 10.0), (70.0, 50.0, 10.0), 30.0
+
+
+def result_class(n: Column, agreement: Column, std_ms: Column, outlier_pct: Column, inlier_std: Column) -> Column:
+    """LOW DATA, UNIFORM, STEPPING, NOISY or MODERATE."""
+    uniform = ((agreement >= CLEAN[0]) & (inlier_std < CLEAN[1])) | ((agreement >= NOISY_UNIFORM[0]) & (inlier_std < NOISY_UNIFORM[1]))
+    stepping = (agreement < STEPS[0]) & (std_ms > STEPS[1]) & (outlier_pct > STEPS[2])
+    return F.when(n < LOW_DATA, "LOW DATA").when(uniform, "UNIFORM").when(stepping, "STEPPING").when(outlier_pct > NOISE, "NOISY").otherwise("MODERATE")
+
+
 def summary(rows: DataFrame, outlier_ms: float = 50.0) -> DataFrame:
-    """Medians, confidence tiers, inliers around the median, agreement and a class, per source."""
+    """Medians, confidence tiers, inliers around the median, agreement, coverage and a class, per source.
+
+    rows(duration_s) gives the length of each source's file. Agreement is the share of
+    the most common rounded delay; coverage that of the time from the first to the
+    last window.
+    """
     middle = rows.groupBy("source_key").agg(
         F.median("raw_delay_ms").alias("median_ms"), F.count(F.lit(1)).alias("n"), F.stddev_pop("raw_delay_ms").alias("std_ms"),
         F.count_if(F.col("match_pct") >= 90).alias("tier_90"), F.count_if((F.col("match_pct") >= 70) & (F.col("match_pct") < 90)).alias("tier_70"),
         F.count_if((F.col("match_pct") >= 50) & (F.col("match_pct") < 70)).alias("tier_50"), F.count_if(F.col("match_pct") < 50).alias("tier_low"),
         F.avg("match_pct").alias("avg_match"), F.min("match_pct").alias("min_match"), F.max("match_pct").alias("max_match"),
+        F.coalesce(F.try_divide((F.max("start_s") - F.min("start_s")) * 100, F.max("duration_s")), F.lit(0.0)).alias("coverage"),
     )
-    inside = rows.join(middle.select("source_key", "median_ms"), "source_key").where(F.abs(F.col("raw_delay_ms") - F.col("median_ms")) <= outlier_ms)
+    top = rows.groupBy("source_key", "delay_ms").agg(F.count(F.lit(1)).alias("k")).groupBy("source_key").agg(F.max("k").alias("top_count"))
+    away = F.abs(F.col("raw_delay_ms") - F.col("median_ms"))
+    inside = rows.join(middle.select("source_key", "median_ms"), "source_key").where(away <= outlier_ms)
     inliers = inside.groupBy("source_key").agg(F.count(F.lit(1)).alias("n_in"), F.median("raw_delay_ms").alias("in_median"), F.stddev_pop("raw_delay_ms").alias("in_std"))
-    joined = middle.join(inliers, "source_key", "left")
-    agreement = F.coalesce(F.col("n_in"), F.lit(0)) / F.col("n") * 100
-    kind = F.when(F.col("n") < 10, "LOW DATA").when((agreement >= 90) & (F.col("std_ms") < 10), "UNIFORM").when(agreement < 50, "NOISY").when(F.col("std_ms") >= 50, "STEPPING").otherwise("MODERATE")
-    return joined.select("*", agreement.alias("agreement"), kind.alias("kind"))
+    joined = middle.join(top, "source_key").join(inliers, "source_key", "left")
+    joined = joined.withColumns({"n_in": F.coalesce("n_in", F.lit(0)), "in_median": F.coalesce("in_median", "median_ms"), "in_std": F.coalesce("in_std", F.lit(0.0))})
+    agreement, outliers = F.col("top_count") / F.col("n") * 100, (F.col("n") - F.col("n_in")) / F.col("n") * 100
+    kind = result_class(F.col("n"), agreement, F.col("std_ms"), outliers, F.col("in_std"))
+    return joined.select("*", agreement.alias("agreement"), outliers.alias("outlier_pct"), kind.alias("kind"))
 
 
 def compare_methods(rows: DataFrame, outlier_ms: float = 50.0) -> DataFrame:
@@ -208,15 +237,25 @@ def q_early(spark: SparkSession, sf: str) -> DataFrame:
     return early_cluster_delay(with_evidence(windows(spark, sf)).drop("total", "n_accepted")).withColumn("raw_ms", r6(F.col("raw_ms")))
 
 
-@query("delay_first_stable", oracle("windows", body=_USABLE + _EARLY.replace("share >= 0.6", "share >= 0.4") + " SELECT source_key, mode_ms, round(share, 6) + 0.0 AS share, round(raw_ms, 6) + 0.0 AS raw_ms, n_used FROM stable"))
+#: Windows of which every third source's agree, and some of the others' fall into steps.
+_STEADY = "CASE source_key % 3 WHEN 0 THEN 100 + raw_delay_ms / 700 WHEN 1 THEN 120 * (window_idx % 20 // 17) + raw_delay_ms / 97 ELSE raw_delay_ms END"
+_STEADY_SQL = f""", was AS (SELECT * FROM windows), steady AS (SELECT * REPLACE (round({_STEADY})::INT AS delay_ms, {_STEADY} AS raw_delay_ms) FROM was)"""
+
+
+def steady(spark: SparkSession, sf: str) -> DataFrame:
+    """The fixture's windows, made to agree for some sources."""
+    return windows(spark, sf).withColumn("raw_delay_ms", F.expr(_STEADY.replace("//", "div"))).withColumn("delay_ms", half_away(F.col("raw_delay_ms")))
+
+
+@query("delay_first_stable", oracle("windows", body=_STEADY_SQL + _USABLE.replace("FROM windows", "FROM steady") + _EARLY + " SELECT source_key, mode_ms, round(share, 6) + 0.0 AS share, round(raw_ms, 6) + 0.0 AS raw_ms, n_used FROM stable"))
 def q_stable(spark: SparkSession, sf: str) -> DataFrame:
-    found = first_stable_delay(with_evidence(windows(spark, sf)).drop("total", "n_accepted"), agreement=0.4)  # few of these sources agree more
+    found = first_stable_delay(with_evidence(steady(spark, sf)).drop("total", "n_accepted"))
     return found.withColumn("share", r6(F.col("share"))).withColumn("raw_ms", r6(F.col("raw_ms")))
 
 
 @query(
     "delay_selection",
-    oracle("windows", body=_USABLE + _EARLY + """,
+    oracle("windows", body=_STEADY_SQL + _USABLE.replace("FROM windows", "FROM steady") + _EARLY + """,
 m AS (SELECT source_key, 'mode' AS mode, avg(raw_delay_ms) AS raw_ms FROM usable JOIN modes USING (source_key) WHERE delay_ms = mode_ms GROUP BY 1
   UNION ALL SELECT source_key, 'clustered', raw_ms FROM clustered UNION ALL SELECT source_key, 'average', avg(raw_delay_ms) FROM usable GROUP BY 1
   UNION ALL SELECT c.source_key, 'early', coalesce(e.raw_ms, c.raw_ms) FROM clustered c LEFT JOIN early e USING (source_key)
@@ -224,7 +263,7 @@ m AS (SELECT source_key, 'mode' AS mode, avg(raw_delay_ms) AS raw_ms FROM usable
 SELECT source_key, mode, round(raw_ms, 9) + 0.0 AS raw_ms, round(raw_ms)::INT AS delay_ms FROM m"""),
 )
 def q_selection(spark: SparkSession, sf: str) -> DataFrame:
-    return select_delay(windows(spark, sf)).withColumn("raw_ms", F.round("raw_ms", 9) + F.lit(0.0))
+    return select_delay(steady(spark, sf)).withColumn("raw_ms", F.round("raw_ms", 9) + F.lit(0.0))
 
 
 def source_delays(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,31 +312,39 @@ def q_sanity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "delay_summary",
-    oracle("windows", body="""
-, a AS (SELECT * FROM windows WHERE accepted),
+    oracle("windows", body=_STEADY_SQL + """
+, a AS (SELECT *, max(start_s) OVER (PARTITION BY source_key) + 10 AS duration_s FROM steady),
+b AS (SELECT * FROM a WHERE accepted),
 m AS (SELECT source_key, median(raw_delay_ms) AS median_ms, count(*) AS n, stddev_pop(raw_delay_ms) AS std_ms, count(*) FILTER (match_pct >= 90) AS tier_90,
   count(*) FILTER (match_pct >= 70 AND match_pct < 90) AS tier_70, count(*) FILTER (match_pct >= 50 AND match_pct < 70) AS tier_50, count(*) FILTER (match_pct < 50) AS tier_low,
-  avg(match_pct) AS avg_match, min(match_pct) AS min_match, max(match_pct) AS max_match FROM a GROUP BY 1),
-i AS (SELECT source_key, count(*) AS n_in, median(raw_delay_ms) AS in_median, stddev_pop(raw_delay_ms) AS in_std FROM a JOIN m USING (source_key) WHERE abs(raw_delay_ms - median_ms) <= 50 GROUP BY 1),
-j AS (SELECT *, coalesce(n_in, 0) / n * 100 AS agreement FROM m LEFT JOIN i USING (source_key))
-SELECT source_key, n, tier_90, tier_70, tier_50, tier_low, min_match, max_match, n_in, round(median_ms, 6) + 0.0 AS median_ms, round(std_ms, 6) + 0.0 AS std_ms, round(avg_match, 6) + 0.0 AS avg_match,
-  round(in_median, 6) + 0.0 AS in_median, round(in_std, 6) + 0.0 AS in_std, round(agreement, 6) + 0.0 AS agreement,
-  CASE WHEN n < 10 THEN 'LOW DATA' WHEN agreement >= 90 AND std_ms < 10 THEN 'UNIFORM' WHEN agreement < 50 THEN 'NOISY' WHEN std_ms >= 50 THEN 'STEPPING' ELSE 'MODERATE' END AS kind FROM j"""),
+  avg(match_pct) AS avg_match, min(match_pct) AS min_match, max(match_pct) AS max_match, (max(start_s) - min(start_s)) * 100 / max(duration_s) AS coverage FROM b GROUP BY 1),
+t AS (SELECT source_key, max(k) AS top_count FROM (SELECT source_key, count(*) AS k FROM b GROUP BY source_key, delay_ms) GROUP BY 1),
+i AS (SELECT source_key, count(*) AS n_in, median(raw_delay_ms) AS in_median, stddev_pop(raw_delay_ms) AS in_std FROM b JOIN m USING (source_key) WHERE abs(raw_delay_ms - median_ms) <= 50 GROUP BY 1),
+j AS (SELECT * REPLACE (coalesce(n_in, 0) AS n_in, coalesce(in_median, median_ms) AS in_median, coalesce(in_std, 0) AS in_std), top_count / n * 100 AS agreement, (n - coalesce(n_in, 0)) / n * 100 AS outlier_pct FROM m JOIN t USING (source_key) LEFT JOIN i USING (source_key))
+SELECT source_key, n, top_count, tier_90, tier_70, tier_50, tier_low, min_match, max_match, n_in, round(median_ms, 6) + 0.0 AS median_ms, round(std_ms, 6) + 0.0 AS std_ms, round(avg_match, 6) + 0.0 AS avg_match,
+  round(in_median, 6) + 0.0 AS in_median, round(in_std, 6) + 0.0 AS in_std, round(agreement, 6) + 0.0 AS agreement, round(outlier_pct, 6) + 0.0 AS outlier_pct, round(coverage, 6) + 0.0 AS coverage,
+  CASE WHEN n < 20 THEN 'LOW DATA' WHEN agreement >= 90 AND in_std < 5 THEN 'UNIFORM' WHEN agreement >= 70 AND in_std < 10 THEN 'UNIFORM'
+    WHEN agreement < 70 AND std_ms > 50 AND outlier_pct > 10 THEN 'STEPPING' WHEN outlier_pct > 30 THEN 'NOISY' ELSE 'MODERATE' END AS kind FROM j"""),
 )
 def q_summary(spark: SparkSession, sf: str) -> DataFrame:
-    found = summary(accepted_windows(windows(spark, sf)))
-    return found.withColumns({c: r6(F.col(c)) for c in ("median_ms", "std_ms", "avg_match", "in_median", "in_std", "agreement")})
+    timed = steady(spark, sf).withColumn("duration_s", F.max("start_s").over(Window.partitionBy("source_key")) + 10)
+    found = summary(accepted_windows(timed))
+    return found.withColumns({c: r6(F.col(c)) for c in ("median_ms", "std_ms", "avg_match", "in_median", "in_std", "agreement", "outlier_pct", "coverage")})
+
+
+def distribution(rows: DataFrame, top: int = 6) -> DataFrame:
+    """The most common delays of each source and their shares; ties go to the earliest first window, then the smallest."""
+    counts = rows.groupBy("source_key", "delay_ms").agg(F.count(F.lit(1)).alias("n"), F.min("window_idx").alias("first"))
+    whole = Window.partitionBy("source_key")
+    ranked = counts.select("*", F.sum("n").over(whole).alias("total"), F.row_number().over(whole.orderBy(F.desc("n"), "first", "delay_ms")).alias("rank"))
+    return ranked.where(F.col("rank") <= top).select("source_key", "rank", "delay_ms", "n", (F.col("n") * 100.0 / F.col("total")).alias("share"))
 
 
-@query("delay_distribution", oracle("windows", body=""", c AS (SELECT delay_ms, count(*) AS n, min(source_key * 1000000 + window_idx) AS first FROM windows WHERE accepted GROUP BY 1)
-SELECT delay_ms, n, round(n * 100.0 / (SELECT sum(n) FROM c), 6) + 0.0 AS share FROM c ORDER BY n DESC, first, delay_ms LIMIT 6"""))
+@query("delay_distribution", oracle("windows", body=""", c AS (SELECT source_key, delay_ms, count(*) AS n, min(window_idx) AS first FROM windows WHERE accepted GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY n DESC, first, delay_ms)::INT AS rank, sum(n) OVER (PARTITION BY source_key) AS total FROM c)
+SELECT source_key, rank, delay_ms, n, round(n * 100.0 / total, 6) + 0.0 AS share FROM r WHERE rank <= 6"""))
 def q_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    """The six most common delays and their shares."""
-    rows = accepted_windows(windows(spark, sf))
-    counts = rows.groupBy("delay_ms").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("source_key") * 1_000_000 + F.col("window_idx")).alias("first"))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    top = counts.orderBy(F.desc("n"), "first", "delay_ms").limit(6)
-    return top.crossJoin(F.broadcast(total)).select("delay_ms", "n", r6(F.col("n") * 100.0 / F.col("total")).alias("share"))
+    return distribution(accepted_windows(windows(spark, sf))).withColumn("share", r6(F.col("share")))
 
 
 @query("method_comparison", oracle("windows", body=""", a AS (SELECT *, median(raw_delay_ms) OVER (PARTITION BY source_key, method) AS mid FROM windows WHERE accepted)

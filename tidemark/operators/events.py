@@ -70,9 +70,76 @@ def surgical(ms: Column) -> Column:
     return F.when(frame_floor(down) == own, down).when(frame_floor(up) == own, up).otherwise(frame_start_centis(own)).cast("long")
 
 
-def issue(start_ok: Column, end_ok: Column) -> Column:
-    """which end of an event falls on another frame."""
-    return F.when(~start_ok & ~end_ok, "both").when(~start_ok, "start").when(~end_ok, "end").otherwise("none")
+def on_frame_up(ms: Column) -> Column:
+    """Whether the next centisecond up is on a time's own frame."""
+    return frame_floor(F.ceil(ms / 10) * 10) == frame_floor(ms)
+
+
+def surgical_event(start: Column, end: Column) -> dict[str, Column]:
+    """both ends of an event on their own frames. Where the start was moved and the end wasn't, the end goes up as well if it stays on its frame and the event so keeps the length that cutting both would give."""
+    floor_start, floor_end, up = F.floor(start / 10) * 10, F.floor(end / 10) * 10, (F.ceil(end / 10) * 10).cast("long")
+    own_start, own_end = surgical(start), surgical(end)
+    coordinated = (own_start != floor_start) & (own_end == floor_end) & on_frame_up(end) & (up - own_start == floor_end - floor_start)
+    new_end = F.when(coordinated, up).otherwise(own_end)
+    return {"start_cs": own_start, "end_cs": new_end, "start_moved": own_start != floor_start, "end_moved": coordinated | (own_end != floor_end), "coordinated": coordinated, "kept_length": new_end - own_start == floor_end - floor_start}
+
+
+def rounded_centis(ms: Column, mode: str) -> Column:
+    """A time to centiseconds by floor, round or ceil, in ms."""
+    return ({"floor": F.floor, "round": F.round, "ceil": F.ceil}[mode](ms / 10) * 10).cast("long")
+
+
+def minimal_fix(ms: Column, mode: str) -> Column:
+    """the ms to add to a rounded time to come back to its own frame: to the frame's first centisecond, else to its last, else to its start."""
+    own, rounded = frame_floor(ms), rounded_centis(ms, mode)
+    first, last = (F.ceil(own * FRAME / 10) * 10).cast("long"), (F.floor(((own + 1) * FRAME - 0.1) / 10) * 10).cast("long")
+    return F.when(frame_floor(rounded) == own, F.lit(0)).when(frame_floor(first) == own, first - rounded).when(frame_floor(last) == own, last - rounded).otherwise((own * FRAME).cast("long") - rounded).cast("long")
+
+
+def fps_fraction(fps: Column) -> Column:
+    """F32: a rate as (num, den): the broadcast rates as multiples of 1000/1001, others in thousandths."""
+    near = lambda rate, reach: F.abs(fps - rate) < reach
+    num = F.when(near(23.976, 0.001), 24000).when(near(29.97, 0.01), 30000).when(near(59.94, 0.01), 60000).otherwise((fps * 1000).cast("long"))
+    den = F.when(near(23.976, 0.001) | near(29.97, 0.01) | near(59.94, 0.01), 1001).otherwise(1000)
+    return F.struct(num.cast("long").alias("num"), den.cast("long").alias("den"))
+
+
+def frame_time(frame: Column, rate: Column, method: str = "round") -> Column:
+    """F32: whole ms at which a frame of a rate (num, den) starts."""
+    exact = frame * 1000.0 / (rate["num"].cast("double") / rate["den"].cast("double"))
+    return (F.floor(exact) if method == "floor" else F.round(exact)).cast("long")
+
+
+def time_frame(ms: Column, rate: Column, method: str = "round") -> Column:
+    """F32: the frame of a rate (num, den) at a time in whole ms."""
+    exact = ms * (rate["num"].cast("double") / rate["den"].cast("double")) / 1000.0
+    return (F.floor(exact) if method == "floor" else F.round(exact)).cast("long")
+
+
+def issue(start_drift: Column, end_drift: Column) -> Column:
+    """which end of an event falls on another frame, and whether on an earlier or a later one."""
+    return F.when((start_drift != 0) & (end_drift != 0), "BOTH_DRIFT").when(start_drift < 0, "START_EARLY").when(start_drift > 0, "START_LATE").when(end_drift < 0, "END_EARLY").when(end_drift > 0, "END_LATE").otherwise("OK")
+
+
+def frame_drift(rows: DataFrame, mode: str = "floor") -> DataFrame:
+    """Events that aren't comments with what rounding does to them: their drifts in frames, the change of their length in ms, and what each way of rounding would do to their start."""
+    start, end = F.col("start_ms"), F.col("end_ms")
+    rounded = rows.where(~F.col("is_comment")).select("*", rounded_centis(start, mode).alias("start_cs"), rounded_centis(end, mode).alias("end_cs"))
+    drifts = rounded.select("*", (frame_floor(F.col("start_cs")) - frame_floor(start)).alias("start_drift"), (frame_floor(F.col("end_cs")) - frame_floor(end)).alias("end_drift"), (F.col("end_cs") - F.col("start_cs") - (end - start).cast("long")).alias("length_change"))
+    others = [(frame_floor(rounded_centis(start, m)) != frame_floor(start)).alias(f"{m}_off") for m in ("floor", "round", "ceil")]
+    return drifts.select("*", *others, issue(F.col("start_drift"), F.col("end_drift")).alias("issue"), minimal_fix(start, mode).alias("start_fix"), minimal_fix(end, mode).alias("end_fix"))
+
+
+def frame_audit(drifts: DataFrame) -> DataFrame:
+    """The counters of each track, its pass rate and the first five events with an issue."""
+    change, bad = F.abs("length_change"), F.col("issue") != "OK"
+    counted = [F.count_if(F.col(f"{e}_drift").isNotNull() & c(F.col(f"{e}_drift"))).alias(f"{e}_{n}") for e in ("start", "end") for n, c in (("ok", lambda d: d == 0), ("early", lambda d: d < 0), ("late", lambda d: d > 0))]
+    return drifts.groupBy("track_id").agg(
+        F.count(F.lit(1)).alias("n"), *counted, F.count_if(F.col("start_drift") == F.col("end_drift")).alias("span_ok"), F.count_if(F.col("start_drift") != F.col("end_drift")).alias("span_changed"),
+        F.count_if(change == 0).alias("length_kept"), F.count_if(change.between(1, 10)).alias("length_10"), F.count_if(change.between(11, 20)).alias("length_20"), F.count_if(change > 20).alias("length_more"),
+        *[F.count_if(f"{m}_off").alias(f"{m}_issues") for m in ("floor", "round", "ceil")],
+        (F.count_if(~bad) * 100.0 / F.count(F.lit(1))).alias("pass_rate"), F.slice(F.sort_array(F.collect_list(F.when(bad, F.col("idx")))), 1, 5).alias("first_issues"),
+    )
 
 
 def strip_tags(text: Column) -> Column:
@@ -106,10 +173,17 @@ def from_overrides(text: Column) -> Column:
     return F.replace(F.replace(strip_tags(text), F.lit("\\N"), F.lit("\n")), F.lit("}"), F.lit(""))
 
 
-def delayed(rows: DataFrame, ms: float) -> DataFrame:
-    """Events that aren't comments moved, none to before 0."""
-    move = F.when(F.col("is_comment"), 0.0).otherwise(F.lit(float(ms)))
-    return rows.withColumns({"start_ms": F.greatest(F.col("start_ms") + move, F.lit(0.0)), "end_ms": F.greatest(F.col("end_ms") + move, F.lit(0.0))})
+def delayed(rows: DataFrame, ms: Column, snapped: bool = False) -> DataFrame:
+    """Events that aren't comments moved by ms, with sync, what was done to them: the times before, the offset and whether it was snapped to frames."""
+    sync = F.struct(F.col("start_ms").alias("was_start_ms"), F.col("end_ms").alias("was_end_ms"), ms.cast("double").alias("offset_ms"), F.lit(snapped).alias("snapped"))
+    own = ~F.col("is_comment")
+    moved = {"start_ms": F.when(own, F.col("start_ms") + ms).otherwise(F.col("start_ms")), "end_ms": F.when(own, F.col("end_ms") + ms).otherwise(F.col("end_ms")), "sync": F.when(own, sync)}
+    return rows.withColumns(moved)
+
+
+def shifted(rows: DataFrame, ms: Column) -> DataFrame:
+    """P10: all events moved, none to before 0."""
+    return rows.withColumns({c: F.greatest(F.col(c) + ms, F.lit(0.0)) for c in ("start_ms", "end_ms")})
 
 
 def first_of_each(rows: DataFrame) -> DataFrame:
@@ -132,14 +206,36 @@ def invalid(rows: DataFrame, styles: DataFrame) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+#: Ms at both ends of a track that checkpoints keep away from.
+HEAD_MS, TAIL_MS = 120_000.0, 120_000.0
+
+
 def checkpoints(rows: DataFrame) -> DataFrame:
-    """Three events of each track by time, a sixth, a half and five sixths along the longest 40 percent (three at least) that aren't comments."""
-    usable = rows.where(~F.col("is_comment"))
-    long_first = Window.partitionBy("track_id").orderBy(F.desc(F.round(F.col("end_ms") - F.col("start_ms"), 6)), "idx")
-    ranked = usable.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("track_id"))).withColumn("r", F.row_number().over(long_first))
-    kept = ranked.where(F.col("r") <= F.greatest(F.lit(3), (F.col("n") * 0.4).cast("int")))
-    placed = kept.withColumn("k", F.row_number().over(Window.partitionBy("track_id").orderBy("start_ms", "idx")) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("track_id")))
-    return placed.where((F.col("k") == F.floor(F.col("m") / 6)) | (F.col("k") == F.floor(F.col("m") / 2)) | (F.col("k") == F.floor(5 * F.col("m") / 6)))
+    """Three events of each track by time: a sixth, a half and five sixths along the longest 40 percent, three at least, of its safe events; all where there are fewer.
+
+    Safe are events that start outside the head and tail, or in a short track outside
+    its first and last third. Where fewer than three are, the middle third of all by
+    number is taken; where that is empty, the first, middle and last.
+    """
+    whole, order = Window.partitionBy("track_id"), Window.partitionBy("track_id").orderBy("idx")
+    placed = rows.select("*", (F.row_number().over(order) - 1).alias("__pos"), F.count(F.lit(1)).over(whole).alias("__n"))
+    placed = placed.select("*", F.max(F.when(F.col("__pos") == 0, F.col("start_ms"))).over(whole).alias("__from"), F.max(F.when(F.col("__pos") == F.col("__n") - 1, F.col("end_ms"))).over(whole).alias("__to"))
+    length = F.col("__to") - F.col("__from")
+    short = length < HEAD_MS + TAIL_MS
+    lo = F.col("__from") + F.when(short, length / 3).otherwise(HEAD_MS)
+    hi = F.col("__to") - F.when(short, length / 3).otherwise(TAIL_MS)
+    safe = F.col("start_ms").between(lo, hi)
+    third = (F.col("__pos") >= F.floor(F.col("__n") / 3)) & (F.col("__pos") < F.floor(F.col("__n") * 2 / 3))
+    marked = placed.select("*", safe.alias("__safe"), third.alias("__third"), F.sum(safe.cast("int")).over(whole).alias("__n_safe"), F.sum(third.cast("int")).over(whole).alias("__n_third"))
+    few = F.col("__n_safe") < 3
+    last_resort = few & (F.col("__n_third") == 0)
+    usable = marked.withColumn("__last_resort", last_resort).where(F.when(~few, F.col("__safe")).when(~last_resort, F.col("__third")).otherwise(F.col("__pos").isin(0) | (F.col("__pos") == F.floor(F.col("__n") / 2)) | (F.col("__pos") == F.col("__n") - 1)))
+    long_first = whole.orderBy(F.desc(F.round(F.col("end_ms") - F.col("start_ms"), 6)), "idx")
+    ranked = usable.select("*", F.count(F.lit(1)).over(whole).alias("__u"), F.row_number().over(long_first).alias("__r"))
+    kept = ranked.where(F.col("__r") <= F.greatest(F.lit(3), F.floor(F.col("__u") * 40 / 100)))
+    timed = kept.select("*", (F.row_number().over(whole.orderBy("start_ms", "idx")) - 1).alias("__k"), F.count(F.lit(1)).over(whole).alias("__m"))
+    picked = (F.col("__m") < 3) | F.col("__last_resort") | (F.col("__k") == F.floor(F.col("__m") / 6)) | (F.col("__k") == F.floor(F.col("__m") / 2)) | (F.col("__k") == F.floor(F.col("__m") * 5 / 6))
+    return timed.where(picked).select(*rows.columns)
 
 
 _FR = "(1001.0::DOUBLE / 24.0::DOUBLE)"
@@ -165,21 +261,63 @@ def q_frames(spark: SparkSession, sf: str) -> DataFrame:
     return own.select("*", frame_start_centis(F.col("frame_floor")).cast("long").alias("frame_start"), (frame_floor(F.col("surgical")) == F.col("frame_floor")).alias("on_frame"))
 
 
-@query("event_frame_audit", oracle("subs", body=f""", c AS (SELECT track_id, floor((floor(start_ms / 10) * 10 + 1e-6) / {_FR}) = floor((start_ms + 1e-6) / {_FR}) AS s, floor((floor(end_ms / 10) * 10 + 1e-6) / {_FR}) = floor((end_ms + 1e-6) / {_FR}) AS e FROM subs)
-SELECT track_id, CASE WHEN NOT s AND NOT e THEN 'both' WHEN NOT s THEN 'start' WHEN NOT e THEN 'end' ELSE 'none' END AS issue, count(*) AS n FROM c GROUP BY 1, 2"""))
+_DRIFT = f""", b AS (SELECT *, floor(start_ms / 10)::BIGINT * 10 AS sc, floor(end_ms / 10)::BIGINT * 10 AS ec, floor((start_ms + 1e-6) / {_FR})::BIGINT AS sf, floor((end_ms + 1e-6) / {_FR})::BIGINT AS ef FROM subs WHERE NOT is_comment),
+d AS (SELECT *, floor((sc + 1e-6) / {_FR})::BIGINT - sf AS sd, floor((ec + 1e-6) / {_FR})::BIGINT - ef AS ed, ec - sc - trunc(end_ms - start_ms)::BIGINT AS ch,
+  floor((round(start_ms / 10) * 10 + 1e-6) / {_FR})::BIGINT <> sf AS ro, floor((ceil(start_ms / 10) * 10 + 1e-6) / {_FR})::BIGINT <> sf AS co FROM b),
+i AS (SELECT *, CASE WHEN sd <> 0 AND ed <> 0 THEN 'BOTH_DRIFT' WHEN sd < 0 THEN 'START_EARLY' WHEN sd > 0 THEN 'START_LATE' WHEN ed < 0 THEN 'END_EARLY' WHEN ed > 0 THEN 'END_LATE' ELSE 'OK' END AS issue,
+  (ceil(sf * {_FR} / 10) * 10)::BIGINT AS s1, (floor(((sf + 1) * {_FR} - 0.1) / 10) * 10)::BIGINT AS s2 FROM d)"""
+
+
+@query("event_frame_issues", oracle("subs", body=_DRIFT + f""" SELECT track_id, idx, sd AS start_drift, ed AS end_drift, ch AS length_change, issue,
+  CASE WHEN sd = 0 THEN 0 WHEN floor((s1 + 1e-6) / {_FR})::BIGINT = sf THEN s1 - sc WHEN floor((s2 + 1e-6) / {_FR})::BIGINT = sf THEN s2 - sc ELSE trunc(sf * {_FR})::BIGINT - sc END::BIGINT AS start_fix FROM i WHERE issue <> 'OK'"""))
+def q_frame_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """events that rounding takes off their frames, and the least fix of their start."""
+    return frame_drift(subs(spark, sf)).where("issue <> 'OK'").select("track_id", "idx", "start_drift", "end_drift", "length_change", "issue", "start_fix")
+
+
+@query("event_frame_audit", oracle("subs", body=_DRIFT + """ SELECT track_id, count(*) AS n, count(*) FILTER (sd = 0) AS start_ok, count(*) FILTER (sd < 0) AS start_early, count(*) FILTER (sd > 0) AS start_late, count(*) FILTER (ed = 0) AS end_ok, count(*) FILTER (ed < 0) AS end_early, count(*) FILTER (ed > 0) AS end_late,
+  count(*) FILTER (sd = ed) AS span_ok, count(*) FILTER (sd <> ed) AS span_changed, count(*) FILTER (ch = 0) AS length_kept, count(*) FILTER (abs(ch) BETWEEN 1 AND 10) AS length_10, count(*) FILTER (abs(ch) BETWEEN 11 AND 20) AS length_20, count(*) FILTER (abs(ch) > 20) AS length_more,
+  count(*) FILTER (sd <> 0) AS floor_issues, count(*) FILTER (ro) AS round_issues, count(*) FILTER (co) AS ceil_issues, round(count(*) FILTER (issue = 'OK') * 100.0 / count(*), 6) + 0.0 AS pass_rate,
+  coalesce(array_to_string((list(idx ORDER BY idx) FILTER (issue <> 'OK'))[1:5], ','), '') AS first_issues FROM i GROUP BY 1"""))
 def q_frame_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Events whose times leave their frames when cut to centiseconds, by kind."""
-    def kept(ms: Column) -> Column:
-        return frame_floor(F.floor(ms / 10) * 10) == frame_floor(ms)
+    found = frame_audit(frame_drift(subs(spark, sf)))
+    return found.withColumns({"pass_rate": r6(F.col("pass_rate")), "first_issues": F.array_join(F.col("first_issues").cast("array<string>"), ",")})
+
 
-    return subs(spark, sf).groupBy("track_id", issue(kept(F.col("start_ms")), kept(F.col("end_ms"))).alias("issue")).agg(F.count(F.lit(1)).alias("n"))
+_SURGICAL = f""", s0 AS (SELECT *, floor((start_ms + 1e-6) / {_FR}) AS sf, floor((end_ms + 1e-6) / {_FR}) AS ef, floor(start_ms / 10) * 10 AS sl, floor(end_ms / 10) * 10 AS el, ceil(start_ms / 10) * 10 AS su, ceil(end_ms / 10) * 10 AS eu FROM subs WHERE NOT is_comment),
+s1 AS (SELECT *, CASE WHEN floor((sl + 1e-6) / {_FR}) = sf THEN sl WHEN floor((su + 1e-6) / {_FR}) = sf THEN su ELSE ceil(sf * {_FR} / 10) * 10 END AS sc, CASE WHEN floor((el + 1e-6) / {_FR}) = ef THEN el WHEN floor((eu + 1e-6) / {_FR}) = ef THEN eu ELSE ceil(ef * {_FR} / 10) * 10 END AS ec FROM s0),
+s2 AS (SELECT *, sc <> sl AND ec = el AND floor((eu + 1e-6) / {_FR}) = ef AND eu - sc = el - sl AS co FROM s1), s3 AS (SELECT *, CASE WHEN co THEN eu ELSE ec END AS ne FROM s2)"""
 
 
-@query("event_rounding_stats", oracle("subs", body=_FRAMES + " SELECT track_id, count(*) AS n, count(*) FILTER (surgical = floor(start_ms / 10) * 10) AS down, count(*) FILTER (surgical <> floor(start_ms / 10) * 10) AS moved FROM s GROUP BY 1"))
+@query("event_surgical", oracle("subs", body=_SURGICAL + " SELECT track_id, idx, sc::BIGINT AS start_cs, ne::BIGINT AS end_cs, co AS coordinated FROM s3"))
+def q_surgical(spark: SparkSession, sf: str) -> DataFrame:
+    made = surgical_event(F.col("start_ms"), F.col("end_ms"))
+    return subs(spark, sf).where(~F.col("is_comment")).select("track_id", "idx", made["start_cs"].alias("start_cs"), made["end_cs"].alias("end_cs"), made["coordinated"].alias("coordinated"))
+
+
+@query("event_rounding_stats", oracle("subs", body=_SURGICAL + """ SELECT track_id, count(*) AS n, 2 * count(*) AS points, count(*) FILTER (sc <> sl) AS starts, count(*) FILTER (co OR ec <> el) AS ends, count(*) FILTER (co) AS coordinated, count(*) FILTER (ne - sc = el - sl) AS kept, count(*) FILTER (ne - sc <> el - sl) AS changed,
+  count(*) FILTER (sc <> sl) + count(*) FILTER (co OR ec <> el) AS different, count(*) FILTER (sc <> sl OR co OR ec <> el) AS events FROM s3 GROUP BY 1"""))
 def q_rounding(spark: SparkSession, sf: str) -> DataFrame:
-    """A26."""
-    down = surgical(F.col("start_ms")) == F.floor(F.col("start_ms") / 10) * 10
-    return subs(spark, sf).groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(down).alias("down"), F.count_if(~down).alias("moved"))
+    """What surgical rounding does to each track's events, against cutting."""
+    made = surgical_event(F.col("start_ms"), F.col("end_ms"))
+    moved = subs(spark, sf).where(~F.col("is_comment")).select("track_id", *[c.alias(n) for n, c in made.items()])
+    starts, ends = F.count_if("start_moved"), F.count_if("end_moved")
+    return moved.groupBy("track_id").agg(
+        F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) * 2).alias("points"), starts.alias("starts"), ends.alias("ends"), F.count_if("coordinated").alias("coordinated"),
+        F.count_if("kept_length").alias("kept"), F.count_if(~F.col("kept_length")).alias("changed"), (starts + ends).alias("different"), F.count_if(F.col("start_moved") | F.col("end_moved")).alias("events"),
+    )
+
+
+@query("event_rates", oracle("subs", body=""", r AS (SELECT *, [23.976, 25.0, 29.97, 59.94, 50.0, 12.345][idx % 6 + 1]::DOUBLE AS fps FROM subs),
+f AS (SELECT *, CASE WHEN abs(fps - 23.976) < 0.001 THEN 24000 WHEN abs(fps - 29.97) < 0.01 THEN 30000 WHEN abs(fps - 59.94) < 0.01 THEN 60000 ELSE trunc(fps * 1000)::BIGINT END AS num, CASE WHEN abs(fps - 23.976) < 0.001 OR abs(fps - 29.97) < 0.01 OR abs(fps - 59.94) < 0.01 THEN 1001 ELSE 1000 END AS den FROM r)
+SELECT track_id, idx, num::BIGINT AS num, den::BIGINT AS den, round(trunc(start_ms)::BIGINT * (num::DOUBLE / den) / 1000.0)::BIGINT AS frame, floor(trunc(start_ms)::BIGINT * (num::DOUBLE / den) / 1000.0)::BIGINT AS frame_down,
+  round(round(trunc(start_ms)::BIGINT * (num::DOUBLE / den) / 1000.0) * 1000.0 / (num::DOUBLE / den))::BIGINT AS back_ms FROM f"""))
+def q_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """F32: events on the frames of several rates, and back."""
+    fps = F.element_at(F.array(*map(F.lit, (23.976, 25.0, 29.97, 59.94, 50.0, 12.345))), (F.col("idx") % 6 + 1).cast("int"))
+    rated = subs(spark, sf).select("track_id", "idx", F.col("start_ms").cast("long").alias("ms"), fps_fraction(fps).alias("rate"))
+    framed = rated.select("*", time_frame(F.col("ms"), F.col("rate")).alias("frame"), time_frame(F.col("ms"), F.col("rate"), "floor").alias("frame_down"))
+    return framed.select("track_id", "idx", "rate.num", "rate.den", "frame", "frame_down", frame_time(F.col("frame"), F.col("rate")).alias("back_ms"))
 
 
 @query("event_reading_speed", oracle("subs", body=r""", c AS (SELECT track_id, idx, CASE WHEN end_ms > start_ms THEN length(regexp_replace(text, '\s', '', 'g')) / ((end_ms - start_ms) / 1000.0) END AS cps FROM subs)
@@ -189,9 +327,16 @@ def q_speed(spark: SparkSession, sf: str) -> DataFrame:
     return subs(spark, sf).select("track_id", "idx", r6(cps).alias("cps"), speed_class(cps).alias("class"))
 
 
-@query("event_shift", oracle("subs", body=" SELECT track_id, idx, round(greatest(start_ms + CASE WHEN is_comment THEN 0 ELSE -3000 END, 0), 6) + 0.0 AS start_ms, round(greatest(end_ms + CASE WHEN is_comment THEN 0 ELSE -3000 END, 0), 6) + 0.0 AS end_ms FROM subs"))
+@query("event_delay", oracle("subs", body=" SELECT track_id, idx, round(start_ms + CASE WHEN is_comment THEN 0 ELSE -3000 END, 6) + 0.0 AS start_ms, round(end_ms + CASE WHEN is_comment THEN 0 ELSE -3000 END, 6) + 0.0 AS end_ms, CASE WHEN NOT is_comment THEN round(start_ms, 6) + 0.0 END AS was_start_ms, CASE WHEN NOT is_comment THEN -3000.0::DOUBLE END AS offset_ms FROM subs"))
+def q_delay(spark: SparkSession, sf: str) -> DataFrame:
+    """P09."""
+    return delayed(subs(spark, sf), F.lit(-3000)).select("track_id", "idx", r6(F.col("start_ms")).alias("start_ms"), r6(F.col("end_ms")).alias("end_ms"), r6(F.col("sync.was_start_ms")).alias("was_start_ms"), F.col("sync.offset_ms").alias("offset_ms"))
+
+
+@query("event_shift", oracle("subs", body=" SELECT track_id, idx, round(greatest(start_ms - 3000, 0), 6) + 0.0 AS start_ms, round(greatest(end_ms - 3000, 0), 6) + 0.0 AS end_ms FROM subs"))
 def q_shift(spark: SparkSession, sf: str) -> DataFrame:
-    return delayed(subs(spark, sf), -3000).select("track_id", "idx", r6(F.col("start_ms")).alias("start_ms"), r6(F.col("end_ms")).alias("end_ms"))
+    """P10."""
+    return shifted(subs(spark, sf), F.lit(-3000)).select("track_id", "idx", r6(F.col("start_ms")).alias("start_ms"), r6(F.col("end_ms")).alias("end_ms"))
 
 
 @query("event_clamped", oracle("subs", body=" SELECT track_id, count(*) FILTER (NOT is_comment AND start_ms < 3000) AS clamped, count(*) FILTER (NOT is_comment AND end_ms <= 3000) AS lost FROM subs GROUP BY 1"))
@@ -233,11 +378,18 @@ def q_style_counts(spark: SparkSession, sf: str) -> DataFrame:
     return subs(spark, sf).groupBy("track_id", "style").agg(F.count(F.lit(1)).alias("n"), r6(F.min("start_ms")).alias("first_ms"), r6(F.max("end_ms")).alias("last_ms"))
 
 
-@query("event_checkpoints", oracle("subs", body=""", r AS (SELECT *, count(*) OVER (PARTITION BY track_id) AS n, row_number() OVER (PARTITION BY track_id ORDER BY round(end_ms - start_ms, 6) DESC, idx) AS r FROM subs WHERE NOT is_comment),
-p AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, idx) - 1 AS k, count(*) OVER (PARTITION BY track_id) AS m FROM r WHERE r <= greatest(3, trunc(n * 0.4)))
-SELECT track_id, idx FROM p WHERE k IN (floor(m / 6), floor(m / 2), floor(5 * m / 6))"""))
+@query("event_checkpoints", oracle("subs", body=""", long AS (SELECT track_id, idx, start_ms * 25 AS start_ms, end_ms * 25 AS end_ms FROM subs),
+p AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY track_id) AS n, first(start_ms) OVER w AS f, last(end_ms) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS t FROM long WINDOW w AS (PARTITION BY track_id ORDER BY idx)),
+q AS (SELECT *, start_ms BETWEEN f + CASE WHEN t - f < 240000 THEN (t - f) / 3 ELSE 120000 END AND t - CASE WHEN t - f < 240000 THEN (t - f) / 3 ELSE 120000 END AS safe, pos >= n // 3 AND pos < 2 * n // 3 AS third FROM p),
+c AS (SELECT *, sum(safe::INT) OVER (PARTITION BY track_id) AS ns, sum(third::INT) OVER (PARTITION BY track_id) AS nt FROM q),
+u AS (SELECT *, ns < 3 AND nt = 0 AS resort FROM c WHERE CASE WHEN ns >= 3 THEN safe WHEN nt > 0 THEN third ELSE pos IN (0, n // 2, n - 1) END),
+r AS (SELECT *, count(*) OVER (PARTITION BY track_id) AS un, row_number() OVER (PARTITION BY track_id ORDER BY round(end_ms - start_ms, 6) DESC, idx) AS r FROM u),
+k AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, idx) - 1 AS k, count(*) OVER (PARTITION BY track_id) AS m FROM r WHERE r <= greatest(3, un * 40 // 100))
+SELECT track_id, idx FROM k WHERE m < 3 OR resort OR k IN (m // 6, m // 2, 5 * m // 6)"""))
 def q_checkpoints(spark: SparkSession, sf: str) -> DataFrame:
-    return checkpoints(subs(spark, sf)).select("track_id", "idx")
+    """The fixture's times are stretched, so that some tracks are long enough for their head and tail."""
+    rows = subs(spark, sf).withColumns({"start_ms": F.col("start_ms") * 25, "end_ms": F.col("end_ms") * 25})
+    return checkpoints(rows).select("track_id", "idx")
 
 
 @query("style_sets", oracle("subs", body=", w AS (SELECT unnest(['user', 'system', 'narrator']) AS style), h AS (SELECT DISTINCT track_id, style FROM subs), t AS (SELECT DISTINCT track_id FROM subs) SELECT track_id, w.style, h.style IS NOT NULL AS found FROM t CROSS JOIN w LEFT JOIN h USING (track_id, style)"))

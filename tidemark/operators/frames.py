@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.fixtures import frames, oracle, r6
 from tidemark.plans.registry import query
+from tidemark.session import ship
 
 FRAME_MS = 41.708333
 
@@ -16,32 +21,55 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def nearest_frames(left: DataFrame, right: DataFrame, threshold: int, bands: int | None = None) -> DataFrame:
-    """For each left frame the right frame whose hash differs least, the first of equals, if in threshold bits at most.
+#: Frames of a block: what a task holds of each clip at once.
+BLOCK_FRAMES = 4096
 
-    Hashes that differ in up to threshold bits agree in one of threshold + 1 bands
-    at least, so an equi-join on bands meets every match without a cross join.
-    """
-    bands = bands or threshold + 1
-    bounds = [(i * 64 // bands, (i + 1) * 64 // bands) for i in range(bands)]
 
-    def banded(frame: DataFrame, side: str) -> DataFrame:
-        parts = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash64", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits")) for i, (lo, hi) in enumerate(bounds)])
-        return frame.select(F.col("frame_idx").alias(side), F.col("hash64").alias(f"hash_{side}"), F.explode(parts).alias("p")).select(side, f"hash_{side}", "p.band", "p.bits")
+def packed(clip: DataFrame, value: str, name: str, block: int = BLOCK_FRAMES, overlap: int = 0) -> DataFrame:
+    """Blocks of a clip's frames: (name, idx array, name_values array), each with the first overlap frames of the next."""
+    number = F.floor(F.col("frame_idx") / block)
+    rows = clip.select(number.alias("b"), "frame_idx", F.col(value).alias("v"))
+    if overlap:
+        rows = rows.unionByName(clip.where(F.col("frame_idx") % block < overlap).select((number - 1).alias("b"), "frame_idx", F.col(value).alias("v")).where("b >= 0"))
+    grouped = rows.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("frame_idx", "v"))).alias("s"))
+    return grouped.select(F.col("b").alias(name), F.transform("s", lambda x: x["frame_idx"]).alias(f"{name}_idx"), F.transform("s", lambda x: x["v"]).alias(f"{name}_values"))
+
 
-    met = banded(left, "i").join(banded(right, "j"), ["band", "bits"]).withColumn("distance", hamming(F.col("hash_i"), F.col("hash_j"))).where(F.col("distance") <= threshold)
-    best = F.min(F.struct("distance", "j"))
-    return met.groupBy("i").agg(best.alias("b")).select("i", "b.j", "b.distance")
+def nearest_frames(left: DataFrame, right: DataFrame, threshold: int, block: int = BLOCK_FRAMES) -> DataFrame:
+    """For each left frame the right frame whose hash differs least, the first of equals, if in threshold bits at most.
+
+    Every pair has to be looked at, so blocks of packed hashes meet, not frames: a
+    task compares two blocks and gives one row for each left frame, and the best of
+    its rows over the right blocks is the result.
+    """
+    ship(left.sparkSession)
+    blocks = packed(left, "hash64", "l", block).crossJoin(packed(right, "hash64", "r", block))  # rows are blocks
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                theirs, other = np.asarray(row.r_values, dtype=np.int64), np.asarray(row.r_idx)
+                best, at = [], []
+                for own in np.asarray(row.l_values, dtype=np.int64):
+                    differ = np.bitwise_count((theirs ^ own).view(np.uint64))
+                    k = int(differ.argmin())
+                    best.append(int(differ[k]))
+                    at.append(int(other[k]))
+                found = pd.DataFrame({"i": np.asarray(row.l_idx), "j": at, "distance": np.asarray(best, dtype=np.int32)})
+                yield found[found["distance"] <= threshold]
+
+    pairs = blocks.repartition(F.col("l"), F.col("r")).mapInPandas(compare, "i long, j long, distance int")
+    return pairs.groupBy("i").agg(F.min(F.struct("distance", "j")).alias("b")).select("i", "b.j", "b.distance")
 
 
 def offset_votes(matches: DataFrame, reach_ms: float) -> DataFrame:
-    """Each match's offset in ms with the matches whose offset lies within reach of it."""
+    """Each match's offset in ms with the matches whose offset lies within reach of it. Distinct offsets meet in bins as wide as the reach."""
     offset = (F.col("j") - F.col("i")) * F.lit(FRAME_MS)
     rows = matches.select("i", "j", "distance", offset.alias("offset_ms"))
-    # ordered by value alone, so that only the vote counts of distinct offsets pass one task
-    counts = rows.groupBy("offset_ms").agg(F.count(F.lit(1)).alias("n"))
-    votes = counts.select("offset_ms", F.expr(f"sum(n) over (order by offset_ms range between {reach_ms}D preceding and {reach_ms}D following)").alias("votes"))
-    return rows.join(votes, "offset_ms")
+    counts = rows.groupBy("offset_ms").agg(F.count(F.lit(1)).alias("n")).withColumn("bin", F.floor(F.col("offset_ms") / reach_ms))
+    asked = counts.select("offset_ms", F.explode(F.array(*[F.col("bin") + d for d in (-1, 0, 1)])).alias("bin"))
+    met = asked.join(counts.select("bin", F.col("offset_ms").alias("other_ms"), "n"), "bin").where(F.abs(F.col("other_ms") - F.col("offset_ms")) <= reach_ms)
+    return rows.join(met.groupBy("offset_ms").agg(F.sum("n").alias("votes")), "offset_ms")
 
 
 def confidence(inliers: Column, ratio: Column, residual: Column) -> Column:
@@ -86,19 +114,51 @@ def structural(a: str, b: str, c1: float = 0.0001, c2: float = 0.0009) -> Column
     return (2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
 
 
-def slide(source: DataFrame, target: DataFrame, places: DataFrame) -> DataFrame:
-    """For each place p the mean cosine of source frame i with target frame p + i: (p, n, score)."""
-    spread = source.select(F.col("frame_idx").alias("i"), F.col("feature").alias("a")).crossJoin(F.broadcast(places)).withColumn("frame_idx", F.col("p") + F.col("i"))  # a stated list of places
-    joined = spread.join(target.select("frame_idx", F.col("feature").alias("b")), "frame_idx")
-    return joined.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.avg(cosine("a", "b")).alias("score"))
+def slide(source: DataFrame, target: DataFrame, length: int, block: int = BLOCK_FRAMES) -> DataFrame:
+    """(seq, p, n, matches, score): the mean cosine of a sequence of length source frames with the target's frames from p on, for every p that leaves it whole; matches are cosines over a half.
+
+    Sequences are the source's consecutive whole runs of length frames. Each meets
+    the target in blocks that overlap by a sequence, so a task holds one of each.
+    """
+    ship(source.sparkSession)
+    whole = packed(source, "feature", "s", length).where(F.size("s_idx") == length).withColumnRenamed("s", "seq")
+    blocks = whole.crossJoin(packed(target, "feature", "t", block, length - 1))  # rows are sequences and blocks
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        x = np.stack([np.asarray(r, dtype=np.float64) for r in rows])
+        return x / (np.sqrt((x * x).sum(axis=1, keepdims=True)) + 1e-8)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                own, theirs = unit(row.s_values), unit(row.t_values)
+                places = min(len(theirs) - length + 1, block)
+                if places <= 0:
+                    continue
+                near = own @ theirs.T
+                sims = np.stack([near[i, i : i + places] for i in range(length)])
+                yield pd.DataFrame({"seq": row.seq, "p": np.asarray(row.t_idx)[:places], "n": length, "matches": (sims > 0.5).sum(axis=0), "score": sims.mean(axis=0)})
+
+    return blocks.repartition(F.col("seq"), F.col("t")).mapInPandas(compare, "seq long, p long, n long, matches long, score double")
 
 
 def peak_gradient(scores: DataFrame, reach: int = 5) -> DataFrame:
-    """The best place, and its score's mean drop per step at 1 to reach places around it."""
-    best = scores.agg(F.max_by(F.struct("p", "score"), F.struct(F.round("score", 9), -F.col("p"))).alias("b")).select(F.col("b.p").alias("best"), F.col("b.score").alias("top"))
-    away = F.abs(F.col("p") - F.col("best"))
-    near = scores.crossJoin(F.broadcast(best)).where(away.between(1, reach))  # one row
-    return near.groupBy("best", "top").agg(F.avg((F.col("top") - F.col("score")) / away).alias("gradient"))
+    """Each sequence's best place, its score and matches, and the score's mean drop per step at 1 to reach places around it."""
+    top = scores.groupBy("seq").agg(F.max_by(F.struct("p", "score", "matches"), F.struct(F.round("score", 9), -F.col("p"))).alias("b")).select("seq", F.col("b.p").alias("best"), F.col("b.score").alias("top"), F.col("b.matches").alias("matches"))
+    around = top.select("*", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("away")).where("away <> 0").withColumn("p", F.col("best") + F.col("away"))
+    drops = around.join(scores.select("seq", "p", "score"), ["seq", "p"]).groupBy("seq").agg(F.avg((F.col("top") - F.col("score")) / F.abs("away")).alias("gradient"))
+    return top.join(drops, "seq", "left").withColumn("gradient", F.coalesce("gradient", F.lit(0.0)))
+
+
+def offset_consensus(peaks: DataFrame, length: int) -> DataFrame:
+    """The offset in frames that most sequences agree on (of equals the first sequence's), their share, the mean score and a tier."""
+    rows = peaks.select("seq", "top", (F.col("best") - F.col("seq") * length).alias("offset"))
+    votes = rows.groupBy("offset").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+    best = votes.agg(F.max_by(F.struct("offset", "n"), F.struct("n", -F.col("first"))).alias("b")).select("b.*")
+    whole = rows.agg(F.count(F.lit(1)).alias("positions"), F.avg("top").alias("mean_score"))
+    share = F.col("n") / F.col("positions")
+    tier = F.when((share >= 0.9) & (F.col("mean_score") >= 0.98), "HIGH").when((share >= 0.7) & (F.col("mean_score") >= 0.95), "MEDIUM").otherwise("LOW")
+    return best.crossJoin(F.broadcast(whole)).select("offset", "n", "positions", share.alias("share"), "mean_score", tier.alias("tier"))  # one row each
 
 
 _MATCH = """, m AS (SELECT i, j, distance FROM (SELECT a.frame_idx AS i, b.frame_idx AS j, bit_count(xor(a.hash64, b.hash64))::INT AS distance,
@@ -147,11 +207,20 @@ def q_consensus(spark: SparkSession, sf: str) -> DataFrame:
     return consensus(_matches(spark, sf)).withColumns({c: r6(F.col(c)) for c in ("seed", "mean_ms", "residual_ms", "ratio")})
 
 
-@query("frame_speed_drift", oracle("frames", body=_MATCH + " SELECT count(*) AS n, round(corr(i, j - i), 6) + 0.0 AS r, count(*) >= 20 AND abs(corr(i, j - i)) > 0.7 AS drifting FROM m"))
+@query("frame_speed_drift", oracle("frames", body=_MATCH + """, o AS (SELECT i, j, (j - i) * 41.708333::DOUBLE AS offset_ms FROM m), v AS (SELECT *, (SELECT count(*) FROM o y WHERE abs(y.offset_ms - o.offset_ms) <= 400) AS votes FROM o),
+s AS (SELECT offset_ms AS seed FROM v ORDER BY votes DESC, i LIMIT 1), n AS (SELECT i, offset_ms FROM o, s WHERE abs(offset_ms - seed) <= 400)
+SELECT count(*) AS inliers, round(corr(i, offset_ms), 6) + 0.0 AS r, count(*) >= 20 AND coalesce(abs(corr(i, offset_ms)), 0) > 0.7 AS drifting FROM n"""))
 def q_drift(spark: SparkSession, sf: str) -> DataFrame:
-    """A23."""
-    r = F.corr(F.col("i").cast("double"), (F.col("j") - F.col("i")).cast("double"))
-    return _matches(spark, sf).agg(F.count(F.lit(1)).alias("n"), r6(r).alias("r"), ((F.count(F.lit(1)) >= 20) & (F.abs(r) > 0.7)).alias("drifting"))
+    return speed_drift(_matches(spark, sf), 400.0).withColumn("r", r6(F.col("r")))
+
+
+def speed_drift(matches: DataFrame, reach_ms: float = 100.0) -> DataFrame:
+    """Whether what is left of the inliers' offsets goes with time: a correlation over 0.7 of at least 20 inliers."""
+    votes = offset_votes(matches, reach_ms)
+    seed = votes.agg(F.max_by("offset_ms", F.struct("votes", -F.col("i"))).alias("seed"))
+    near = votes.crossJoin(F.broadcast(seed)).where(F.abs(F.col("offset_ms") - F.col("seed")) <= reach_ms)  # one row
+    r = F.corr(F.col("i").cast("double"), F.col("offset_ms"))  # a constant taken off changes no correlation
+    return near.agg(F.count(F.lit(1)).alias("inliers"), r.alias("r"), ((F.count(F.lit(1)) >= 20) & (F.coalesce(F.abs(r), F.lit(0.0)) > 0.7)).alias("drifting"))
 
 
 @query("frame_similarity", oracle("frames", body=_PAIR + """ SELECT frame_idx, round(list_cosine_similarity(a::DOUBLE[], b::DOUBLE[]), 6) + 0.0 AS cosine, round(list_sum(list_transform(range(1, 65), lambda i: power(a[i]::DOUBLE - b[i]::DOUBLE, 2))) / 64, 6) + 0.0 AS mse,
@@ -161,44 +230,88 @@ def q_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf).select("frame_idx", r6(cosine("a", "b")).alias("cosine"), r6(squared_error("a", "b")).alias("mse"), r6(structural("a", "b")).alias("ssim"))
 
 
-_SLIDE = """, s AS (SELECT p, count(*) AS n, avg(list_cosine_similarity(a.feature::DOUBLE[], b.feature::DOUBLE[])) AS score FROM frames a, (SELECT unnest(range(0, 40)) AS p) q, frames b
-  WHERE a.clip = 0 AND a.frame_idx < 30 AND b.clip = 1 AND b.frame_idx = p + a.frame_idx GROUP BY p)"""
+LENGTH = 25
+_SLIDE = """, q AS (SELECT frame_idx // 25 AS seq, frame_idx % 25 AS k, feature, count(*) OVER (PARTITION BY frame_idx // 25) AS whole FROM frames WHERE clip = 0), t AS (SELECT frame_idx, feature FROM frames WHERE clip = 1),
+d AS (SELECT seq, t.frame_idx - k AS p, list_inner_product(q.feature::DOUBLE[], t.feature::DOUBLE[]) / ((sqrt(list_inner_product(q.feature::DOUBLE[], q.feature::DOUBLE[])) + 1e-8) * (sqrt(list_inner_product(t.feature::DOUBLE[], t.feature::DOUBLE[])) + 1e-8)) AS c FROM q, t WHERE whole = 25),
+s AS (SELECT seq, p, count(*) AS n, count(*) FILTER (c > 0.5) AS matches, avg(c) AS score FROM d WHERE p >= 0 GROUP BY 1, 2 HAVING count(*) = 25)"""
+_PEAK = _SLIDE + """, b AS (SELECT seq, p AS best, score AS top, matches FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY round(score, 9) DESC, p) AS k FROM s) WHERE k = 1),
+g AS (SELECT seq, best, top, b.matches, (SELECT avg((top - score) / abs(p - best)) FROM s WHERE s.seq = b.seq AND abs(p - best) BETWEEN 1 AND 5) AS gradient FROM b)"""
 
 
 def _slide(spark: SparkSession, sf: str) -> DataFrame:
-    places = spark.range(40).withColumnRenamed("id", "p")
-    return slide(_clip(spark, sf, 0).where("frame_idx < 30"), _clip(spark, sf, 1), places)
+    return slide(_clip(spark, sf, 0), _clip(spark, sf, 1), LENGTH)
 
 
-@query("frame_slide", oracle("frames", body=_SLIDE + " SELECT p, n, round(score, 6) + 0.0 AS score FROM s"))
+@query("frame_slide", oracle("frames", body=_SLIDE + " SELECT seq, p, n, matches, round(score, 6) + 0.0 AS score FROM s"))
 def q_slide(spark: SparkSession, sf: str) -> DataFrame:
     return _slide(spark, sf).withColumn("score", r6(F.col("score")))
 
 
-@query("frame_peak", oracle("frames", body=_SLIDE + """, b AS (SELECT p AS best, score AS top FROM s ORDER BY round(score, 9) DESC, p LIMIT 1)
-SELECT best, round(top, 6) + 0.0 AS top, round(avg((top - score) / abs(p - best)), 6) + 0.0 AS gradient FROM s, b WHERE abs(p - best) BETWEEN 1 AND 5 GROUP BY best, top"""))
+@query("frame_peak", oracle("frames", body=_PEAK + " SELECT seq, best, round(top, 6) + 0.0 AS top, matches, round(coalesce(gradient, 0), 6) + 0.0 AS gradient FROM g"))
 def q_peak(spark: SparkSession, sf: str) -> DataFrame:
     return peak_gradient(_slide(spark, sf)).withColumn("top", r6(F.col("top"))).withColumn("gradient", r6(F.col("gradient")))
 
 
-_SAMPLES = ", d AS (SELECT a.frame_idx AS i, bit_count(xor(a.hash64, b.hash64))::INT AS distance FROM frames a JOIN frames b USING (frame_idx) WHERE a.clip = 0 AND b.clip = 1)"
+@query("frame_sequence_consensus", oracle("frames", body=_PEAK + """, o AS (SELECT seq, top, best - seq * 25 AS "offset" FROM g), v AS (SELECT "offset", count(*) AS n FROM o GROUP BY 1 ORDER BY n DESC, min(seq) LIMIT 1)
+SELECT "offset", n, (SELECT count(*) FROM o) AS positions, round(n / (SELECT count(*) FROM o), 6) + 0.0 AS share, round((SELECT avg(top) FROM o), 6) + 0.0 AS mean_score,
+  CASE WHEN n / (SELECT count(*) FROM o) >= 0.9 AND (SELECT avg(top) FROM o) >= 0.98 THEN 'HIGH' WHEN n / (SELECT count(*) FROM o) >= 0.7 AND (SELECT avg(top) FROM o) >= 0.95 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM v"""))
+def q_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """The sequences of a clip slid over the other, and the offset they agree on."""
+    return offset_consensus(peak_gradient(_slide(spark, sf)), LENGTH).withColumn("share", r6(F.col("share"))).withColumn("mean_score", r6(F.col("mean_score")))
+
+
+#: Seconds between the fixture's samples, and what a differing bit of their hashes counts.
+SAMPLE_S, PER_BIT = 2.0, 0.9
+
+
+def verify_samples(source: DataFrame, target: DataFrame, reach: int = 2) -> DataFrame:
+    """N18 for every sample: (i, time_s, base_dist, best_delta, best_dist, classification, is_static): its distance at the expected place and the best within reach of it; only a smaller one takes the centre's place, the first of equals."""
+    asked = source.select(F.col("frame_idx").alias("i"), F.col("hash64").alias("a"), F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("delta")).withColumn("frame_idx", F.col("i") + F.col("delta"))
+    met = asked.join(target.select("frame_idx", F.col("hash64").alias("b")), "frame_idx").withColumn("dist", hamming(F.col("a"), F.col("b")) * F.lit(PER_BIT))
+    found = met.groupBy("i").agg(F.min(F.when(F.col("delta") == 0, F.col("dist"))).alias("base_dist"), F.min(F.struct("dist", (F.col("delta") != 0).alias("off"), "delta")).alias("b")).where("base_dist is not null")
+    best, delta, base = F.col("b.dist"), F.col("b.delta"), F.col("base_dist")
+    kind = F.when(best >= 50, "unmatchable").when((delta == 0) & (base < 2), "exact").when(delta != 0, F.concat(F.lit("off_by_"), F.abs(delta).cast("string"))).otherwise("exact")
+    return found.select("i", (F.col("i") * SAMPLE_S).alias("time_s"), "base_dist", delta.alias("best_delta"), best.alias("best_dist"), kind.alias("classification"), (F.abs(base - best) < 1).alias("is_static"))
+
+
+def regions(samples: DataFrame, duration_s: Column) -> DataFrame:
+    """Samples with their region. The last three or more samples that all differ by more than 25 are credits, if there are five samples at all; the first 300 s are early; from nine tenths of what is before the credits on it is late."""
+    ends = samples.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.when(F.col("best_dist") <= 25, F.col("i"))), F.lit(-1)).alias("good"), duration_s.alias("duration_s"))
+    placed = samples.crossJoin(F.broadcast(ends))  # one row
+    bad = placed.where(F.col("i") > F.col("good")).agg(F.count(F.lit(1)).alias("n_bad"), F.min("time_s").alias("from_s"))
+    placed = placed.crossJoin(F.broadcast(bad))
+    credits = (F.col("n") >= 5) & (F.col("n_bad") >= 3)
+    content_end = F.when(credits, F.col("from_s")).otherwise(F.col("duration_s"))
+    region = F.when(credits & (F.col("i") > F.col("good")), "credits").when(F.col("time_s") <= 300, "early").when(F.col("time_s") >= content_end * 0.9, "late").otherwise("main")
+    return placed.select(*samples.columns, region.alias("region"))
+
 
+def region_stats(placed: DataFrame) -> DataFrame:
+    """Of each region its samples, those that match in place, within one and within two, the unmatchable and static ones, and the mean distances. A static sample counts as in place."""
+    delta = F.abs(F.when(F.col("is_static"), 0).otherwise(F.col("best_delta")))
+    within = [F.count_if((delta <= k) & (F.col("best_dist") < 50)).alias(name) for k, name in enumerate(("exact", "within_1", "within_2"))]
+    return placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), *within, F.count_if(F.col("classification") == "unmatchable").alias("unmatchable"), F.count_if("is_static").alias("static"), F.avg("base_dist").alias("mean_base"), F.avg("best_dist").alias("mean_best"))
 
-def _samples(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = (_clip(spark, sf, c).select(F.col("frame_idx").alias("i"), F.col("hash64").alias(n)) for c, n in ((0, "a"), (1, "b")))
-    return a.join(b, "i").select("i", hamming(F.col("a"), F.col("b")).cast("int").alias("distance"))
 
+_VERIFIED = """, s AS (SELECT a.frame_idx AS i, b.frame_idx - a.frame_idx AS delta, bit_count(xor(a.hash64, b.hash64)) * 0.9::DOUBLE AS dist FROM frames a JOIN frames b ON a.clip = 0 AND b.clip = 1 AND b.frame_idx BETWEEN a.frame_idx - 2 AND a.frame_idx + 2),
+v AS (SELECT i, i * 2.0::DOUBLE AS time_s, (min(dist) FILTER (delta = 0)) AS base_dist, arg_min(delta, (dist, (delta <> 0)::INT, delta)) AS best_delta, min(dist) AS best_dist FROM s GROUP BY 1),
+w AS (SELECT *, CASE WHEN best_dist >= 50 THEN 'unmatchable' WHEN best_delta = 0 AND base_dist < 2 THEN 'exact' WHEN best_delta <> 0 THEN 'off_by_' || abs(best_delta) ELSE 'exact' END AS classification, abs(base_dist - best_dist) < 1 AS is_static FROM v WHERE base_dist IS NOT NULL),
+e AS (SELECT count(*) AS n, coalesce(max(i) FILTER (best_dist <= 25), -1) AS good, max(time_s) + 2 AS duration_s FROM w), c AS (SELECT count(*) AS n_bad, min(time_s) AS from_s FROM w, e WHERE i > good),
+r AS (SELECT w.*, CASE WHEN n >= 5 AND n_bad >= 3 AND i > good THEN 'credits' WHEN time_s <= 300 THEN 'early' WHEN time_s >= 0.9 * CASE WHEN n >= 5 AND n_bad >= 3 THEN from_s ELSE duration_s END THEN 'late' ELSE 'main' END AS region FROM w, e, c)"""
 
-@query("frame_regions", oracle("frames", body=_SAMPLES + """, l AS (SELECT coalesce(max(i) FILTER (distance <= 25), -1) AS good, max(i) AS top FROM d),
-r AS (SELECT i, distance, CASE WHEN i > good AND top - good >= 3 THEN 'credits' WHEN i <= 20 THEN 'early' WHEN i >= top * 0.9 THEN 'late' ELSE 'main' END AS region FROM d, l)
-SELECT region, count(*) AS n, count(*) FILTER (distance = 0) AS exact, count(*) FILTER (distance <= 25) AS within, round(avg(distance), 6) + 0.0 AS mean_distance FROM r GROUP BY 1"""))
+
+@query("frame_verification", oracle("frames", body=_VERIFIED + " SELECT i, time_s, round(base_dist, 6) + 0.0 AS base_dist, best_delta::INT AS best_delta, round(best_dist, 6) + 0.0 AS best_dist, classification, is_static, region FROM r"))
+def q_verification(spark: SparkSession, sf: str) -> DataFrame:
+    placed = regions(verify_samples(_clip(spark, sf, 0), _clip(spark, sf, 1)), F.max("time_s") + SAMPLE_S)
+    return placed.withColumn("base_dist", r6(F.col("base_dist"))).withColumn("best_dist", r6(F.col("best_dist")))
+
+
+@query("frame_regions", oracle("frames", body=_VERIFIED + """, d AS (SELECT *, abs(CASE WHEN is_static THEN 0 ELSE best_delta END) AS d FROM r)
+SELECT region, count(*) AS n, count(*) FILTER (d = 0 AND best_dist < 50) AS exact, count(*) FILTER (d <= 1 AND best_dist < 50) AS within_1, count(*) FILTER (d <= 2 AND best_dist < 50) AS within_2, count(*) FILTER (classification = 'unmatchable') AS unmatchable,
+  count(*) FILTER (is_static) AS static, round(avg(base_dist), 6) + 0.0 AS mean_base, round(avg(best_dist), 6) + 0.0 AS mean_best FROM d GROUP BY 1"""))
 def q_regions(spark: SparkSession, sf: str) -> DataFrame:
-    """The bad run at the end, the regions of a clip, and their distances."""
-    rows = _samples(spark, sf)
-    last = rows.agg(F.coalesce(F.max(F.when(F.col("distance") <= 25, F.col("i"))), F.lit(-1)).alias("good"), F.max("i").alias("top"))
-    region = F.when((F.col("i") > F.col("good")) & (F.col("top") - F.col("good") >= 3), "credits").when(F.col("i") <= 20, "early").when(F.col("i") >= F.col("top") * 0.9, "late").otherwise("main")
-    placed = rows.crossJoin(F.broadcast(last)).withColumn("region", region)
-    return placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("distance") == 0).alias("exact"), F.count_if(F.col("distance") <= 25).alias("within"), r6(F.avg("distance")).alias("mean_distance"))
+    stats = region_stats(regions(verify_samples(_clip(spark, sf, 0), _clip(spark, sf, 1)), F.max("time_s") + SAMPLE_S))
+    return stats.withColumn("mean_base", r6(F.col("mean_base"))).withColumn("mean_best", r6(F.col("mean_best")))
 
 
 @query("frame_search", oracle("frames", body=""", s AS (SELECT a.frame_idx AS i, b.frame_idx - a.frame_idx AS delta, bit_count(xor(a.hash64, b.hash64))::INT AS distance FROM frames a JOIN frames b ON a.clip = 0 AND b.clip = 1 AND b.frame_idx BETWEEN a.frame_idx - 4 AND a.frame_idx + 4)
@@ -211,19 +324,100 @@ def q_search(spark: SparkSession, sf: str) -> DataFrame:
     return met.groupBy("i").agg(best.alias("b")).select("i", F.col("b.delta").cast("long").alias("delta"), "b.distance")
 
 
-@query("candidate_quality", oracle("frames", body=""", c AS (SELECT unnest([0, 3, 4, 5, 6, 7]) AS cand), k AS (SELECT unnest([10, 60, 110, 160]) AS spot),
-g AS (SELECT cand, spot, count(*) AS tested, count(*) FILTER (bit_count(xor(a.hash64, b.hash64)) <= 30) AS matched, avg(bit_count(xor(a.hash64, b.hash64))) AS d
-  FROM c, k, frames a, frames b WHERE a.clip = 0 AND b.clip = 1 AND a.frame_idx BETWEEN spot AND spot + 9 AND b.frame_idx = a.frame_idx + cand GROUP BY 1, 2)
-SELECT cand, sum(matched)::BIGINT AS matched, sum(tested)::BIGINT AS tested, count(*) FILTER (matched >= trunc(0.7 * tested)) AS verified, round(avg(d), 6) + 0.0 AS distance FROM g GROUP BY 1"""))
+def checkpoint_times(duration_ms: Column, n: int) -> Column:
+    """N times in the middle of equal parts of a clip's middle 80 percent."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: duration_ms * (F.lit(10.0) + F.lit(80.0) * (i + 0.5) / n) / 100)
+
+
+def candidate_quality(source: DataFrame, target: DataFrame, centre: float, radius: int, checkpoints: int = 9, length: int = 10, hash_limit: int = 30, error_limit: float = 5.0) -> DataFrame:
+    """(cand, at, initial, is_match, tested, matched, exact, mse, verified): candidate offsets by checkpoints, with a sequence of frames from each on.
+
+    A frame matches if its hash differs in hash_limit bits at most; a sequence is
+    verified if trunc(0.7 * length) of its frames match. Candidates and checkpoints
+    are few, so what is joined with the frames grows with neither clip.
+    """
+    ends = source.agg(((F.max("frame_idx") + 1) * F.lit(FRAME_MS)).alias("duration_ms"))
+    at = ends.select(F.explode(checkpoint_times(F.col("duration_ms"), checkpoints)).alias("at_ms")).select(F.floor(F.col("at_ms") / FRAME_MS).alias("at"))
+    grid = at.select("at", F.explode(candidates(F.lit(float(centre)), F.lit(radius))).alias("cand")).where(F.col("at") + F.col("cand") >= 0)
+    asked = grid.select("cand", "at", F.explode(F.sequence(F.col("at"), F.col("at") + length - 1)).alias("i")).withColumn("j", F.col("i") + F.col("cand"))
+    a, b = (clip.select(F.col("frame_idx").alias(n), F.col("hash64").alias(f"h{n}"), F.col("feature").alias(f"f{n}")) for clip, n in ((source, "i"), (target, "j")))
+    each = asked.join(a, "i").join(b, "j").select("cand", "at", "i", hamming(F.col("hi"), F.col("hj")).alias("d"), squared_error("fi", "fj").alias("e"))
+    own = F.col("i") == F.col("at")
+    found = each.groupBy("cand", "at").agg(
+        F.max(F.when(own, F.col("d"))).alias("initial"), F.count(F.lit(1)).alias("tested"), F.count_if(F.col("d") <= hash_limit).alias("matched"), F.count_if(F.col("d") == 0).alias("exact"), F.avg(F.when(own, F.col("e"))).alias("mse")
+    )
+    found = found.where("initial is not null")  # a checkpoint without its own pair of frames is left out
+    return found.select("*", (F.col("initial") <= hash_limit).alias("is_match"), (F.col("matched") >= int(length * 0.7)).alias("verified"))
+
+
+def candidate_totals(quality: DataFrame, length: int = 10) -> DataFrame:
+    """Candidates with their totals and rank: most verified checkpoints, then most matched frames, most exact ones, least error; the larger offset of equals."""
+    score = F.when(F.col("verified"), F.lit(2.0) * F.col("matched") / length).when(F.col("is_match"), 0.5).otherwise(0.0)
+    totals = quality.groupBy("cand").agg(
+        F.sum(score).alias("score"), F.count_if(F.col("verified") | F.col("is_match")).alias("checkpoints"), F.count_if("verified").alias("verified"),
+        F.sum("tested").alias("tested"), F.sum("matched").alias("matched"), F.sum("exact").alias("exact"), F.avg("initial").alias("distance"), F.avg("mse").alias("mse"),
+    )
+    best = totals.select(F.max(F.struct("verified", "matched", "exact", (-F.col("mse") * 1000).cast("long"), "cand")).alias("b"))
+    return totals.crossJoin(F.broadcast(best.select(F.col("b.cand").alias("winner")))).withColumn("best", F.col("cand") == F.col("winner")).drop("winner")  # one row
+
+
+def verification_tier(rate: Column, agreement: Column) -> Column:
+    """A34."""
+    return F.when((rate >= 0.9) & (agreement == 3), "HIGH").when((rate >= 0.7) & (agreement >= 2), "MEDIUM").otherwise("LOW")
+
+
+def subframe_offset(quality: DataFrame, times: DataFrame) -> DataFrame:
+    """For each candidate the median difference of presentation times over its verified checkpoints, else over its matching ones, else its frames' length. times(clip, frame_idx, pts_ms)."""
+    source, target = (times.where(F.col("clip") == c).select(F.col("frame_idx").alias(n), F.col("pts_ms").alias(f"pts_{n}")) for c, n in ((0, "at"), (1, "to")))
+    timed = quality.withColumn("to", F.col("at") + F.col("cand")).join(source, "at", "left").join(target, "to", "left").withColumn("diff", F.col("pts_to") - F.col("pts_at"))
+    medians = timed.groupBy("cand").agg(
+        F.count_if("verified").alias("n_verified"), F.median(F.when(F.col("verified"), F.col("diff"))).alias("by_sequence"), F.median(F.when(F.col("is_match"), F.col("diff"))).alias("by_frame")
+    )
+    return medians.select("cand", F.coalesce(F.when(F.col("n_verified") > 0, F.col("by_sequence")).otherwise(F.col("by_frame")), F.col("cand") * F.lit(FRAME_MS)).alias("offset_ms"))
+
+
+_GRID = """, x AS (SELECT (max(frame_idx) + 1) * 41.708333::DOUBLE AS dur FROM frames WHERE clip = 0), k AS (SELECT floor(dur * (10.0 + 80.0 * (i + 0.5) / 9) / 100 / 41.708333)::BIGINT AS spot FROM x, (SELECT unnest(range(0, 9)) AS i)),
+c AS (SELECT unnest([0, 3, 4, 5, 6, 7]) AS cand), fr AS (SELECT cand, spot, a.frame_idx AS i, bit_count(xor(a.hash64, b.hash64)) AS d, list_sum(list_transform(range(1, 65), lambda z: power(a.feature[z]::DOUBLE - b.feature[z]::DOUBLE, 2))) / 64 AS e
+  FROM c, k, frames a, frames b WHERE a.clip = 0 AND b.clip = 1 AND a.frame_idx BETWEEN spot AND spot + 9 AND b.frame_idx = a.frame_idx + cand),
+q AS (SELECT cand, spot, max(d) FILTER (i = spot)::INT AS initial, count(*) AS tested, count(*) FILTER (d <= 30) AS matched, count(*) FILTER (d = 0) AS exact, avg(e) FILTER (i = spot) AS mse FROM fr GROUP BY 1, 2),
+ql AS (SELECT *, initial <= 30 AS is_match, matched >= 7 AS verified FROM q WHERE initial IS NOT NULL)"""
+
+
+def _quality(spark: SparkSession, sf: str) -> DataFrame:
+    return candidate_quality(_clip(spark, sf, 0), _clip(spark, sf, 1), 5.2, 2)
+
+
+@query("candidate_checkpoints", oracle("frames", body=_GRID + " SELECT cand, spot, initial, tested, matched, exact, round(mse, 6) + 0.0 AS mse, is_match, verified FROM ql"))
+def q_checkpoints(spark: SparkSession, sf: str) -> DataFrame:
+    return _quality(spark, sf).withColumn("mse", r6(F.col("mse"))).withColumnRenamed("at", "spot")
+
+
+@query("candidate_quality", oracle("frames", body=_GRID + """, t AS (SELECT cand, sum(CASE WHEN verified THEN 2.0 * matched / 10 WHEN is_match THEN 0.5 ELSE 0 END)::DOUBLE AS score, count(*) FILTER (verified OR is_match) AS checkpoints, count(*) FILTER (verified) AS verified,
+  sum(tested)::BIGINT AS tested, sum(matched)::BIGINT AS matched, sum(exact)::BIGINT AS exact, avg(initial) AS distance, avg(mse) AS mse FROM ql GROUP BY 1)
+SELECT cand, round(score, 6) + 0.0 AS score, checkpoints, verified, tested, matched, exact, round(distance, 6) + 0.0 AS distance, round(mse, 6) + 0.0 AS mse,
+  row_number() OVER (ORDER BY verified DESC, matched DESC, exact DESC, trunc(-mse * 1000) DESC, cand DESC) = 1 AS best FROM t"""))
 def q_quality(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidate offsets by checkpoints, with sequences of ten frames verified at each."""
-    cands = spark.range(1).select(F.explode(candidates(F.lit(5.2), F.lit(2))).alias("cand"))
-    grid = cands.crossJoin(spark.range(1).select(F.explode(F.array(*map(F.lit, (10, 60, 110, 160)))).alias("at")))  # stated lists
-    asked = grid.select("cand", "at", F.explode(F.sequence(F.col("at"), F.col("at") + 9)).alias("i")).withColumn("j", F.col("i") + F.col("cand"))
-    a, b = (_clip(spark, sf, c).select(F.col("frame_idx").alias(n), F.col("hash64").alias(f"h{n}")) for c, n in ((0, "i"), (1, "j")))
-    d = hamming(F.col("hi"), F.col("hj"))
-    each = asked.join(a, "i").join(b, "j").groupBy("cand", "at").agg(F.count(F.lit(1)).alias("tested"), F.count_if(d <= 30).alias("matched"), F.avg(d).alias("d"))
-    return each.groupBy("cand").agg(F.sum("matched").alias("matched"), F.sum("tested").alias("tested"), F.count_if(F.col("matched") >= (F.col("tested") * 0.7).cast("int")).alias("verified"), r6(F.avg("d")).alias("distance"))
+    """Candidate offsets over the whole clip."""
+    return candidate_totals(_quality(spark, sf)).withColumns({c: r6(F.col(c)) for c in ("score", "distance", "mse")})
+
+
+@query("candidate_offsets", oracle("frames", body=_GRID + """, p AS (SELECT clip, frame_idx, frame_idx * 41.7::DOUBLE + clip * 12.5 + frame_idx % 3 AS pts FROM frames),
+m AS (SELECT cand, count(*) FILTER (verified) AS nv, median(b.pts - a.pts) FILTER (verified) AS sq, median(b.pts - a.pts) FILTER (is_match) AS sg FROM ql LEFT JOIN p a ON a.clip = 0 AND a.frame_idx = spot LEFT JOIN p b ON b.clip = 1 AND b.frame_idx = spot + cand GROUP BY 1)
+SELECT cand, round(coalesce(CASE WHEN nv > 0 THEN sq ELSE sg END, cand * 41.708333), 6) + 0.0 AS offset_ms FROM m"""))
+def q_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    times = frames(spark, sf).select("clip", "frame_idx", (F.col("frame_idx") * F.lit(41.7) + F.col("clip") * F.lit(12.5) + F.col("frame_idx") % 3).alias("pts_ms"))
+    return subframe_offset(_quality(spark, sf), times).withColumn("offset_ms", r6(F.col("offset_ms")))
+
+
+@query("verification_tiers", oracle("frames", body=_PAIR + """, h AS (SELECT frame_idx // 10 AS part, bit_count(xor(a.hash64, b.hash64)) <= 32 AS ok FROM frames a JOIN frames b USING (frame_idx) WHERE a.clip = 0 AND b.clip = 1),
+r AS (SELECT part, count(*) AS tested, count(*) FILTER (ok) AS matched FROM h GROUP BY 1)
+SELECT part, tested, matched, CASE WHEN matched / tested >= 0.9 AND part % 3 + 1 = 3 THEN 'HIGH' WHEN matched / tested >= 0.7 AND part % 3 + 1 >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM r"""))
+def q_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    """The tier of each ten frames' match rate, with one, two or three measures agreeing."""
+    a, b = (_clip(spark, sf, c).select("frame_idx", F.col("hash64").alias(n)) for c, n in ((0, "a"), (1, "b")))
+    part = F.floor(F.col("frame_idx") / 10)
+    rates = a.join(b, "frame_idx").groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("tested"), F.count_if(hamming(F.col("a"), F.col("b")) <= 32).alias("matched"))
+    return rates.select("*", verification_tier(F.col("matched") / F.col("tested"), F.col("part") % 3 + 1).alias("tier"))
 
 
 def candidates(centre: Column, radius: Column) -> Column:

@@ -19,42 +19,50 @@ def to_reference(t: Column, delay_ms: Column) -> Column:
     return t + delay_ms / 1000.0
 
 
-def as_of(events: DataFrame, segments: DataFrame, key: str, time: str, start: str, value: str) -> DataFrame:
-    """Events with the value of the last segment of their key that starts at or before their time, 0 before the first.
+def as_of(events: DataFrame, segments: DataFrame, key: str, time: str, start: str, value: str, strict: bool = False) -> DataFrame:
+    """Events with the value of the last segment of their key that starts at or before their time (strict: before it), 0 before the first.
 
     Both sides are laid out in one ordered window, so a key's rows are sorted once
-    and never multiplied. Segments come before events of the same time; of segments
+    and never multiplied. Segments come before events of the same time, or strictly after; of segments
     of the same time the one with the largest value counts.
     """
     left = events.withColumns({"__t": F.col(time).cast("double"), "__v": F.lit(None).cast("double"), "__event": F.lit(1)})
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name != key]
     right = segments.select(F.col(key), *empty, F.col(start).cast("double").alias("__t"), F.col(value).cast("double").alias("__v"), F.lit(0).alias("__event"))
-    order = Window.partitionBy(key).orderBy("__t", "__event", "__v").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(key).orderBy("__t", F.col("__event") * (-1 if strict else 1), "__v").rowsBetween(Window.unboundedPreceding, 0)
     found = left.unionByName(right).withColumn("offset", F.coalesce(F.last("__v", ignorenulls=True).over(order), F.lit(0.0)))
     return found.where("__event = 1").drop("__t", "__v", "__event")
 
 
-def with_ends(segments: DataFrame, key: str, start: str) -> DataFrame:
-    """Segments with end_s, the next one's start; the last one's is unbounded."""
+def numbered(segments: DataFrame, key: str, start: str) -> DataFrame:
+    """Segments with k from 1 and end_s, the next one's start; the last one's is unbounded."""
     order = Window.partitionBy(key).orderBy(start, "delay_ms")
-    return segments.withColumn("end_s", F.coalesce(F.lead(start).over(order), F.lit(float("inf"))))
+    return segments.withColumns({"k": F.row_number().over(order), "end_s": F.coalesce(F.lead(start).over(order), F.lit(float("inf")))})
 
 
 def majority_offset(events: DataFrame, segments: DataFrame, key: str, event: str, begin: str, end: str) -> DataFrame:
-    """(key, event, offset, overlap_s): the offset under which most of an event lies; time before the first segment has offset 0. Ties go to the smallest offset."""
-    bounded = with_ends(segments, key, "start_s").select(key, "start_s", "end_s", F.col("delay_ms").alias("offset"))
-    before = segments.groupBy(key).agg(F.min("start_s").alias("end_s")).select(key, F.lit(float("-inf")).alias("start_s"), "end_s", F.lit(0).alias("offset"))
-    both = events.join(bounded.unionByName(before), key).where((F.col(begin) < F.col("end_s")) & (F.col(end) > F.col("start_s")))
+    """(key, event, offset, overlap_s): the offset under which most of an event lies; time before the first segment has offset 0. Ties go to the smallest offset.
+
+    Two as-of steps give the numbers of the first and last segment that an event
+    touches, so it is joined to these alone.
+    """
+    bounded = numbered(segments, key, "start_s").select(key, F.col("k"), "start_s", "end_s", F.col("delay_ms").alias("offset"))
+    before = segments.groupBy(key).agg(F.min("start_s").alias("end_s")).select(key, F.lit(0).alias("k"), F.lit(float("-inf")).alias("start_s"), "end_s", F.lit(0).alias("offset"))
+    placed = as_of(events, bounded, key, begin, "start_s", "k").withColumnRenamed("offset", "__first")
+    placed = as_of(placed, bounded, key, end, "start_s", "k").withColumnRenamed("offset", "__last")
+    touched = placed.withColumn("k", F.explode(F.sequence(F.col("__first").cast("int"), F.col("__last").cast("int"))))
+    both = touched.join(bounded.unionByName(before), [key, "k"]).where((F.col(begin) < F.col("end_s")) & (F.col(end) > F.col("start_s")))
     parts = both.groupBy(key, event, "offset").agg(F.sum(F.least(F.col(end), F.col("end_s")) - F.greatest(F.col(begin), F.col("start_s"))).alias("overlap_s"))
     best = F.max_by(F.struct("offset", "overlap_s"), F.struct(F.round("overlap_s", 6), -F.col("offset")))
     return parts.groupBy(key, event).agg(best.alias("b")).select(key, event, "b.offset", "b.overlap_s")
 
 
 def spanning(events: DataFrame, segments: DataFrame, key: str, begin: str, end: str) -> DataFrame:
-    """Events that a segment's start lies strictly inside of; each key's first segment is left out."""
-    order = Window.partitionBy(key).orderBy("start_s", "delay_ms")
-    later = segments.withColumn("__k", F.row_number().over(order)).where("__k > 1").select(F.col(key).alias("__key"), "start_s")
-    return events.join(later, (F.col(key) == F.col("__key")) & (F.col("start_s") > F.col(begin)) & (F.col("start_s") < F.col(end)), "left_semi")
+    """Events that a segment's start lies strictly inside of; each key's first segment is left out. The last start before an event's end is one as-of step away, so nothing is multiplied."""
+    later = numbered(segments, key, "start_s").where("k > 1").select(key, "start_s", F.col("start_s").alias("at"), F.col("k").alias("nth"))
+    at = as_of(events, later, key, end, "start_s", "at", strict=True).withColumnRenamed("offset", "__at")
+    met = as_of(at, later, key, end, "start_s", "nth", strict=True)  # 0: no segment starts before the end
+    return met.where((F.col("offset") > 0) & (F.col("__at") > F.col(begin))).drop("offset", "__at")
 
 
 def build_edl(splices: DataFrame) -> DataFrame:

@@ -73,11 +73,14 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pcm(spark: SparkSession, sf: str) -> DataFrame:
-    """Samples: (signal, sample_idx from 0, value in [0, 1])."""
-    e = table(spark, sf, "events")
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    """Samples: (signal, sample_idx from 0, value in [0, 1]). Samples are numbered inside each hour of a signal, and hours by their counts, so that no task holds a whole signal."""
+    e = table(spark, sf, "events").select(F.col("event_type").alias("signal"), F.date_trunc("hour", "ts").alias("hour"), "ts", "event_id", "value")
     top = e.agg(F.max("value").alias("top"))
-    return e.crossJoin(F.broadcast(top)).select(F.col("event_type").alias("signal"), (F.row_number().over(order) - 1).cast("long").alias("sample_idx"), (F.col("value") / F.col("top")).alias("value"))
+    hours = e.groupBy("signal", "hour").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("signal").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("signal", "hour").orderBy("ts", "event_id")) - 1
+    placed = e.withColumn("own", own).join(hours.select("signal", "hour", before.alias("before")), ["signal", "hour"])
+    return placed.crossJoin(F.broadcast(top)).select("signal", (F.col("before") + F.col("own")).cast("long").alias("sample_idx"), (F.col("value") / F.col("top")).alias("value"))  # top is one row
 
 
 def jobs(spark: SparkSession, sf: str) -> DataFrame:
