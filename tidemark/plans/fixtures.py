@@ -44,15 +44,57 @@ def edl(spark: SparkSession, sf: str) -> DataFrame:
     return picked.select("source_key", "start_s", "delay_ms", F.col("raw_delay_ms").alias("delay_raw"))
 
 
+#: Columns of the track plans, in expressions that both engines read: an order is a job, its lines are the tracks.
+PLAN = (
+    "l_orderkey AS job",
+    "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS INT) AS pos",
+    "CASE l_suppkey % 4 WHEN 0 THEN 'Source 1' WHEN 1 THEN 'Source 2' WHEN 2 THEN 'Source 3' ELSE 'External' END AS source",
+    "CAST(l_linenumber AS INT) AS id",
+    "CASE l_returnflag WHEN 'A' THEN 'audio' WHEN 'N' THEN 'video' ELSE 'subtitles' END AS type",
+    """CASE l_returnflag WHEN 'A' THEN CASE l_partkey % 6 WHEN 0 THEN 'A_AAC' WHEN 1 THEN 'A_FLAC' WHEN 2 THEN 'A_AC3' WHEN 3 THEN 'A_TRUEHD' WHEN 4 THEN 'A_EAC3' ELSE 'A_PCM/INT/LIT' END
+      WHEN 'N' THEN CASE l_partkey % 3 WHEN 0 THEN 'V_MPEGH/ISO/HEVC' WHEN 1 THEN 'V_MPEG4/ISO/AVC' ELSE 'V_AV1' END
+      ELSE CASE l_partkey % 4 WHEN 0 THEN 'S_TEXT/ASS' WHEN 1 THEN 'S_TEXT/UTF8' WHEN 2 THEN 'S_HDMV/PGS' ELSE 'S_VOBSUB' END END AS codec""",
+    "CASE l_partkey % 4 WHEN 0 THEN 'eng' WHEN 1 THEN 'jpn' WHEN 2 THEN 'deu' ELSE 'und' END AS lang",
+    "CASE WHEN l_partkey % 3 = 0 THEN '' ELSE 'Track ' || CAST(l_partkey % 10 AS STRING) END AS name",
+    "l_linenumber = 1 AS is_default", "l_partkey % 7 = 0 AS is_forced",
+    "CASE WHEN l_partkey % 11 = 0 THEN 'fra' ELSE '' END AS custom_lang", "CASE WHEN l_partkey % 13 = 0 THEN 'Custom' ELSE '' END AS custom_name", "l_partkey % 2 = 0 AS apply_name",
+    "CAST(l_partkey % 401 - 200 AS INT) AS container_ms", "CASE WHEN l_suppkey % 4 = 3 AND l_partkey % 2 = 1 THEN 'Source 2' END AS sync_to",
+    "l_returnflag = 'R' AND l_partkey % 9 = 0 AS stepping_adjusted", "l_returnflag = 'R' AND l_partkey % 10 = 0 AS frame_adjusted", "l_returnflag <> 'N' AND l_partkey % 6 = 5 AS is_preserved",
+    "l_returnflag = 'R' AND l_partkey % 12 = 9 AS convert_to_ass", "l_returnflag = 'R' AND l_partkey % 12 IN (2, 7) AS perform_ocr", "l_returnflag = 'A' AND l_partkey % 8 = 3 AS is_corrected",
+    "CAST(CASE l_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 6 WHEN 3 THEN 8 ELSE 3 END AS INT) AS channels", "CASE WHEN l_partkey % 2 = 0 THEN '48000' ELSE '44100' END AS rate",
+    "CASE l_partkey % 3 WHEN 0 THEN '16' WHEN 1 THEN '24' END AS bits",
+)
+#: Columns of the tracks that came out: the plan's, some of them changed, and a few jobs' last track missing.
+FINAL = (
+    "job", "pos", "CASE WHEN h = 6 THEN 'other' ELSE type END AS type",
+    "CASE WHEN h = 0 THEN 'X_OTHER' WHEN convert_to_ass THEN 'S_TEXT/ASS' WHEN perform_ocr THEN 'S_TEXT/UTF8' ELSE codec END AS codec",
+    "CASE WHEN h = 1 THEN 'xxx' WHEN custom_lang <> '' THEN custom_lang ELSE lang END AS lang", "CASE WHEN h = 1 AND job % 2 = 0 THEN CASE WHEN custom_lang <> '' THEN custom_lang ELSE lang END ELSE '' END AS lang_ietf",
+    "CASE WHEN h = 4 THEN 'Other' WHEN custom_name <> '' THEN custom_name WHEN apply_name THEN name ELSE '' END AS name",
+    "CASE WHEN h = 2 THEN NOT is_default ELSE is_default END AS is_default", "CASE WHEN h = 3 THEN NOT is_forced ELSE is_forced END AS is_forced",
+    "CAST(CASE WHEN h = 7 THEN channels + 1 ELSE channels END AS INT) AS channels", "CASE WHEN h = 8 THEN '96000' ELSE rate END AS rate", "CASE WHEN h = 9 THEN '8' ELSE bits END AS bits", "h",
+)
+
+
 def tracks(spark: SparkSession, sf: str) -> DataFrame:
-    """Tracks of sources: (source, id, type, codec, lang, delay_ms, is_default)."""
-    kind = F.when(F.col("l_returnflag") == "A", "audio").when(F.col("l_returnflag") == "N", "video").otherwise("subtitles")
-    codec = F.when(F.col("l_linestatus") == "O", "A_AAC").otherwise("A_FLAC")
-    lang = F.element_at(F.array(*map(F.lit, ("eng", "jpn", "ger", "und"))), (F.col("l_suppkey") % 4 + 1).cast("int"))
-    return table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("id"), kind.alias("type"), codec.alias("codec"), lang.alias("lang"),
-        F.col("l_quantity").cast("int").alias("delay_ms"), (F.col("l_linenumber") == 1).alias("is_default"),
-    )
+    """Planned tracks of jobs: (job, pos, source, id, type, codec, lang, name, ...)."""
+    return table(spark, sf, "lineitem").selectExpr(*PLAN)
+
+
+def final_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracks of the files that came out: (job, pos, type, codec, lang, lang_ietf, name, is_default, ...)."""
+    planned = tracks(spark, sf).withColumns({"h": F.expr("CAST((job * 31 + pos * 7) % 17 AS INT)"), "__n": F.count(F.lit(1)).over(Window.partitionBy("job"))})
+    return planned.where("NOT (job % 19 = 0 AND pos = __n - 1)").selectExpr(*FINAL)
+
+
+def job_delays(spark: SparkSession, sf: str) -> DataFrame:
+    """Delays of jobs' sources: (job, source, delay_ms, subtitle_ms)."""
+    each = table(spark, sf, "orders").select(F.col("o_orderkey").alias("job"), F.explode(F.array(*map(F.lit, ("Source 1", "Source 2", "Source 3")))).alias("source"))
+    return each.selectExpr("job", "source", "CAST(CASE source WHEN 'Source 1' THEN 0 WHEN 'Source 2' THEN job % 500 - 250 ELSE job * 7 % 900 - 450 END AS INT) AS delay_ms", "CASE WHEN source = 'Source 3' AND job % 5 = 0 THEN job % 100 + 0.25D END AS subtitle_ms")
+
+
+def job_shift(job: Column) -> Column:
+    """The global shift of a job in ms."""
+    return (job % 3 * 50).cast("int")
 
 
 def chapters(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,11 +143,10 @@ CTES = {
     "edl": """edl AS (
   SELECT source_key, start_s, delay_ms, raw_delay_ms AS delay_raw FROM (SELECT *, count(*) OVER (PARTITION BY source_key) AS n FROM windows)
   WHERE window_idx = 1 OR window_idx = floor(n / 3) OR window_idx = floor(2 * n / 3))""",
-    "tracks": """tracks AS (
-  SELECT l_orderkey AS source, l_linenumber AS id,
-         CASE l_returnflag WHEN 'A' THEN 'audio' WHEN 'N' THEN 'video' ELSE 'subtitles' END AS type,
-         CASE l_linestatus WHEN 'O' THEN 'A_AAC' ELSE 'A_FLAC' END AS codec,
-         (['eng', 'jpn', 'ger', 'und'])[l_suppkey % 4 + 1] AS lang, trunc(l_quantity)::INT AS delay_ms, l_linenumber = 1 AS is_default FROM lineitem)""",
+    "tracks": "tracks AS (SELECT " + ", ".join(PLAN) + " FROM lineitem)",
+    "final": "final AS (SELECT " + ", ".join(FINAL) + " FROM (SELECT *, CAST((job * 31 + pos * 7) % 17 AS INT) AS h, count(*) OVER (PARTITION BY job) AS n FROM tracks) WHERE NOT (job % 19 = 0 AND pos = n - 1))",
+    "delays": """jdelays AS (SELECT job, source, CAST(CASE source WHEN 'Source 1' THEN 0 WHEN 'Source 2' THEN job % 500 - 250 ELSE job * 7 % 900 - 450 END AS INT) AS delay_ms, CASE WHEN source = 'Source 3' AND job % 5 = 0 THEN job % 100 + 0.25::DOUBLE END AS subtitle_ms
+  FROM (SELECT o_orderkey AS job, unnest(['Source 1', 'Source 2', 'Source 3']) AS source FROM orders))""",
     "chapters": """chapters AS (
   SELECT o_custkey AS track, o_orderkey AS id, (epoch_us(o_orderdate) - 788918400000000) * 1000 AS start_ns FROM orders)""",
     "keyframes": """keyframes AS (
