@@ -43,11 +43,6 @@ def format_short(seconds: Column) -> Column:
     return F.when(s >= 3600, F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)).otherwise(F.format_string("%d:%02d", F.floor(s / 60), s % 60))
 
 
-def format_number(v: Column) -> Column:
-    """whole numbers without decimals."""
-    return F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(v.cast("string"))
-
-
 def frame_floor(ms: Column) -> Column:
     """the frame that is on at a time."""
     return F.floor((ms + EPSILON) / FRAME)
@@ -157,22 +152,6 @@ def speed_class(cps: Column) -> Column:
     return F.when(cps <= 15, "good").when(cps <= 25, "fast").otherwise("too fast")
 
 
-def to_overrides(markup: Column) -> Column:
-    """b, i and u elements as overrides, font colours with their bytes turned round, other tags dropped, line ends as \\N."""
-    text = markup
-    for tag in "biu":
-        text = F.regexp_replace(F.regexp_replace(text, f"(?i)<{tag}>", f"{{\\\\{tag}1}}"), f"(?i)</{tag}>", f"{{\\\\{tag}0}}")
-    text = F.regexp_replace(text, r'(?i)<font[^<>]*color="?#([0-9a-f]{2})([0-9a-f]{2})([0-9a-f]{2})"?[^<>]*>', r"{\\c&H$3$2$1&}")
-    return F.replace(F.regexp_replace(text, "<[^<>]*>", ""), F.lit("\n"), F.lit("\\N"))
-
-
-def from_overrides(text: Column) -> Column:
-    """overrides back to elements, other blocks dropped."""
-    for tag in "biu":
-        text = F.replace(F.replace(text, F.lit(f"{{\\{tag}1}}"), F.lit(f"<{tag}>")), F.lit(f"{{\\{tag}0}}"), F.lit(f"</{tag}>"))
-    return F.replace(F.replace(strip_tags(text), F.lit("\\N"), F.lit("\n")), F.lit("}"), F.lit(""))
-
-
 def delayed(rows: DataFrame, ms: Column, snapped: bool = False) -> DataFrame:
     """Events that aren't comments moved by ms, with sync, what was done to them: the times before, the offset and whether it was snapped to frames."""
     sync = F.struct(F.col("start_ms").alias("was_start_ms"), F.col("end_ms").alias("was_end_ms"), ms.cast("double").alias("offset_ms"), F.lit(snapped).alias("snapped"))
