@@ -153,20 +153,20 @@ def is_font(mime: Column, name: Column) -> Column:
     return by_type | (kind.isin(*BINARY) & name.rlike(r"\.(" + "|".join(FONT_BINARY_ENDS) + ")$")) | name.rlike(r"\.(" + "|".join(FONT_ENDS) + ")$")
 
 
-#: Override tags whose numbers scale with the height, with both axes by pairs, and those that hold further tags.
+#: Override tags whose numbers scale with the height, those whose pairs scale evenly and move by the borders, and those that hold further tags.
 BY_HEIGHT, BY_PAIR, NESTED = ("fs", "fsp", "bord", "xbord", "ybord", "shad", "xshad", "yshad", "blur", "be"), ("pos", "move", "org", "clip", "iclip"), ("t",)
 
 
-def _scaled_number(text: str, factor: float) -> str:
+def _scaled_number(text: str, factor: float, offset: float = 0.0) -> str:
     try:
-        value = float(text) * factor
+        value = float(text) * factor + offset
     except ValueError:
         return text
     return str(int(value)) if value == int(value) else f"{value:.3f}".rstrip("0").rstrip(".")
 
 
-def scale_block(block: str, x: float, y: float) -> str:
-    """The tags of one override block with their numbers scaled; transforms hold further tags, at any depth."""
+def scale_block(block: str, even: float, height: float, borders: tuple[float, float] = (0.0, 0.0)) -> str:
+    """The tags of one override block with their numbers scaled: sizes by the height's factor, places by the even one and moved by the borders; transforms hold further tags, at any depth."""
     out, at = [], 0
     while at < len(block):
         if block[at] != "\\":
@@ -186,9 +186,9 @@ def scale_block(block: str, x: float, y: float) -> str:
                     break
             inner = block[end + 1 : close - 1] if not depth else block[end + 1 :]
             if name in NESTED:
-                inner = scale_block(inner, x, y)
+                inner = scale_block(inner, even, height, borders)
             elif name in BY_PAIR:
-                inner = ",".join(_scaled_number(v.strip(), (x, y)[i % 2]) if i < 4 else v for i, v in enumerate(inner.split(",")))
+                inner = ",".join(_scaled_number(v.strip(), even, borders[i % 2]) if i < 4 else v for i, v in enumerate(inner.split(",")))
             out.append(f"\\{name}({inner}" + (")" if not depth else ""))
             at = close
             continue
@@ -196,29 +196,29 @@ def scale_block(block: str, x: float, y: float) -> str:
         while stop < len(block) and (block[stop].isdigit() or block[stop] in ".-"):
             stop += 1
         number = block[end:stop]
-        out.append(f"\\{name}{_scaled_number(number, y) if number and name in BY_HEIGHT else number}")
+        out.append(f"\\{name}{_scaled_number(number, height) if number and name in BY_HEIGHT else number}")
         at = stop
     return "".join(out)
 
 
-def scale_tags(text: str, x: float, y: float) -> str:
+def scale_tags(text: str, even: float, height: float, borders: tuple[float, float] = (0.0, 0.0)) -> str:
     """A text with the numbers of its override blocks scaled; what is outside blocks stays."""
     out, at = [], 0
     while (start := text.find("{", at)) >= 0:
         end = text.find("}", start)
         if end < 0:
             break
-        out += [text[at : start + 1], scale_block(text[start + 1 : end], x, y), "}"]
+        out += [text[at : start + 1], scale_block(text[start + 1 : end], even, height, borders), "}"]
         at = end + 1
     return "".join([*out, text[at:]])
 
 
-def scaled_tags(text: Column, x: float, y: float) -> Column:
+def scaled_tags(text: Column, even: float, height: float, borders: tuple[float, float] = (0.0, 0.0)) -> Column:
     """P20: scale_tags() in Arrow batches, as nested brackets are beyond regular expressions."""
 
     @F.pandas_udf("string")
     def scale(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: None if t is None else scale_tags(t, x, y))
+            yield batch.map(lambda t: None if t is None else scale_tags(t, even, height, borders))
 
     return scale(text)

@@ -405,27 +405,8 @@ def q_patches(spark: SparkSession, sf: str) -> DataFrame:
     return scaled(patched(styles(spark, sf), patches), 1.25).withColumn("size", r6(F.col("size")))
 
 
-@query("style_rescale", oracle("subs", body=_STYLES + ", k AS (SELECT least(1280.0 / 640, 800.0 / 480) AS u, 800.0 / 480 AS v) SELECT track_id, style, trunc(size * v + 0.5)::INT AS size, round(size / 8 * u, 6)::DOUBLE AS outline FROM st, k"))
-def q_rescale(spark: SparkSession, sf: str) -> DataFrame:
-    """Sizes by the vertical scale cut after adding a half, outlines by the smaller one."""
-    uniform, vertical = min(1280 / 640, 800 / 480), 800 / 480
-    return styles(spark, sf).select("track_id", "style", (F.col("size") * vertical + 0.5).cast("int").alias("size"), r6(F.col("size") / 8 * uniform).alias("outline"))
-
-
 @query("style_signature", oracle("subs", body=_STYLES + " SELECT track_id, sha256(string_agg(style || ',' || font || ',' || printf('%.1f', size), '|' ORDER BY style || ',' || font || ',' || printf('%.1f', size))) AS signature FROM st GROUP BY 1"))
 def q_signature(spark: SparkSession, sf: str) -> DataFrame:
     """F42."""
     line = F.concat_ws(",", "style", "font", F.format_string("%.1f", "size"))
     return styles(spark, sf).groupBy("track_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "|"), 256).alias("signature"))
-
-
-@query("edit_plan", oracle("subs", body=""", d AS (SELECT * FROM subs WHERE idx <> 1 AND style <> 'system'), e AS (SELECT track_id, idx, start_ms, CASE WHEN idx = 2 THEN text || '!' ELSE text END AS text, CASE WHEN style = 'user' THEN 'Main' ELSE style END AS style FROM d
-  UNION ALL SELECT DISTINCT track_id, 500, 0.0, 'inserted', 'Main' FROM subs)
-SELECT track_id, idx, round(start_ms + 120, 6) + 0.0 AS start_ms, md5(text) AS text_md5, style FROM e"""))
-def q_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """P25: an edit plan in its fixed order: delete events and styles, change styles and events, insert, shift all."""
-    rows = subs(spark, sf)
-    left = rows.where("idx <> 1").where("style <> 'system'")
-    changed = left.select("track_id", "idx", "start_ms", F.when(F.col("idx") == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"), F.when(F.col("style") == "user", "Main").otherwise(F.col("style")).alias("style"))
-    new = rows.select("track_id").distinct().select("track_id", F.lit(500).cast("long").alias("idx"), F.lit(0.0).alias("start_ms"), F.lit("inserted").alias("text"), F.lit("Main").alias("style"))
-    return changed.unionByName(new).select("track_id", "idx", r6(F.col("start_ms") + 120).alias("start_ms"), F.md5("text").alias("text_md5"), "style")
