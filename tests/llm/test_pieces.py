@@ -107,6 +107,22 @@ def test_any_small_byte_pair_model_encodes_as_its_merges_do(longer, text, rng):
     assert [own.text(s) for s in own.shortest_path(text)] == own.merged(list(text))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abcdeinorst,.'AB▁é日\U0001f600"), min_size=1, max_size=12), min_size=1, max_size=20))
+def test_paths_side_by_side_are_those_one_by_one(words):
+    transducer, _ = _both()
+    symbols, bounds = transducer.shortest_paths(words)
+    assert [symbols[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [transducer.shortest_path(w) for w in words]
+
+
+def test_unigram_paths_side_by_side():
+    scores = {"a": -1.0, "b": -1.5, "ab": -1.9, "ba": -2.2, "aba": -3.1}
+    own = pieces.Transducer([("<unk>", 0.0, pieces.UNKNOWN), *[(p, s, pieces.NORMAL) for p, s in scores.items()]], pieces.UNIGRAM)
+    words = ["a", "ab", "aba", "abab", "babaab", "xabx", "x"]
+    symbols, bounds = own.shortest_paths(words)
+    assert [symbols[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [own.shortest_path(w) for w in words]
+
+
 def test_a_character_map_is_compiled(tmp_path):
     from sentencepiece import sentencepiece_model_pb2 as pb
 

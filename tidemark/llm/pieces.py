@@ -36,6 +36,8 @@ INFINITY = float("inf")
 #: Words and neighbouring pairs that a task remembers, each in two generations; longer words aren't remembered.
 MEMO = 200_000
 MEMO_CHARS = 48
+#: Words whose paths are found side by side, and the bits of a pair's place among the pairs that they remember.
+BATCH_WORDS, PAIR_BITS = 20_000, 20
 #: Fixed values of the model format: kinds of models and of pieces.
 UNIGRAM, BYTE_PAIR = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -95,7 +97,7 @@ class Normaliser:
 
     def rewritten(self, text: str) -> str:
         longest, rules = self.longest, self.rules
-        if longest.keys().isdisjoint(text):
+        if not longest or longest.keys().isdisjoint(text):
             return text
         out, at = [], 0
         while at < len(text):
@@ -152,7 +154,10 @@ class Transducer:
         split = not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.score_of)
         self.cut = re.compile(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+" if split else "(?s).+")
         self.output = [self._decoded(p, k) for p, _, k in pieces]
-        self.words, self.pairs = Memo(MEMO), Memo(MEMO)
+        self.pairs = Memo(MEMO)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self._compile_arrays()
         self.edges: dict[int, tuple[list, list] | None] = {}
 
     @classmethod
@@ -248,7 +253,7 @@ class Transducer:
         """Symbols along the path of least weight of a part of an input, found by min and + over its positions from left to right."""
         n = len(word)
         weight, came, last = [0.0] + [INFINITY] * n, [0] * (n + 1), [-1] * (n + 1)
-        arcs, ends, weights, pairs, old = self.arcs, self.ends, self.weights, self.pairs, self.pairs.old
+        arcs, ends, weights, pairs = self.arcs, self.ends, self.weights, self.pairs
         paired = self.kind == BYTE_PAIR
         for at in range(n):
             here, before = weight[at], last[at]
@@ -262,14 +267,16 @@ class Transducer:
                 if symbol >= 0:
                     if end == at + 1:
                         alone = False
+                    if paired:
+                        if last[end] >= 0:  # its one finite state is known; the longest arcs come first
+                            continue
+                        known = pairs.get(before << 22 | symbol)
+                        if known is None:
+                            known = self.follow(before, symbol)
+                        if not known:
+                            continue
                     total = here + weights[symbol]
                     if total < weight[end]:
-                        if paired:
-                            known = pairs.get(before << 22 | symbol)
-                            if known is None:
-                                known = self.follow(before, symbol)
-                            if not known:
-                                continue
                         weight[end], came[end], last[end] = total, at, symbol
             if alone:
                 total = here + self.fallback(word[at])[0]
@@ -281,29 +288,137 @@ class Transducer:
             n = came[n]
         return path[::-1]
 
-    def encode_word(self, word: str) -> bytes:
+    def _compile_arrays(self) -> None:
+        """The trie's arcs as sorted keys of state and character class with their targets, for taking a step in many words at once."""
+        chars = sorted({c for arcs in self.arcs for c in arcs})
+        self.class_of = {c: i + 1 for i, c in enumerate(chars)}
+        self.class_table = np.zeros(0x110000, dtype=np.int32)
+        self.class_table[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        found = sorted((state << 20 | self.class_of[c], target) for state, arcs in enumerate(self.arcs) for c, target in arcs.items())
+        self.arc_keys, self.arc_targets = (np.array(x, dtype=np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        self.end_array, self.weight_array = np.array(self.ends, dtype=np.int64), np.array([*self.weights, self.penalty])
+        self.pair_keys, self.pair_values = np.full(1 << PAIR_BITS, -1, dtype=np.int64), np.zeros(1 << PAIR_BITS, dtype=bool)
+
+    def _step(self, states: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """The state after each state's character; -1 if there is no arc."""
+        keys = states << 20 | classes
+        at = np.minimum(np.searchsorted(self.arc_keys, keys), len(self.arc_keys) - 1)
+        return np.where(self.arc_keys[at] == keys, self.arc_targets[at], -1)
+
+    def _follow_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """follow() of many pairs; each remembered in the one place that its key hashes to."""
+        keys = left + 1 << 22 | right
+        place = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out, known = self.pair_values[place], self.pair_keys[place] == keys
+        if not known.all():
+            new, back = np.unique(keys[~known], return_inverse=True)
+            values = np.array([self._apart((k >> 22) - 1, k & 0x3FFFFF) for k in new.tolist()], dtype=bool)[back]
+            out[~known] = values
+            self.pair_keys[place[~known]], self.pair_values[place[~known]] = keys[~known], values
+        return out
+
+    def shortest_paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """shortest_path() of words of up to MEMO_CHARS characters, side by side: the symbols of all, and where each word's begin."""
+        lengths = np.array([len(w) for w in words])
+        n, longest = len(words), int(lengths.max())
+        points = np.zeros((n, longest), dtype=np.int64)
+        points[np.arange(longest) < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        classes = self.class_table[points].astype(np.int64)
+        weight = np.full((n, longest + 1), INFINITY)
+        weight[:, 0] = 0.0
+        came, last = np.zeros((n, longest + 1), dtype=np.int64), np.full((n, longest + 1), -1, dtype=np.int64)
+        for at in range(longest):
+            rows = np.flatnonzero(lengths > at)
+            states, alone = np.zeros(len(rows), dtype=np.int64), rows
+            for end in range(at + 1, longest + 1):
+                inside = lengths[rows] >= end
+                rows, states = rows[inside], states[inside]
+                states = self._step(states, classes[rows, end - 1])
+                rows, states = rows[states >= 0], states[states >= 0]
+                if not len(rows):
+                    break
+                symbols = self.end_array[states]
+                own = symbols >= 0
+                if end == at + 1:
+                    alone = np.setdiff1d(alone, rows[own], assume_unique=True)
+                self._settle(weight, came, last, rows[own], at, end, symbols[own])
+            if len(alone):  # characters without a piece; those of a byte-pair model are settled alike, whatever their bytes weigh
+                symbols = len(self.texts) + points[alone, at]
+                totals = weight[alone, at] + np.array([self.fallback(chr(c))[0] for c in points[alone, at].tolist()])
+                better = totals < weight[alone, at + 1]
+                alone = alone[better]
+                weight[alone, at + 1], came[alone, at + 1], last[alone, at + 1] = totals[better], at, symbols[better]
+        place, found, owners = lengths.copy(), [], []
+        live = np.arange(n)
+        while len(live):
+            found.append(last[live, place[live]])
+            owners.append(live)
+            place[live] = came[live, place[live]]
+            live = live[place[live] > 0]
+        owner, symbol = np.concatenate(owners)[::-1], np.concatenate(found)[::-1]
+        order = np.argsort(owner, kind="stable")
+        return symbol[order], np.searchsorted(owner[order], np.arange(n + 1))
+
+    def _settle(self, weight: np.ndarray, came: np.ndarray, last: np.ndarray, rows: np.ndarray, at: int, end: int, symbols: np.ndarray) -> None:
+        """Take an arc from at to end in each row where its weight is finite and the sum is less than what is known."""
+        if self.kind == BYTE_PAIR:
+            fresh = last[rows, end] < 0  # where its one finite state isn't known yet; the longest arcs come first
+            rows, symbols = rows[fresh], symbols[fresh]
+            if not len(rows):
+                return
+            fits = self._follow_all(last[rows, at], symbols)
+            rows, symbols = rows[fits], symbols[fits]
+        totals = weight[rows, at] + self.weight_array[symbols]
+        better = totals < weight[rows, end]
+        rows = rows[better]
+        weight[rows, end], came[rows, end], last[rows, end] = totals[better], at, symbols[better]
+
+    def ids_of(self, symbols: list[int]) -> bytes:
+        """Ids of a path's symbols as little-endian 32-bit integers."""
         ids: list[int] = []
-        for symbol in self.shortest_path(word):
+        for symbol in symbols:
             if symbol < len(self.texts):
                 ids.append(symbol)
             else:
                 ids += self.fallback(self.text(symbol))[1]
         return array("i", ids).tobytes()  # little-endian, as on any machine that Spark runs on
 
+    def learn(self, words: set[str]) -> None:
+        """Make words known, those of like length side by side."""
+        young, old = self.young, self.old
+        fresh = []
+        for word in words:
+            if word not in young:
+                ids = old.get(word)
+                if ids is not None:
+                    young[word] = ids
+                elif len(word) <= MEMO_CHARS:
+                    fresh.append(word)
+        fresh.sort(key=len)
+        for at in range(0, len(fresh), BATCH_WORDS):
+            batch = fresh[at : at + BATCH_WORDS]
+            symbols, bounds = self.shortest_paths(batch)
+            plain, data = symbols < len(self.texts), symbols.astype("<i4").tobytes()
+            odd = np.add.reduceat(~plain, bounds[:-1]) > 0
+            for word, a, b, is_odd in zip(batch, bounds[:-1].tolist(), bounds[1:].tolist(), odd.tolist()):
+                young[word] = self.ids_of(symbols[a:b].tolist()) if is_odd else data[4 * a : 4 * b]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as little-endian 32-bit integers."""
+        split = [self.cut.findall(self.normalise(text)) for text in texts]
+        self.learn(set().union(*split))
+        young, out = self.young, []
+        for words in split:
+            try:
+                out.append(b"".join(map(young.__getitem__, words)))
+            except KeyError:  # words too long to be remembered
+                out.append(b"".join([young[w] if w in young else self.ids_of(self.shortest_path(w)) for w in words]))
+        if len(young) > MEMO:
+            self.old, self.young = young, {}
+        return out
+
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit integers."""
-        out = []
-        words = self.words
-        for word in self.cut.findall(self.normalise(text)):
-            ids = words.get(word)
-            if ids is None:
-                ids = words.old.get(word)
-                if ids is None:
-                    ids = self.encode_word(word)
-                if len(word) <= MEMO_CHARS:
-                    words.keep(word, ids)
-            out.append(ids)
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the inverse transducer, without the blank that was put in front; bytes that aren't UTF-8 become U+FFFD, and so does an id that no piece has."""
@@ -341,7 +456,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
         transducer = _transducer(model)
         for batch in batches:
             for part, texts in text_slices(batch):
-                encoded = [transducer.encode(t) for t in texts]
+                encoded = transducer.encode_all(texts)
                 offsets = np.concatenate([[0], np.cumsum([len(e) // 4 for e in encoded])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), dtype="<i4")))
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in schema.fields[:-1]], ids], names=schema.names)
