@@ -29,18 +29,22 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch with their texts (null: empty), about limit characters each, so that Python never holds a whole batch of long texts as objects."""
+def column_slices(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts are about limit bytes each, so that a task never works on a whole batch of long texts at once."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, held = 0, 0
     for i, size in enumerate(sizes):
         if held and held + size > limit:
-            part = batch.slice(start, i - start)
-            yield part, [t or "" for t in part.column(column).to_pylist()]
+            yield batch.slice(start, i - start)
             start, held = i, 0
         held += size
     if start < len(sizes):
-        part = batch.slice(start)
+        yield batch.slice(start)
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """column_slices() with their texts as strings (null: empty)."""
+    for part in column_slices(batch, column, limit):
         yield part, [t or "" for t in part.column(column).to_pylist()]
 
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from array import array
@@ -26,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, text_slices
+from tidemark.llm.common import arrow_map, column_slices
 from tidemark.session import shared_path, table
 
 #: Fixed values of the coding: by selector, how many values a word holds and the bits of each. Selector 0 names an exception.
@@ -227,22 +227,49 @@ def splits_at_blanks(path: str) -> bool:
     )
 
 
+def _byte_table(*ranges: tuple[int, int]) -> np.ndarray:
+    table = np.zeros(256, dtype=bool)
+    for low, high in ranges:
+        table[low : high + 1] = True
+    return table
+
+
+#: Bytes that begin a character which is surely no white space; those that begin some white space beyond ASCII are left out with all their like.
+_BEGINS = _byte_table((0x21, 0x7E), (0xC3, 0xE0), (0xE4, 0xF4))
+_ASCII, _MORE, _TWO, _THREE, _FOUR = _byte_table((0x21, 0x7E)), _byte_table((0x80, 0xBF)), _byte_table((0xC3, 0xDF)), _byte_table((0xE0, 0xE0), (0xE4, 0xEF)), _byte_table((0xF0, 0xF4))
+
+
+def chunk_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where chunks begin in the UTF-8 bytes of texts that begin at starts: at each text, at each single space between two characters that are surely no white space, and before and behind each of one or two line ends between such."""
+    n = len(data)
+    edge = np.zeros(n + 3, dtype=bool)
+    edge[starts] = edge[n:] = True
+    kind = np.concatenate([np.zeros(4, np.uint8), data, np.zeros(2, np.uint8)])
+    one, two, three, four = kind[3 : n + 3], kind[2 : n + 2], kind[1 : n + 1], kind[:n]  # the bytes before each place
+    ended = _ASCII[one] | (_MORE[one] & (_TWO[two] | (_MORE[two] & (_THREE[three] | (_MORE[three] & _FOUR[four])))))
+    inside = ended & ~edge[:n] & ~edge[1 : n + 1]
+    following, second = kind[5 : n + 5], kind[6 : n + 6]
+    breaks = inside & (data == 0x0A)
+    single = breaks & _BEGINS[following]
+    double = breaks & (following == 0x0A) & ~edge[2 : n + 2] & _BEGINS[second]
+    cut = edge[:n] | inside & (data == 0x20) & _BEGINS[following] | single | double
+    cut[1:] |= single[:-1] | double[:-1]
+    cut[2:] |= double[:-2]
+    return np.flatnonzero(cut)
+
+
 class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, each distinct chunk encoded once while it is remembered.
 
-    A chunk runs up to a single space between two characters that aren't white
-    space, or up to one or two line ends between such. The usual splitting pattern
-    never carries a match over such a place, so chunks encode to the same ids as the
-    whole text. Nor does it join a letter to a mark behind it other than an
-    apostrophe, so a word shares its ids with the same word before marks. Whole
-    texts are encoded with any tokenizer that splits otherwise.
+    Chunks are cut as chunk_starts() says. The usual splitting pattern never carries
+    a match over such a place, so chunks encode to the same ids as the whole text.
+    Nor does it join a letter to a mark behind it other than an apostrophe, so a word
+    shares its ids with the same word before marks. Whole texts are encoded with any
+    tokenizer that splits otherwise.
     """
 
     _marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    _rare = re.compile(r"[^\S \n]")
-    _cut = re.compile(r"(?<=\S) (?=\S)")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -251,16 +278,10 @@ class ChunkEncoder:
         self.chunked = splits_at_blanks(path)
         if self.chunked:
             (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-            self.line_end_ids = array("I", [self.line_end]).tobytes()
         self.tails: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def chunks(self, text: str) -> list[str]:
-        """The chunks of a text that isn't empty; all but the first without their leading space, or with a line end instead."""
-        odd = "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text[0] == " " or text[-1] in " \n" or self._rare.search(text)
-        return self._cut.split(text) if odd else text.replace("\n", " \n").split(" ")
-
     def ids_of(self, strings: list[str]) -> list[bytes]:
         """Ids of each string. Those that no blank begins (but for one space) or ends and that have no line end are encoded as the lines of one text, in which an end of line is a token of its own."""
 
@@ -286,11 +307,13 @@ class ChunkEncoder:
     def _batch(self, strings: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def learn(self, chunks: set[str]) -> None:
-        """Make every chunk known, with its leading space, in the young generation."""
+    def learn(self, chunks: list[str]) -> None:
+        """Make every chunk known in the young generation."""
         young, old, marks = self.young, self.old, self._marks
-        fresh, marked = set(), []
-        for chunk in [c for c in chunks if c not in young]:
+        fresh, marked = {}, []
+        for chunk in chunks:
+            if chunk in young:
+                continue
             ids = old.get(chunk)
             if ids is not None:
                 young[chunk] = ids
@@ -300,17 +323,16 @@ class ChunkEncoder:
                 if len(word) < len(chunk) and "A" <= word[-1:] < "\u0250" and word[-1].isalpha():
                     marked.append((chunk, word, chunk[len(word) :]))
                     continue
-            fresh.add(chunk)
+            fresh[chunk] = None
         for word in {w for _, w, _ in marked}:
             if word not in young and word not in fresh:
                 ids = old.get(word)
                 if ids is None:
-                    fresh.add(word)
+                    fresh[word] = None
                 else:
                     young[word] = ids
         new = list(fresh)
-        for chunk, ids in zip(new, self.ids_of([c[1:] if c[0] == "\n" else " " + c for c in new])):
-            young[chunk] = self.line_end_ids + ids if chunk[0] == "\n" else ids
+        young.update(zip(new, self.ids_of(new)))
         tails = list({t for _, _, t in marked} - self.tails.keys())
         if len(self.tails) + len(tails) > MEMO:
             self.tails = {}
@@ -319,17 +341,36 @@ class ChunkEncoder:
         for chunk, word, tail in marked:
             young[chunk] = young[word] + self.tails[tail]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers; null: none. Chunks are told apart and put together as arrays, only distinct ones become strings."""
         if not self.chunked:
-            return [array("I", ids).tobytes() for ids in self._batch(texts)]
-        split = [self.chunks(t) if t else [] for t in texts]
-        heads = self.ids_of([c.pop(0) if c else "" for c in split])
-        self.learn(set().union(*split))
-        ids = self.young.__getitem__
-        out = [head + b"".join(map(ids, c)) for head, c in zip(heads, split)]
+            return [array("I", ids).tobytes() for ids in self._batch([t or "" for t in texts.to_pylist()])]
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        bounds = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds.astype(np.int64) - bounds[0]
+        if not len(data):
+            return [b""] * len(texts)
+        starts = chunk_starts(data, bounds[:-1])
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        chunks = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        distinct = chunks.dictionary.to_pylist()
+        self.learn(distinct)
+        known = list(map(self.young.__getitem__, distinct))
+        ids, lengths = np.frombuffer(b"".join(known), dtype="<u4"), np.fromiter(map(len, known), dtype=np.int32, count=len(known)) // 4
+        which = chunks.indices.to_numpy()
+        sizes = lengths[which]
+        ends = np.cumsum(sizes, dtype=np.int32)  # a slice of texts has far fewer ids than that holds
+        places = np.repeat((np.cumsum(lengths, dtype=np.int32) - lengths)[which] - (ends - sizes), sizes)
+        places += np.arange(len(places), dtype=np.int32)
+        flat = ids[places].tobytes()
+        at = 4 * np.append(0, ends)[np.searchsorted(starts, bounds)].astype(np.int64)
         if len(self.young) > MEMO:
             self.old, self.young = self.young, {}
-        return out
+        return [flat[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self.encode_column(pa.array(texts, pa.string()))
 
 
 def _encoder(path: str) -> ChunkEncoder:
@@ -362,8 +403,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             found.append((partition, name, made["n_docs"], made["n_ids"]))
 
         for batch in batches:
-            for part, texts in text_slices(batch):
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts)):
+            for part in column_slices(batch):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode_column(part.column("text"))):
                     if writer is None:
                         name = f"part-{partition:06d}-{len(found):06d}.s8b"
                         writer = FileWriter(f"{folder}/{name}", block)
