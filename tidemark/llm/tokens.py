@@ -42,8 +42,8 @@ BLOCK = 4096
 STRIDE = 192
 TRAILER = struct.Struct("<8sQQQQQ")
 MAGIC = b"TIDES8B1"
-#: Distinct chunks whose ids a task keeps, in each of two generations.
-MEMO = 350_000
+#: Distinct chunks whose ids a task keeps; of more, the newer half stays.
+MEMO = 1_000_000
 END_ID = 2
 
 _loaded: dict = {}
@@ -278,9 +278,8 @@ class ChunkEncoder:
         self.chunked = splits_at_blanks(path)
         if self.chunked:
             (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.tails: dict[str, bytes] = {}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # what is remembered: chunks, where their ids begin among all ids, and these
+        self.keys, self.bounds, self.ids = pa.array([], pa.string()), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
 
     def ids_of(self, strings: list[str]) -> list[bytes]:
         """Ids of each string. Those that no blank begins (but for one space) or ends and that have no line end are encoded as the lines of one text, in which an end of line is a token of its own."""
@@ -307,42 +306,51 @@ class ChunkEncoder:
     def _batch(self, strings: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def learn(self, chunks: list[str]) -> None:
-        """Make every chunk known in the young generation."""
-        young, old, marks = self.young, self.old, self._marks
-        fresh, marked = {}, []
-        for chunk in chunks:
-            if chunk in young:
-                continue
-            ids = old.get(chunk)
-            if ids is not None:
-                young[chunk] = ids
-                continue
+    def _remember(self, chunks: list[str], ids: list[bytes]) -> None:
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        self.keys = pa.concat_arrays([self.keys, pa.array(chunks, pa.string())])
+        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(lengths))
+        self.ids = np.append(self.ids, np.frombuffer(b"".join(ids), dtype="<u4"))
+
+    def _forget(self) -> None:
+        """Keep the newer half."""
+        at = len(self.keys) // 2
+        self.keys = pa.concat_arrays([self.keys[at:]])
+        self.ids, self.bounds = self.ids[self.bounds[at] :].copy(), self.bounds[at:] - self.bounds[at]
+
+    def places(self, chunks: pa.Array) -> np.ndarray:
+        """Where distinct chunks are among those remembered; the ones that aren't are encoded and remembered first."""
+        found = pc.index_in(chunks, value_set=self.keys)
+        unknown = pc.is_null(found)
+        out = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        strings = chunks.filter(unknown).to_pylist()
+        if not strings:
+            return out
+        fresh, marked, base = [], [], len(self.keys)
+        for chunk in strings:
             if not chunk[-1].isalpha():
-                word = chunk.rstrip(marks)
+                word = chunk.rstrip(self._marks)
                 if len(word) < len(chunk) and "A" <= word[-1:] < "\u0250" and word[-1].isalpha():
                     marked.append((chunk, word, chunk[len(word) :]))
                     continue
-            fresh[chunk] = None
-        for word in {w for _, w, _ in marked}:
-            if word not in young and word not in fresh:
-                ids = old.get(word)
-                if ids is None:
-                    fresh[word] = None
-                else:
-                    young[word] = ids
-        new = list(fresh)
-        young.update(zip(new, self.ids_of(new)))
-        tails = list({t for _, _, t in marked} - self.tails.keys())
-        if len(self.tails) + len(tails) > MEMO:
-            self.tails = {}
-            tails = list({t for _, _, t in marked})
-        self.tails.update(zip(tails, self.ids_of(tails)))
-        for chunk, word, tail in marked:
-            young[chunk] = young[word] + self.tails[tail]
+            fresh.append(chunk)
+        known = dict(zip(fresh, self.ids_of(fresh)))
+        if marked:
+            parts = list(dict.fromkeys([w for _, w, _ in marked if w not in known] + [t for _, _, t in marked if t not in known]))
+            where = pc.fill_null(pc.index_in(pa.array(parts, pa.string()), value_set=self.keys), -1).to_pylist()
+            known |= {p: self.ids[self.bounds[i] : self.bounds[i + 1]].tobytes() for p, i in zip(parts, where) if i >= 0}
+            new = [p for p, i in zip(parts, where) if i < 0]
+            known |= zip(new, self.ids_of(new))
+            fresh += new
+        whole = {chunk: known[word] + known[tail] for chunk, word, tail in marked}
+        order = [*fresh, *whole]
+        self._remember(order, [*map(known.__getitem__, fresh), *whole.values()])
+        place = dict(zip(order, range(base, base + len(order))))
+        out[unknown.to_numpy(zero_copy_only=False)] = [place[c] for c in strings]
+        return out
 
     def encode_column(self, texts: pa.Array) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers; null: none. Chunks are told apart and put together as arrays, only distinct ones become strings."""
+        """Ids of each text as little-endian 32-bit integers; null: none. Chunks are told apart, looked up and put together as arrays; only those that aren't known become strings."""
         if not self.chunked:
             return [array("I", ids).tobytes() for ids in self._batch([t or "" for t in texts.to_pylist()])]
         texts = pc.fill_null(texts.cast(pa.string()), "")
@@ -354,20 +362,17 @@ class ChunkEncoder:
         starts = chunk_starts(data, bounds[:-1])
         offsets = np.append(starts, len(data)).astype(np.int32)
         chunks = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        distinct = chunks.dictionary.to_pylist()
-        self.learn(distinct)
-        known = list(map(self.young.__getitem__, distinct))
-        ids, lengths = np.frombuffer(b"".join(known), dtype="<u4"), np.fromiter(map(len, known), dtype=np.int32, count=len(known)) // 4
-        which = chunks.indices.to_numpy()
+        places = self.places(chunks.dictionary)
+        begins, lengths, which = self.bounds[places], np.diff(self.bounds)[places], chunks.indices.to_numpy()
         sizes = lengths[which]
-        ends = np.cumsum(sizes, dtype=np.int32)  # a slice of texts has far fewer ids than that holds
-        places = np.repeat((np.cumsum(lengths, dtype=np.int32) - lengths)[which] - (ends - sizes), sizes)
-        places += np.arange(len(places), dtype=np.int32)
-        flat = ids[places].tobytes()
-        at = 4 * np.append(0, ends)[np.searchsorted(starts, bounds)].astype(np.int64)
-        if len(self.young) > MEMO:
-            self.old, self.young = self.young, {}
-        return [flat[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+        ends = np.cumsum(sizes)
+        at = np.repeat(begins[which] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        flat = self.ids[at].tobytes()
+        cuts = 4 * np.append(0, ends)[np.searchsorted(starts, bounds)]
+        if len(self.keys) > MEMO:
+            self._forget()
+        return [flat[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.encode_column(pa.array(texts, pa.string()))
