@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import texts
+from tidemark.operators.events import format_millis
 from tidemark.plans.fixtures import chapters, oracle, subs
 from tidemark.plans.registry import query
-from tidemark.session import table
+from tidemark.session import ensure_checkpoint_dir, table
 from tidemark.sources import chapters_xml, subtitles
 
 #: Texts on one line without the characters that documents give a meaning.
@@ -44,8 +45,8 @@ def q_vtt_events(spark: SparkSession, sf: str) -> DataFrame:
     """Cues with identifiers, and hours only where there are any."""
     own = _events(spark, sf).where(~F.col("is_comment"))
 
-    def clock(column: str):
-        full = F.replace(texts_millis(F.col(column)), F.lit(","), F.lit("."))
+    def clock(column: str) -> Column:
+        full = F.replace(format_millis(F.col(column)), F.lit(","), F.lit("."))
         return F.when(full.startswith("00:"), F.substring(full, 4, 99)).otherwise(full)
 
     block = F.concat_ws("\n", F.concat(F.lit("cue "), F.col("idx").cast("string")), F.concat(clock("start_ms"), F.lit(" --> "), clock("end_ms"), F.lit(" align:start")), F.concat(F.lit("<v Anna><c.loud><b>"), F.col("text"), F.lit("</b></c></v>")))
@@ -53,12 +54,6 @@ def q_vtt_events(spark: SparkSession, sf: str) -> DataFrame:
     return subtitles.vtt_events(whole).select("doc", "start_ms", "end_ms", "text")
 
 
-def texts_millis(ms):
-    from tidemark.operators.events import format_millis
-
-    return format_millis(ms)
-
-
 _HEAD = "[Script Info]\r\n; made for tests\r\nTitle: a, b: c\r\nPlayResX: 640\r\n\r\n[V4+ Styles]\r\nFormat: Name, Fontname, Fontsize\r\nStyle: Default,Arial,20\r\nStyle: user, Serif ,31.5\r\n\r\n[Odd Section]\r\nkept as it is\r\n"
 _ASS_LINE = f"CASE WHEN is_comment THEN 'Comment: ' ELSE 'Dialogue: ' END || layer || ',' || {_ASS.format(t='floor(start_ms / 10)::BIGINT')} || ',' || {_ASS.format(t='floor(end_ms / 10)::BIGINT')} || ',' || style || ',,0,0,0,,' || text"
 _HEAD_SQL = "'" + _HEAD.replace("\r\n", "' || chr(13) || chr(10) || '") + "'"
@@ -183,9 +178,8 @@ def q_natural(spark: SparkSession, sf: str) -> DataFrame:
 
 def numbered_by(rows: DataFrame, *order: str) -> DataFrame:
     """rows with their place in an order, from 1: sorted ranges are numbered on their own, and the ranges' counts added up."""
-    from pyspark.sql import Window
-
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    ensure_checkpoint_dir(rows.sparkSession)
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).checkpoint()  # read twice, so the ranges' numbers must be kept
     own = placed.withColumn("__own", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each range

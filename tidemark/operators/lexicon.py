@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import words
@@ -33,7 +33,7 @@ def q_rules(spark: SparkSession, sf: str) -> DataFrame:
     """F44. What is a border beside letters beyond ASCII differs between engines, so these are made z first."""
     made = words.replaced(_lines(spark, sf).withColumn("line", F.regexp_replace("line", r"[^\x00-\x7F]", "z")), "line", RULES)
 
-    def n(key: str):
+    def n(key: str) -> Column:
         return F.coalesce(F.try_element_at("fixes", F.lit(key)), F.lit(0)).cast("long")
 
     return made.select("line_id", F.md5("line").alias("text_md5"), n("an>AN").alias("n_literal"), n("word:de").alias("n_word"), n("regex:(e)n").alias("n_regex"))
@@ -82,8 +82,6 @@ p AS (SELECT c.word, own.list_name AS own, own.protects AS op, l.list_name AS a,
 SELECT word, coalesce(own, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 'Compound' END) AS known_by, CASE WHEN own IS NOT NULL THEN op WHEN a IS NOT NULL AND b IS NOT NULL THEN ap OR bp ELSE false END AS protected FROM p""")
 def q_known(spark: SparkSession, sf: str) -> DataFrame:
     """Words of conversations, and compounds of neighbours, by two lists."""
-    from pyspark.sql import Window
-
     own, found = _dictionary(spark, sf), _tokens(spark, sf)
     lists = own.where("length(word) % 3 = 0").select(F.lit(0).alias("ord"), F.lit("names").alias("list_name"), "word", F.lit(True).alias("protects"))
     lists = lists.unionByName(own.where("length(word) % 2 = 0").select(F.lit(1).alias("ord"), F.lit("common").alias("list_name"), "word", F.lit(False).alias("protects")))
@@ -97,8 +95,6 @@ c AS (SELECT word, unnest(range(1, length(word))) AS at_ FROM t WHERE length(wor
 SELECT word, substr(word, 1, at_) || ' ' || substr(word, at_ + 1) AS split FROM f""")
 def q_merged(spark: SparkSession, sf: str) -> DataFrame:
     """neighbours of the dictionary run together, and words of conversations."""
-    from pyspark.sql import Window
-
     own = _dictionary(spark, sf)
     joined = own.select("word", F.lead("word").over(Window.orderBy("word")).alias("n")).where("n is not null").select(F.concat("word", "n").alias("word"))  # the dictionary is a stated list
     return words.split_merged(joined.unionByName(_tokens(spark, sf).select("word")), own)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.texts import chapter_tag
@@ -49,8 +49,6 @@ def read_chapters(documents: DataFrame) -> DataFrame:
         tag = F.trim(F.coalesce(_element(d, "ChapLanguageIETF"), F.lit("")))
         return F.struct(unescaped(F.coalesce(_element(d, "ChapterString"), F.lit(""))).alias("name"), lang.alias("lang"), F.when(tag == "", chapter_tag(lang)).otherwise(tag).alias("tag"))
 
-    from pyspark.sql import Window
-
     id_ = F.row_number().over(Window.partitionBy("doc").orderBy("at"))
     found = timed.select("doc", id_.cast("int").alias("id"), parse_ns(F.trim("start")).alias("start_ns"), parse_ns(F.trim("end")).alias("end_ns"), F.transform(F.regexp_extract_all("atom", F.lit(_DISPLAY), 1), display).alias("displays"))
     own = F.array(F.struct(F.concat(F.lit("Chapter "), F.col("id").cast("string")).alias("name"), F.lit("und").alias("lang"), F.lit("und").alias("tag")))
