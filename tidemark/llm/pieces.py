@@ -34,10 +34,12 @@ from tidemark.session import table
 BLANK = "▁"
 INFINITY = float("inf")
 #: Words and neighbouring pairs that a task remembers, each in two generations; longer words aren't remembered.
-MEMO = 200_000
+MEMO = 100_000
 MEMO_CHARS = 48
 #: Words whose paths are found side by side, and the bits of a pair's place among the pairs that they remember.
-BATCH_WORDS, PAIR_BITS = 20_000, 20
+BATCH_WORDS, PAIR_BITS = 8000, 19
+#: Bytes of texts whose words are held at once.
+SLICE = 2_000_000
 #: Fixed values of the model format: kinds of models and of pieces.
 UNIGRAM, BYTE_PAIR = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -137,19 +139,8 @@ class Transducer:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
         self.unknown = next((i for i, (_, _, k) in enumerate(pieces) if k == UNKNOWN), 0)
         self.penalty = 10.0 + max(self.score_of.values(), default=0.0)
-        # the trie: arcs of each state by character, and the piece that ends in it, or -1
-        self.arcs: list[dict[str, int]] = [{}]
-        self.ends: list[int] = [-1]
-        for i, (p, _, k) in enumerate(pieces):
-            if k in (NORMAL, USER_DEFINED):
-                state = 0
-                for c in p:
-                    if c not in self.arcs[state]:
-                        self.arcs[state][c] = len(self.arcs)
-                        self.arcs.append({})
-                        self.ends.append(-1)
-                    state = self.arcs[state][c]
-                self.ends[state] = i
+        self.spelled = [(i, p) for i, (p, _, k) in enumerate(pieces) if k in (NORMAL, USER_DEFINED)]
+        self.arcs: list[dict[str, int]] = []  # compiled when first needed: decoding goes without
         # an input is cut where no piece can lie across: before a run of blanks, and around line ends; the parts' paths join to the whole one
         split = not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.score_of)
         self.cut = re.compile(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+" if split else "(?s).+")
@@ -157,7 +148,6 @@ class Transducer:
         self.pairs = Memo(MEMO)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self._compile_arrays()
         self.edges: dict[int, tuple[list, list] | None] = {}
 
     @classmethod
@@ -251,6 +241,8 @@ class Transducer:
 
     def shortest_path(self, word: str) -> list[int]:
         """Symbols along the path of least weight of a part of an input, found by min and + over its positions from left to right."""
+        if not self.arcs:
+            self._compile()
         n = len(word)
         weight, came, last = [0.0] + [INFINITY] * n, [0] * (n + 1), [-1] * (n + 1)
         arcs, ends, weights, pairs = self.arcs, self.ends, self.weights, self.pairs
@@ -288,13 +280,23 @@ class Transducer:
             n = came[n]
         return path[::-1]
 
-    def _compile_arrays(self) -> None:
-        """The trie's arcs as sorted keys of state and character class with their targets, for taking a step in many words at once."""
+    def _compile(self) -> None:
+        """The trie of the pieces: arcs of each state by character and the piece that ends in it, or -1; and the arcs again as sorted keys of state and character class with their targets, for taking a step in many words at once."""
+        self.arcs, self.ends = [{}], [-1]
+        for i, p in self.spelled:
+            state = 0
+            for c in p:
+                if c not in self.arcs[state]:
+                    self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.ends.append(-1)
+                state = self.arcs[state][c]
+            self.ends[state] = i
         chars = sorted({c for arcs in self.arcs for c in arcs})
-        self.class_of = {c: i + 1 for i, c in enumerate(chars)}
-        self.class_table = np.zeros(0x110000, dtype=np.int32)
-        self.class_table[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
-        found = sorted((state << 20 | self.class_of[c], target) for state, arcs in enumerate(self.arcs) for c, target in arcs.items())
+        points = [ord(c) for c in chars]
+        self.class_table = np.zeros(max(points, default=0) + 2, dtype=np.int32)  # the last for all beyond
+        self.class_table[points] = np.arange(1, len(chars) + 1)
+        found = sorted((state << 20 | int(self.class_table[ord(c)]), target) for state, arcs in enumerate(self.arcs) for c, target in arcs.items())
         self.arc_keys, self.arc_targets = (np.array(x, dtype=np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
         self.end_array, self.weight_array = np.array(self.ends, dtype=np.int64), np.array([*self.weights, self.penalty])
         self.pair_keys, self.pair_values = np.full(1 << PAIR_BITS, -1, dtype=np.int64), np.zeros(1 << PAIR_BITS, dtype=bool)
@@ -319,11 +321,13 @@ class Transducer:
 
     def shortest_paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """shortest_path() of words of up to MEMO_CHARS characters, side by side: the symbols of all, and where each word's begin."""
+        if not self.arcs:
+            self._compile()
         lengths = np.array([len(w) for w in words])
         n, longest = len(words), int(lengths.max())
         points = np.zeros((n, longest), dtype=np.int64)
         points[np.arange(longest) < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        classes = self.class_table[points].astype(np.int64)
+        classes = self.class_table[np.minimum(points, len(self.class_table) - 1)].astype(np.int64)
         weight = np.full((n, longest + 1), INFINITY)
         weight[:, 0] = 0.0
         came, last = np.zeros((n, longest + 1), dtype=np.int64), np.full((n, longest + 1), -1, dtype=np.int64)
@@ -455,7 +459,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = _transducer(model)
         for batch in batches:
-            for part, texts in text_slices(batch):
+            for part, texts in text_slices(batch, limit=SLICE):
                 encoded = transducer.encode_all(texts)
                 offsets = np.concatenate([[0], np.cumsum([len(e) // 4 for e in encoded])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), dtype="<i4")))
