@@ -15,6 +15,7 @@ from tidemark.llm.pieces import op2_sentencepiece
 from tidemark.llm.private import op9_private
 from tidemark.llm.quality import OP10_SQL, op10_quality
 from tidemark.llm.repeats import op7_repeats
+from tidemark.llm.shards import OP11_SQL, op11_shards
 from tidemark.llm.simhash import op3_simhash
 from tidemark.llm.tokens import op5_token_ids
 
@@ -32,10 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_private": op9_private,
         "op10_quality": op10_quality,
+        "op11_shards": op11_shards,
         "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {"op1_line_dedup": OP1_SQL, "op4_decontaminate": OP4_SQL, "op6_chat": OP6_SQL, "op10_quality": OP10_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_decontaminate": OP4_SQL, "op6_chat": OP6_SQL, "op10_quality": OP10_SQL, "op11_shards": OP11_SQL}
