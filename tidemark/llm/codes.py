@@ -88,14 +88,14 @@ def _coded(books: np.ndarray, cells: list[Cells], x: np.ndarray) -> tuple[np.nda
     return np.stack([f[0] for f in found], axis=1), np.stack([f[1] for f in found], axis=1)
 
 
-def first_books(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, ident: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> np.ndarray:
+def first_books(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, dims: int = DIMS, ident: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> np.ndarray:
     """(parts, entries, width): the parts of the vectors with the smallest ids, ascending; null ids come last, equal ids by their vectors."""
     whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
     first = rows.select(F.col(ident).alias("ident"), whole.alias("x")).orderBy(F.col("ident").asc_nulls_last(), "x").limit(entries).collect()
     x = np.array([r.x for r in first], dtype=np.int64)
     if x.size and np.abs(x).max() > LARGEST:
         raise ValueError(f"components beyond {LARGEST // scale} in size can't be coded")
-    return x.reshape(len(first), parts, -1).transpose(1, 0, 2).copy()
+    return x.reshape(len(first), parts, dims // parts).transpose(1, 0, 2).copy()
 
 
 def _next_books(rows: DataFrame, books: np.ndarray, dims: int, vector: str, scale: int) -> np.ndarray:
@@ -128,7 +128,7 @@ def train_books(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES,
     if dims % parts:
         raise ValueError("parts must divide the dimensions")
     rows = vectors.where(usable(F.col(vector), dims))
-    books = first_books(rows, parts, entries, ident, vector, scale)
+    books = first_books(rows, parts, entries, dims, ident, vector, scale)
     for _ in range(rounds if books.shape[1] else 0):
         books = _next_books(rows, books, dims, vector, scale)
     return books
