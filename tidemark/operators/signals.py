@@ -304,34 +304,6 @@ def window_pairs(samples: DataFrame, reference: str, size: int, hop: int) -> Dat
     return b.join(a, "window").select("target", "window", (F.col("window") * hop + F.lit(size / 2)).alias("centre"), "ref", "tgt")
 
 
-# Filters (F20, U23)
-
-
-def low_pass_taps(rate: float, cutoff: float, taps: int = 101) -> list[float]:
-    """A windowed-sinc filter: Hamming window, unit gain at 0 Hz, an odd number of taps."""
-    n = taps | 1
-    at = np.arange(n) - n // 2
-    ideal = 2 * cutoff / rate * np.sinc(2 * cutoff / rate * at)
-    weighed = ideal * (0.54 - 0.46 * np.cos(2 * np.pi * np.arange(n) / (n - 1)))
-    return (weighed / weighed.sum()).tolist()
-
-
-def convolved(samples: DataFrame, taps: list[float]) -> DataFrame:
-    """Each sample as the sum of itself and those before it by a filter's taps. A sample is sent once for each tap that it counts under, so no task needs a whole signal."""
-    sent = samples.select("signal", "value", F.posexplode(F.array(*map(F.lit, taps))).alias("k", "tap"), "sample_idx").select("signal", (F.col("sample_idx") + F.col("k")).alias("sample_idx"), (F.col("value") * F.col("tap")).alias("part"))
-    summed = sent.groupBy("signal", "sample_idx").agg(F.sum("part").alias("filtered"))
-    return samples.join(summed, ["signal", "sample_idx"])
-
-
-def filtered(samples: DataFrame, kind: str, rate: float, cutoff: float = 3400.0, taps: int = 101) -> DataFrame:
-    """Samples with filtered: as they are (none) or through the low-pass filter."""
-    if kind == "none":
-        return samples.withColumn("filtered", F.col("value"))
-    if kind == "low_pass":
-        return convolved(samples, low_pass_taps(rate, cutoff, taps))
-    raise ValueError(f"filter {kind} is not supported")
-
-
 _LEVELS = ", lv AS (SELECT signal, sample_idx // 16 AS block, 20 * log10(sqrt(avg(value * value))) AS db FROM pcm GROUP BY 1, 2 HAVING count(*) = 16)"
 _RUNS = _LEVELS + """, q AS (SELECT signal, block, db, block - row_number() OVER (PARTITION BY signal ORDER BY block) AS g FROM lv WHERE db < -15),
 rn AS (SELECT signal, min(block) AS first, max(block) AS last, count(*) AS length, avg(db) AS mean_db FROM q GROUP BY signal, g HAVING count(*) >= 2)"""
@@ -462,12 +434,3 @@ def q_methods(spark: SparkSession, sf: str) -> DataFrame:
         found = score_pairs(pairs, name, **settings).select(F.lit(name).alias("method"), "target", "window", "lag", r6(F.col("confidence")).alias("confidence"))
         out = found if out is None else out.unionByName(found)
     return out
-
-
-_TAPS = low_pass_taps(16_000.0, 3400.0, 9)
-
-
-@query("signal_filtered", oracle("pcm", body=f", t AS (SELECT unnest({_TAPS}) AS tap, unnest(range(0, {len(_TAPS)})) AS k) SELECT p.signal, p.sample_idx, round(sum(q.value * tap), 6) + 0.0 AS filtered FROM pcm p, t, pcm q WHERE q.signal = p.signal AND q.sample_idx = p.sample_idx - k GROUP BY 1, 2"))
-def q_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    """The low-pass filter."""
-    return filtered(pcm(spark, sf), "low_pass", 16_000.0, 3400.0, 9).select("signal", "sample_idx", r6(F.col("filtered")).alias("filtered"))

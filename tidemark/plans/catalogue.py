@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import audits, chapters, clusters, delays, documents, edits, events, frames, layouts, lexicon, signals, timeline, tracks  # noqa: F401  they register their queries
+from tidemark.operators import audits, chapters, clusters, delays, documents, edits, events, filters, frames, layouts, lexicon, signals, timeline, tracks  # noqa: F401  they register their queries
 from tidemark.plans.registry import REGISTRY
 
 
