@@ -109,10 +109,11 @@ def diagnose(rows: DataFrame, mode: str = "normal", correction: str = "full", fa
 
 
 def transitions(details: DataFrame) -> DataFrame:
-    """The step from each cluster to the next in time."""
+    """The step from each cluster to the next in time, with the mean delays before and after it."""
     order = Window.partitionBy("source_key").orderBy("t0", "label")
     after = details.select("source_key", "label", "t1", "mean_ms", F.lead("t0").over(order).alias("next_t0"), F.lead("mean_ms").over(order).alias("next_mean"))
-    return after.where("next_t0 is not null").select("source_key", "label", F.col("t1").alias("zone_start"), F.col("next_t0").alias("zone_end"), (F.col("next_mean") - F.col("mean_ms")).alias("jump_ms"))
+    zone = (F.col("t1").alias("zone_start"), F.col("next_t0").alias("zone_end"), (F.col("next_mean") - F.col("mean_ms")).alias("jump_ms"), F.col("mean_ms").alias("before_ms"), F.col("next_mean").alias("after_ms"))
+    return after.where("next_t0 is not null").select("source_key", "label", *zone)
 
 
 def label_changes(labelled: DataFrame) -> DataFrame:
@@ -284,7 +285,7 @@ def q_diagnosis_filtered(spark: SparkSession, sf: str) -> DataFrame:
 @query("transition_zones", oracle("windows", body=_LABEL + """, z AS (SELECT source_key, label, t1, mean_ms, lead(t0) OVER w AS next_t0, lead(mean_ms) OVER w AS next_mean FROM det WINDOW w AS (PARTITION BY source_key ORDER BY t0, label))
 SELECT source_key, label, round(t1, 6) + 0.0 AS zone_start, round(next_t0, 6) + 0.0 AS zone_end, round(next_mean - mean_ms, 6) + 0.0 AS jump_ms FROM z WHERE next_t0 IS NOT NULL"""))
 def q_transitions(spark: SparkSession, sf: str) -> DataFrame:
-    return transitions(cluster_details(clustered_windows(_accepted(spark, sf)))).withColumns({c: r6(F.col(c)) for c in ("zone_start", "zone_end", "jump_ms")})
+    return transitions(cluster_details(clustered_windows(_accepted(spark, sf)))).select("source_key", "label", *[r6(F.col(c)).alias(c) for c in ("zone_start", "zone_end", "jump_ms")])
 
 
 def transition_pattern(details: DataFrame) -> DataFrame:
