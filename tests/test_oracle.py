@@ -15,8 +15,5 @@ def test_query_matches_oracle(spark, sf, name):
     assert compare.check(spark, sf, catalogue.queries()[name], SQL[name]) > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(SQL)))
-def test_query_without_oracle_gives_its_values(spark, sf, name):
-    rows = catalogue.queries()[name](spark, sf).collect()
-    assert name == "pair_methods" and {r.method for r in rows} == {"phase", "coherent", "whitened", "onset", "mel"}
-    assert all(abs(r.lag) <= 512 and 0 <= r.confidence <= 100 for r in rows) and len({(r.method, r.target, r.window) for r in rows}) == len(rows)
+def test_every_query_has_an_oracle():
+    assert set(catalogue.queries()) == set(SQL)

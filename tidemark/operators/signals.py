@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -101,19 +102,26 @@ def jumps_near(zones: DataFrame, jumps: DataFrame, key: str, margin_s: float = 0
     return zones.join(counted, [key, "source", "start_s"], "left").fillna(0, ["jumps"])
 
 
-# Scorers of window pairs (U01, U02): each gives (lag in samples, confidence from 0 to 100) of a reference and a target at a sample rate.
-Scorer = Callable[[np.ndarray, np.ndarray, float], tuple[float, float]]
+# Scorers of window pairs (U01, U02): each gives (lag in samples, confidence from 0 to 100) of a reference and a target at a sample rate, and what it gives besides is named where it is registered.
+Scorer = Callable[..., tuple[float, float]]
 SCORERS: dict[str, Scorer] = {}
+#: By name: the names and types of the values besides, and the scorer that gives them too.
+DETAILED: dict[str, tuple[dict[str, str], Callable[..., tuple]]] = {}
 #: The band that weighted scorers look at, samples beside a peak that are no sidelobe, and the frames of spectra.
 BAND_HZ, GUARD, FRAME, HOP, MELS = (300.0, 6000.0), 100, 2048, 512, 64
 
 
-def scorer(name: str) -> Callable[[Scorer], Scorer]:
-    """Register a scorer by name."""
+def scorer(name: str, **besides: str) -> Callable[[Callable[..., tuple]], Scorer]:
+    """Register a scorer by name, with the names and types of the values that it gives after lag and confidence."""
 
-    def add(function: Scorer) -> Scorer:
-        SCORERS[name] = function
-        return function
+    def add(function: Callable[..., tuple]) -> Scorer:
+        @wraps(function)
+        def score(*windows, **settings) -> tuple[float, float]:
+            return function(*windows, **settings)[:2]
+
+        DETAILED[name] = (besides, function)
+        SCORERS[name] = score
+        return score
 
     return add
 
@@ -190,12 +198,13 @@ def correlate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.fft.irfft(x * y.conj(), n)
 
 
-@scorer("standard")
-def standard(a: np.ndarray, b: np.ndarray, rate: float) -> tuple[float, float]:
-    """Cross-correlation of the standardised windows."""
+@scorer("standard", refined="double")
+def standard(a: np.ndarray, b: np.ndarray, rate: float) -> tuple[float, float, float]:
+    """Cross-correlation of the standardised windows; besides, the lag refined by the parabola."""
     a, b = _standardised(a), _standardised(b)
     correlation = correlate(a, b)
-    return signed_lag(np.round(correlation, 9)), energy_confidence(correlation, a, b)
+    steady = np.round(correlation, 9)
+    return signed_lag(steady), energy_confidence(correlation, a, b), signed_lag(steady, True)
 
 
 def _in_band(n: int, rate: float) -> np.ndarray:
@@ -203,26 +212,27 @@ def _in_band(n: int, rate: float) -> np.ndarray:
     return (frequencies >= BAND_HZ[0]) & (frequencies <= BAND_HZ[1])
 
 
-def _weighted(a: np.ndarray, b: np.ndarray, rate: float, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[float, float]:
+def _weighted(a: np.ndarray, b: np.ndarray, rate: float, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[float, float, float]:
+    """F17; besides, the prominence of the peak."""
     x, y, n = _spectra(a, b)
     correlation = np.fft.irfft(np.where(_in_band(n, rate), weigh(x, y), 0), n)
-    return signed_lag(np.round(correlation, 9)), sidelobe_confidence(correlation)
+    return signed_lag(np.round(correlation, 9)), sidelobe_confidence(correlation), peak_confidence(correlation, int(np.argmax(np.abs(correlation))))
 
 
-@scorer("phase")
-def phase(a: np.ndarray, b: np.ndarray, rate: float) -> tuple[float, float]:
+@scorer("phase", prominence="double")
+def phase(a: np.ndarray, b: np.ndarray, rate: float) -> tuple[float, float, float]:
     """correlation of phases in the band."""
     return _weighted(a, b, rate, lambda x, y: x * y.conj() / (np.abs(x * y.conj()) + 1e-9))
 
 
-@scorer("coherent")
-def coherent(a: np.ndarray, b: np.ndarray, rate: float) -> tuple[float, float]:
+@scorer("coherent", prominence="double")
+def coherent(a: np.ndarray, b: np.ndarray, rate: float) -> tuple[float, float, float]:
     """the cross-spectrum in the band by the root of both powers."""
     return _weighted(a, b, rate, lambda x, y: x * y.conj() / (np.sqrt(np.abs(x) ** 2 * np.abs(y) ** 2) + 1e-9))
 
 
-@scorer("whitened")
-def whitened(a: np.ndarray, b: np.ndarray, rate: float) -> tuple[float, float]:
+@scorer("whitened", prominence="double")
+def whitened(a: np.ndarray, b: np.ndarray, rate: float) -> tuple[float, float, float]:
     """both spectra whitened in the band first."""
     return _weighted(a, b, rate, lambda x, y: x / (np.abs(x) + 1e-9) * (y / (np.abs(y) + 1e-9)).conj())
 
@@ -261,22 +271,22 @@ def mel_level(x: np.ndarray, rate: float, frame: int = FRAME, hop: int = HOP, me
     return (db - db.max()).mean(axis=0)
 
 
-def _feature_lag(a: np.ndarray, b: np.ndarray, hop: int) -> tuple[float, float]:
-    """The lag in samples of two sequences of a value for each hop, by phases."""
+def _feature_lag(a: np.ndarray, b: np.ndarray, hop: int) -> tuple[float, float, int]:
+    """The lag in samples of two sequences of a value for each hop, by phases; besides, how many values they have."""
     x, y, n = _spectra(_standardised(a), _standardised(b))
     cross = x * y.conj()
     lag, confidence = feature_peak(np.round(np.fft.irfft(cross / (np.abs(cross) + 1e-9), n), 9), min(len(a), len(b)) // 2)
-    return float(lag * hop), confidence
+    return float(lag * hop), confidence, min(len(a), len(b))
 
 
-@scorer("onset")
-def onset(a: np.ndarray, b: np.ndarray, rate: float, frame: int = FRAME, hop: int = HOP) -> tuple[float, float]:
+@scorer("onset", frames="long")
+def onset(a: np.ndarray, b: np.ndarray, rate: float, frame: int = FRAME, hop: int = HOP) -> tuple[float, float, int]:
     """correlation of rises in the spectrum."""
     return _feature_lag(onset_envelope(a, frame, hop), onset_envelope(b, frame, hop), hop)
 
 
-@scorer("mel")
-def mel(a: np.ndarray, b: np.ndarray, rate: float, frame: int = FRAME, hop: int = HOP, mels: int = MELS) -> tuple[float, float]:
+@scorer("mel", frames="long")
+def mel(a: np.ndarray, b: np.ndarray, rate: float, frame: int = FRAME, hop: int = HOP, mels: int = MELS) -> tuple[float, float, int]:
     """correlation of mel levels."""
     return _feature_lag(mel_level(a, rate, frame, hop, mels), mel_level(b, rate, frame, hop, mels), hop)
 
@@ -422,15 +432,3 @@ def q_standard(spark: SparkSession, sf: str) -> DataFrame:
     pairs = window_pairs(pcm(spark, sf), REFERENCE, 64, 32)
     found = score_pairs(pairs).withColumn("confidence", F.round("confidence", 4) + F.lit(0.0))
     return found.withColumn("centre", F.col("window") * 32 + F.lit(32.0))
-
-
-@query("pair_methods")
-def q_methods(spark: SparkSession, sf: str) -> DataFrame:
-    """F10 to F14 side by side over the same windows; the tests hold them against transforms written out by hand."""
-    pairs = window_pairs(pcm(spark, sf), REFERENCE, 512, 256)
-    out = None
-    for name in ("phase", "coherent", "whitened", "onset", "mel"):
-        settings = {"onset": {"frame": 64, "hop": 16}, "mel": {"frame": 64, "hop": 16, "mels": 8}}.get(name, {})
-        found = score_pairs(pairs, name, **settings).select(F.lit(name).alias("method"), "target", "window", "lag", r6(F.col("confidence")).alias("confidence"))
-        out = found if out is None else out.unionByName(found)
-    return out
