@@ -32,9 +32,9 @@ def test_equal_small_ids_share_words():
     assert len(tokens.encode_blocks(np.full(600, (1 << 15) - 1, np.uint64))[0]) == 150
 
 
-def expected(rows, tokenizer=TOKENIZER):
+def expected(rows, tokenizer=TOKENIZER, plain_specials=False):
     library = Tokenizer.from_file(tokenizer)
-    library.encode_special_tokens = True
+    library.encode_special_tokens = plain_specials
     out, start = [], 0
     for doc_id, text in rows:
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
@@ -67,12 +67,25 @@ def test_odd_texts(spark):
     assert through_files(spark, spark.createDataFrame(rows, "doc_id long, text string")) == expected(rows)
 
 
+END = "<|endoftext|>"
+
+
+@pytest.mark.parametrize("plain", (False, True))
+def test_strings_of_special_tokens(spark, plain):
+    texts = [END, END * 3, f"a {END} b", f"a\n\n{END}", f"{END}\n\nb", f"a {END}", f"{END} a", f"word!!!{END}word?", f"two  {END}  blanks", END[:-1], END[1:], f"<{END}>", f"'s{END}'s", f"\n{END}\n"]
+    texts += [f"some words {END}" * 50, "nothing of the kind", ""]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert through_files(spark, docs, plain_specials=plain) == expected(rows, TOKENIZER, plain)
+    ids = Tokenizer.from_file(TOKENIZER).encode(END, add_special_tokens=False).ids
+    assert ids == [50256] and np.frombuffer(tokens.ChunkEncoder(TOKENIZER, plain).encode([END])[0], "<u4").tolist() == (ids if not plain else [27, 91, 437, 1659, 5239, 91, 29])
+
+
 @settings(max_examples=1500, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab1 .,'\n\té日 st\r\x1f"), min_size=1, max_size=40))
+@given(st.lists(st.sampled_from([*"ab1 .,'\n\té日 st\r\x1f" * 2, END]), min_size=1, max_size=40).map("".join))
 def test_chunks_encode_as_the_whole_text(text):
     if not _held:
         library = Tokenizer.from_file(TOKENIZER)
-        library.encode_special_tokens = True
         _held.extend([library, tokens.ChunkEncoder(TOKENIZER)])
     library, own = _held
     assert np.frombuffer(own.encode([text])[0], dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids

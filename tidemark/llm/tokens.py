@@ -22,6 +22,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -265,17 +266,20 @@ class ChunkEncoder:
     a match over such a place, so chunks encode to the same ids as the whole text.
     Nor does it join a letter to a mark behind it other than an apostrophe, so a word
     shares its ids with the same word before marks. Whole texts are encoded with any
-    tokenizer that splits otherwise.
+    tokenizer that splits otherwise, and where a text holds the string of one of the
+    tokenizer's added tokens, which the library takes for that token wherever it
+    stands; plain_specials encodes the strings of special ones as ordinary text instead.
     """
 
     _marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.chunked = splits_at_blanks(path)
+        self.tokenizer.encode_special_tokens = plain_specials
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain_specials and t.special)]
+        self.chunked = splits_at_blanks(path) and not any("\n" in a for a in self.added)
         if self.chunked:
             (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         # what is remembered: chunks, where their ids begin among all ids, and these
@@ -354,6 +358,18 @@ class ChunkEncoder:
         if not self.chunked:
             return [array("I", ids).tobytes() for ids in self._batch([t or "" for t in texts.to_pylist()])]
         texts = pc.fill_null(texts.cast(pa.string()), "")
+        if self.added:
+            whole = reduce(pc.or_, [pc.match_substring(texts, a) for a in self.added])
+            if pc.any(whole).as_py():
+                out, self.added, added = [], [], self.added
+                try:
+                    out = self.encode_column(pc.if_else(whole, "", texts))
+                finally:
+                    self.added = added
+                at = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
+                for i, ids in zip(at, self._batch(texts.filter(whole).to_pylist())):
+                    out[i] = array("I", ids).tobytes()
+                return out
         bounds = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[bounds[0] : bounds[-1]]
         bounds = bounds.astype(np.int64) - bounds[0]
@@ -378,29 +394,30 @@ class ChunkEncoder:
         return self.encode_column(pa.array(texts, pa.string()))
 
 
-def _encoder(path: str) -> ChunkEncoder:
+def _encoder(path: str, plain_specials: bool = False) -> ChunkEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _loaded:
-        _loaded[path] = ChunkEncoder(path)
-    return _loaded[path]
+    if (path, plain_specials) not in _loaded:
+        _loaded[path, plain_specials] = ChunkEncoder(path, plain_specials)
+    return _loaded[path, plain_specials]
 
 
 MANIFEST = "manifest.parquet"
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, max_ids: int = 16_000_000, block: int = BLOCK) -> None:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, max_ids: int = 16_000_000, block: int = BLOCK, plain_specials: bool = False) -> None:
     """Write the ids of docs(doc_id, text) in ascending doc_id order, and beside the files their manifest (part, file, n_docs, n_ids) as a table.
 
     Null text: empty, so only end_id. Null doc_ids come first; repeated ids are in
     order of their text's hash, equal rows each count. A very long text is encoded
     whole, and its ids may span blocks. An empty table writes no file. Other columns
-    are ignored, whatever their names. A file is renamed into place once whole, and
+    are ignored, whatever their names. A special token's string in a text becomes that
+    token, as in the library, or ordinary text with plain_specials. A file is renamed into place once whole, and
     a task that runs again writes the same bytes, so a lost executor leaves no
     half-written file. Nothing passes the driver.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(tokenizer), struct.pack("<I", end_id)
+        encoder, end = _encoder(tokenizer, plain_specials), struct.pack("<I", end_id)
         partition, writer, found = TaskContext.get().partitionId(), None, []
 
         def finish() -> None:
