@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import audits, boundaries, chapters, clusters, delays, documents, edits, events, files, filters, frames, layouts, lexicon, signals, spectra, timeline, tracks  # noqa: F401  they register their queries
+from tidemark.operators import audits, boundaries, chapters, clusters, delays, documents, edits, events, files, filters, frames, grids, layouts, lexicon, reports, signals, spectra, timeline, tracks  # noqa: F401  they register their queries
 from tidemark.plans.registry import REGISTRY
 
 
