@@ -237,11 +237,17 @@ def _byte_table(*ranges: tuple[int, int]) -> np.ndarray:
 
 #: Bytes that begin a character which is surely no white space; those that begin some white space beyond ASCII are left out with all their like.
 _BEGINS = _byte_table((0x21, 0x7E), (0xC3, 0xE0), (0xE4, 0xF4))
+#: ASCII letters and digits, letters, and marks that no contraction begins with; a word is split from the marks beside it.
+_ALNUM, _LETTER, _MARK = _byte_table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)), _byte_table((0x41, 0x5A), (0x61, 0x7A)), _byte_table((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 _ASCII, _MORE, _TWO, _THREE, _FOUR = _byte_table((0x21, 0x7E)), _byte_table((0x80, 0xBF)), _byte_table((0xC3, 0xDF)), _byte_table((0xE0, 0xE0), (0xE4, 0xEF)), _byte_table((0xF0, 0xF4))
 
 
+#: Bytes that begin letters of two bytes; but two of those with the first of them, which aren't letters.
+_LATIN = _byte_table((0xC3, 0xC8))
+
+
 def chunk_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where chunks begin in the UTF-8 bytes of texts that begin at starts: at each text, at each single space between two characters that are surely no white space, and before and behind each of one or two line ends between such."""
+    """Where chunks begin in the UTF-8 bytes of texts that begin at starts: at each text, at each single space between two characters that are surely no white space, before and behind each of one or two line ends between such, and between a letter and a mark other than an apostrophe, or a digit and a mark behind it."""
     n = len(data)
     edge = np.zeros(n + 3, dtype=bool)
     edge[starts] = edge[n:] = True
@@ -256,6 +262,8 @@ def chunk_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     cut = edge[:n] | inside & (data == 0x20) & _BEGINS[following] | single | double
     cut[1:] |= single[:-1] | double[:-1]
     cut[2:] |= double[:-2]
+    mark = _MARK[data]
+    cut |= mark & (_ALNUM[one] | _MORE[one] & _LATIN[two] & (one != 0x97) & (one != 0xB7)) | _LETTER[data] & _MARK[one]
     return np.flatnonzero(cut)
 
 
@@ -263,16 +271,13 @@ class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, each distinct chunk encoded once while it is remembered.
 
     Chunks are cut as chunk_starts() says. The usual splitting pattern never carries
-    a match over such a place, so chunks encode to the same ids as the whole text.
-    Nor does it join a letter to a mark behind it other than an apostrophe, so a word
-    shares its ids with the same word before marks. Whole texts are encoded with any
+    a match over such a place, so chunks encode to the same ids as the whole text,
+    and a word shares its ids with the same word beside marks. Whole texts are encoded with any
     tokenizer that splits otherwise, and where a text holds the string of one of the
     tokenizer's added tokens, which the library takes for that token wherever it
     stands; plain_specials encodes the strings of special ones as ordinary text instead.
     """
 
-    _marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
     def __init__(self, path: str, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
@@ -330,27 +335,9 @@ class ChunkEncoder:
         strings = chunks.filter(unknown).to_pylist()
         if not strings:
             return out
-        fresh, marked, base = [], [], len(self.keys)
-        for chunk in strings:
-            if not chunk[-1].isalpha():
-                word = chunk.rstrip(self._marks)
-                if len(word) < len(chunk) and "A" <= word[-1:] < "\u0250" and word[-1].isalpha():
-                    marked.append((chunk, word, chunk[len(word) :]))
-                    continue
-            fresh.append(chunk)
-        known = dict(zip(fresh, self.ids_of(fresh)))
-        if marked:
-            parts = list(dict.fromkeys([w for _, w, _ in marked if w not in known] + [t for _, _, t in marked if t not in known]))
-            where = pc.fill_null(pc.index_in(pa.array(parts, pa.string()), value_set=self.keys), -1).to_pylist()
-            known |= {p: self.ids[self.bounds[i] : self.bounds[i + 1]].tobytes() for p, i in zip(parts, where) if i >= 0}
-            new = [p for p, i in zip(parts, where) if i < 0]
-            known |= zip(new, self.ids_of(new))
-            fresh += new
-        whole = {chunk: known[word] + known[tail] for chunk, word, tail in marked}
-        order = [*fresh, *whole]
-        self._remember(order, [*map(known.__getitem__, fresh), *whole.values()])
-        place = dict(zip(order, range(base, base + len(order))))
-        out[unknown.to_numpy(zero_copy_only=False)] = [place[c] for c in strings]
+        place = np.arange(len(self.keys), len(self.keys) + len(strings))
+        self._remember(strings, self.ids_of(strings))
+        out[unknown.to_numpy(zero_copy_only=False)] = place
         return out
 
     def encode_column(self, texts: pa.Array) -> list[bytes]:
