@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm.repeats import DEPTH, LEAST, MIN_WORDS, all_pieces, repeated_regions
+from tidemark.llm.repeats import DEPTH, MIN_WORDS, RUNS, all_pieces, open_windows, repeated_regions
 
 
 def regions(spark, rows):
@@ -44,16 +44,63 @@ def planted(seed, docs=40):
     return rows
 
 
-def test_passages_are_found_whole_and_nothing_else(spark):
-    for seed in (1, 2):
-        rows = planted(seed)
-        found = {d: set() for d, _ in rows}
-        for d, a, b in regions(spark, rows):
-            assert b - a >= MIN_WORDS
-            found[d].update(range(a, b))
-        must, may = covered_by_other(rows, MIN_WORDS), covered_by_other(rows, LEAST)
-        for d in found:
-            assert must[d] <= found[d] <= may[d]
+def as_all_pairs(spark, rows):
+    """Hold the regions against brute force, word by word; what they cover."""
+    found = {d: set() for d, _ in rows}
+    for d, a, b in regions(spark, rows):
+        assert b - a >= MIN_WORDS
+        found[d].update(range(a, b))
+    assert found == covered_by_other(rows, MIN_WORDS)
+    return found
+
+
+@pytest.mark.parametrize("seed", (1, 2, 3))
+def test_passages_are_found_whole_and_nothing_else(spark, seed):
+    assert any(as_all_pairs(spark, planted(seed)).values())
+
+
+def test_no_two_documents_together_make_a_passage(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(20):  # 70 words of which one document has the first half and another the second
+        passage = [f"p{i}x{k}" for k in range(70)]
+        own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        rows += [(3 * i, " ".join(own(40) + passage + own(40))), (3 * i + 1, " ".join(own(30) + passage[:35] + own(30))), (3 * i + 2, " ".join(own(35) + passage[35:] + own(35)))]
+    assert not any(as_all_pairs(spark, rows).values())
+
+
+def test_a_third_document_has_what_the_nearest_ones_have_not(spark):
+    rng = random.Random(9)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, d = [], 0
+    for i in range(25):
+        passage = [f"p{i}x{k}" for k in range(110)]
+        pieces = [(0, 110), (30, 85), (30 + i, 110), (0, 62 + i), (20, 69), (25, 75), (26, 76)]  # some long to one side of a minimiser, one short on both
+        for a, b in pieces:
+            rows.append((d, " ".join(own(rng.randrange(40)) + passage[a:b] + own(rng.randrange(1, 40)))))
+            d += 1
+    found = as_all_pairs(spark, rows)
+    assert sum(bool(f) for f in found.values()) > 100
+
+
+def test_mosaics_of_many_documents(spark):
+    rng = random.Random(12)
+    pool = [f"w{i}" for i in range(3000)]
+    rows = []
+    for d in range(60):
+        words = []
+        while len(words) < 400:
+            at, n = rng.randrange(2800), rng.choice((10, 25, 45, 50, 51, 70, 140))
+            words += pool[at : at + n]
+        rows.append((d, " ".join(words)))
+    as_all_pairs(spark, rows)
+
+
+def test_windows_that_are_open():
+    starts, ends = np.array([100, 120, 300, 400]), np.array([152, 172, 320 + 30, 421])
+    got = [w.tolist() for w in open_windows(starts, ends)]
+    assert got[0] == list(range(100 - RUNS + 1, 100)) and got[1] == list(range(91, 100)) and got[2] == list(range(271, 300)) and got[3] == [371]
+    assert [w.tolist() for w in open_windows(np.array([5]), np.array([50]))] == [[0]]
 
 
 def test_repeats_inside_one_document_do_not_count(spark):
@@ -88,6 +135,6 @@ def test_nulls_repeated_rows_empty_table_and_clashing_columns(spark):
 @pytest.mark.parametrize("docs, tasks", [((1, 1, 1, 2), 2), ((2, 1, 1, 1), 2), ((1, 1, 1, 1, 1, 2), 3), ((1, 1, 2, 2), 2), ((2, 1, 1, 1, 1, 3), 6)])
 def test_every_row_of_a_run_meets_the_other_document_beyond_a_task(spark, docs, tasks):
     suffix = bytearray(np.arange(1, DEPTH + 1).astype(">u4").tobytes())
-    rows = [(0, suffix, d, d, 100 * i, 40) for i, d in enumerate(docs)]
-    frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, tasks), "side byte, suffix binary, doc long, key long, place int, room int")
-    assert {tuple(r) for r in all_pieces(frame).collect()} == {(d, d, 100 * i, 100 * i + 40) for i, d in enumerate(docs)}
+    rows = [(suffix, d, d, 100 * i, 40) for i, d in enumerate(docs)]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, tasks), "suffix binary, doc long, key long, place int, room int")
+    assert {tuple(r) for r in all_pieces(frame).select("doc", "key", "start", "end").collect()} == {(d, d, 100 * i, 100 * i + 40) for i, d in enumerate(docs)}

@@ -18,13 +18,14 @@ from tidemark.session import delete_path, shared_path, table
 MIN_WORDS = 50
 #: Words of a run that is hashed, and runs of a window of which the least is a minimiser.
 RUN, RUNS = 10, 30
-#: Words that a passage has to the right of its first minimiser at least, or up to the end of its last one's run.
+#: Words that a passage of MIN_WORDS has from its first minimiser on, at least.
 LEAST = MIN_WORDS - RUNS + 1
 #: Words of a suffix that are sorted. Minimisers are at most RUNS words apart, so longer matches go on in the next suffix.
 DEPTH = LEAST + RUNS + 1
+#: Odd factors of the two halves of a window's code.
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 #: Stands for a null doc_id: all such rows are one document.
 NO_ID = -(1 << 63)
-RIGHT, LEFT = 0, 1
 #: A run that is one in so many of the repeated ones, or commoner, is dealt to SALTS tasks; so there are at most HOT_SHARE of them.
 HOT_SHARE, SALTS = 1000, 64
 
@@ -40,14 +41,12 @@ def minimisers(codes: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def suffixes(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the words from it on, and those up to its run's end backwards, as big-endian 32-bit codes; zero beyond the text."""
+def suffixes(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each place the words from it on as big-endian 32-bit codes; zero beyond the text."""
     codes = (hashes >> np.uint64(32)).astype(np.uint32)
     codes[codes == 0] = 1
-    padded = np.concatenate([np.zeros(DEPTH, np.uint32), codes, np.zeros(DEPTH, np.uint32)])
-    ahead = padded[places[:, None] + DEPTH + np.arange(DEPTH)]
-    behind = padded[places[:, None] + DEPTH + RUN - 1 - np.arange(DEPTH)]
-    return ahead.astype(">u4"), behind.astype(">u4")
+    padded = np.concatenate([codes, np.zeros(DEPTH, np.uint32)])
+    return padded[places[:, None] + np.arange(DEPTH)].astype(">u4")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -77,15 +76,19 @@ def anchors(rows: DataFrame) -> DataFrame:
     return arrow_map(rows, select, "doc long, key long, place int, code long")
 
 
+def _salted(frame: DataFrame, counts: DataFrame, column: str) -> DataFrame:
+    """The rows of frame whose column is in counts(column, n), n the rows that have it. Values that one in HOT_SHARE of all counted rows have, or more, are dealt to SALTS tasks."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.col(column).isin([bytes(r[0]) if isinstance(r[0], bytearray) else r[0] for r in counts.where(F.col("n") * HOT_SHARE >= total).select(column).collect()])
+    salted = frame.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("doc", "place"), F.lit(SALTS)).cast("int")).otherwise(0))
+    wanted = counts.select(column, F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    return salted.join(wanted, [column, "salt"], "left_semi").drop("salt")
+
+
 def repeated_suffixes(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(side, suffix, doc, key, place, room) of the minimisers in found whose run is found in two documents at least; room is the words of the text on that side."""
+    """(suffix, doc, key, place, room) of the minimisers in found whose run is found in two documents at least; room is the words of the text from there on."""
     shared = checkpointed(found.groupBy("code").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("code", "n"))
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("code").isin([r.code for r in shared.where(F.col("n") * HOT_SHARE >= total).select("code").collect()])
-    salted = found.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("doc", "place"), F.lit(SALTS)).cast("int")).otherwise(0))
-    shared = shared.select("code", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    places = salted.join(shared, ["code", "salt"], "left_semi").groupBy("doc", "key").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    schema = "side byte, suffix binary, doc long, key long, place int, room int"
+    places = _salted(found, shared, "code").groupBy("doc", "key").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,12 +96,19 @@ def repeated_suffixes(rows: DataFrame, found: DataFrame) -> DataFrame:
                 for i, (text, own) in enumerate(zip(texts, part.column("places"))):
                     hashes, own = word_hashes(words_of(text)), own.values.to_numpy().astype(np.int64)
                     n = len(own)
-                    for side, (codes, room) in enumerate(zip(suffixes(hashes, own), (len(hashes) - own, own + RUN))):
-                        suffix = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * DEPTH), n, [None, pa.py_buffer(np.ascontiguousarray(codes).tobytes())])
-                        same = [pa.array(np.full(n, part.column(c)[i].as_py()), pa.int64()) for c in ("doc", "key")]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, side), pa.int8()), suffix.cast(pa.binary()), *same, pa.array(own, pa.int32()), pa.array(room, pa.int32())], names=["side", "suffix", "doc", "key", "place", "room"])
+                    suffix = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * DEPTH), n, [None, pa.py_buffer(np.ascontiguousarray(suffixes(hashes, own)).tobytes())])
+                    same = [pa.array(np.full(n, part.column(c)[i].as_py()), pa.int64()) for c in ("doc", "key")]
+                    yield pa.RecordBatch.from_arrays([suffix.cast(pa.binary()), *same, pa.array(own, pa.int32()), pa.array(len(hashes) - own, pa.int32())], names=["suffix", "doc", "key", "place", "room"])
+
+    return arrow_map(rows.join(places, ["doc", "key"]), cut, "suffix binary, doc long, key long, place int, room int")
+
 
-    return arrow_map(rows.join(places, ["doc", "key"]), cut, schema)
+def window_codes(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """(n, 2): 128 bits of the MIN_WORDS words from each place on."""
+    out = np.zeros((len(places), 2), dtype=np.uint64)
+    for i in range(MIN_WORDS):
+        out = out * FACTORS + hashes[places + i, None]
+    return out
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,21 +117,15 @@ def common_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
 
-def _piece(side: np.ndarray, place: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words from start to end that a match of length words covers."""
-    start = np.where(side == RIGHT, place, place + RUN - length)
-    return start, start + length
-
-
-_COLUMNS = ("side", "doc", "key", "place", "room")
+_COLUMNS = ("doc", "key", "place", "room")
 
 
 FIRST, LAST, IN_FIRST, IN_LAST, AFTER_FIRST, BEFORE_LAST = range(6)
 
 
 def matched_pieces(sorted_rows: DataFrame) -> DataFrame:
-    """Pieces (doc, key, start, end) of texts that a neighbour in suffix order from another document shares, and what may have one in another task (suffix not null, start says which): a task's first and last row, the rows of its first and of its last run of a document, and the rows beyond those runs."""
-    schema = "part int, side byte, suffix binary, doc long, key long, place int, room int, start int, end int"
+    """Pieces (doc, key, start, end, run) of texts that a neighbour in suffix order from another document shares, run a hash of their first RUN words; and what may have one in another task (suffix not null, start says which): a task's first and last row, the rows of its first and of its last run of a document, and the rows beyond those runs."""
+    schema = "part int, suffix binary, doc long, key long, place int, room int, start int, end int"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, codes, done, begun = TaskContext.get().partitionId(), None, None, 0, False
@@ -155,9 +159,8 @@ def matched_pieces(sorted_rows: DataFrame) -> DataFrame:
         yield rows(part, held, codes, range(end, min(end + 1, len(codes))), AFTER_FIRST)
 
     def run_starts(held: dict) -> np.ndarray:
-        """Where the document or side changes."""
-        change = (held["doc"][1:] != held["doc"][:-1]) | (held["side"][1:] != held["side"][:-1])
-        return np.concatenate([[0], np.flatnonzero(change) + 1])
+        """Where the document changes."""
+        return np.concatenate([[0], np.flatnonzero(held["doc"][1:] != held["doc"][:-1]) + 1])
 
     def matches(part: int, held: dict, codes: np.ndarray, a: int, b: int) -> pa.RecordBatch:
         starts = run_starts(held)
@@ -166,28 +169,27 @@ def matched_pieces(sorted_rows: DataFrame) -> DataFrame:
         best = np.zeros(b - a, dtype=np.int64)
         for other, there in ((starts[run] - 1, run > 0), (np.append(starts, len(codes))[run + 1], run + 1 < len(starts))):
             i = np.flatnonzero(there)
-            i = i[held["side"][own[i]] == held["side"][other[i]]]
             for at in range(0, len(i), 5000):
                 j = i[at : at + 5000]
                 best[j] = np.maximum(best[j], common_words(codes[own[j]], codes[other[j]]))
         best = np.minimum(best, held["room"][a:b])
         hit = np.flatnonzero(best >= LEAST)
-        start, end = _piece(held["side"][own[hit]], held["place"][own[hit]], best[hit])
-        n, none = len(hit), [None] * len(hit)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, part), pa.int32()), pa.array(held["side"][own[hit]], pa.int8()), pa.array(none, pa.binary()), pa.array(held["doc"][own[hit]], pa.int64()), pa.array(held["key"][own[hit]], pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=names)
+        n, start = len(hit), held["place"][own[hit]]
+        columns = [np.full(n, part), [x.tobytes() for x in codes[own[hit], :RUN]], held["doc"][own[hit]], held["key"][own[hit]], [None] * n, [None] * n, start, start + best[hit]]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names=names)
 
     def rows(part: int, held: dict, codes: np.ndarray, own: range, which: int) -> pa.RecordBatch:
         n, i = len(own), slice(own.start, own.stop)
-        values = [np.full(n, part), held["side"][i], [x.tobytes() for x in codes[i]], *[held[c][i] for c in _COLUMNS[1:]], np.full(n, which), [None] * n]
+        values = [np.full(n, part), [x.tobytes() for x in codes[i]], *[held[c][i] for c in _COLUMNS], np.full(n, which), [None] * n]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], names=names)
 
-    names = ["part", "side", "suffix", "doc", "key", "place", "room", "start", "end"]
-    kinds = [pa.int32(), pa.int8(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+    names = ["part", "suffix", "doc", "key", "place", "room", "start", "end"]
+    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
     return arrow_map(sorted_rows, compare, schema)
 
 
 def _neighbours(edges: list) -> dict[tuple[int, int], bytes]:
-    """The suffix of the nearest row of another document in another task, by part and run (IN_FIRST or IN_LAST), where there is one on the same side."""
+    """The suffix of the nearest row of another document in another task, by part and run (IN_FIRST or IN_LAST), where there is one."""
     ends = {(e.part, e.start): e for e in edges}
     parts, found = sorted({e.part for e in edges}), {}
     for run, edge, near, beyond, order in ((IN_FIRST, FIRST, LAST, BEFORE_LAST, parts), (IN_LAST, LAST, FIRST, AFTER_FIRST, parts[::-1])):
@@ -195,22 +197,22 @@ def _neighbours(edges: list) -> dict[tuple[int, int], bytes]:
         for part in order:
             own, other = ends[part, edge], None
             for e in nearest:
-                if (e.side, e.doc) != (own.side, own.doc):
+                if e.doc != own.doc:
                     other = e
                     break
-            if other is not None and other.side == own.side:
+            if other is not None:
                 found[part, run] = bytes(other.suffix)
             mine = [e for e in (ends[part, near], ends.get((part, beyond))) if e]
             if len(mine) == 1:  # one run: what lies beyond it is in the tasks before
-                mine += [e for e in nearest if (e.side, e.doc) != (mine[0].side, mine[0].doc)][:1]
+                mine += [e for e in nearest if e.doc != mine[0].doc][:1]
             nearest = mine
     return found
 
 
 def all_pieces(sorted_rows: DataFrame) -> DataFrame:
-    """Pieces (doc, key, start, end) of texts that the nearest rows of other documents share, in the same task or beyond its edges."""
+    """Pieces (doc, key, start, end, run) of texts that the nearest rows of other documents share, in the same task or beyond its edges."""
     matched = checkpointed(matched_pieces(sorted_rows))
-    edges = matched.where("suffix is not null")
+    edges = matched.where("end is null")
     near = _neighbours(edges.where(~F.col("start").isin(IN_FIRST, IN_LAST)).collect())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,30 +224,103 @@ def all_pieces(sorted_rows: DataFrame) -> DataFrame:
                     continue
                 length = min(e["room"], int(common_words(*[np.frombuffer(x, dtype=">u4")[None] for x in (e["suffix"], other)])[0]))
                 if length >= LEAST:
-                    start = e["place"] if e["side"] == RIGHT else e["place"] + RUN - length
-                    out.append((e["doc"], e["key"], start, start + length))
-            columns = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc", "key", "start", "end"])
+                    out.append((e["suffix"][: 4 * RUN], e["doc"], e["key"], e["place"], e["place"] + length))
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["suffix", "doc", "key", "start", "end"])
+
+    beyond = arrow_map(edges.where(F.col("start").isin(IN_FIRST, IN_LAST)), compare, "suffix binary, doc long, key long, start int, end int")
+    found = matched.where("end is not null").select("suffix", "doc", "key", "start", "end").unionByName(beyond)
+    return found.select("doc", "key", "start", "end", F.xxhash64("suffix").alias("run"))
+
+
+def _covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals that touch or overlap, given in order of their starts, as one each."""
+    if not len(starts):
+        return starts, ends
+    reach = np.maximum.accumulate(ends)
+    new = np.append(True, starts[1:] > reach[:-1])
+    return starts[new], np.append(reach[np.flatnonzero(new)[1:] - 1], reach[-1])
+
+
+def open_windows(starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """For each piece the starts of the windows of MIN_WORDS that hold its first word among their first RUNS, end with it at the latest, and have a word that no piece of MIN_WORDS covers."""
+    whole = ends - starts >= MIN_WORDS
+    a, b = _covered(starts[whole], ends[whole])
+    out = []
+    for start, end in zip(starts.tolist(), ends.tolist()):
+        own = np.arange(max(start - RUNS + 1, 0), min(start, end - MIN_WORDS) + 1)
+        if len(a):
+            at = np.searchsorted(a, own, "right") - 1
+            own = own[(at < 0) | (b[at] < own + MIN_WORDS)]
+        out.append(own)
+    return out
+
+
+def extended(rows: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(doc, key, start, end): runs of at least MIN_WORDS words that another document has too, which together cover all such runs.
+
+    Pieces of MIN_WORDS are such runs. What a passage has left of its first minimiser,
+    and right of what one neighbour shares, is found by extending pieces word by word
+    to windows of MIN_WORDS, against all documents at once: a window counts if another
+    document has the same words. Only windows at minimisers where some document needs
+    one are made, and they are told apart by 128 bits of all their words.
+    """
+    listed = pieces.groupBy("doc", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "run"))).alias("pieces"))
+
+    def arrays(row: dict) -> list[np.ndarray]:
+        return [np.array([p[c] for p in row], dtype=np.int64) for c in ("start", "end", "run")]
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[int] = []
+            for row in batch.column("pieces").to_pylist():
+                starts, ends, runs = arrays(row)
+                found += [r for r, w in zip(runs.tolist(), open_windows(starts, ends)) if len(w)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["run"])
+
+    runs = arrow_map(listed.select("pieces"), needed, "run long").distinct()
+    counted = checkpointed(pieces.groupBy("run").agg(F.count(F.lit(1)).alias("n")).join(runs, "run"))
+    wanted = _salted(pieces.withColumn("place", F.col("start")), counted, "run").groupBy("doc", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("pieces"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_slices(batch):
+                for i, (text, own) in enumerate(zip(texts, part.column("pieces").to_pylist())):
+                    hashes = word_hashes(words_of(text))
+                    places = np.unique(np.concatenate([np.arange(max(p["start"] - RUNS + 1, 0), min(p["start"], p["end"] - MIN_WORDS) + 1) for p in own]))
+                    if not len(places):
+                        continue
+                    codes = window_codes(hashes, places)
+                    same = [pa.array(np.full(len(places), part.column(c)[i].as_py()), pa.int64()) for c in ("doc", "key")]
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in codes], pa.binary()), *same, pa.array(places, pa.int32())], names=["window", "doc", "key", "place"])
 
-    beyond = arrow_map(edges.where(F.col("start").isin(IN_FIRST, IN_LAST)), compare, "doc long, key long, start int, end int")
-    return matched.where("suffix is null").select("doc", "key", "start", "end").unionByName(beyond)
+    folder = shared_path(rows.sparkSession, "windows")
+    schema = "window binary, doc long, key long, place int"
+    arrow_map(rows.join(wanted, ["doc", "key"]), cut, schema).write.parquet(folder)  # read twice
+    windows = rows.sparkSession.read.schema(schema).parquet(folder)
+    shared = checkpointed(windows.groupBy("window").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("window", "n"))
+    found = checkpointed(_salted(windows, shared, "window").select("doc", "key", F.col("place").alias("start"), (F.col("place") + MIN_WORDS).alias("end")))
+    delete_path(rows.sparkSession, folder)
+    return pieces.where(F.col("end") - F.col("start") >= MIN_WORDS).select("doc", "key", "start", "end").unionByName(found)
 
 
 def repeated_regions(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end): regions of at least MIN_WORDS words, counted from 0, end exclusive, that repeat across documents.
+    """(doc_id, start, end): regions of at least MIN_WORDS words, counted from 0, end exclusive, that repeat across documents: together the words of all runs of MIN_WORDS words that another document has too.
 
     Suffixes are kept at minimisers: of every RUNS neighbouring runs of RUN words,
-    the one with the least hash. They are sorted twice, by the words from the
-    minimiser on and by those before it, and each is compared with its neighbours
-    from other documents. So a passage of MIN_WORDS words that two documents share
-    lies in a region whole, and every word of a region lies in a run of at least
-    LEAST words that another document has too. Pieces that touch are one region.
-
-    Words are compared with A-Z lower-cased, by hash. Matches go on to the right by
-    the suffixes from a minimiser on and to the left by those backwards from it, and
-    beyond DEPTH words by the next minimiser's. Null or empty texts, and those of
+    the one with the least hash. They are sorted, and each is compared with its
+    neighbours from other documents; a passage of MIN_WORDS that two documents share
+    has a minimiser from which it goes on for LEAST words at least, so both have a
+    piece there. Pieces are then extended (see extended()): what is found is what a
+    comparison with all other documents finds, not with the neighbours alone, as those
+    with the longest passage to the right of a minimiser needn't have that to its left.
+
+    Words are compared with A-Z lower-cased, by hash: 32 bits of each in suffixes, 128
+    of all words in windows. Matches go on to the right by the suffix of the next
+    minimiser, at most RUNS words on. Null or empty texts, and those of
     fewer than MIN_WORDS words, have no region; very long texts are read whole.
-    Regions of equal length or ones that overlap are all given. Repeated rows of one doc_id, and
+    Runs that touch or overlap are one region; neighbours of equal length are equals, and
+    which is compared changes nothing. Repeated rows of one doc_id, and
     all rows without one, are one document. An empty table gives an empty table;
     other columns are ignored. A passage's copies are rows that sort next to each
     other, however many there are, and sorted order is dealt out evenly; the driver
@@ -253,9 +328,10 @@ def repeated_regions(docs: DataFrame) -> DataFrame:
     """
     rows, folder = _rows(docs), shared_path(docs.sparkSession, "anchors")
     anchors(rows).write.parquet(folder)  # read twice: for the runs that repeat, and for where they are
-    found = repeated_suffixes(rows, docs.sparkSession.read.schema("doc long, key long, place int, code long").parquet(folder)).repartitionByRange("side", "suffix", "doc", "place").sortWithinPartitions("side", "suffix", "doc", "place")
+    found = repeated_suffixes(rows, docs.sparkSession.read.schema("doc long, key long, place int, code long").parquet(folder)).repartitionByRange("suffix", "doc", "place").sortWithinPartitions("suffix", "doc", "place")
     pieces = all_pieces(found)  # written, so that the anchors may go
     delete_path(docs.sparkSession, folder)
+    pieces = extended(rows, pieces)
     ordered = Window.partitionBy("doc", "key").orderBy("start", "end")
     reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     islands = pieces.withColumn("apart", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("island", F.sum("apart").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
