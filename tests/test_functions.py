@@ -240,3 +240,21 @@ def test_peaks_are_signed_and_refined():
     c[14], c[13], c[15] = -4.0, 2.0, 3.0
     assert signals.signed_lag(c) == -2.0 and abs(signals.signed_lag(c, refine=True) - (-2.0 + 0.5 * (2 - 3) / (2 - 8 + 3))) < 1e-12
     assert signals.list_scorers() == ["coherent", "mel", "onset", "phase", "standard", "whitened"]
+
+
+@pytest.mark.parametrize("span", (1, 2, 3, 5, 4096))
+def test_runs_of_blocks_over_spans(spark, span):
+    flags = [1, 1, 0, 1, 1, 1, 1, 1, 1, 0, 0, 1, 0, 1, 1]
+    rows = spark.createDataFrame([(s, i, float(i), f) for s in ("a", "b") for i, f in enumerate(flags[len(s) - 1 + (s == "b") :])], "signal string, block long, db double, on int").repartition(3)
+    found = {(r.signal, r.first, r["last"], r.length, r.mean_db) for r in signals.runs(rows, F.col("on") == 1, 1, span).collect()}
+    wanted = set()
+    for s in ("a", "b"):
+        own, start = [*flags[s == "b" :], 0], None
+        for i, f in enumerate(own):
+            if f and start is None:
+                start = i
+            if not f and start is not None:
+                wanted.add((s, start, i - 1, i - start, (start + i - 1) / 2))
+                start = None
+    assert found == wanted
+    assert {r.length for r in signals.runs(rows, F.col("on") == 1, 3, span).collect()} == {6}

@@ -138,14 +138,19 @@ def q_chapter_atoms(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("doc", "start_ns", "end_ns", F.explode("displays").alias("d")).select("doc", "start_ns", "end_ns", "d.name", "d.lang", "d.tag")
 
 
-_LANGS = "CASE doc_id % 7 WHEN 0 THEN 'en' WHEN 1 THEN ' JA ' WHEN 2 THEN 'deu' WHEN 3 THEN 'xx' WHEN 4 THEN '' WHEN 5 THEN 'und' END"
+_CODES = "VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in texts.LANGUAGES.items())
+_TAGS = "VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in texts.CHAPTER_TAGS.items())
 
 
-@query("language_codes", f"SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'eng' WHEN 1 THEN 'jpn' WHEN 2 THEN 'deu' WHEN 3 THEN 'xx' END AS code, CASE doc_id % 7 WHEN 0 THEN 'en' WHEN 1 THEN 'ja' WHEN 2 THEN 'de' ELSE 'und' END AS tag FROM documents")
+@query("language_codes", f"""WITH c(a, b) AS ({_CODES}), g(a, b) AS ({_TAGS}), w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents UNION SELECT DISTINCT lang FROM documents UNION SELECT DISTINCT ' ' || b || ' ' FROM c UNION SELECT ''),
+n AS (SELECT word, CASE WHEN lower(trim(word)) NOT IN ('', 'und') THEN coalesce(c.b, lower(trim(word))) END AS code FROM w LEFT JOIN c ON c.a = lower(trim(word)) WHERE length(word) <= 5) SELECT word, code, coalesce(g.b, 'und') AS tag FROM n LEFT JOIN g ON g.a = code""")
 def q_languages(spark: SparkSession, sf: str) -> DataFrame:
-    """F21, F22."""
-    code = texts.normal_language(F.expr(_LANGS))
-    return table(spark, sf, "documents").select("doc_id", code.alias("code"), texts.chapter_tag(F.coalesce(code, F.lit("und"))).alias("tag"))
+    """the short words and the languages of documents, and the known codes, as names of languages."""
+    docs = table(spark, sf, "documents")
+    known = spark.createDataFrame([(f" {c} ",) for c in texts.LANGUAGES.values()] + [("",)], "word string")
+    found = docs.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("word")).unionByName(docs.select(F.col("lang").alias("word"))).unionByName(known).where(F.length("word") <= 5).distinct()
+    code = texts.normal_language(F.col("word"))
+    return found.select("word", code.alias("code"), texts.chapter_tag(F.coalesce(code, F.lit("und"))).alias("tag"))
 
 
 @query("markup", r"""WITH p AS (SELECT page_id, replace(regexp_replace(regexp_replace(regexp_replace(html, '[{}\\]', '', 'g'), '</?[biu]>', '', 'gi'), '<[^>]+>', '', 'g'), chr(10), '\N') AS r FROM pages)
@@ -186,45 +191,68 @@ def numbered_by(rows: DataFrame, *order: str) -> DataFrame:
     return own.join(counts.select("__part", before.alias("__before")), "__part").withColumn("place", F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")
 
 
-@query("file_names", r"""WITH n AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '_. ' WHEN 1 THEN '<a>:"b"/' || p_name WHEN 2 THEN p_name || '??*|. ' ELSE p_name || '\\' || p_type END AS name FROM part),
-f AS (SELECT p_partkey, name, trim(regexp_replace(regexp_replace(name, '[<>:"/\\|?*]', '_', 'g'), '_{2,}', '_', 'g'), '_. ') AS bare FROM n)
-SELECT p_partkey, CASE WHEN bare = '' THEN 'unnamed' ELSE substr(bare, 1, 100) END AS file_name, CASE WHEN regexp_matches(name, '[\s"''\\$`!#&|;(){}\[\]<>?*~]') THEN '''' || name || '''' ELSE name END AS quoted FROM f""")
+_NAMES = """n AS (SELECT page_id, 'url' AS kind, url AS name FROM pages UNION ALL SELECT page_id, 'title', regexp_extract(html, '<title>(.*?)</title>', 1) FROM pages UNION ALL SELECT page_id, 'fragment', regexp_extract(url, '#(.*)$', 1) FROM pages UNION ALL SELECT page_id, 'both', url || ' ' || regexp_extract(html, '<h1>(.*?)</h1>', 1) || ' .' FROM pages)"""
+
+
+@query("file_names", rf"""WITH {_NAMES}, f AS (SELECT *, trim(regexp_replace(regexp_replace(name, '[<>:"/\\|?*]', '_', 'g'), '_{{2,}}', '_', 'g'), '_. ') AS bare FROM n)
+SELECT page_id, kind, CASE WHEN bare = '' THEN 'unnamed' ELSE substr(bare, 1, 100) END AS file_name, CASE WHEN name = '' THEN chr(39) || chr(39) WHEN regexp_matches(name, '[\s"''\\$`!#&|;(){{}}\[\]<>?*~]') THEN chr(39) || replace(name, chr(39), chr(39) || '\' || chr(39) || chr(39)) || chr(39) ELSE name END AS quoted FROM f""")
 def q_file_names(spark: SparkSession, sf: str) -> DataFrame:
-    """F39, F49."""
-    k = F.col("p_partkey") % 5
-    name = F.when(k == 0, "_. ").when(k == 1, F.concat(F.lit('<a>:"b"/'), "p_name")).when(k == 2, F.concat("p_name", F.lit("??*|. "))).otherwise(F.concat("p_name", F.lit("\\\\"), "p_type"))
-    return table(spark, sf, "part").select("p_partkey", texts.file_name(name).alias("file_name"), texts.shell_quoted(name).alias("quoted"))
+    """addresses, titles and fragments of pages as names of files and words of a shell."""
+    title, fragment = F.regexp_extract("html", "<title>(.*?)</title>", 1), F.regexp_extract("url", "#(.*)$", 1)
+    named = {"url": F.col("url"), "title": title, "fragment": fragment, "both": F.concat("url", F.lit(" "), F.regexp_extract("html", "<h1>(.*?)</h1>", 1), F.lit(" ."))}
+    rows = table(spark, sf, "pages").select("page_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("name")) for k, v in named.items()])).alias("n")).select("page_id", "n.*")
+    return rows.select("page_id", "kind", texts.file_name(F.col("name")).alias("file_name"), texts.shell_quoted(F.col("name")).alias("quoted"))
 
 
-@query("small_formats", """WITH e AS (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
-SELECT event_id, CASE WHEN k % 3 = 0 THEN floor(value)::BIGINT::VARCHAR ELSE (floor(value) + 0.5)::DECIMAL(20, 1)::VARCHAR END AS number, CASE k % 4 WHEN 0 THEN 24000.0 / 1001 WHEN 1 THEN 25.0 ELSE 0.0 END::DOUBLE AS rate, CASE WHEN k % 5 = 4 THEN NULL ELSE k END AS percent,
-  CASE k % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END AS digits, CASE WHEN k % 10 = 0 THEN 100.0 ELSE round((k * 10 + 20) / 1080.0 * 100, 6) END AS y_percent, CASE WHEN k % 10 = 0 OR (k * 10 + 20) / 1080.0 * 100 >= 75 THEN 'bottom' WHEN (k * 10 + 20) / 1080.0 * 100 <= 40 THEN 'top' ELSE 'middle' END AS region FROM e""")
+@query("small_formats", """WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
+SELECT event_id, CASE WHEN value = floor(value) THEN floor(value)::BIGINT::VARCHAR ELSE value::VARCHAR END AS number, floor(value)::BIGINT::VARCHAR AS whole, CASE user_id % 3 WHEN 0 THEN CASE WHEN k = 0 THEN 0 ELSE round(user_id / k, 9) END WHEN 1 THEN k ELSE 0 END::DOUBLE AS rate, CASE WHEN user_id % 2 = 0 THEN k END AS percent,
+  CASE WHEN user_id % 2 = 0 THEN length(value::VARCHAR) - position('.' IN value::VARCHAR) ELSE 2 END::INT AS digits, round(CASE WHEN k = 0 THEN 100.0 ELSE (k * 10 + user_id / 2.0) / 1080.0 * 100 END::DOUBLE, 6) AS y_percent,
+  CASE WHEN k = 0 OR k * 20 + user_id >= 1620 THEN 'bottom' WHEN k * 20 + user_id <= 864 THEN 'top' ELSE 'middle' END AS region FROM e""")
 def q_formats(spark: SparkSession, sf: str) -> DataFrame:
-    """F38, F49, F50, F51, F55, F58, S23."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    whole = F.floor("value")
-    number = F.when(k % 3 == 0, whole.cast("double")).otherwise(whole + F.lit(0.5))
-    rate = F.when(k % 4 == 0, "24000/1001").when(k % 4 == 1, "25").when(k % 4 == 2, "1/0").otherwise("none")
-    line = F.when(k % 5 == 4, "no number here").otherwise(F.concat(F.lit("Progress: "), k.cast("string"), F.lit("%")))
-    stamp = F.when(k % 3 == 0, "0:00:01").when(k % 3 == 1, "0:00:01.250").otherwise("1.")
-    y = texts.position_percent(k * 10, F.lit(40), F.when(k % 10 == 0, 0).otherwise(1080))
+    """Numbers, rates, progress lines, clocks and boxes made of what events say."""
+    k, user, number = F.get_json_object("props", "$.k").cast("int"), F.col("user_id"), F.col("value").cast("string")
+    rate = F.when(user % 3 == 0, F.concat(user.cast("string"), F.lit("/"), k.cast("string"))).when(user % 3 == 1, F.concat(F.lit(" "), k.cast("string"))).otherwise(F.col("event_type"))
+    line = F.when(user % 2 == 0, F.concat("event_type", F.lit(": "), k.cast("string"), F.lit("% "))).otherwise(F.col("props"))
+    stamp = F.concat(F.lit("0:00:"), F.when(user % 2 == 0, number).otherwise(user.cast("string")))
+    y = texts.position_percent(k * 10, user, F.when(k == 0, 0).otherwise(1080))
     return table(spark, sf, "events").select(
-        "event_id", texts.format_number(number).alias("number"), texts.fraction(rate, 0.0).alias("rate"), texts.progress_percent(line).alias("percent"), texts.timestamp_digits(stamp).alias("digits"), F.round(y, 6).alias("y_percent"), texts.screen_region(y).alias("region")
-    )
+        "event_id", texts.format_number(F.col("value")).alias("number"), texts.format_number(F.floor("value").cast("double")).alias("whole"), F.round(texts.fraction(rate, 0.0), 9).alias("rate"),
+        texts.progress_percent(line).alias("percent"), texts.timestamp_digits(stamp).alias("digits"), F.round(y, 6).alias("y_percent"), texts.screen_region(y).alias("region"),
+    )
+
+
+#: What attachments are made of: a word of a page, in types and endings that some fonts have.
+_MIMES = ("'font/' || w", "'application/' || w", "w || '/x-TrueType'", "'application/x-font-' || w", "'application/octet-stream'", "'Binary/Octet-Stream'", "'text/' || w", "'application/postscript'", "'image/' || w || 'opentype'", "'application/vnd.ms-opentype'")
+_ENDS = ("'.TTF'", "'.otf'", "'.woff2'", "'.bin'", "'.eot'", "'.pfb'", "'.' || w", "'ttf'", "'.ttf2'", "''", "'.fon.txt'")
+_PICK = "CASE {n} " + "{whens} END"
+
 
+def _picked(key: str, choices: tuple[str, ...]) -> str:
+    return _PICK.format(n=f"{key} % {len(choices)}", whens=" ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(choices)))
 
-@query("font_attachments", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN true ELSE false END AS is_font FROM pages""")
+
+@query("font_attachments", f"""WITH p AS (SELECT DISTINCT unnest(regexp_extract_all(html, '[A-Za-z0-9]+')) AS w FROM pages), a AS (SELECT {_picked("length(w)", _MIMES)} AS mime, w || {_picked("ascii(w)", _ENDS)} AS name FROM p),
+f AS (SELECT *, lower(mime) AS kind, CASE WHEN contains(name, '.') THEN string_split(lower(name), '.')[-1] ELSE '' END AS ending FROM a)
+SELECT mime, name, kind LIKE '%font%' OR kind LIKE '%truetype%' OR kind LIKE '%opentype%' OR kind = 'application/postscript' OR ending IN ('ttf', 'otf', 'ttc', 'woff', 'woff2', 'eot', 'fon', 'fnt', 'pfb', 'pfa') AS is_font FROM f""")
 def q_fonts(spark: SparkSession, sf: str) -> DataFrame:
-    """W08, S25."""
-    k = F.col("page_id") % 6
-    mime = F.when(k == 0, "Font/TTF").when(k == 1, "application/octet-stream").when(k == 2, "application/vnd.ms-opentype").when(k == 3, "application/octet-stream").when(k == 4, "text/plain").otherwise("image/png")
-    name = F.when(k == 1, "A.OTF").when(k == 3, "data.bin").when(k == 4, "b.pfb").otherwise(F.concat(F.lit("x"), F.col("url")))
-    return table(spark, sf, "pages").select("page_id", texts.is_font(mime, F.regexp_replace(name, r"\.(ttf|otf|fon|eot)$", "")).alias("is_font"))
+    """Attachments named and typed by the words of pages."""
+    words = table(spark, sf, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("([A-Za-z0-9]+)"), 1)).alias("w")).distinct()
+    made = words.select(F.expr(_picked("length(w)", _MIMES)).alias("mime"), F.concat("w", F.expr(_picked("ascii(w)", _ENDS))).alias("name"))
+    return made.select("mime", "name", texts.is_font(F.col("mime"), F.col("name")).alias("is_font"))
+
+
+_PLAIN = "CASE WHEN {v} = floor({v}) THEN floor({v})::BIGINT::VARCHAR ELSE ({v})::DECIMAL(18, 1)::VARCHAR END"
 
 
-@query("scaled_tags", oracle("subs", body=r" SELECT track_id, idx, '{\fs' || (idx + 10) * 2 || '\pos(' || idx * 2 || ',' || (idx + 1) * 2 || ')\t(0,500,\fs' || idx * 2 || '\t(\bord' || idx * 2 || '))\c&HFF&}x' AS text FROM subs"))
+@query("scaled_tags", oracle("subs", body=rf""", w AS (SELECT track_id, idx, unnest(string_split(translate(text, '{{}}\', ''), ' ')) AS w, unnest(range(1, len(string_split(translate(text, '{{}}\', ''), ' ')) + 1)) AS i FROM subs)
+SELECT track_id, idx, md5(string_agg('{{\fs' || {_PLAIN.format(v="length(w) * 2.5")} || '\pos(' || {_PLAIN.format(v="(i * 1.5 + 3)")} || ',' || {_PLAIN.format(v="(i * length(w) * 1.5 + 4)")} || ')\bord' || {_PLAIN.format(v="(length(w) % 3 * 2.5)")} || '\t(0,' || i || ',\fscx50\fs' || {_PLAIN.format(v="i * 2.5")} || '\t(\blur' || {_PLAIN.format(v="length(w) * 2.5")} || '))\c&H' || i || '&}}' || w, ' ' ORDER BY i)) AS text_md5 FROM w GROUP BY 1, 2"""))
 def q_scaled(spark: SparkSession, sf: str) -> DataFrame:
-    """P20."""
-    n = F.col("idx").cast("string")
-    text = F.concat(F.lit("{\\fs"), (F.col("idx") + 10).cast("string"), F.lit("\\pos("), n, F.lit(","), (F.col("idx") + 1).cast("string"), F.lit(")\\t(0,500,\\fs"), n, F.lit("\\t(\\bord"), n, F.lit("))\\c&HFF&}x"))
-    return subs(spark, sf).select("track_id", "idx", texts.scaled_tags(text, 2.0, 2.0).alias("text"))
+    """P20: every word of the texts behind tags with its length and place as numbers, transforms inside transforms among them."""
+    words = F.split(F.translate("text", "{}\\", ""), " ")
+
+    def tagged(w: Column, i: Column) -> Column:
+        n, at = F.length(w).cast("string"), (i + 1).cast("string")
+        return F.concat(F.lit("{\\fs"), n, F.lit("\\pos("), at, F.lit(","), ((i + 1) * F.length(w)).cast("string"), F.lit(")\\bord"), (F.length(w) % 3).cast("string"), F.lit("\\t(0,"), at, F.lit(",\\fscx50\\fs"), at, F.lit("\\t(\\blur"), n, F.lit("))\\c&H"), at, F.lit("&}"), w)
+
+    text = F.array_join(F.transform(words, tagged), " ")
+    return subs(spark, sf).select("track_id", "idx", F.md5(texts.scaled_tags(text, 1.5, 2.5, (3.0, 4.0))).alias("text_md5"))

@@ -152,15 +152,29 @@ def q_pool(spark: SparkSession, sf: str) -> DataFrame:
     return pool_match(rows, rows.withColumn("job", F.col("job") + 1), ["custom_name", "is_default"]).select("job", "pos", "custom_name", "is_default", "matched")
 
 
-_LAYOUT = """CASE job % 8 WHEN 0 THEN '[1]' WHEN 1 THEN '{"job_id": 1, "sources": {}, "track_signature": 1}' WHEN 2 THEN '{"job_id": 1, "sources": {}, "enhanced_layout": {"a": 1}, "track_signature": 1, "structure_signature": 2}'
-  WHEN 3 THEN '{"job_id": 1, "sources": {}, "enhanced_layout": [{"source": "s", "id": 1, "type": "audio", "user_order_index": 0}, {"source": "s", "type": "audio", "user_order_index": 1}], "track_signature": 1, "structure_signature": 2}'
-  WHEN 4 THEN '{"job_id": 1, "sources": {}, "enhanced_layout": [7], "track_signature": 1, "structure_signature": 2}' WHEN 5 THEN '{"sources": {}}'
-  ELSE '{"job_id": 1, "sources": {}, "enhanced_layout": [{"source": "s", "id": 1, "type": "audio", "user_order_index": 0}], "track_signature": 1, "structure_signature": 2}' END"""
+def _json_fields(**fields: str) -> str:
+    """A JSON object of fields as SQL text; those that are null are left out."""
+    return "'{' || concat_ws(', ', " + ", ".join(f"'\"{name}\": ' || {value}" for name, value in fields.items()) + ") || '}'"
 
 
-@query("layout_validation", oracle(*_T, body=""" SELECT DISTINCT job, CASE job % 8 WHEN 0 THEN 'Layout data is not a dictionary.' WHEN 1 THEN 'Missing required field: enhanced_layout' WHEN 2 THEN 'Enhanced layout must be a list.' WHEN 3 THEN 'Layout item 1 missing required field: id' WHEN 4 THEN 'Layout item 0 is not a dictionary.' WHEN 5 THEN 'Missing required field: job_id' ELSE 'Valid' END AS problem FROM tracks"""))
+_ITEM = "CASE WHEN is_corrected THEN '7' ELSE " + _json_fields(source="CASE WHEN NOT is_preserved THEN '\"' || source || '\"' END", id="CASE WHEN custom_name = '' THEN CAST(id AS STRING) END", type="CASE WHEN NOT frame_adjusted THEN '\"' || type || '\"' END", user_order_index="CASE WHEN custom_lang = '' THEN CAST(pos AS STRING) END") + " END"
+
+
+@query("layout_validation", oracle(*_T, body=""", i AS (SELECT job, pos, CASE WHEN is_corrected THEN 'is not a dictionary.' WHEN is_preserved THEN 'missing required field: source' WHEN custom_name <> '' THEN 'missing required field: id' WHEN frame_adjusted THEN 'missing required field: type' WHEN custom_lang <> '' THEN 'missing required field: user_order_index' END AS p FROM tracks),
+j AS (SELECT job, count(*) AS n, bool_or(is_forced AND pos = 0) AS listed, bool_or(source = 'Source 1') AS has_source, bool_or(type = 'audio') AS has_audio, bool_or(lang = 'und' AND pos = 0) AS unnamed FROM tracks GROUP BY 1),
+f AS (SELECT job, arg_min(p, pos) AS p, min(pos) AS pos FROM i WHERE p IS NOT NULL GROUP BY 1)
+SELECT job, CASE WHEN listed THEN 'Layout data is not a dictionary.' WHEN unnamed THEN 'Missing required field: job_id' WHEN NOT has_source THEN 'Missing required field: sources' WHEN n = 2 THEN 'Missing required field: enhanced_layout' WHEN NOT has_audio THEN 'Missing required field: track_signature' WHEN n = 6 THEN 'Missing required field: structure_signature'
+  WHEN n = 1 THEN 'Enhanced layout must be a list.' WHEN p IS NOT NULL THEN 'Layout item ' || f.pos || ' ' || p ELSE 'Valid' END AS problem FROM j LEFT JOIN f USING (job)"""))
 def q_validation(spark: SparkSession, sf: str) -> DataFrame:
-    return tracks(spark, sf).select("job").distinct().select("job", layout_problem(F.expr(_LAYOUT)).alias("problem"))
+    """Layouts written from the tracks of jobs, in which what tracks lack is lacking."""
+    items = tracks(spark, sf).select("job", "pos", "source", "type", "lang", "is_forced", F.expr(_ITEM).alias("item"))
+    first = F.col("pos") == 0
+    made = items.groupBy("job").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(F.col("is_forced") & first).alias("listed"), F.bool_or(F.col("source") == "Source 1").alias("has_source"), F.bool_or(F.col("type") == "audio").alias("has_audio"), F.bool_or((F.col("lang") == "und") & first).alias("unnamed"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]), ", ").alias("items"),
+    )
+    layout = _json_fields(job_id="CASE WHEN NOT unnamed THEN CAST(job AS STRING) END", sources="CASE WHEN has_source THEN '{}' END", enhanced_layout="CASE n WHEN 2 THEN NULL WHEN 1 THEN items ELSE '[' || items || ']' END", track_signature="CASE WHEN has_audio THEN '1' END", structure_signature="CASE WHEN n <> 6 THEN '2' END")
+    return made.select("job", layout_problem(F.expr(f"CASE WHEN listed THEN '[1]' ELSE {layout} END")).alias("problem"))
 
 
 @query("job_ids", oracle(*_T, body=""", s AS (SELECT DISTINCT job, source FROM tracks) SELECT job, sha256(string_agg(source || ':ep' || job % 50 || '.mkv', '|' ORDER BY source))[1:16] AS job_id FROM s GROUP BY 1"""))

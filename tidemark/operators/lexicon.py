@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import words
+from tidemark.operators.documents import numbered_by
 from tidemark.plans.registry import query
 from tidemark.session import table
 
@@ -96,7 +97,9 @@ SELECT word, substr(word, 1, at_) || ' ' || substr(word, at_ + 1) AS split FROM
 def q_merged(spark: SparkSession, sf: str) -> DataFrame:
     """neighbours of the dictionary run together, and words of conversations."""
     own = _dictionary(spark, sf)
-    joined = own.select("word", F.lead("word").over(Window.orderBy("word")).alias("n")).where("n is not null").select(F.concat("word", "n").alias("word"))  # the dictionary is a stated list
+    placed = numbered_by(own, "word")
+    after = placed.select((F.col("place") - 1).alias("place"), F.col("word").alias("n"))
+    joined = placed.join(after, "place").select(F.concat("word", "n").alias("word"))
     return words.split_merged(joined.unionByName(_tokens(spark, sf).select("word")), own)
 
 
@@ -135,9 +138,31 @@ def q_lists(spark: SparkSession, sf: str) -> DataFrame:
     return _dictionary(spark, sf).groupBy(F.length("word").alias("list_no")).agg(F.count(F.lit(1)).alias("n"), F.min("word").alias("first"), F.max("word").alias("last"))
 
 
-@query("romanised", "WITH p AS (SELECT p_partkey AS id FROM part) SELECT id, CASE id % 5 WHEN 0 THEN 'gakkou' WHEN 1 THEN 'raamen' WHEN 2 THEN 'shachukyo' WHEN 3 THEN 'katakana' ELSE 'nippon' END || id AS latin FROM p")
+#: Kana for the letters of the tables' words, as the tables have no kana of their own; and how the oracle spells them.
+_LETTERS, _KANA = "abcdefghijklmnopqrstuvwxyz", "アカサタナハマヤラワガザダバパキシチニヒャュョッーン"
+_SPELLED = {
+    "ア": "a", "カ": "ka", "サ": "sa", "タ": "ta", "ナ": "na", "ハ": "ha", "マ": "ma", "ヤ": "ya", "ラ": "ra", "ワ": "wa", "ガ": "ga", "ザ": "za", "ダ": "da", "バ": "ba", "パ": "pa", "キ": "ki", "シ": "shi", "チ": "chi", "ニ": "ni", "ヒ": "hi",
+    "ャ": "ya", "ュ": "yu", "ョ": "yo", "ン": "n", "キャ": "kya", "キュ": "kyu", "キョ": "kyo", "シャ": "sha", "シュ": "shu", "ショ": "sho", "チャ": "cha", "チュ": "chu", "チョ": "cho", "ニャ": "nya", "ニュ": "nyu", "ニョ": "nyo", "ヒャ": "hya", "ヒュ": "hyu", "ヒョ": "hyo",
+}
+_LATIN = f"""WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents), m AS (SELECT MAP {{{", ".join(f"'{k}': '{v}'" for k, v in _SPELLED.items())}}} AS m),
+s AS (SELECT word, regexp_extract_all(translate(word, '{_LETTERS}', '{_KANA}'), '[キシチニヒ][ャュョ]|.') AS s FROM w),
+p AS (SELECT word, list_transform(range(1, len(s) + 1), lambda i: CASE s[i] WHEN 'ッ' THEN 'T' || coalesce(left(m[s[i + 1]], 1), '') WHEN 'ー' THEN 'L' ELSE 'T' || m[s[i]] END) AS p FROM s, m),
+l AS (SELECT word, list_reduce(list_prepend('', p), lambda a, x: a || CASE WHEN x = 'L' THEN CASE WHEN right(a, 1) IN ('a', 'e', 'i', 'o', 'u') THEN right(a, 1) ELSE '' END ELSE substr(x, 2) END) AS latin FROM p)"""
+
+
+def _in_kana(word: Column) -> Column:
+    return F.translate(F.lower(word), _LETTERS, _KANA)
+
+
+@query("romanised", _LATIN + " SELECT word, latin FROM l")
 def q_romanised(spark: SparkSession, sf: str) -> DataFrame:
-    """F43."""
-    k = F.col("p_partkey") % 5
-    text = F.when(k == 0, "がっこう").when(k == 1, "ラーメン").when(k == 2, "しゃちゅきょ").when(k == 3, "カタカナ").otherwise("にっぽん")
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), words.romanised(F.concat(text, F.col("p_partkey").cast("string"))).alias("latin"))
+    """the words of documents in kana, letter by letter, and back in Latin letters as they then sound."""
+    found = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("word")).select(F.lower("word").alias("word")).distinct()
+    return found.select("word", words.romanised(_in_kana(F.col("word"))).alias("latin"))
+
+
+@query("kana_dictionary", _LATIN + " SELECT DISTINCT latin AS word FROM l WHERE latin <> ''")
+def q_kana_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """A dictionary's entries, one to a document, each with the readings of all its words."""
+    readings = F.transform(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1), lambda w: F.concat(F.lit("<r_ele><reb>"), _in_kana(w), F.lit("</reb></r_ele>")))
+    return words.romanised_words(table(spark, sf, "documents").select(F.concat(F.lit("<entry>"), F.array_join(readings, ""), F.lit("</entry>")).alias("line")))

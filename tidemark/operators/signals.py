@@ -15,6 +15,8 @@ from tidemark.plans.registry import query
 from tidemark.session import ship
 
 BLOCK = 16
+#: Blocks in a span inside which runs are found first.
+SPAN = 4096
 
 
 def rms_db(mean_square: Column, floor: float = -120.0) -> Column:
@@ -40,11 +42,22 @@ def hopping(samples: DataFrame, size: int, hop: int) -> DataFrame:
     return samples.select("signal", "sample_idx", "value", F.explode(F.sequence(first, last)).alias("window"))
 
 
-def runs(blocks: DataFrame, flag: Column, least: int = 1) -> DataFrame:
-    """Maximal runs of flagged blocks of at least a length: (signal, first, last, length, mean_db)."""
-    order = Window.partitionBy("signal").orderBy("block")
-    flagged = blocks.where(flag).withColumn("__g", F.col("block") - F.row_number().over(order))
-    return flagged.groupBy("signal", "__g").agg(F.min("block").alias("first"), F.max("block").alias("last"), F.count(F.lit(1)).alias("length"), F.avg("db").alias("mean_db")).where(F.col("length") >= least).drop("__g")
+def runs(blocks: DataFrame, flag: Column, least: int = 1, span: int = SPAN) -> DataFrame:
+    """Maximal runs of flagged blocks of at least a length: (signal, first, last, length, mean_db).
+
+    Runs are found inside spans of blocks first. Only those that reach a span's edge are
+    then joined with their neighbours in one order for each signal: two of a span at most.
+    """
+    inside = Window.partitionBy("signal", "__span").orderBy("block")
+    flagged = blocks.where(flag).withColumn("__span", F.floor(F.col("block") / span))
+    own = flagged.withColumn("__g", F.col("block") - F.row_number().over(inside)).groupBy("signal", "__span", "__g").agg(F.min("block").alias("first"), F.max("block").alias("last"), F.count(F.lit(1)).alias("length"), F.sum("db").alias("__db"))
+    edge = (F.col("first") == F.col("__span") * span) | (F.col("last") == (F.col("__span") + 1) * span - 1)
+    order = Window.partitionBy("signal").orderBy("first")
+    new = F.coalesce(F.col("first") != F.lag("last").over(order) + 1, F.lit(True)).cast("long")
+    joined = own.where(edge).withColumn("__new", new).withColumn("__g", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = joined.groupBy("signal", "__g").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("length").alias("length"), F.sum("__db").alias("__db"))
+    whole = own.where(~edge).select("signal", "first", "last", "length", "__db").unionByName(joined.drop("__g"))
+    return whole.where(F.col("length") >= least).select("signal", "first", "last", "length", (F.col("__db") / F.col("length")).alias("mean_db"))
 
 
 def transients(blocks: DataFrame, jump_db: float) -> DataFrame:
