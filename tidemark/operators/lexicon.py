@@ -70,25 +70,25 @@ def q_garbage(spark: SparkSession, sf: str) -> DataFrame:
     return _lines(spark, sf).withColumn("line", line).select("line_id", words.is_garbage(F.col("line"), F.col("confidence")).alias("garbage"))
 
 
-_SPOILT = "CASE (doc_id * 7 + {at}) % 9 WHEN 0 THEN 'AB C DE F ' || {line} WHEN 1 THEN ' A  B  C  D  E ' WHEN 2 THEN 'AB C DE F ' || upper(replace({line}, 'ß', 's')) ELSE {line} END"
+_SPOILT = "CASE (doc_id * 7 + {at}) % 9 WHEN 0 THEN 'AB C DE F ' || {line} WHEN 1 THEN ' A  B  C  D  E ' WHEN 2 THEN 'AB C DE F ' || upper({line}) ELSE {line} END"
 
 
-@query("garbage_removed", rf"""WITH l AS (SELECT doc_id, len(l) AS n, unnest(range(0, len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)), s AS (SELECT doc_id, n, i, {_SPOILT.format(at="i", line="line")} AS x FROM l),
+@query("garbage_removed", rf"""WITH l AS (SELECT doc_id, len(l) AS n, unnest(range(0, len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'z', 'g'), chr(10)) AS l FROM documents)), s AS (SELECT doc_id, n, i, {_SPOILT.format(at="i", line="line")} AS x FROM l),
 b AS (SELECT doc_id, n, i, 0 AS part, x FROM s UNION ALL SELECT doc_id, n, i, 1, {_STRIP.format(x=r"regexp_replace(x, '^(\b[A-Z]{1,2}\b\s*){3,}', '')")} FROM s WHERE regexp_matches(x, '^(\b[A-Z]{{1,2}}\b\s*){{3,}}')),
 t AS (SELECT *, 100 AS confidence, {_STRIP.format(x="x")} AS t FROM b), w AS (SELECT *, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') AS w FROM t), c AS (SELECT *, list_filter(w, lambda x: strlen(x) <= 2 AND regexp_matches(x, '^\p{{Lu}}+$')) AS cw FROM w),
 g AS (SELECT doc_id, n, i, part, x, {_GARBAGE} AS bad FROM c),
 k AS (SELECT a.doc_id, a.n, a.i, a.bad, CASE WHEN a.n > 1 AND r.x <> '' AND NOT r.bad THEN r.x ELSE a.x END AS x FROM g a LEFT JOIN g r ON r.doc_id = a.doc_id AND r.i = a.i AND r.part = 1 WHERE a.part = 0)
 SELECT doc_id, md5(coalesce(string_agg(x, '\N' ORDER BY i) FILTER (NOT bad AND (n = 1 OR trim(x) <> '')), '')) AS text_md5 FROM k GROUP BY 1""")
 def q_removed(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole documents without their garbage lines and leading runs, some lines spoilt first."""
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("i")))
+    """Whole documents without their garbage lines and leading runs, some lines spoilt first. Letters beyond ASCII, beside which borders differ between engines, are made z before."""
+    lines = F.transform(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "z"), "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("i")))
     spoilt = F.transform(lines, lambda s: _spoilt(s["line"], s["i"]))
     return table(spark, sf, "documents").select("doc_id", F.md5(words.cleaned(F.array_join(spoilt, "\\N"))).alias("text_md5"))
 
 
 def _spoilt(line: Column, at: Column) -> Column:
     k = (F.col("doc_id") * 7 + at) % 9
-    return F.when(k == 0, F.concat(F.lit("AB C DE F "), line)).when(k == 1, " A  B  C  D  E ").when(k == 2, F.concat(F.lit("AB C DE F "), F.upper(F.replace(line, F.lit("ß"), F.lit("s"))))).otherwise(line)
+    return F.when(k == 0, F.concat(F.lit("AB C DE F "), line)).when(k == 1, " A  B  C  D  E ").when(k == 2, F.concat(F.lit("AB C DE F "), F.upper(line))).otherwise(line)
 
 
 _TOKENS = "SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM conversations"
