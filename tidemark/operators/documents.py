@@ -241,11 +241,11 @@ def q_fonts(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("mime", "name", texts.is_font(F.col("mime"), F.col("name")).alias("is_font"))
 
 
-_PLAIN = "CASE WHEN {v} = floor({v}) THEN floor({v})::BIGINT::VARCHAR ELSE ({v})::DECIMAL(18, 1)::VARCHAR END"
+_NUMBER = "CASE WHEN {v} = floor({v}) THEN floor({v})::BIGINT::VARCHAR ELSE ({v})::DECIMAL(18, 1)::VARCHAR END"
 
 
 @query("scaled_tags", oracle("subs", body=rf""", w AS (SELECT track_id, idx, unnest(string_split(translate(text, '{{}}\', ''), ' ')) AS w, unnest(range(1, len(string_split(translate(text, '{{}}\', ''), ' ')) + 1)) AS i FROM subs)
-SELECT track_id, idx, md5(string_agg('{{\fs' || {_PLAIN.format(v="length(w) * 2.5")} || '\pos(' || {_PLAIN.format(v="(i * 1.5 + 3)")} || ',' || {_PLAIN.format(v="(i * length(w) * 1.5 + 4)")} || ')\bord' || {_PLAIN.format(v="(length(w) % 3 * 2.5)")} || '\t(0,' || i || ',\fscx50\fs' || {_PLAIN.format(v="i * 2.5")} || '\t(\blur' || {_PLAIN.format(v="length(w) * 2.5")} || '))\c&H' || i || '&}}' || w, ' ' ORDER BY i)) AS text_md5 FROM w GROUP BY 1, 2"""))
+SELECT track_id, idx, md5(string_agg('{{\fs' || {_NUMBER.format(v="length(w) * 2.5")} || '\pos(' || {_NUMBER.format(v="(i * 1.5 + 3)")} || ',' || {_NUMBER.format(v="(i * length(w) * 1.5 + 4)")} || ')\bord' || {_NUMBER.format(v="(length(w) % 3 * 2.5)")} || '\t(0,' || i || ',\fscx50\fs' || {_NUMBER.format(v="i * 2.5")} || '\t(\blur' || {_NUMBER.format(v="length(w) * 2.5")} || '))\c&H' || i || '&}}' || w, ' ' ORDER BY i)) AS text_md5 FROM w GROUP BY 1, 2"""))
 def q_scaled(spark: SparkSession, sf: str) -> DataFrame:
     """P20: every word of the texts behind tags with its length and place as numbers, transforms inside transforms among them."""
     words = F.split(F.translate("text", "{}\\", ""), " ")
