@@ -157,7 +157,7 @@ def _json_fields(**fields: str) -> str:
     return "'{' || concat_ws(', ', " + ", ".join(f"'\"{name}\": ' || {value}" for name, value in fields.items()) + ") || '}'"
 
 
-_ITEM = "CASE WHEN is_corrected THEN '7' ELSE " + _json_fields(source="CASE WHEN NOT is_preserved THEN '\"' || source || '\"' END", id="CASE WHEN custom_name = '' THEN CAST(id AS STRING) END", type="CASE WHEN NOT frame_adjusted THEN '\"' || type || '\"' END", user_order_index="CASE WHEN custom_lang = '' THEN CAST(pos AS STRING) END") + " END"
+_WRITTEN = "CASE WHEN is_corrected THEN '7' ELSE " + _json_fields(source="CASE WHEN NOT is_preserved THEN '\"' || source || '\"' END", id="CASE WHEN custom_name = '' THEN CAST(id AS STRING) END", type="CASE WHEN NOT frame_adjusted THEN '\"' || type || '\"' END", user_order_index="CASE WHEN custom_lang = '' THEN CAST(pos AS STRING) END") + " END"
 
 
 @query("layout_validation", oracle(*_T, body=""", i AS (SELECT job, pos, CASE WHEN is_corrected THEN 'is not a dictionary.' WHEN is_preserved THEN 'missing required field: source' WHEN custom_name <> '' THEN 'missing required field: id' WHEN frame_adjusted THEN 'missing required field: type' WHEN custom_lang <> '' THEN 'missing required field: user_order_index' END AS p FROM tracks),
@@ -167,7 +167,7 @@ SELECT job, CASE WHEN listed THEN 'Layout data is not a dictionary.' WHEN unname
   WHEN n = 1 THEN 'Enhanced layout must be a list.' WHEN p IS NOT NULL THEN 'Layout item ' || f.pos || ' ' || p ELSE 'Valid' END AS problem FROM j LEFT JOIN f USING (job)"""))
 def q_validation(spark: SparkSession, sf: str) -> DataFrame:
     """Layouts written from the tracks of jobs, in which what tracks lack is lacking."""
-    items = tracks(spark, sf).select("job", "pos", "source", "type", "lang", "is_forced", F.expr(_ITEM).alias("item"))
+    items = tracks(spark, sf).select("job", "pos", "source", "type", "lang", "is_forced", F.expr(_WRITTEN).alias("item"))
     first = F.col("pos") == 0
     made = items.groupBy("job").agg(
         F.count(F.lit(1)).alias("n"), F.bool_or(F.col("is_forced") & first).alias("listed"), F.bool_or(F.col("source") == "Source 1").alias("has_source"), F.bool_or(F.col("type") == "audio").alias("has_audio"), F.bool_or((F.col("lang") == "und") & first).alias("unnamed"),
