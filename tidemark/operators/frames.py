@@ -35,31 +35,44 @@ def packed(clip: DataFrame, value: str, name: str, block: int = BLOCK_FRAMES, ov
     return grouped.select(F.col("b").alias(name), F.transform("s", lambda x: x["frame_idx"]).alias(f"{name}_idx"), F.transform("s", lambda x: x["v"]).alias(f"{name}_values"))
 
 
+def packed_hashes(clip: DataFrame, name: str, block: int) -> DataFrame:
+    """Blocks of a clip's distinct hashes, each of hashes with one number of set bits: (name, bits, name_hashes array, name_first array), first the first frame of each."""
+    distinct = clip.groupBy("hash64").agg(F.min("frame_idx").alias("first")).withColumn("bits", F.bit_count("hash64"))
+    sizes = distinct.groupBy("bits").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))  # at most 65 rows
+    placed = distinct.join(F.broadcast(sizes), "bits").withColumn("part", F.pmod(F.xxhash64("hash64"), F.col("parts")))
+    grouped = placed.groupBy("bits", "part").agg(F.sort_array(F.collect_list(F.struct("first", "hash64"))).alias("s"))
+    return grouped.select("bits", F.concat_ws("-", F.col("bits").cast("string"), F.col("part").cast("string")).alias(name), F.transform("s", lambda x: x["hash64"]).alias(f"{name}_hashes"), F.transform("s", lambda x: x["first"]).alias(f"{name}_first"))
+
+
 def nearest_frames(left: DataFrame, right: DataFrame, threshold: int, block: int = BLOCK_FRAMES) -> DataFrame:
     """For each left frame the right frame whose hash differs least, the first of equals, if in threshold bits at most.
 
-    Every pair has to be looked at, so blocks of packed hashes meet, not frames: a
-    task compares two blocks and gives one row for each left frame, and the best of
+    Equal hashes are one. Hashes differ in as many bits as their numbers of set bits do
+    at least, so blocks of hashes with like numbers meet only those within the threshold.
+    A task compares two blocks and gives one row for each left hash, and the best of
     its rows over the right blocks is the result.
     """
     ship(left.sparkSession)
-    blocks = packed(left, "hash64", "l", block).crossJoin(packed(right, "hash64", "r", block))  # rows are blocks
+    near = F.explode(F.sequence(F.col("bits") - threshold, F.col("bits") + threshold)).alias("bits")
+    theirs = packed_hashes(right, "r", block).select("r", "r_hashes", "r_first", near)
+    blocks = packed_hashes(left, "l", block).join(theirs, "bits")  # rows are blocks
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                theirs, other = np.asarray(row.r_values, dtype=np.int64), np.asarray(row.r_idx)
+                hashes, first = np.asarray(row.r_hashes, dtype=np.int64), np.asarray(row.r_first)
                 best, at = [], []
-                for own in np.asarray(row.l_values, dtype=np.int64):
-                    differ = np.bitwise_count((theirs ^ own).view(np.uint64))
-                    k = int(differ.argmin())
+                for own in np.asarray(row.l_hashes, dtype=np.int64):
+                    differ = np.bitwise_count((hashes ^ own).view(np.uint64))
+                    k = int(differ.argmin())  # blocks are in order of their first frames
                     best.append(int(differ[k]))
-                    at.append(int(other[k]))
-                found = pd.DataFrame({"i": np.asarray(row.l_idx), "j": at, "distance": np.asarray(best, dtype=np.int32)})
+                    at.append(int(first[k]))
+                found = pd.DataFrame({"hash64": np.asarray(row.l_hashes), "j": at, "distance": np.asarray(best, dtype=np.int32)})
                 yield found[found["distance"] <= threshold]
 
-    pairs = blocks.repartition(F.col("l"), F.col("r")).mapInPandas(compare, "i long, j long, distance int")
-    return pairs.groupBy("i").agg(F.min(F.struct("distance", "j")).alias("b")).select("i", "b.j", "b.distance")
+    pairs = blocks.repartition(F.col("l"), F.col("r")).mapInPandas(compare, "hash64 long, j long, distance int")
+    nearest = pairs.groupBy("hash64").agg(F.min(F.struct("distance", "j")).alias("b"))
+    return left.select(F.col("frame_idx").alias("i"), "hash64").join(nearest, "hash64").select("i", "b.j", "b.distance")
 
 
 def offset_votes(matches: DataFrame, reach_ms: float) -> DataFrame:
