@@ -8,8 +8,10 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from tidemark.llm.simhash import WIDE, Ring, drop_near_duplicates, links, near_duplicates, op3_simhash
+from tidemark.llm import simhash
+from tidemark.llm.simhash import WIDE, Ring, drop_near_duplicates, fingerprint, groups_apart, links, links_in_groups, near_duplicates, op3_simhash, shingle_hashes
 from tidemark.session import table
 
 
@@ -112,15 +114,50 @@ def test_documents_go_at_a_similarity_of_four_fifths_and_stay_below(spark):
     assert {i for i in kept if i >= 900} == {900, 990}
 
 
-@pytest.mark.parametrize("block_rows", [20_000, 5])
-def test_every_link_between_parts_is_written_once(spark, block_rows):
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 2, 256, dtype=np.uint8)
-    bits = [base ^ (rng.random(256) < 0.1).astype(np.uint8) for _ in range(40)]
-    rows = [(bytearray(np.packbits(x).tobytes() + (100 + i % 3).to_bytes(4, "big") + i.to_bytes(8, "big")), i // 20) for i, x in enumerate(bits)]
-    found = [(bytes(r.a), bytes(r.b)) for r in links(spark.createDataFrame(rows, "fingerprint binary, part long"), WIDE, True, block_rows).collect()]
-    wanted = {frozenset((bytes(a), bytes(b))) for a, p in rows for b, q in rows if p < q and (int.from_bytes(a[:32], "big") ^ int.from_bytes(b[:32], "big")).bit_count() <= 64 and (WIDE.cut(np.frombuffer(bytes(a), np.uint8)[None]) == WIDE.cut(np.frombuffer(bytes(b), np.uint8)[None])).any()}
-    assert len(found) == len(wanted) and {frozenset(x) for x in found} == wanted
+@pytest.mark.parametrize("small, cut", [(100_000, 24), (0, 1), (0, 5)])
+def test_links_in_groups_join_what_all_links_join(spark, monkeypatch, small, cut):
+    monkeypatch.setattr(simhash, "SMALL_BYTES", small)
+    monkeypatch.setattr(simhash, "CUT", cut)
+    rng = random.Random(2)
+    rows, links_ = [], []
+    for group in range(3):
+        words = [f"g{group}w{i}" for i in range(120)]
+        for part in range(40):
+            text = list(words)
+            for i in rng.sample(range(120), rng.choice((1, 2, 3, 4, 5, 60))):
+                text[i] = f"x{rng.randrange(10**9)}"
+            codes = np.unique(shingle_hashes(" ".join(text), 5))
+            rows.append((group, part // 2, bytearray(fingerprint(codes, 256) + len(codes).to_bytes(4, "big") + len(rows).to_bytes(8, "big")), codes.view(np.int64).tolist()))
+    rows.append((7, 1, bytearray(WIDE.bytes), []))
+    rows.append((8, 1, bytearray(WIDE.bytes), [5]))
+    for i, (g, p, a, x) in enumerate(rows):
+        for h, q, b, y in rows[:i]:
+            if g == h and p != q and (int.from_bytes(a[:32], "big") ^ int.from_bytes(b[:32], "big")).bit_count() <= 64 and len({*x} & {*y}) >= 0.8 * len({*x} | {*y}):
+                links_.append(((g, p), (h, q)))
+    frame = spark.createDataFrame(rows, "group long, part long, fingerprint binary, codes array<long>").repartition(5)
+    apart = groups_apart(frame.withColumn("n", F.size("codes")))
+    assert {r.group for r in apart.collect()} == {0, 1, 2} and {r.blocks for r in apart.collect()} == ({1} if small else {cut})
+    of = {bytes(f): (g, p) for g, p, f, _ in rows[:-2]}
+    found = [(of[bytes(r.a)], of[bytes(r.b)]) for r in links_in_groups(apart.join(frame.select("fingerprint", "codes"), "fingerprint"), WIDE).collect()]
+    assert set(map(frozenset, found)) <= set(map(frozenset, links_)) and len(found) < len(links_)
+
+    def trees(edges):
+        root = {n: n for n in of.values()}
+        for a, b in edges:
+            a, b = root[a], root[b]
+            root = {n: min(a, b) if r in (a, b) else r for n, r in root.items()}
+        return root
+
+    assert trees(found) == trees(links_) and 3 < len(set(trees(links_).values())) < 60
+
+
+def test_parities_differ_no_more_than_sets():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 5000, rng.integers(0, 900)).astype(np.uint64)) for _ in range(1100)]
+    parity = simhash._parity(np.concatenate(sets), np.repeat(np.arange(1100), [len(x) for x in sets]), 1100)
+    for a, b in rng.integers(0, 1100, (300, 2)):
+        assert np.bitwise_count(parity[a] ^ parity[b]).sum() <= len(np.setxor1d(sets[a], sets[b]))
+    assert (np.bitwise_count(parity).sum(axis=1)[:5] <= [len(x) for x in sets[:5]]).all()
 
 
 def test_clean_documents_stay(spark):

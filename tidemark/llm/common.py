@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import ensure_checkpoint_dir, ship
@@ -42,7 +43,17 @@ def arrow_map(frame: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], I
 def checkpointed(frame: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    kept = frame.checkpoint(eager=True)
+    drop_unused(frame.sparkSession)
+    return kept
+
+
+def drop_unused(spark: SparkSession, share: float = 0.4) -> None:
+    """Have the driver collect garbage if over a share of its memory is in use. Spark then removes the shuffles, checkpoints and classes of plans that nothing refers to any more; a chain of many small jobs makes many."""
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() - runtime.freeMemory() > share * runtime.maxMemory():
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def column_slices(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:

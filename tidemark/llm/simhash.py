@@ -7,6 +7,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,10 @@ SEED = 42
 FOLD = 500_000
 #: Entries of a key that one task compares with each other; a larger key is cut into blocks.
 BLOCK_ROWS = 20_000
+#: Bytes of a group's shingle sets that one task compares, and of a block of a larger group; such a group has CUT blocks at least, so that its pairs are dealt to many tasks.
+SMALL_BYTES, BLOCK_BYTES, CUT, SALTS = 100_000, 4_000_000, 24, 32
+#: Bits of the parities that rule pairs out.
+PARITY = 1024
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -165,8 +170,8 @@ class _Forest:
             np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
 
 
-def links(prints: DataFrame, ring: Ring, parts: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b): links that join the same fingerprints as all links would, at most one for each fingerprint and run of buckets. parts: every link, once, between fingerprints of prints(fingerprint, part) whose part differs.
+def links(prints: DataFrame, ring: Ring, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b): links that join the same fingerprints as all links would, at most one for each fingerprint and run of buckets.
 
     prints(fingerprint) are distinct. Each goes into the index under its keys; rows
     of a key meet in one task, sorted, where only distinct fingerprints that agree
@@ -181,8 +186,7 @@ def links(prints: DataFrame, ring: Ring, parts: bool = False, block_rows: int =
             for at in range(0, batch.num_rows, 2000):
                 column = batch.column("fingerprint").slice(at, 2000)
                 keys, roles, rows = ring.keys(_matrix(column, width))
-                part = batch.column("part").slice(at, 2000)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(roles, pa.int8()), column.take(pa.array(rows)), part.take(pa.array(rows))], names=["key", "role", "fingerprint", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(roles, pa.int8()), column.take(pa.array(rows))], names=["key", "role", "fingerprint"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -191,7 +195,7 @@ def links(prints: DataFrame, ring: Ring, parts: bool = False, block_rows: int =
             if not batch.num_rows:
                 continue
             places = np.stack([batch.column(n).to_numpy() for n in ("key", "left", "right")], axis=1)
-            fresh = (places, batch.column("role").to_numpy(), batch.column("block").to_numpy(), _matrix(batch.column("fingerprint"), width), batch.column("part").to_numpy())
+            fresh = (places, batch.column("role").to_numpy(), batch.column("block").to_numpy(), _matrix(batch.column("fingerprint"), width))
             held.append(fresh)
             size += len(places)
             first = held[0][0][0]
@@ -211,11 +215,11 @@ def links(prints: DataFrame, ring: Ring, parts: bool = False, block_rows: int =
     def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([bytes(x) for x in ends], pa.binary()) for ends in (a, b)], names=["a", "b"])
 
-    def found(places: np.ndarray, roles: np.ndarray, blocks: np.ndarray, data: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def found(places: np.ndarray, roles: np.ndarray, blocks: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
         again = np.zeros(len(places), dtype=bool)
         again[1:] = (places[1:] == places[:-1]).all(axis=1)
         again[:-1] |= again[1:]
-        places, roles, blocks, data, own = (x[again] for x in (places, roles, blocks, data, own))
+        places, roles, blocks, data = (x[again] for x in (places, roles, blocks, data))
         bucket = np.cumsum(np.append(True, (places[1:] != places[:-1]).any(axis=1))) if len(places) else np.zeros(0, np.int64)
         crossing = places[:, 1] != places[:, 2]  # two blocks of one key: only pairs between them
         distinct, local = np.unique(data.view(f"V{width}").ravel(), return_inverse=True) if len(data) else (data, np.zeros(0, np.int64))
@@ -230,15 +234,8 @@ def links(prints: DataFrame, ring: Ring, parts: bool = False, block_rows: int =
                 a = left[at : at + FOLD]
                 b = a + step
                 wanted = ~crossing[a] | (blocks[a] != blocks[b])
-                if parts:
-                    wanted &= own[a] != own[b]
                 a, b = a[wanted], b[wanted]
                 hit = ring.linked(cut, words, sizes, start[a], a, b)
-                if parts:  # a link is met under each segment that agrees, and written under the first
-                    a, b = a[hit], b[hit]
-                    a, b = (x[(cut[a] == cut[b]).argmax(axis=1) == start[a]] for x in (a, b))
-                    yield pairs(*(distinct[local[x]] for x in (a, b)))
-                    continue
                 held.append((local[a[hit]], local[b[hit]]))
                 size += len(hit)
             if size >= FOLD or not len(left):
@@ -251,8 +248,7 @@ def links(prints: DataFrame, ring: Ring, parts: bool = False, block_rows: int =
         child = np.flatnonzero(forest.root != np.arange(len(distinct)))
         yield pairs(distinct[child], distinct[forest.root[child]])
 
-    own = F.col("part") if parts else F.lit(0)
-    entries = arrow_map(prints.select("fingerprint", own.cast("long").alias("part")), index, "key long, role byte, fingerprint binary, part long")
+    entries = arrow_map(prints.select("fingerprint"), index, "key long, role byte, fingerprint binary")
     dealt = _blocks(entries, block_rows)
     return arrow_map(dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "role"), compare, "a binary, b binary")
 
@@ -274,7 +270,7 @@ def _blocks(entries: DataFrame, block_rows: int) -> DataFrame:
         return entries.select("*", F.lit(0).alias("block"), F.lit(0).alias("left"), F.lit(0).alias("right"))
     cut = entries.join(large, "key", "left").withColumn("block", F.pmod(F.xxhash64("fingerprint"), F.coalesce("blocks", F.lit(1))).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other")
-    return cut.select("key", "role", "fingerprint", "part", "block", other).select("key", "role", "fingerprint", "part", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    return cut.select("key", "role", "fingerprint", "block", other).select("key", "role", "fingerprint", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -297,12 +293,125 @@ def _alike(pairs: DataFrame, sets: DataFrame, ratio: float) -> DataFrame:
     return pairs.where(both >= F.lit(ratio) * (F.size("codes_a") + F.size("codes_b") - both)).select("a", "b")
 
 
+def _parity(codes: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """(n, PARITY / 64): for each of n sets the parity of its codes that share their low bits. Two of these differ in no more bits than the sets do in codes."""
+    out = np.zeros((n, PARITY // 8), dtype=np.uint8)
+    for start in range(0, n, 500):
+        own = (owners >= start) & (owners < start + 500)
+        at = (owners[own] - start) * PARITY + (codes[own] & np.uint64(PARITY - 1)).astype(np.int64)
+        out[start : start + 500] = np.packbits(np.bincount(at, minlength=min(500, n - start) * PARITY).reshape(-1, PARITY) & 1, axis=1)
+    return out.view(np.uint64)
+
+
+def alike_in_group(prints: np.ndarray, parts: np.ndarray, blocks: np.ndarray, codes: np.ndarray, bounds: np.ndarray, ring: Ring) -> list[tuple[int, int]]:
+    """Links (row, row) of a spanning forest over all pairs of rows in one block, or in two different ones, that keep the ring's threshold and ratio and a Jaccard similarity of ratio between the sets codes[bounds[i]:bounds[i + 1]]; rows of one part are linked already.
+
+    Pairs go by their distance, the nearest first, and those that are linked by then
+    are passed over. Sets of that similarity differ in at most (1 - ratio) / (1 + ratio)
+    of their codes together, so pairs whose parities differ in more bits are none; the
+    rest are compared code by code.
+    """
+    words, sizes = np.ascontiguousarray(prints[:, : ring.bits // 8]).view(np.uint64), np.diff(bounds)
+    parity = _parity(codes, np.repeat(np.arange(len(sizes)), sizes), len(sizes))
+    root = np.unique(parts, return_inverse=True)[1]
+    tree = np.arange(root.max() + 1 if len(root) else 0)
+    first = np.flatnonzero(blocks == blocks.min()) if len(blocks) else np.zeros(0, np.int64)
+    second = np.flatnonzero(blocks != blocks.min()) if len(np.unique(blocks)) > 1 else first
+    found = []
+
+    def find(x: int) -> int:
+        while tree[x] != x:
+            tree[x] = tree[tree[x]]
+            x = tree[x]
+        return x
+
+    for start in range(0, len(first), 100):
+        while (tree[tree] != tree).any():
+            tree = tree[tree]
+        a = first[start : start + 100]
+        differ = np.bitwise_count(words[a][:, None, :] ^ words[second][None, :, :]).sum(axis=2, dtype=np.int64)
+        near = (differ <= ring.threshold) & (tree[root[a]][:, None] != tree[root[second]][None, :])
+        if second is first:
+            near &= a[:, None] < second[None, :]
+        i, j = np.nonzero(near)
+        distance, i, j = differ[i, j], a[i], second[j]
+        small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+        apart = np.zeros(len(i), dtype=np.int64)
+        for at in range(0, len(i), 100_000):
+            apart[at : at + 100_000] = np.bitwise_count(parity[i[at : at + 100_000]] ^ parity[j[at : at + 100_000]]).sum(axis=1, dtype=np.int64)
+        fits = (small >= ring.ratio * large) & (apart * (1 + ring.ratio) <= (1 - ring.ratio) * (small + large) + 1e-6)
+        order = np.argsort(distance[fits], kind="stable")
+        for x, y in zip(i[fits][order].tolist(), j[fits][order].tolist()):
+            p, q = find(root[x]), find(root[y])
+            if p == q:
+                continue
+            own, other = codes[bounds[x] : bounds[x + 1]], codes[bounds[y] : bounds[y + 1]]
+            place = np.searchsorted(own, other)
+            both = int((own[np.minimum(place, len(own) - 1)] == other).sum()) if len(own) else 0
+            if both >= ring.ratio * (len(own) + len(other) - both):
+                tree[max(p, q)] = min(p, q)
+                found.append((x, y))
+    return found
+
+
+def groups_apart(placed: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(group, part, fingerprint, blocks) of placed(group, part, fingerprint, n) in groups of more than one part; n is a set's codes, and blocks the number into which the group is to be cut. Rows of a group are dealt to SALTS tasks."""
+    size = F.sum(8 * F.col("n") + 100)
+    blocks = F.when(size <= SMALL_BYTES, 1).otherwise(F.greatest(F.lit(CUT), F.ceil(size / block_bytes))).cast("int")
+    apart = placed.groupBy("group").agg(F.min("part").alias("least"), F.max("part").alias("most"), blocks.alias("blocks")).where("least <> most")
+    apart = checkpointed(apart.select("group", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64("fingerprint"), F.lit(SALTS)).cast("int"))
+    return salted.join(apart, ["group", "salt"]).select("group", "part", "fingerprint", "blocks")
+
+
+def links_in_groups(rows: DataFrame, ring: Ring) -> DataFrame:
+    """(a, b): links of rows(group, part, fingerprint, blocks, codes) inside groups that join the same parts as all links of their similarity would; at most one for each row and task.
+
+    A group is cut into blocks, and each pair of blocks is compared in a task of its
+    own, which holds no more than two; only a forest leaves it.
+    """
+    width = ring.bytes
+    cut = rows.withColumn("block", F.pmod(F.xxhash64("fingerprint", F.lit(1)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = cut.select("group", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "part", "fingerprint", "codes")
+    keys = ("group", "left", "right")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last: tuple | None = None
+        for batch in batches:
+            places = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+            ends = [*np.flatnonzero((places[1:] != places[:-1]).any(axis=1)) + 1, len(places)]
+            start = 0
+            for end in ends if len(places) else ():
+                if last != (now := tuple(places[start].tolist())):
+                    yield from found(held)
+                    held, last = [], now
+                held.append(batch.slice(start, end - start))
+                start = end
+        yield from found(held)
+
+    def found(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sum(b.num_rows for b in held) < 2:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        column = {n: table.column(n).chunk(0) for n in ("block", "part", "fingerprint", "codes")}
+        lists = column["codes"]
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        pairs = alike_in_group(_matrix(column["fingerprint"], width), column["part"].to_numpy(), column["block"].to_numpy(), lists.flatten().to_numpy().view(np.uint64), bounds, ring)  # sets are in order of unsigned codes
+        if pairs:
+            ends = [column["fingerprint"].take(pa.array(x)) for x in zip(*pairs)]
+            yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+    return arrow_map(dealt.repartition(*keys).sortWithinPartitions(*keys), compare, "a binary, b binary")
+
+
 def verified_links(docs: DataFrame, prints: DataFrame, ring: Ring, shingle: int) -> DataFrame:
     """(a, b): links between distinct shingle sets whose Jaccard similarity is at least the ring's ratio, which join all that the ring's links of that similarity join.
 
     First one link of each fingerprint is held against the shingles. That settles
     the groups that those join whole, such as many copies of one text. In groups
-    that fall apart, every link of the ring between two parts is held against them.
+    that fall apart, all pairs between two parts are held against them, block by
+    block, and only a forest of links is kept.
     """
     nodes = prints.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "key")).alias("__row"))
     forest = checkpointed(links(nodes, ring))
@@ -313,10 +422,11 @@ def verified_links(docs: DataFrame, prints: DataFrame, ring: Ring, shingle: int)
     one = forest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).groupBy("a").agg(F.min("b").alias("b"))
     first = checkpointed(_alike(one, sets, ring.ratio))
     parts = connected_components(first).select(F.col("node").alias("fingerprint"), F.col("component").alias("part"))
-    placed = checkpointed(groups.join(parts, "fingerprint", "left").select("fingerprint", "group", F.xxhash64(F.coalesce("part", "fingerprint")).alias("part")))
-    apart = placed.groupBy("group").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("group")
-    more = checkpointed(links(placed.join(apart, "group", "left_semi"), ring, True))
-    return first.unionByName(_alike(more, sets, ring.ratio))
+    placed = groups.join(parts, "fingerprint", "left").select("fingerprint", F.xxhash64("group").alias("group"), F.xxhash64(F.coalesce("part", "fingerprint")).alias("part"))
+    size = F.conv(F.hex(F.substring("fingerprint", ring.bits // 8 + 1, 4)), 16, 10).cast("int")  # fingerprints end in it and a hash
+    placed = checkpointed(placed.withColumn("n", size))
+    rows = checkpointed(groups_apart(placed)).join(sets, "fingerprint")
+    return first.unionByName(links_in_groups(rows, ring))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, ring: Ring | None = None) -> DataFrame:
