@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,9 +97,8 @@ def repeated_suffixes(rows: DataFrame, found: DataFrame) -> DataFrame:
                 for i, (text, own) in enumerate(zip(texts, part.column("places"))):
                     hashes, own = word_hashes(words_of(text)), own.values.to_numpy().astype(np.int64)
                     n = len(own)
-                    suffix = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * DEPTH), n, [None, pa.py_buffer(np.ascontiguousarray(suffixes(hashes, own)).tobytes())])
                     same = [pa.array(np.full(n, part.column(c)[i].as_py()), pa.int64()) for c in ("doc", "key")]
-                    yield pa.RecordBatch.from_arrays([suffix.cast(pa.binary()), *same, pa.array(own, pa.int32()), pa.array(len(hashes) - own, pa.int32())], names=["suffix", "doc", "key", "place", "room"])
+                    yield pa.RecordBatch.from_arrays([_binary(suffixes(hashes, own)), *same, pa.array(own, pa.int32()), pa.array(len(hashes) - own, pa.int32())], names=["suffix", "doc", "key", "place", "room"])
 
     return arrow_map(rows.join(places, ["doc", "key"]), cut, "suffix binary, doc long, key long, place int, room int")
 
@@ -111,6 +111,21 @@ def window_codes(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each row's bytes."""
+    width = rows.shape[1] * rows.dtype.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())]).cast(pa.binary())
+
+
+def _pieces_of(column: pa.Array, *names: str) -> Iterator[list[np.ndarray]]:
+    """For each row of a column of lists of structs the arrays of their fields."""
+    flat = column.flatten()
+    fields = [flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
+    ends = np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        yield [f[start:end] for f in fields]
+
+
 def common_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Leading codes that the rows of a and b share."""
     differ = a != b
@@ -175,8 +190,8 @@ def matched_pieces(sorted_rows: DataFrame) -> DataFrame:
         best = np.minimum(best, held["room"][a:b])
         hit = np.flatnonzero(best >= LEAST)
         n, start = len(hit), held["place"][own[hit]]
-        columns = [np.full(n, part), [x.tobytes() for x in codes[own[hit], :RUN]], held["doc"][own[hit]], held["key"][own[hit]], [None] * n, [None] * n, start, start + best[hit]]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names=names)
+        columns = [np.full(n, part), _binary(codes[own[hit], :RUN]), held["doc"][own[hit]], held["key"][own[hit]], [None] * n, [None] * n, start, start + best[hit]]
+        return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(columns, kinds)], names=names)
 
     def rows(part: int, held: dict, codes: np.ndarray, own: range, which: int) -> pa.RecordBatch:
         n, i = len(own), slice(own.start, own.stop)
@@ -249,7 +264,7 @@ def open_windows(starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     out = []
     for start, end in zip(starts.tolist(), ends.tolist()):
         own = np.arange(max(start - RUNS + 1, 0), min(start, end - MIN_WORDS) + 1)
-        if len(a):
+        if len(a) and len(own):
             at = np.searchsorted(a, own, "right") - 1
             own = own[(at < 0) | (b[at] < own + MIN_WORDS)]
         out.append(own)
@@ -267,14 +282,10 @@ def extended(rows: DataFrame, pieces: DataFrame) -> DataFrame:
     """
     listed = pieces.groupBy("doc", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "run"))).alias("pieces"))
 
-    def arrays(row: dict) -> list[np.ndarray]:
-        return [np.array([p[c] for p in row], dtype=np.int64) for c in ("start", "end", "run")]
-
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[int] = []
-            for row in batch.column("pieces").to_pylist():
-                starts, ends, runs = arrays(row)
+            for starts, ends, runs in _pieces_of(batch.column("pieces"), "start", "end", "run"):
                 found += [r for r, w in zip(runs.tolist(), open_windows(starts, ends)) if len(w)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["run"])
 
@@ -285,14 +296,15 @@ def extended(rows: DataFrame, pieces: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch):
-                for i, (text, own) in enumerate(zip(texts, part.column("pieces").to_pylist())):
-                    hashes = word_hashes(words_of(text))
-                    places = np.unique(np.concatenate([np.arange(max(p["start"] - RUNS + 1, 0), min(p["start"], p["end"] - MIN_WORDS) + 1) for p in own]))
+                for i, (text, (starts, ends)) in enumerate(zip(texts, _pieces_of(part.column("pieces"), "start", "end"))):
+                    first, last = np.maximum(starts - RUNS + 1, 0), np.minimum(starts, ends - MIN_WORDS)
+                    counts = np.maximum(last - first + 1, 0)
+                    places = np.unique(np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum()))
                     if not len(places):
                         continue
-                    codes = window_codes(hashes, places)
+                    codes = window_codes(word_hashes(words_of(text)), places)
                     same = [pa.array(np.full(len(places), part.column(c)[i].as_py()), pa.int64()) for c in ("doc", "key")]
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in codes], pa.binary()), *same, pa.array(places, pa.int32())], names=["window", "doc", "key", "place"])
+                    yield pa.RecordBatch.from_arrays([_binary(codes), *same, pa.array(places, pa.int32())], names=["window", "doc", "key", "place"])
 
     folder = shared_path(rows.sparkSession, "windows")
     schema = "window binary, doc long, key long, place int"
