@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
+from tidemark.llm.common import connected_components
 from tidemark.llm.simhash import WIDE, Ring, drop_near_duplicates, fingerprint, groups_apart, links, links_in_groups, near_duplicates, op3_simhash, shingle_hashes
 from tidemark.session import table
 
@@ -178,3 +179,11 @@ def test_nulls_ties_long_texts_empty_table_and_clashing_columns(spark):
     assert kept.columns == docs.columns
     assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(map(repr, [2, None, 8]))
     assert near_duplicates(docs.limit(0)).count() == 0 and drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_components_keep_no_growing_estimate(spark):
+    """A chain takes many rounds; the plan that comes out must not carry the product of all joins' sizes."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    found = connected_components(edges)
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
+    assert sorted(map(tuple, found.collect())) == [(i, 0) for i in range(61)]

@@ -11,12 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import ensure_checkpoint_dir, ship
+from tidemark.session import delete_path, ensure_checkpoint_dir, shared_path, ship
 
 #: White space of the text contracts: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 #: Texts of a batch that are handled at once inside a task.
 BATCH_CHARS = 4_000_000
+#: Edges of a graph that one task takes in a round of connected_components.
+EDGES = 100_000
 
 
 def release_memory() -> None:
@@ -80,29 +82,48 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps: each points nodes at the smallest
     neighbour, so a hub's edges are spread over the rows of its neighbours and no
-    group is collected. Every round is checkpointed; it ends when a round changes
-    nothing. Nodes are compared as the column's own type; empty edges give no rows.
+    group is collected. Every step is written to the shared folder and read back; it
+    ends when a round changes nothing. Files have their own size, where a checkpoint
+    keeps its plan's estimate, which each join squares: after a few rounds the driver
+    reckons with numbers of millions of bits. A round has as many tasks as its edges
+    need, as the driver keeps what it knows of every task. Nodes are compared as the
+    column's own type; empty edges give no rows.
     """
-    kind = edges.schema["a"].dataType
-    current = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    current = checkpointed(current)
-    known = _digest(current)
-    for _ in range(max_rounds):
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # written first, so that the join's sides are plain shuffles and adaptive execution may split a hub
-        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = checkpointed(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = _digest(current)
-        if now == known:
-            break
-        known = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = current.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).select(F.col("node").cast(kind), F.col("component").cast(kind))
+    spark, kind = edges.sparkSession, edges.schema["a"].dataType
+    folder = shared_path(spark, "components")
+
+    def written(frame: DataFrame, step: str) -> DataFrame:
+        frame.write.parquet(f"{folder}/{step}")
+        drop_unused(spark)
+        return spark.read.schema(frame.schema).parquet(f"{folder}/{step}")
+
+    try:
+        current = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        current = written(current, "edges-0")
+        known = _digest(current)
+        for n in range(1, max_rounds + 1):
+            tasks = known[0] // EDGES + 1
+            current = current.coalesce(tasks)
+            both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            # written first, so that the join's sides are plain shuffles and adaptive execution may split a hub
+            least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks), f"near-{n}")
+            large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().coalesce(tasks), f"large-{n}")
+            least = written(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks), f"least-{n}")
+            small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            current = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks), f"edges-{n}")
+            for step in (f"edges-{n - 1}", f"near-{n}", f"large-{n}", f"least-{n}"):
+                delete_path(spark, f"{folder}/{step}")
+            now = _digest(current)
+            if now == known:
+                break
+            known = now
+        else:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        roots = current.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
+        found = current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        return checkpointed(found.select(F.col("node").cast(kind), F.col("component").cast(kind)))
+    finally:
+        delete_path(spark, folder)
 
 
 def _digest(edges: DataFrame) -> tuple:
