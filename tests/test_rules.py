@@ -77,3 +77,18 @@ def test_nulls_long_texts_tables_of_rules_and_bounds(spark, monkeypatch):
     monkeypatch.setattr(module, "CELLS", 100)
     with pytest.raises(ValueError):
         Rulebook([("word", f"word{i}", "") for i in range(100)])
+
+
+def test_more_words_than_go_to_a_task(spark):
+    """A table of rules beyond what is sent gives what the same rules give one after the other."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abé_1", k=rng.randint(1, 3)))
+    rules = [("whole_word", w, rng.choice(("", "<*>", "-", " "))) for w in {word() for _ in range(60)}] + [("partial_word", "b1", "a b"), ("whole_line", "aa", "é1")]
+    texts = ["".join(rng.choices("aabé_1. \n-", k=rng.randint(0, 40))) for _ in range(150)] + ["aa", "", "aa", "aa"]
+    frame = spark.createDataFrame([*enumerate(texts), (999, None)], "i long, line string").repartition(3)
+    table = spark.createDataFrame([(n, *r) for n, r in enumerate(rules)], "at long, kind string, old string, new string")
+    wanted = {r.i: (r.line, r.fixes) for r in rules_applied(frame, "line", rules).collect()}
+    assert {r.i: (r.line, r.fixes) for r in rules_applied(frame, "line", table, sent=0).collect()} == wanted
+    many = spark.range(400_000).selectExpr("id AS at", "'whole_word' AS kind", "concat('word', id) AS old", "'<*>' AS new")
+    some = spark.createDataFrame([(1, "word7 word399999 word400000")], "i long, line string")
+    assert rules_applied(some, "line", many).first().line == "<*> <*> word400000"

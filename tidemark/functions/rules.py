@@ -22,6 +22,8 @@ ORDER = ("whole", "begin", "end", "partial", "literal", "word", "word_start", "w
 FILE_KINDS = {"whole_line": "whole", "begin_line": "begin", "end_line": "end", "partial_line_always": "partial", "partial_line": "partial", "partial_word_always": "literal", "partial_word": "literal", "whole_word": "word", "regex": "regex"}
 #: Cells of the automaton's table at most (4 bytes each), the size up to which it is sent to every task; and bytes of texts that are scanned at once.
 CELLS, SCANNED = 32_000_000, 4_000_000
+#: Bytes of a table's literals from which whole words go by joins.
+SENT = 500_000
 _STRIPS = 4096
 
 
@@ -163,21 +165,82 @@ class Rulebook:
         return text, counts
 
 
-def rules_applied(rows: DataFrame, column: str, rules: list[tuple[str, str, str]] | DataFrame, fixes: str = "fixes") -> DataFrame:
+def words_applied(rows: DataFrame, column: str, rules: DataFrame, fixes: str = "fixes") -> DataFrame:
+    """rows with a text after rules(old, new), and fixes, by joins: any number of rules, of which a task holds those of its texts.
+
+    For rules of whole words whose literals are words and whose replacements hold none
+    they may act in any order, since none makes or breaks another's word. Each text's
+    words meet the rules, and the rules that it needs come back to it; texts are told
+    apart by 128 bits. Spark splits the joins of common words and texts.
+    """
+    ship(rows.sparkSession)
+    words = regex.compile(r"[\p{L}\p{N}_]+")
+    key = (F.xxhash64(column).alias("__k1"), F.xxhash64(F.lit(1), column).alias("__k2"))
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                own = [sorted(set(words.findall(t or ""))) for t in part.column("text").to_pylist()]
+                owner = pa.array(np.repeat(np.arange(len(own)), [len(o) for o in own]))
+                yield pa.RecordBatch.from_arrays([part.column("__k1").take(owner), part.column("__k2").take(owner), pa.array([w for o in own for w in o], pa.string())], names=["__k1", "__k2", "old"])
+
+    names = [f.name for f in rows.schema.fields if f.name != fixes]
+    schema = T.StructType([*[rows.schema[n] for n in names], T.StructField(fixes, T.MapType(T.StringType(), T.IntegerType()))])
+    kind = pa.map_(pa.string(), pa.int32())
+
+    def apply(text: str, own: list[dict]) -> tuple[str, list[tuple[str, int]]]:
+        news, counts = {r["old"]: r["new"] for r in own}, {}
+
+        def put(match: regex.Match) -> str:
+            word = match.group()
+            if word not in news:
+                return word
+            counts[f"word:{word}"] = counts.get(f"word:{word}", 0) + 1
+            return news[word]
+
+        return words.sub(put, text), list(counts.items())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                done = [apply(t, own) if own else (t, []) for t, own in zip(part.column(column).to_pylist(), part.column("__rules").to_pylist())]
+                columns = [part.column(n) if n != column else pa.array([d[0] for d in done], pa.string()) for n in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([d[1] for d in done], kind)], names=[*names, fixes])
+
+    met = rows.select(*key, F.col(column).cast("string").alias("text")).mapInArrow(tokens, "__k1 long, __k2 long, old string").join(rules.select("old", "new"), "old")
+    needed = met.groupBy("__k1", "__k2").agg(F.collect_set(F.struct("old", "new")).alias("__rules"))  # at most one text's words
+    return rows.select(*names, *key).join(needed, ["__k1", "__k2"], "left").select(*names, "__rules").mapInArrow(run, schema)
+
+
+def rules_applied(rows: DataFrame, column: str, rules: list[tuple[str, str, str]] | DataFrame, fixes: str = "fixes", sent: int = SENT) -> DataFrame:
     """rows with a text after rules(kind, old, new), and fixes, a map of each rule that acted to how often.
 
     The result is that of the rules one after the other, kinds in ORDER, then regular
     expressions. One of the whole kind, the first that fits, acts at most. Rules with an
     empty literal are left out. A table of rules needs a column at for their order, or
-    is taken by kind and literal; the automaton over all literals is built once, must
-    keep within CELLS, and goes to every task. A null text stays null.
+    is taken by kind and literal. A null text stays null.
+
+    The automaton over all literals is built once, must keep within CELLS, and goes to
+    every task. In a table whose literals have more than sent bytes, whole words that
+    words_applied can take go by joins instead, if no other rule acts among or between
+    words, and only the rest goes to the automaton.
     """
     ship(rows.sparkSession)
     if isinstance(rules, DataFrame):
-        size = rules.agg(F.sum(F.octet_length("old") + 1)).first()[0] or 0
-        if size > CELLS:
-            raise ValueError("rules are too large to be sent to every task")
         order = ["file", "at"] if {"file", "at"} <= set(rules.columns) else ["at"] if "at" in rules.columns else ["kind", "old", "new"]
+        size = lambda part: part.agg(F.sum(F.octet_length("old") + 1)).first()[0] or 0
+        if size(rules) > sent:
+            whole = F.col("kind").isin("whole_word", "word")
+            plain = F.col("old").rlike(r"^[\p{L}\p{N}_]+\z") & ~F.coalesce("new", F.lit("")).rlike(r"[\p{L}\p{N}_]")
+            among = rules.where(F.coalesce(F.col("old") != "", F.lit(False)) & ((whole & ~plain) | F.col("kind").isin("word_start", "word_end", "regex")))
+            if among.isEmpty():
+                first = rules.where(whole & plain).groupBy("old").agg(F.min_by(F.coalesce("new", F.lit("")), F.struct(*order)).alias("new"))
+                made = rules_applied(rows, column, rules.where(~whole), "__others", CELLS)
+                return words_applied(made, column, first, "__words").withColumn(fixes, F.map_concat("__others", "__words")).drop("__others", "__words")
+        if size(rules) > CELLS:
+            raise ValueError("rules are too large to be sent to every task")
         rules = [(r.kind, r.old, r.new or "") for r in rules.orderBy(*order).collect()]
     rules = [(FILE_KINDS.get(kind, kind), old, new) for kind, old, new in rules]
     book = rows.sparkSession.sparkContext.broadcast(Rulebook([r for r in rules if r[0] != "regex"]))
