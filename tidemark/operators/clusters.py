@@ -148,7 +148,7 @@ def uniform_stability(rows: DataFrame, variance_ms: float = 0.0, any_mode: bool
     delay. The first ten are listed by their number among the source's windows.
     """
     order = Window.partitionBy("source_key").orderBy("window_idx")
-    whole = Window.partitionBy("source_key")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in order, as a sum of doubles depends on it
     numbered = rows.select("*", F.row_number().over(order).alias("chunk"), F.first("raw_delay_ms").over(order).alias("first_ms"), F.avg("raw_delay_ms").over(whole).alias("mean_ms"))
     far = _far(F.col("first_ms" if any_mode else "mean_ms"), any_mode, outlier_ms)
     spread = F.max("raw_delay_ms") - F.min("raw_delay_ms")
@@ -162,7 +162,8 @@ def uniform_stability(rows: DataFrame, variance_ms: float = 0.0, any_mode: bool
 def cluster_stability(labelled: DataFrame, variance_ms: float = 0.0, any_mode: bool = False, outlier_ms: float = 1.0) -> DataFrame:
     """Of each source the widest range inside a cluster and whether it is too wide, and the clusters that have outliers (number, mean, range, outliers). Clusters of one window say nothing."""
     order = Window.partitionBy("source_key", "label").orderBy("window_idx")
-    inside = labelled.where("label >= 0").withColumn("first_ms", F.first("raw_delay_ms").over(order)).withColumn("mean_ms", F.avg("raw_delay_ms").over(Window.partitionBy("source_key", "label")))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in order, as a sum of doubles depends on it
+    inside = labelled.where("label >= 0").withColumn("first_ms", F.first("raw_delay_ms").over(order)).withColumn("mean_ms", F.avg("raw_delay_ms").over(whole))
     far = _far(F.col("first_ms" if any_mode else "mean_ms"), any_mode, outlier_ms)
     each = inside.groupBy("source_key", "label").agg(F.count(F.lit(1)).alias("n"), F.avg("raw_delay_ms").alias("mean_ms"), (F.max("raw_delay_ms") - F.min("raw_delay_ms")).alias("range_ms"), F.count_if(far).alias("outliers"))
     told = F.col("n") > 1
