@@ -31,8 +31,8 @@ def rms_db_int(mean_square: Column, floor: float = -96.0) -> Column:
 
 
 def levels(samples: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Level of each whole block of samples: (signal, block, db, n)."""
-    return samples.groupBy("signal", F.floor(F.col("sample_idx") / size).alias("block")).agg(rms_db(F.avg(F.col("value") * F.col("value"))).alias("db"), F.count(F.lit(1)).alias("n")).where(F.col("n") == size)
+    """Level of each whole block of samples: (signal, block, db, n). A block of zeros is at minus infinity, below any other."""
+    return samples.groupBy("signal", F.floor(F.col("sample_idx") / size).alias("block")).agg(F.avg(F.col("value") * F.col("value")).alias("square"), F.count(F.lit(1)).alias("n")).where(F.col("n") == size).select("signal", "block", F.when(F.col("square") > 0, 20 * F.log10(F.sqrt("square"))).otherwise(F.lit(float("-inf"))).alias("db"), "n")
 
 
 def hopping(samples: DataFrame, size: int, hop: int) -> DataFrame:
