@@ -68,3 +68,13 @@ def test_jumps_near_a_zone_count_against_it(spark):
 @pytest.mark.parametrize("rows", (0, 1))
 def test_empty_inputs(spark, rows):
     assert len(run(spark, {"a": wave([])[: 600 * rows]}, [(1, "a", 1, 1.0, 1.0, 0.0, 0.0)], gaps=[], keys=[])) == rows
+
+
+def test_keyframes_meet_only_steps_of_their_track_and_time(spark):
+    samples = spark.createDataFrame([("a", i, v) for i, v in enumerate(wave([(300, 330)]))], "signal string, sample_idx long, v long")
+    steps = spark.createDataFrame([(b, "a", b, 3.1, 3.3, 0.0, 0.0) for b in range(40)], "boundary long, signal string, track long, ref_start_s double, ref_end_s double, before_ms double, after_ms double")
+    keys = spark.createDataFrame([(b, 3.25 + k) for b in range(40) for k in range(-2, 3)], "track long, key_s double")
+    found = refine(steps, samples, SEARCH, None, keys)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "track" in plan and not [x for x in plan.splitlines() if "Join" in x and " = " not in x]  # each join has a key
+    assert {(r.boundary, r.snap, r.key_s) for r in found.collect()} == {(b, "accepted", 3.25) for b in range(40)}

@@ -14,8 +14,8 @@ from tidemark.plans.fixtures import keyframes, oracle, pcm, r6
 from tidemark.plans.registry import query
 from tidemark.session import shared_path
 
-#: Samples in a bin by which ranges and samples meet.
-BIN = 4096
+#: What a search reads of a signal; searches that read the same share it.
+SPAN = ("signal", "first", "last")
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,11 @@ class Search:
     crossing_ms: float = 2.0
     snap_s: float = 2.0
 
+    @property
+    def bin(self) -> int:
+        """Samples in a bin by which searches and samples meet: a search's own length, so that it meets few samples beyond its own."""
+        return self.samples(2 * self.window_s)
+
     def samples(self, seconds: float) -> int:
         """Whole samples in a time, one at least."""
         return max(int(seconds * self.rate), 1)
@@ -47,11 +52,11 @@ def _kept(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.parquet(path)
 
 
-def inside(ranges: DataFrame, samples: DataFrame, first: str, last: str) -> DataFrame:
-    """ranges(signal, first, last, ...) with each sample(signal, sample_idx, v) from first up to but not including last; met by bins."""
-    bins = F.explode(F.sequence(F.floor(F.col(first) / BIN), F.floor((F.col(last) - 1) / BIN)))
+def inside(ranges: DataFrame, samples: DataFrame, first: str, last: str, width: int) -> DataFrame:
+    """ranges(signal, first, last, ...) with each sample(signal, sample_idx, v) from first up to but not including last; met by bins of so many samples."""
+    bins = F.explode(F.sequence(F.floor(F.col(first) / width), F.floor((F.col(last) - 1) / width)))
     asked = ranges.where(F.col(first) < F.col(last)).withColumn("__bin", bins)
-    binned = samples.select("signal", F.floor(F.col("sample_idx") / BIN).alias("__bin"), "sample_idx", "v")
+    binned = samples.select("signal", F.floor(F.col("sample_idx") / width).alias("__bin"), "sample_idx", "v")
     return asked.join(binned, ["signal", "__bin"]).where((F.col("sample_idx") >= F.col(first)) & (F.col("sample_idx") < F.col(last))).drop("__bin")
 
 
@@ -64,33 +69,33 @@ def searches(steps: DataFrame, samples: DataFrame, search: Search) -> DataFrame:
 
 
 def _levels(asked: DataFrame, samples: DataFrame, search: Search) -> DataFrame:
-    """(boundary, size, w, db): levels of the whole windows of both sizes, counted from the start of each search."""
+    """(signal, first, last, size, w, db): levels of the whole windows of both sizes, counted from the start of each span that is searched."""
     sizes = F.array(F.lit(search.samples(search.level_s)), F.lit(search.samples(search.jump_s)))
-    each = inside(asked.select("boundary", "signal", "first", "last"), samples, "first", "last").withColumn("size", F.explode(sizes))
+    each = inside(asked.select(*SPAN).distinct(), samples, "first", "last", search.bin).withColumn("size", F.explode(sizes))
     window = F.floor((F.col("sample_idx") - F.col("first")) / F.col("size"))
     whole = each.where(window < F.floor((F.col("last") - F.col("first")) / F.col("size")))
     square = F.col("v").cast("double") * F.col("v").cast("double")
-    return whole.groupBy("boundary", "size", window.alias("w")).agg(rms_db_int(F.avg(square)).alias("db"))
+    return whole.groupBy(*SPAN, "size", window.alias("w")).agg(rms_db_int(F.avg(square)).alias("db"))
 
 
 def _long_enough(start: Column, end: Column, search: Search) -> Column:
     return ((end - start) * search.rate).cast("long") >= int(search.min_ms / 1000 * search.rate)
 
 
-def quiet_zones(asked: DataFrame, levels_: DataFrame, search: Search) -> DataFrame:
-    """(boundary, start_s, end_s, mean_db): runs of windows below the threshold; one that the search cuts off ends with its last sample."""
+def quiet_zones(levels_: DataFrame, search: Search) -> DataFrame:
+    """(signal, first, last, start_s, end_s, mean_db): runs of windows below the threshold; one that the span cuts off ends with its last sample."""
     size = search.samples(search.level_s)
-    order = Window.partitionBy("boundary").orderBy("w")  # a search has as many windows as its settings say
+    order = Window.partitionBy(*SPAN).orderBy("w")  # a span has as many windows as the search's settings say
     low = levels_.where((F.col("size") == size) & (F.col("db") < search.threshold_db)).withColumn("g", F.col("w") - F.row_number().over(order))
-    found = low.groupBy("boundary", "g").agg(F.min("w").alias("a"), F.max("w").alias("b"), F.avg("db").alias("mean_db")).join(asked.select("boundary", "first", "last"), "boundary")
+    found = low.groupBy(*SPAN, "g").agg(F.min("w").alias("a"), F.max("w").alias("b"), F.avg("db").alias("mean_db"))
     cut = F.col("b") + 1 == F.floor((F.col("last") - F.col("first")) / size)
     start, end = (F.col("first") + F.col("a") * size) / search.rate, F.when(cut, F.col("last")).otherwise(F.col("first") + (F.col("b") + 1) * size) / search.rate
-    return found.select("boundary", start.alias("start_s"), end.alias("end_s"), "mean_db").where(_long_enough(F.col("start_s"), F.col("end_s"), search))
+    return found.select(*SPAN, start.alias("start_s"), end.alias("end_s"), "mean_db").where(_long_enough(F.col("start_s"), F.col("end_s"), search))
 
 
 def speech_gaps(asked: DataFrame, gaps: DataFrame, search: Search) -> DataFrame:
     """(boundary, signal, n, start_s, end_s): what a search holds of the target's gaps(signal, start_s, end_s) between speech. Gaps and searches meet by bins of time."""
-    width = BIN / search.rate
+    width = search.bin / search.rate
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(b / width)))
     left = asked.select("boundary", "signal", "n", "from_s", "to_s").where("to_s >= from_s").withColumn("bin", bins(F.col("from_s"), F.col("to_s")))
     right = gaps.select("signal", F.col("start_s").alias("g0"), F.col("end_s").alias("g1")).withColumn("bin", bins(F.col("g0"), F.col("g1")))
@@ -101,8 +106,9 @@ def speech_gaps(asked: DataFrame, gaps: DataFrame, search: Search) -> DataFrame:
 
 def candidates(asked: DataFrame, samples: DataFrame, gaps: DataFrame | None, search: Search) -> DataFrame:
     """(boundary, source, preference, start_s, end_s, mean_db, jumps, score) of all zones of a search: quiet and without speech, quiet, or without speech."""
-    levels_ = _levels(asked, samples, search)
-    quiet = quiet_zones(asked, levels_, search)
+    levels_ = _kept(_levels(asked, samples, search))
+    spans = asked.select("boundary", *SPAN)
+    quiet = spans.join(quiet_zones(levels_, search), list(SPAN)).drop(*SPAN)
     zones = quiet.select("boundary", F.lit("rms").alias("source"), "start_s", "end_s", "mean_db")
     if gaps is not None:
         silent = speech_gaps(asked, gaps, search)
@@ -111,13 +117,13 @@ def candidates(asked: DataFrame, samples: DataFrame, gaps: DataFrame | None, sea
         zones = zones.unionByName(both.select("boundary", F.lit("combined").alias("source"), start.alias("start_s"), end.alias("end_s"), "mean_db"))
         ranged = silent.withColumns({"a": (F.col("start_s") * search.rate).cast("long"), "b": F.least(F.col("end_s") * search.rate, F.col("n")).cast("long")})
         square = F.col("v").cast("double") * F.col("v").cast("double")
-        heard = inside(ranged, samples, "a", "b").groupBy("boundary", "start_s").agg(rms_db_int(F.avg(square)).alias("mean_db"))
-        own = silent.join(heard, ["boundary", "start_s"], "left").select("boundary", F.lit("vad").alias("source"), "start_s", "end_s", F.coalesce("mean_db", F.lit(-96.0)).alias("mean_db"))
+        heard = inside(ranged.select("signal", "a", "b").distinct(), samples, "a", "b", search.bin).groupBy("signal", "a", "b").agg(rms_db_int(F.avg(square)).alias("mean_db"))
+        own = ranged.join(heard, ["signal", "a", "b"], "left").select("boundary", F.lit("vad").alias("source"), "start_s", "end_s", F.coalesce("mean_db", F.lit(-96.0)).alias("mean_db"))
         zones = zones.unionByName(own)
     size = search.samples(search.jump_s)
-    order = Window.partitionBy("boundary").orderBy("w")
+    order = Window.partitionBy(*SPAN).orderBy("w")
     steps = levels_.where(F.col("size") == size).withColumn("jump", F.col("db") - F.lag("db").over(order)).where(F.col("jump") >= search.jump_db)
-    times = steps.join(asked.select("boundary", "first"), "boundary").select("boundary", ((F.col("first") + F.col("w") * size) / search.rate).alias("time_s"))
+    times = spans.join(steps, list(SPAN)).select("boundary", ((F.col("first") + F.col("w") * size) / search.rate).alias("time_s"))
     near = (F.col("time_s") >= F.col("start_s") - search.margin_s) & (F.col("time_s") <= F.col("end_s") + search.margin_s)
     counted = zones.join(times, "boundary").where(near).groupBy("boundary", "source", "start_s", "end_s").agg(F.count(F.lit(1)).alias("jumps"))
     scored = zones.join(counted, ["boundary", "source", "start_s", "end_s"], "left").fillna(0, ["jumps"]).join(asked.select("boundary", "target_s"), "boundary")
@@ -150,21 +156,23 @@ def refine(steps: DataFrame, samples: DataFrame, search: Search, gaps: DataFrame
     found = asked.withColumn("wanted", F.col("boundary")).lateralJoin(best, how="left").withColumn("middle_s", middle)
     found = _kept(found.withColumn("at", at).withColumns({"low": F.greatest(F.col("at") - radius, F.lit(0)), "high": F.col("at") + radius + 1}))
     # only the samples around the middles are looked at; a crossing is a sign change to the next sample, or a zero
-    near = inside(found.select("boundary", "signal", "low", "high"), samples, "low", "high")
+    near = inside(found.select("boundary", "signal", "low", "high", "at"), samples, "low", "high", search.bin)
     after = F.lead("v").over(Window.partitionBy("boundary").orderBy("sample_idx"))  # at most 2 * radius + 1 samples
     signs = near.withColumn("next", after).where("next IS NOT NULL AND ((v > 0 AND next <= 0) OR (v < 0 AND next >= 0) OR v = 0)")
-    crossing = signs.where(F.col("boundary") == F.col("wanted").outer()).select(F.abs(F.col("sample_idx") - F.col("at").outer()).alias("apart"), F.col("sample_idx").alias("crossing")).orderBy("apart", "crossing").limit(1)
+    crossing = signs.where(F.col("boundary") == F.col("wanted").outer()).select(F.abs(F.col("sample_idx") - F.col("at")).alias("apart"), F.col("sample_idx").alias("crossing")).orderBy("apart", "crossing").limit(1)
     crossed = found.lateralJoin(crossing, how="left").drop("apart").withColumn("crossed_s", F.coalesce(F.col("crossing") / search.rate, F.col("middle_s")))
     crossed = crossed.withColumn("asked_s", to_reference(F.col("crossed_s"), F.col("before_ms")))
     if keys is None:
         snapped = crossed.withColumn("key_s", F.lit(None).cast("double"))
     else:
-        crossed = _kept(crossed.withColumns({"wanted_track": F.col("track"), "wanted_bin": F.floor(F.col("asked_s") / search.snap_s)}))
-        around = F.explode(F.array(*[F.floor(F.col("key_s") / search.snap_s) + d for d in (-1, 0, 1)]))
-        binned = keys.select("track", "key_s", around.alias("bin"))
-        same = (F.col("track") == F.col("wanted_track").outer()) & (F.col("bin") == F.col("wanted_bin").outer())
-        nearest = binned.where(same).select("key_s", F.abs(F.col("key_s") - F.col("asked_s").outer()).alias("apart")).where(F.col("apart") <= search.snap_s).orderBy("apart", "key_s").limit(1)
-        snapped = crossed.lateralJoin(nearest, how="left").drop("apart", "wanted_track", "wanted_bin")
+        crossed = _kept(crossed)
+        around = F.explode(F.array(*[F.floor(F.col("asked_s") / search.snap_s) + d for d in (-1, 0, 1)]))
+        binned = keys.select("track", "key_s", F.floor(F.col("key_s") / search.snap_s).alias("bin"))
+        # keyframes meet the steps by track and bin before the search: what it compares with an outer column but by = is held against all of them
+        met = crossed.select("boundary", "track", "asked_s", around.alias("bin")).join(binned, ["track", "bin"])
+        reached = met.select("boundary", "key_s", F.abs(F.col("key_s") - F.col("asked_s")).alias("apart")).where(F.col("apart") <= search.snap_s)
+        nearest = reached.where(F.col("boundary") == F.col("wanted").outer()).select("key_s", "apart").orderBy("apart", "key_s").limit(1)
+        snapped = crossed.lateralJoin(nearest, how="left").drop("apart")
     moved = to_target(F.col("key_s"), F.col("before_ms"))
     moves = F.col("key_s").isNotNull() & (F.abs(F.col("key_s") - F.col("asked_s")) > 1e-10) & F.col("zone_start").isNotNull()
     snap = F.when(moves & moved.between(F.col("zone_start"), F.col("zone_end")), "accepted").when(moves, "rejected").otherwise("none")
