@@ -3,27 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.tracks import EFFECTIVE, effective, ordinals
+from tidemark.operators.tracks import EFFECTIVE, effective
 from tidemark.plans.fixtures import final_tracks, job_shift, oracle, tracks
 from tidemark.plans.registry import query
 
 #: Codecs of text subtitles, and of audio with objects.
 ASS, SRT, OBJECT_AUDIO = ("S_TEXT/ASS", "S_TEXT/SSA"), ("S_TEXT/UTF8",), ("A_TRUEHD", "A_EAC3")
 
-#: Rules by name, in the order they run: each gives (job, row, expected, actual) of its violations from planned and made tracks.
-Rule = Callable[[DataFrame, DataFrame], DataFrame]
+
+@dataclass(frozen=True)
+class Check:
+    """What is wrong with a row of beside(): whether it is, what was expected and made, and the row that is named, its place if none."""
+
+    wrong: Column
+    expected: Column
+    actual: Column
+    row: Column | None = None
+
+
+#: Rules by name, in the order they run: the made tracks' columns that each needs, and its check.
+Rule = tuple[tuple[str, ...], Callable[[], Check]]
 RULES: dict[str, Rule] = {}
 
 
-def rule(name: str) -> Callable[[Rule], Rule]:
-    """Register a rule under a name."""
+def rule(name: str, *fields: str) -> Callable[[Callable[[], Check]], Callable[[], Check]]:
+    """Register a rule under a name, with the columns of made tracks that it looks at."""
 
-    def add(function: Rule) -> Rule:
-        RULES[name] = function
+    def add(function: Callable[[], Check]) -> Callable[[], Check]:
+        RULES[name] = (fields, function)
         return function
 
     return add
@@ -35,123 +47,137 @@ def positions(planned: DataFrame, made: DataFrame, how: str = "inner") -> DataFr
     return planned.join(theirs, ["job", "pos"], how)
 
 
-def differs(rows: DataFrame, expected: Column, actual: Column) -> DataFrame:
-    """Rows whose expected and actual values differ, nulls included, as violations."""
-    return rows.where(~expected.eqNullSafe(actual)).select("job", F.col("pos").cast("string").alias("row"), expected.cast("string").alias("expected"), actual.cast("string").alias("actual"))
-
-
-@rule("default flag")
-def default_flags(planned: DataFrame, made: DataFrame) -> DataFrame:
+def beside(planned: DataFrame, made: DataFrame, fields: list[str]) -> DataFrame:
+    """Planned tracks with all that was made of their job: (..., made, same, nth, peer, first, n, n_corrected).
+
+    made are the job's tracks that came out, in order, with pos, type and the fields; same
+    the one at the same place, peer the one of the same type and number among those, or
+    null; first marks a job's first planned track, n and n_corrected count its planned
+    ones. Both sides meet once, by job: a job's tracks are few.
+    """
+    whole = Window.partitionBy("job")
+    so_far = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    kind = F.col("type")
+    # numbers of a type are counted in the order of places, so that one order of rows does for all
+    nth = F.when(kind == "audio", F.count_if(kind == "audio").over(so_far)).when(kind == "subtitles", F.count_if(kind == "subtitles").over(so_far)) - 1
+    ours = planned.withColumns({"nth": nth.cast("int"), "first": F.row_number().over(whole.orderBy("pos")) == 1, "n": F.count(F.lit(1)).over(whole), "n_corrected": F.count_if("is_corrected").over(whole)})
+    theirs = made.groupBy("job").agg(F.sort_array(F.collect_list(F.struct("pos", *dict.fromkeys(("type", *fields))))).alias("made"))
+    both = ours.join(theirs, "job", "left")
+    same = F.get(F.filter("made", lambda x: x["pos"] == F.col("pos")), F.lit(0))
+    peer = F.get(F.filter("made", lambda x: x["type"] == F.col("type")), F.col("nth"))
+    return both.withColumns({"same": same, "peer": peer})
+
+
+def _differs(of: str, expected: Column, field: str, wanted: Column | None = None) -> Check:
+    """Tracks that have one beside, whose expected and actual values differ, nulls included."""
+    actual = F.col(f"{of}.{field}")
+    wrong = F.col(of).isNotNull() & ~expected.eqNullSafe(actual)
+    return Check(wrong if wanted is None else wrong & wanted, expected, actual)
+
+
+@rule("default flag", "is_default")
+def default_flags() -> Check:
     """Q02."""
-    return differs(positions(planned, made), F.col("is_default"), F.col("made_is_default"))
+    return _differs("same", F.col("is_default"), "is_default")
 
 
-@rule("forced flag")
-def forced_flags(planned: DataFrame, made: DataFrame) -> DataFrame:
+@rule("forced flag", "is_forced")
+def forced_flags() -> Check:
     """Q02."""
-    return differs(positions(planned, made), F.col("is_forced"), F.col("made_is_forced"))
+    return _differs("same", F.col("is_forced"), "is_forced")
 
 
 @rule("missing track")
-def missing_tracks(planned: DataFrame, made: DataFrame) -> DataFrame:
+def missing_tracks() -> Check:
     """Planned tracks without one at their place."""
-    return planned.join(made, ["job", "pos"], "left_anti").select("job", F.col("pos").cast("string").alias("row"), F.col("type").alias("expected"), F.lit(None).cast("string").alias("actual"))
+    return Check(F.col("same").isNull(), F.col("type"), F.lit(None))
 
 
-@rule("object audio")
-def object_audio(planned: DataFrame, made: DataFrame) -> DataFrame:
+@rule("object audio", "codec")
+def object_audio() -> Check:
     """Q05: planned audio with objects whose codec no track of the job has."""
-    wanted = planned.where((F.col("type") == "audio") & F.col("codec").isin(*OBJECT_AUDIO))
-    return wanted.join(made.select("job", "codec"), ["job", "codec"], "left_anti").select("job", F.col("pos").cast("string").alias("row"), F.col("codec").alias("expected"), F.lit(None).cast("string").alias("actual"))
+    there = F.exists("made", lambda x: x["codec"] == F.col("codec"))
+    return Check((F.col("type") == "audio") & F.col("codec").isin(*OBJECT_AUDIO) & ~F.coalesce(there, F.lit(False)), F.col("codec"), F.lit(None))
 
 
-@rule("codec")
-def codecs(planned: DataFrame, made: DataFrame) -> DataFrame:
+@rule("codec", "codec")
+def codecs() -> Check:
     """Q06: codecs of audio and video, but for audio whose drift was corrected."""
-    own = positions(planned, made).where((F.col("type") != "subtitles") & ~((F.col("type") == "audio") & F.col("is_corrected")))
-    return differs(own, F.col("codec"), F.col("made_codec"))
-
-
-def _audio_pairs(planned: DataFrame, made: DataFrame) -> DataFrame:
-    """Audio tracks of both sides by their number among the job's audio tracks."""
-    ours, theirs = (ordinals(x).where("type = 'audio'") for x in (planned, made))
-    return ours.join(theirs.select("job", "nth", *[F.col(c).alias(f"made_{c}") for c in ("channels", "rate", "bits")], F.lit(True).alias("was_made")), ["job", "nth"], "left")
+    return _differs("same", F.col("codec"), "codec", (F.col("type") != "subtitles") & ~((F.col("type") == "audio") & F.col("is_corrected")))
 
 
-@rule("channels")
-def channels(planned: DataFrame, made: DataFrame) -> DataFrame:
-    """Q07: the number of channels; a missing stream is a violation."""
-    return differs(_audio_pairs(planned, made), F.col("channels"), F.col("made_channels"))
+@rule("channels", "channels")
+def channels() -> Check:
+    """Q07: the number of channels of the n-th audio track; a missing stream is a violation."""
+    return Check((F.col("type") == "audio") & ~F.col("channels").eqNullSafe(F.col("peer.channels")), F.col("channels"), F.col("peer.channels"))
 
 
-@rule("sample rate")
-def sample_rates(planned: DataFrame, made: DataFrame) -> DataFrame:
-    """Q08: rates of streams that are there, but for corrected ones."""
-    return differs(_audio_pairs(planned, made).where(F.col("was_made") & ~F.col("is_corrected")), F.col("rate"), F.col("made_rate"))
+@rule("sample rate", "rate")
+def sample_rates() -> Check:
+    """Q08: rates of audio streams that are there, but for corrected ones."""
+    return _differs("peer", F.col("rate"), "rate", (F.col("type") == "audio") & ~F.col("is_corrected"))
 
 
-@rule("bit depth")
-def bit_depths(planned: DataFrame, made: DataFrame) -> DataFrame:
+@rule("bit depth", "bits")
+def bit_depths() -> Check:
     """Q08: depths where both sides tell one, but for corrected streams."""
-    both = F.col("was_made") & ~F.col("is_corrected") & F.col("bits").isNotNull() & F.col("made_bits").isNotNull()
-    return differs(_audio_pairs(planned, made).where(both), F.col("bits"), F.col("made_bits"))
+    return _differs("peer", F.col("bits"), "bits", (F.col("type") == "audio") & ~F.col("is_corrected") & F.col("bits").isNotNull() & F.col("peer.bits").isNotNull())
 
 
 @rule("drift correction")
-def drift_corrections(planned: DataFrame, made: DataFrame) -> DataFrame:
+def drift_corrections() -> Check:
     """Q09: jobs with corrected audio but fewer audio tracks than corrected ones."""
-    corrected = planned.where("is_corrected").groupBy("job").agg(F.count(F.lit(1)).alias("n"))
-    streams = made.where("type = 'audio'").groupBy("job").agg(F.count(F.lit(1)).alias("m"))
-    short = corrected.join(streams, "job", "left").where(F.coalesce("m", F.lit(0)) < F.col("n"))
-    return short.select("job", F.lit("job").alias("row"), F.col("n").cast("string").alias("expected"), F.coalesce("m", F.lit(0)).cast("string").alias("actual"))
+    streams = F.coalesce(F.size(F.filter("made", lambda x: x["type"] == "audio")), F.lit(0))
+    streams = F.greatest(streams, F.lit(0))  # the size of null is -1 in some settings
+    return Check(F.col("first") & (streams < F.col("n_corrected")), F.col("n_corrected"), streams, F.lit("job"))
 
 
-@rule("subtitle format")
-def subtitle_formats(planned: DataFrame, made: DataFrame) -> DataFrame:
+@rule("subtitle format", "codec")
+def subtitle_formats() -> Check:
     """Q13: the n-th subtitle track's codec: text after conversion or recognition, otherwise the planned one or a compatible one."""
-    ours, theirs = (ordinals(x).where("type = 'subtitles'") for x in (planned, made))
-    pairs = ours.join(theirs.select("job", "nth", F.col("codec").alias("made_codec")), ["job", "nth"])
-    was, now = F.col("codec"), F.col("made_codec")
+    was, now = F.col("codec"), F.col("peer.codec")
     alike = (was == now) | (was.isin(*ASS) & now.isin(*ASS)) | (was.startswith("S_VOBSUB") & now.startswith("S_VOBSUB")) | (was.startswith("S_HDMV/PGS") & now.startswith("S_HDMV/PGS"))
     fine = F.when(F.col("convert_to_ass"), now.isin(*ASS)).when(F.col("perform_ocr"), now.isin(*ASS, *SRT)).otherwise(alike)
-    return pairs.where(~fine).select("job", F.col("pos").cast("string").alias("row"), F.when(F.col("convert_to_ass"), ASS[0]).when(F.col("perform_ocr"), "text").otherwise(was).alias("expected"), now.alias("actual"))
+    return Check((F.col("type") == "subtitles") & F.col("peer").isNotNull() & ~fine, F.when(F.col("convert_to_ass"), ASS[0]).when(F.col("perform_ocr"), "text").otherwise(was), now)
 
 
 @rule("track count")
-def track_counts(planned: DataFrame, made: DataFrame) -> DataFrame:
+def track_counts() -> Check:
     """Q18."""
-    ours, theirs = (x.groupBy("job").agg(F.count(F.lit(1)).alias(n)) for x, n in ((planned, "n"), (made, "m")))
-    both = ours.join(theirs, "job", "left").fillna(0, ["m"]).where("n <> m")
-    return both.select("job", F.lit("job").alias("row"), F.col("n").cast("string").alias("expected"), F.col("m").cast("string").alias("actual"))
+    made = F.greatest(F.coalesce(F.size("made"), F.lit(0)), F.lit(0))
+    return Check(F.col("first") & (F.col("n") != made), F.col("n"), made, F.lit("job"))
 
 
-@rule("track order")
-def track_order(planned: DataFrame, made: DataFrame) -> DataFrame:
+@rule("track order", "type")
+def track_order() -> Check:
     """Q18: types by place."""
-    return differs(positions(planned, made), F.col("type"), F.col("made_type"))
+    return _differs("same", F.col("type"), "type")
 
 
-@rule("language")
-def languages(planned: DataFrame, made: DataFrame) -> DataFrame:
+@rule("language", "lang", "lang_ietf")
+def languages() -> Check:
     """Q19: the own or the track's language, in either tag."""
     wanted = F.when(F.col("custom_lang") != "", F.col("custom_lang")).otherwise(F.col("lang"))
-    return differs(positions(planned, made).where(~wanted.eqNullSafe(F.col("made_lang_ietf"))), wanted, F.col("made_lang"))
+    return _differs("same", wanted, "lang", ~wanted.eqNullSafe(F.col("same.lang_ietf")))
 
 
-@rule("track name")
-def track_names(planned: DataFrame, made: DataFrame) -> DataFrame:
+@rule("track name", "name")
+def track_names() -> Check:
     """Q20: the own name, else the track's where it is to be applied, else none."""
     wanted = F.when(F.col("custom_name") != "", F.col("custom_name")).when(F.col("apply_name"), F.col("name")).otherwise("")
-    return differs(positions(planned, made), wanted, F.col("made_name"))
+    return _differs("same", wanted, "name")
 
 
 def run_rules(planned: DataFrame, made: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
-    """Q01: the violations of all rules: (rule_no, rule, job, row, expected, actual)."""
-    out = None
-    for number, (name, check) in enumerate((rules or RULES).items()):
-        found = check(planned, made).select(F.lit(number).alias("rule_no"), F.lit(name).alias("rule"), "job", "row", "expected", "actual")
-        out = found if out is None else out.unionByName(found)
-    return out
+    """Q01: the violations of all rules: (rule_no, rule, job, row, expected, actual). All rules look at the same rows, which are made once."""
+    rules = rules or RULES
+    found = []
+    for number, (name, (_, check)) in enumerate(rules.items()):
+        c = check()
+        found.append(F.when(c.wrong, F.struct(F.lit(number).alias("rule_no"), F.lit(name).alias("rule"), (F.col("pos").cast("string") if c.row is None else c.row).alias("row"), c.expected.cast("string").alias("expected"), c.actual.cast("string").alias("actual"))))
+    rows = beside(planned, made, [f for fields, _ in rules.values() for f in fields])
+    each = rows.select("job", F.explode(F.filter(F.array(*found), lambda v: v.isNotNull())).alias("v"))
+    return each.select("v.rule_no", "v.rule", "job", "v.row", "v.expected", "v.actual")
 
 
 # rules that need more than both sides' tracks
@@ -251,7 +277,7 @@ def _register(name: str) -> None:
 
     @query(f"audit_{name.replace(' ', '_')}", oracle(*_B, body=f"{ctes} {select}"))
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return RULES[name](tracks(spark, sf), final_tracks(spark, sf))
+        return run_rules(tracks(spark, sf), final_tracks(spark, sf), {name: RULES[name]}).select("job", "row", "expected", "actual")
 
 
 for _name in RULES:
