@@ -108,7 +108,10 @@ def effective_delay(rows: DataFrame, delays: DataFrame, shift: Column) -> DataFr
     """
     kind, source = F.col("type"), F.col("source")
     key = F.when(source == "External", F.coalesce("sync_to", F.lit(REFERENCE))).otherwise(source)
-    keyed = rows.withColumn("__key", key).join(delays.select("job", F.col("source").alias("__key"), F.col("delay_ms").alias("__delay"), F.col("subtitle_ms").alias("__own")), ["job", "__key"], "left")
+    # a job's sources are few, so its delays meet its tracks by job, as which these lie already
+    listed = delays.groupBy("job").agg(F.collect_list(F.struct("source", "delay_ms", "subtitle_ms")).alias("__delays"))
+    keyed = rows.withColumn("__key", key).join(listed, "job", "left").withColumn("__d", F.get(F.filter("__delays", lambda d: d["source"] == F.col("__key")), F.lit(0)))
+    keyed = keyed.withColumns({"__delay": F.col("__d.delay_ms"), "__own": F.col("__d.subtitle_ms")})
     own = F.when((kind == "subtitles") & F.col("__own").isNotNull(), F.round("__own").cast("int")).otherwise(F.coalesce("__delay", F.lit(0)))
     value = (
         F.when((source == REFERENCE) & (kind == "audio"), F.col("container_ms") + shift)
@@ -116,14 +119,15 @@ def effective_delay(rows: DataFrame, delays: DataFrame, shift: Column) -> DataFr
         .when((kind == "subtitles") & (F.col("stepping_adjusted") | F.col("frame_adjusted")), 0)
         .otherwise(own)
     )
-    return keyed.withColumn("delay_ms", value.cast("int")).drop("__key", "__delay", "__own")
+    return keyed.withColumn("delay_ms", value.cast("int")).drop("__key", "__delays", "__d", "__delay", "__own")
 
 
 def final_order(rows: DataFrame) -> DataFrame:
     """Tracks with place, from 0: preserved audio and subtitles behind the last other track of their type, or at the end if there is none, audio first."""
     kept = F.when(~F.col("is_preserved"), F.col("pos"))
-    last = F.max(kept).over(Window.partitionBy("job", "type"))
-    end = F.max(kept).over(Window.partitionBy("job"))
+    whole = Window.partitionBy("job")  # one order of rows does for all of these
+    last = F.when(F.col("type") == "audio", F.max(F.when(F.col("type") == "audio", kept)).over(whole)).otherwise(F.max(F.when(F.col("type") == "subtitles", kept)).over(whole))
+    end = F.max(kept).over(whole)
     anchor = F.when(~F.col("is_preserved"), F.col("pos")).otherwise(F.coalesce(last, F.coalesce(end, F.lit(-1))))
     late = F.when(~F.col("is_preserved"), 0).when(last.isNotNull(), 1).when(F.col("type") == "audio", 2).otherwise(3)
     keyed = rows.where(~F.col("is_preserved") | F.col("type").isin("audio", "subtitles")).withColumns({"__anchor": anchor, "__late": late})
@@ -133,20 +137,20 @@ def final_order(rows: DataFrame) -> DataFrame:
 
 def first_places(placed: DataFrame) -> DataFrame:
     """Per job the place of the first video track, of the first default audio and subtitle tracks and of the first forced subtitle track; -1 without one."""
-    def first(condition: Column) -> Column:
-        return F.coalesce(F.min(F.when(condition, F.col("place"))), F.lit(-1))
+    return placed.groupBy("job").agg(*[F.coalesce(least, F.lit(-1)).alias(name) for name, least in _firsts().items()])
 
-    kind = F.col("type")
-    return placed.groupBy("job").agg(
-        first(kind == "video").alias("video"), first((kind == "audio") & F.col("is_default")).alias("audio"),
-        first((kind == "subtitles") & F.col("is_default")).alias("subtitles"), first((kind == "subtitles") & F.col("is_forced")).alias("forced"),
-    )
+
+def _firsts() -> dict[str, Column]:
+    """The least place of each kind that first_places() tells, as aggregates."""
+    kind, place = F.col("type"), F.col("place")
+    wanted = {"video": kind == "video", "audio": (kind == "audio") & F.col("is_default"), "subtitles": (kind == "subtitles") & F.col("is_default"), "forced": (kind == "subtitles") & F.col("is_forced")}
+    return {name: F.min(F.when(condition, place)) for name, condition in wanted.items()}
 
 
 def option_list(rows: DataFrame, delays: DataFrame, shift: Column, compression: bool = True, dialog_norm: bool = True) -> DataFrame:
     """Per job the options for assembling its file, in order: each track's language, name, delay, flags and path, and the order of all."""
     placed = effective_delay(final_order(rows), delays, shift)
-    marked = placed.join(first_places(placed), "job")
+    marked = placed.withColumns({name: F.coalesce(least.over(Window.partitionBy("job")), F.lit(-1)) for name, least in _firsts().items()})
     lit, kind, place = F.lit, F.col("type"), F.col("place")
     lang = cases([(F.col("custom_lang") != "", F.col("custom_lang")), (F.col("lang") != "", F.col("lang"))], "und")
     name = cases([(F.col("custom_name") != "", F.col("custom_name")), (F.col("apply_name") & (F.trim("name") != ""), F.col("name"))], None)

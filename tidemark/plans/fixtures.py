@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import table
+from tidemark.session import spread, table
 
 def micros_since(day: str, column: str) -> Column:
     """Microseconds from a day's start to a timestamp without time zone."""
@@ -21,8 +21,9 @@ def windows(spark: SparkSession, sf: str) -> DataFrame:
     """Scored signal windows: (source_key, window_idx, start_s, raw_delay_ms, delay_ms, match_pct, accepted, method)."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     pct = F.get_json_object("props", "$.k").cast("double")
-    return table(spark, sf, "events").select(
-        F.col("user_id").alias("source_key"), F.row_number().over(order).alias("window_idx"),
+    numbered = spread(spark, sf, "events", "user_id").withColumn("window_idx", F.row_number().over(order))  # before the key is renamed, as in tracks()
+    return numbered.select(
+        F.col("user_id").alias("source_key"), "window_idx",
         (micros_since("2024-01-01", "ts") / 1e6).alias("start_s"), F.col("value").alias("raw_delay_ms"),
         F.round("value").cast("int").alias("delay_ms"), pct.alias("match_pct"), (pct >= 10).alias("accepted"), F.col("event_type").alias("method"),
     )
@@ -77,7 +78,11 @@ FINAL = (
 
 def tracks(spark: SparkSession, sf: str) -> DataFrame:
     """Planned tracks of jobs: (job, pos, source, id, type, codec, lang, name, ...)."""
-    return table(spark, sf, "lineitem").selectExpr(*PLAN)
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = spread(spark, sf, "lineitem", "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    # numbered before the key is renamed, so that Spark knows the rows to lie by job
+    numbered = rows.withColumn("pos", (F.row_number().over(order) - 1).cast("int"))
+    return numbered.selectExpr(*["pos" if c.endswith(" AS pos") else c for c in PLAN])
 
 
 def final_tracks(spark: SparkSession, sf: str) -> DataFrame:
