@@ -28,18 +28,16 @@ def density_clusters(rows: DataFrame, key: str, order: str, value: str, eps: flo
     number within eps. Only ordered windows and range frames are needed, no search
     by pairs.
     """
-    by_value = Window.partitionBy(key).orderBy(value)
     around = f"over (partition by {key} order by {value} range between {eps}D preceding and {eps}D following)"  # SQL has range frames of doubles
     counted = rows.withColumn("__near", F.expr(f"count(1) {around}")).withColumn("__core", F.col("__near") >= min_samples)
-    cores = counted.where("__core").select(key, order, F.col(value).alias(value))
-    step = F.col(value) - F.lag(value).over(by_value)
-    islands = cores.withColumn("__island", F.sum(F.when(step <= eps, 0).otherwise(1)).over(by_value.rowsBetween(Window.unboundedPreceding, 0)))
-    firsts = islands.groupBy(key, "__island").agg(F.min(order).alias("__first"))
-    numbered = firsts.withColumn("__id", F.row_number().over(Window.partitionBy(key).orderBy("__first")) - 1)
-    labelled = islands.join(numbered, [key, "__island"]).select(key, order, F.col("__id"))
-    joined = counted.join(labelled, [key, order], "left")
+    # cores and other rows are numbered apart, which spares joining the rows with themselves
+    apart = Window.partitionBy(key, "__core").orderBy(value)
+    step = F.col(value) - F.lag(value).over(apart)
+    islands = counted.withColumn("__new", F.when(step <= eps, 0).otherwise(1)).withColumn("__island", F.sum("__new").over(apart.rowsBetween(Window.unboundedPreceding, 0)))
+    firsts = islands.withColumn("__first", F.min(order).over(Window.partitionBy(key, "__core", "__island")))
+    numbered = firsts.withColumn("__id", F.when(F.col("__core"), F.dense_rank().over(Window.partitionBy(key, "__core").orderBy("__first")) - 1))
     nearest = F.expr(f"min(__id) {around}")
-    return joined.withColumn("label", F.coalesce("__id", nearest, F.lit(-1)).cast("int")).drop("__near", "__core", "__id")
+    return numbered.withColumn("label", F.coalesce("__id", nearest, F.lit(-1)).cast("int")).drop("__near", "__core", "__new", "__island", "__first", "__id")
 
 
 def clustered_windows(rows: DataFrame, eps: float = 20.0, percent: float = 1.5) -> DataFrame:
@@ -50,7 +48,11 @@ def clustered_windows(rows: DataFrame, eps: float = 20.0, percent: float = 1.5)
 
 def cluster_details(labelled: DataFrame) -> DataFrame:
     """Per source and cluster its mean, spread, members, time range and match."""
-    return labelled.where("label >= 0").groupBy("source_key", "label").agg(
+    return _details(labelled.where("label >= 0"))
+
+
+def _details(labelled: DataFrame) -> DataFrame:
+    return labelled.groupBy("source_key", "label").agg(
         F.count(F.lit(1)).alias("n"), F.avg("delay_ms").alias("mean_ms"), F.stddev_pop("delay_ms").alias("std_ms"), F.min("start_s").alias("t0"), F.max("start_s").alias("t1"),
         F.avg("match_pct").alias("avg_match"), F.min("match_pct").alias("min_match"), F.sort_array(F.collect_list("window_idx")).alias("members"),
     )
@@ -67,12 +69,19 @@ def thresholds(mode: str = "normal", custom: tuple[float, float, float, int] | N
 
 def validate_clusters(labelled: DataFrame, mode: str = "normal", custom: tuple[float, float, float, int] | None = None) -> DataFrame:
     """Three checks of each cluster, how many passed, and whether all did."""
-    share, seconds, match, _ = thresholds(mode, custom)
-    totals = labelled.groupBy("source_key").agg(F.count(F.lit(1)).alias("total"))
-    joined = cluster_details(labelled).join(totals, "source_key")
-    checks = [F.col("n") / F.col("total") * 100 >= share, F.col("t1") - F.col("t0") + WINDOW_S >= seconds, F.col("avg_match") >= match]
-    passed = sum((c.cast("int") for c in checks), F.lit(0))
-    return joined.select("source_key", "label", "n", *[c.alias(a) for c, a in zip(checks, ("ok_share", "ok_duration", "ok_match"))], passed.alias("passed"), (passed == 3).alias("valid"))
+    return validate_modes(labelled, [mode], custom).drop("mode")
+
+
+def validate_modes(labelled: DataFrame, modes: list[str], custom: tuple[float, float, float, int] | None = None) -> DataFrame:
+    """validate_clusters() by several modes, with the mode; clusters are made once for all of them."""
+    rows = _details(labelled).withColumn("total", F.sum("n").over(Window.partitionBy("source_key"))).where("label >= 0")
+    each = []
+    for mode in modes:
+        share, seconds, match, _ = thresholds(mode, custom)
+        checks = [F.col("n") / F.col("total") * 100 >= share, F.col("t1") - F.col("t0") + WINDOW_S >= seconds, F.col("avg_match") >= match]
+        passed = sum((c.cast("int") for c in checks), F.lit(0))
+        each.append(F.struct(*[c.alias(a) for c, a in zip(checks, ("ok_share", "ok_duration", "ok_match"))], passed.alias("passed"), (passed == 3).alias("valid"), F.lit(mode).alias("mode")))
+    return rows.select("source_key", "label", "n", F.inline(F.array(*each)))
 
 
 #: Slope in ms a second that a 25/24 speed-up gives and how near it must be; slope and R² from which drift is linear, for lossy and lossless codecs.
@@ -242,11 +251,7 @@ _MODES = {"strict": (10.0, 30.0, 90.0, 2), "normal": (5.0, 20.0, 85.0, 2), "leni
 
 @query("cluster_validation", oracle("windows", body=_LABEL + "".join(_valid(*m[:3]).replace(" v AS", f" v{i} AS").replace("val AS", f"val{i} AS").replace("FROM v)", f"FROM v{i})") for i, m in enumerate(_MODES.values())) + " " + " UNION ALL ".join(f"SELECT *, passed = 3 AS valid, '{m}' AS mode FROM val{i}" for i, m in enumerate(_MODES))))
 def q_validation(spark: SparkSession, sf: str) -> DataFrame:
-    labelled, out = clustered_windows(_accepted(spark, sf)), None
-    for mode in _MODES:
-        found = validate_clusters(labelled, mode, _MODES["custom"]).withColumn("mode", F.lit(mode))
-        out = found if out is None else out.unionByName(found)
-    return out
+    return validate_modes(clustered_windows(_accepted(spark, sf)), list(_MODES), _MODES["custom"])
 
 
 _DIAGNOSED = """, k AS (SELECT source_key, count(*) AS clusters, count(*) FILTER (passed = 3) AS valid FROM val GROUP BY 1),
