@@ -184,6 +184,6 @@ def q_romanised(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("kana_dictionary", _LATIN + " SELECT DISTINCT latin AS word FROM l WHERE latin <> ''")
 def q_kana_dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    """A dictionary's entries, one to a document, each with the readings of all its words."""
-    readings = F.transform(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1), lambda w: F.concat(F.lit("<r_ele><reb>"), _in_kana(w), F.lit("</reb></r_ele>")))
-    return words.romanised_words(table(spark, sf, "documents").select(F.concat(F.lit("<entry>"), F.array_join(readings, ""), F.lit("</entry>")).alias("line")))
+    """A dictionary's entries, one to a word of documents, each with its reading."""
+    found = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("word")).select(F.lower("word").alias("word")).distinct()
+    return words.romanised_words(found.select(F.concat(F.lit("<entry><r_ele><reb>"), _in_kana(F.col("word")), F.lit("</reb></r_ele></entry>")).alias("line")))
