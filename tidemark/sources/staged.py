@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 import xml.parsers.expat
+import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 from xml.sax.saxutils import escape, quoteattr
 
 from pyarrow import fs
@@ -17,6 +19,8 @@ from tidemark.session import ship
 
 #: Bytes of a text list in one partition, and of an XML file that are parsed at once.
 SPLIT, CHUNK = 8 << 20, 1 << 16
+#: Documents in an archive, whose directory a task holds.
+PACK = 10_000
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -91,25 +95,44 @@ class StagedWriter(DataSourceWriter):
 
 
 class DocumentWriter(StagedWriter):
-    """Rows (name, text) as files of their own; a null text is an empty file."""
+    """Rows (name, text) as files of their own, or packed into archives of them; a null text is an empty file."""
+
+    def __init__(self, path: str, overwrite: bool, packed: bool = False):
+        super().__init__(path, overwrite)
+        self.packed = packed
 
     def task(self, rows: Iterator[Row], system: fs.FileSystem, folder: str) -> int:
+        named = self._named(rows)
+        if not self.packed:
+            return sum(self._file(system, f"{folder}/{name}", text) for name, text in named)
+        written = 0
+        while some := list(islice(named, 1)):
+            with system.open_output_stream(f"{folder}/{written // PACK:05d}.zip") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                for name, text in chain(some, islice(named, PACK - 1)):
+                    archive.writestr(name, text)
+                    written += 1
+        return written
+
+    def _file(self, system: fs.FileSystem, path: str, text: bytes) -> int:
+        with system.open_output_stream(path) as out:
+            out.write(text)
+        return 1
+
+    def _named(self, rows: Iterator[Row]) -> Iterator[tuple[str, bytes]]:
         names = set()
         for row in rows:
             name = row["name"]
             if not name or "/" in name or name[:1] in "_." or name in names:
                 raise ValueError(f"no name for a document, or not the only one: {name!r}")
             names.add(name)
-            with system.open_output_stream(f"{folder}/{name}") as out:
-                out.write((row["text"] or "").encode())
-        return len(names)
+            yield name, (row["text"] or "").encode()
 
 
 class DocumentReader(DataSourceReader):
-    """Documents by name; a partition holds the files of one folder."""
+    """Documents by name, out of archives where they are packed; a partition holds the files of one folder."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, packed: bool = False):
+        self.path, self.packed = path, packed
 
     def partitions(self) -> list[InputPartition]:
         folders: dict[str, list[str]] = {}
@@ -120,12 +143,17 @@ class DocumentReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         system, _ = _open(self.path)
         for path in partition.value if partition is not None else ():
+            if self.packed:
+                with system.open_input_file(path) as source, zipfile.ZipFile(source) as archive:
+                    for name in archive.namelist():
+                        yield name, archive.read(name).decode(errors="replace")
+                continue
             with system.open_input_stream(path) as source:
                 yield path.rpartition("/")[2], source.read().decode(errors="replace")
 
 
 class TextDocuments(DataSource):
-    """Format textdocument: (name, text), a file each."""
+    """Format textdocument: (name, text), a file each; with the option packed, of both sides, in zip archives of PACK of them."""
 
     @classmethod
     def name(cls) -> str:
@@ -135,10 +163,13 @@ class TextDocuments(DataSource):
         return StructType().add("name", StringType()).add("text", StringType())
 
     def reader(self, schema: StructType) -> DocumentReader:
-        return DocumentReader(self.options["path"])
+        return DocumentReader(self.options["path"], self._packed())
 
     def writer(self, schema: StructType, overwrite: bool) -> DocumentWriter:
-        return DocumentWriter(self.options["path"], overwrite)
+        return DocumentWriter(self.options["path"], overwrite, self._packed())
+
+    def _packed(self) -> bool:
+        return self.options.get("packed", "false").lower() == "true"
 
 
 # Word lists and fix rules
