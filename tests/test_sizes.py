@@ -37,6 +37,20 @@ def test_large_tables_go_to_tasks_by_their_size(spark, sf, name, monkeypatch):
     assert check(spark, sf, __spark_entry__.queries()[name], __spark_entry__.oracle_sql()[name]) > 0
 
 
+@pytest.mark.parametrize("name", ("track_options", "track_effective_delay"))
+def test_a_jobs_lists_are_gathered_without_aggregates(spark, sf, name):
+    # an aggregate of lists sorts its rows once more and holds them all, which spills
+    assert "Aggregate" not in plan(spark, sf, name).executedPlan().toString()
+
+
+def test_rows_of_small_files_go_to_tasks_by_their_number(spark, sf, monkeypatch):
+    monkeypatch.setattr(session, "LARGE", 1 << 10)
+    monkeypatch.setattr(session, "ROWS", 1000)
+    tasks = session.table(spark, sf, "lineitem").count() // 1000
+    text = plan(spark, sf, "track_options").executedPlan().toString()
+    assert text.count("REPARTITION_BY_NUM") == text.count("Exchange hashpartitioning") == text.count(f", {tasks}), REPARTITION_BY_NUM") == 2  # both sides in the same tasks
+
+
 def test_clusters_are_made_once_for_all_modes(spark, tiny):
     assert plan(spark, tiny, "cluster_validation").executedPlan().toString().count("FileScan parquet") == 1
 

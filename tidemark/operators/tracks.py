@@ -109,7 +109,7 @@ def effective_delay(rows: DataFrame, delays: DataFrame, shift: Column) -> DataFr
     kind, source = F.col("type"), F.col("source")
     key = F.when(source == "External", F.coalesce("sync_to", F.lit(REFERENCE))).otherwise(source)
     # a job's sources are few, so its delays meet its tracks by job, as which these lie already
-    listed = delays.groupBy("job").agg(F.collect_list(F.struct("source", "delay_ms", "subtitle_ms")).alias("__delays"))
+    listed = first_with_list(delays, F.struct("source", "delay_ms", "subtitle_ms"), "source").withColumnRenamed("list", "__delays")
     keyed = rows.withColumn("__key", key).join(listed, "job", "left").withColumn("__d", F.get(F.filter("__delays", lambda d: d["source"] == F.col("__key")), F.lit(0)))
     keyed = keyed.withColumns({"__delay": F.col("__d.delay_ms"), "__own": F.col("__d.subtitle_ms")})
     own = F.when((kind == "subtitles") & F.col("__own").isNotNull(), F.round("__own").cast("int")).otherwise(F.coalesce("__delay", F.lit(0)))
@@ -122,6 +122,13 @@ def effective_delay(rows: DataFrame, delays: DataFrame, shift: Column) -> DataFr
     return keyed.withColumn("delay_ms", value.cast("int")).drop("__key", "__delays", "__d", "__delay", "__own")
 
 
+def first_with_list(rows: DataFrame, value: Column, order: str) -> DataFrame:
+    """(job, list): the values of each job's rows. Rows are sorted by job and a job's values gathered as its rows pass; a hash aggregate would sort the lists as well, and hold them all."""
+    ordered = Window.partitionBy("job").orderBy(order)
+    listed = rows.select("job", F.row_number().over(ordered).alias("__nth"), F.collect_list(value).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("list"))
+    return listed.where("__nth = 1").drop("__nth")
+
+
 def final_order(rows: DataFrame) -> DataFrame:
     """Tracks with place, from 0: preserved audio and subtitles behind the last other track of their type, or at the end if there is none, audio first."""
     kept = F.when(~F.col("is_preserved"), F.col("pos"))
@@ -149,7 +156,7 @@ def _firsts() -> dict[str, Column]:
 
 def option_list(rows: DataFrame, delays: DataFrame, shift: Column, compression: bool = True, dialog_norm: bool = True) -> DataFrame:
     """Per job the options for assembling its file, in order: each track's language, name, delay, flags and path, and the order of all."""
-    placed = effective_delay(final_order(rows), delays, shift)
+    placed = final_order(effective_delay(rows, delays, shift))  # delays first, as a join keeps no order within a job
     marked = placed.withColumns({name: F.coalesce(least.over(Window.partitionBy("job")), F.lit(-1)) for name, least in _firsts().items()})
     lit, kind, place = F.lit, F.col("type"), F.col("place")
     lang = cases([(F.col("custom_lang") != "", F.col("custom_lang")), (F.col("lang") != "", F.col("lang"))], "und")
@@ -171,7 +178,8 @@ def option_list(rows: DataFrame, delays: DataFrame, shift: Column, compression:
         option("--remove-dialog-normalization-gain", lit("0"), lit(dialog_norm) & (kind == "audio") & upper.contains("AC3")),
         F.array(lit("("), F.concat(lit("t"), F.col("pos").cast("string"), lit("."), extension(kind, F.col("codec"))), lit(")")),
     )
-    listed = marked.select("job", F.struct("place", tokens.alias("tokens")).alias("t")).groupBy("job").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    whole = Window.partitionBy("job")  # in the order that places have left; no aggregate, as for first_with_list()
+    listed = marked.select("job", "place", F.struct("place", tokens.alias("tokens")).alias("t")).withColumn("t", F.collect_list("t").over(whole)).where("place = 0").select("job", F.sort_array("t").alias("t"))
     order = F.array_join(F.transform("t", lambda x: F.concat(x["place"].cast("string"), lit(":0"))), ",")
     return listed.select("job", F.concat(F.flatten(F.transform("t", lambda x: x["tokens"])), F.array(lit("--track-order"), order)).alias("tokens"))
 

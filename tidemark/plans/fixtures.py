@@ -93,7 +93,7 @@ def final_tracks(spark: SparkSession, sf: str) -> DataFrame:
 
 def job_delays(spark: SparkSession, sf: str) -> DataFrame:
     """Delays of jobs' sources: (job, source, delay_ms, subtitle_ms)."""
-    each = table(spark, sf, "orders").select(F.col("o_orderkey").alias("job"), F.explode(F.array(*map(F.lit, ("Source 1", "Source 2", "Source 3")))).alias("source"))
+    each = spread(spark, sf, "orders", "o_orderkey", like="lineitem").select(F.col("o_orderkey").alias("job"), F.explode(F.array(*map(F.lit, ("Source 1", "Source 2", "Source 3")))).alias("source"))
     return each.selectExpr("job", "source", "CAST(CASE source WHEN 'Source 1' THEN 0 WHEN 'Source 2' THEN job % 500 - 250 ELSE job * 7 % 900 - 450 END AS INT) AS delay_ms", "CASE WHEN source = 'Source 3' AND job % 5 = 0 THEN job % 100 + 0.25D END AS subtitle_ms")
 
 

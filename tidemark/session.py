@@ -11,8 +11,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
-#: Bytes of files from which a table is large, and of a large one in one task.
-LARGE, TASK = 64 << 20, 8 << 20
+#: Bytes of files from which a table is large, and bytes and rows of a large one in one task.
+LARGE, TASK, ROWS = 64 << 20, 8 << 20, 300_000
 
 
 def build_session(cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -71,14 +71,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def spread(spark: SparkSession, sf_dir: str, name: str, *keys: str):
-    """A table by keys, for what is done within each key. The rows of a large one go to a task for each TASK bytes of its files, so that what a task sorts doesn't grow with the table; Spark's own number of tasks, which it lessens to that of the cores, does for a small one."""
-    rows = table(spark, sf_dir, name)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+def spread(spark: SparkSession, sf_dir: str, name: str, *keys: str, like: str | None = None):
+    """A table by keys, for what is done within each key. The rows of a large one go to a task for each TASK bytes of its files or for each ROWS, as files of like rows are small, so that what a task sorts doesn't grow with the table; Spark's own number of tasks, which it lessens to that of the cores, does for a small one. like: the table that this one is to meet by these keys, in whose tasks it is put."""
+    rows, sized = table(spark, sf_dir, name), like or name
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{sized}.parquet")
     size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
     if size < LARGE:
         return rows
-    return rows.repartition(max(size // TASK, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    return rows.repartition(max(size // TASK, table(spark, sf_dir, sized).count() // ROWS, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
