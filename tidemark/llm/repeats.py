@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, checkpointed, text_slices
+from tidemark.llm.common import arrow_map, checkpointed, drop_unused, text_slices
 from tidemark.llm.leaks import shingle_codes, word_hashes, words_of
 from tidemark.session import delete_path, shared_path, table
 
@@ -54,6 +54,16 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
 
 
+def _written(frame: DataFrame, name: str, done: str | None = None) -> tuple[DataFrame, str]:
+    """frame, written to the shared folder and read back, and its path there. What was read for it goes from the disk: the path done, and shuffles, which would stay until the driver happens to collect its garbage."""
+    spark, folder = frame.sparkSession, shared_path(frame.sparkSession, name)
+    frame.write.parquet(folder)
+    if done:
+        delete_path(spark, done)
+    drop_unused(spark, 0)
+    return spark.read.schema(frame.schema).parquet(folder), folder
+
+
 def anchors(rows: DataFrame) -> DataFrame:
     """(doc, key, place, code) of the minimisers of each text of at least MIN_WORDS words."""
 
@@ -86,10 +96,16 @@ def _salted(frame: DataFrame, counts: DataFrame, column: str) -> DataFrame:
     return salted.join(wanted, [column, "salt"], "left_semi").drop("salt")
 
 
-def repeated_suffixes(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(suffix, doc, key, place, room) of the minimisers in found whose run is found in two documents at least; room is the words of the text from there on."""
+def repeated_places(found: DataFrame) -> DataFrame:
+    """(doc, key, place) of the minimisers in found whose run is found in two documents at least."""
     shared = checkpointed(found.groupBy("code").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("code", "n"))
-    places = _salted(found, shared, "code").groupBy("doc", "key").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    drop_unused(found.sparkSession, 0)
+    return _salted(found, shared, "code").select("doc", "key", "place")
+
+
+def repeated_suffixes(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """(suffix, doc, key, place, room) of the places(doc, key, place) in texts; room is the words of the text from there on."""
+    listed = places.groupBy("doc", "key").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +116,7 @@ def repeated_suffixes(rows: DataFrame, found: DataFrame) -> DataFrame:
                     same = [pa.array(np.full(n, part.column(c)[i].as_py()), pa.int64()) for c in ("doc", "key")]
                     yield pa.RecordBatch.from_arrays([_binary(suffixes(hashes, own)), *same, pa.array(own, pa.int32()), pa.array(len(hashes) - own, pa.int32())], names=["suffix", "doc", "key", "place", "room"])
 
-    return arrow_map(rows.join(places, ["doc", "key"]), cut, "suffix binary, doc long, key long, place int, room int")
+    return arrow_map(rows.join(listed, ["doc", "key"]), cut, "suffix binary, doc long, key long, place int, room int")
 
 
 def window_codes(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -306,13 +322,12 @@ def extended(rows: DataFrame, pieces: DataFrame) -> DataFrame:
                     same = [pa.array(np.full(len(places), part.column(c)[i].as_py()), pa.int64()) for c in ("doc", "key")]
                     yield pa.RecordBatch.from_arrays([_binary(codes), *same, pa.array(places, pa.int32())], names=["window", "doc", "key", "place"])
 
-    folder = shared_path(rows.sparkSession, "windows")
-    schema = "window binary, doc long, key long, place int"
-    arrow_map(rows.join(wanted, ["doc", "key"]), cut, schema).write.parquet(folder)  # read twice
-    windows = rows.sparkSession.read.schema(schema).parquet(folder)
+    windows, folder = _written(arrow_map(rows.join(wanted, ["doc", "key"]), cut, "window binary, doc long, key long, place int"), "windows")  # read twice
     shared = checkpointed(windows.groupBy("window").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("window", "n"))
+    drop_unused(rows.sparkSession, 0)
     found = checkpointed(_salted(windows, shared, "window").select("doc", "key", F.col("place").alias("start"), (F.col("place") + MIN_WORDS).alias("end")))
     delete_path(rows.sparkSession, folder)
+    drop_unused(rows.sparkSession, 0)
     return pieces.where(F.col("end") - F.col("start") >= MIN_WORDS).select("doc", "key", "start", "end").unionByName(found)
 
 
@@ -338,11 +353,13 @@ def repeated_regions(docs: DataFrame) -> DataFrame:
     other, however many there are, and sorted order is dealt out evenly; the driver
     gets at most four rows for each task.
     """
-    rows, folder = _rows(docs), shared_path(docs.sparkSession, "anchors")
-    anchors(rows).write.parquet(folder)  # read twice: for the runs that repeat, and for where they are
-    found = repeated_suffixes(rows, docs.sparkSession.read.schema("doc long, key long, place int, code long").parquet(folder)).repartitionByRange("suffix", "doc", "place").sortWithinPartitions("suffix", "doc", "place")
-    pieces = all_pieces(found)  # written, so that the anchors may go
+    rows = _rows(docs)
+    found, folder = _written(anchors(rows), "anchors")  # read twice: for the runs that repeat, and for where they are
+    places, folder = _written(repeated_places(found), "places", folder)
+    suffixed, folder = _written(repeated_suffixes(rows, places), "suffixes", folder)  # read twice: for the range of each task, and to be sorted
+    pieces = all_pieces(suffixed.repartitionByRange("suffix", "doc", "place").sortWithinPartitions("suffix", "doc", "place"))
     delete_path(docs.sparkSession, folder)
+    drop_unused(docs.sparkSession, 0)
     pieces = extended(rows, pieces)
     ordered = Window.partitionBy("doc", "key").orderBy("start", "end")
     reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
